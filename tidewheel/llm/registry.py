@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, prefix_counts, quality
+from . import byte_bpe, exact_dedup, mixing, prefix_counts, quality, sharding, token_files
 
 
 def queries():
     return {
         "op4_byte_bpe": byte_bpe.op4_byte_bpe,
+        "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+        "op6_token_files": token_files.op6_token_files,
         "op7_quality_rules": quality.op7_quality_rules,
+        "op8_mixing": mixing.op8_mixing,
         "op9_token_counts": prefix_counts.op9_token_counts,
+        "op10_sharding": sharding.op10_sharding,
     }
 
 
 def oracle_sql():
-    return {"op7_quality_rules": quality.ORACLE}
+    return {"op5_exact_dedup": exact_dedup.ORACLE, "op7_quality_rules": quality.ORACLE}
