@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, mixing, prefix_counts, quality, sharding, token_files
+from . import byte_bpe, exact_dedup, jaccard, katz, mixing, prefix_counts, quality, sharding, token_files
 
 
 def queries():
     return {
+        "op1_katz": katz.op1_katz,
+        "op3_jaccard_join": jaccard.op3_jaccard_join,
         "op4_byte_bpe": byte_bpe.op4_byte_bpe,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
         "op6_token_files": token_files.op6_token_files,
