@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, jaccard, katz, mixing, prefix_counts, quality, sharding, token_files
+import corpus_pipeline
+
+from . import byte_bpe, exact_dedup, jaccard, katz, mixing, prefix_counts, quality, sharding, token_files, tool_calls
 
 
 def queries():
     return {
         "op1_katz": katz.op1_katz,
+        "op2_tool_calls": tool_calls.op2_tool_calls,
         "op3_jaccard_join": jaccard.op3_jaccard_join,
         "op4_byte_bpe": byte_bpe.op4_byte_bpe,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
@@ -16,8 +19,9 @@ def queries():
         "op8_mixing": mixing.op8_mixing,
         "op9_token_counts": prefix_counts.op9_token_counts,
         "op10_sharding": sharding.op10_sharding,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql():
-    return {"op5_exact_dedup": exact_dedup.ORACLE, "op7_quality_rules": quality.ORACLE}
+    return {"op2_tool_calls": tool_calls.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE, "op7_quality_rules": quality.ORACLE}

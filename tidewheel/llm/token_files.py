@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import new_folder, partitions
+from .tokens import plain
 
 BLOCK_BYTES = 16 << 20
 _ENTRY = np.dtype([("doc_id", "<i8"), ("end", "<u8")])
@@ -68,7 +69,7 @@ def spread(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarra
 
 def encode_block(texts: pa.Array, tokenizer, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all texts and, per text, its number of ids; end_id, if any, closes each text."""
-    lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+    lists = pc.ascii_split_whitespace(plain(texts))
     bounds = lists.offsets.to_numpy()
     coded = pc.list_flatten(lists).dictionary_encode()
     encoded = [e.ids for e in tokenizer.encode_batch_fast(coded.dictionary.to_pylist(), add_special_tokens=False)]

@@ -35,9 +35,17 @@ def word_hashes(words: list[str]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
+def plain(texts: pa.Array) -> pa.Array:
+    """texts as large strings without nulls, in buffers of their own.
+
+    The copy matters: in pyarrow 23 string kernels misread a slice that was cast to large strings."""
+    whole = texts.take(pa.array(np.arange(len(texts))))
+    return pc.fill_null(whole.cast(pa.large_string()), "")
+
+
 def split_block(rows: pa.RecordBatch, text: str = "text") -> Block:
     """Lower-cases A-Z and splits at space and tab to carriage return; null counts as empty."""
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(rows.column(text).cast(pa.large_string()), "")))
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(plain(rows.column(text))))
     starts = lists.offsets.to_numpy().astype(np.int64)
     flat = pc.list_flatten(lists)
     real = pc.not_equal(pc.binary_length(flat), 0)
