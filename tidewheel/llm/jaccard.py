@@ -46,9 +46,10 @@ def shingles(block: Block) -> tuple[np.ndarray, np.ndarray]:
     w = block.hashes[block.which]
     n = block.sizes
     mult = np.uint64(0x9E3779B97F4A7C15)
-    own = np.repeat(np.arange(len(n)), n)
-    place = np.arange(len(w)) - np.repeat(block.starts[:-1], n)
-    full = np.flatnonzero(place <= np.repeat(n, n) - WORDS)
+    own = np.repeat(np.arange(len(n), dtype=np.int32), n)
+    left = np.repeat(block.starts[1:].astype(np.int32), n) - np.arange(len(w), dtype=np.int32)
+    full = np.flatnonzero(left >= WORDS)
+    del left
     h = np.full(len(full), np.uint64(WORDS))
     for k in range(WORDS):
         h = h * mult + w[full + k]

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 8 << 20
 BLOCK_ROWS = 1 << 16
 
 
