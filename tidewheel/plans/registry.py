@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from . import rolling, scalar, space
+from .base import ORACLES, QUERIES
+
+MODULES = (rolling, scalar, space)
+
 
 def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").count()
+    """How many trips from each station were visible at each tick."""
+    return rolling.j05(spark, sf_dir)
 
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(ORACLES)
