@@ -36,9 +36,9 @@ VIEWS = {
         epoch_us(ts) // 1000000 AS start_s, CASE WHEN event_id % 11 <> 0 THEN epoch_us(ts) // 1000000 + (event_id * 37 % 180) * 60 END AS end_s FROM events""",
     "stock": """SELECT event_id, user_id AS station_id, epoch_us(ts) // 1000000 AS tick, (floor(value)::BIGINT % 40) AS bikes, 20 + user_id % 10 AS capacity FROM events""",
     "weather": """SELECT event_id, user_id % 34 AS grid, epoch_us(ts) // 1000000 AS obs_s, epoch_us(ts) // 1000000 + (event_id % 4) * 600 AS base_s,
-        CASE WHEN event_id % 13 = 0 THEN NULL ELSE round_even(value / 10, 2) END AS temp, event_id % 5 AS precip FROM events WHERE event_type = 'view'""",
+        CASE WHEN event_id % 13 = 0 THEN NULL ELSE value / 10 END AS temp, event_id % 5 AS precip FROM events WHERE event_type = 'view'""",
     "population": """SELECT event_id, user_id % 25 AS cell, (user_id // 25) % 3 AS dong, epoch_us(ts) // 86400000000 AS day, (epoch_us(ts) // 3600000000) % 24 AS hour,
-        round_even(value, 2) AS spop, event_id % 3 = 0 AS estimated, event_id AS revision FROM events""",
+        value AS spop, event_id % 3 = 0 AS estimated, event_id AS revision FROM events""",
     "stations": """SELECT c_custkey AS station_id, c_nationkey AS region, 37.45 + (c_custkey * 37 % 200) / 1000.0 AS lat, 126.8 + (c_custkey * 91 % 350) / 1000.0 AS lon,
         10 + c_custkey % 30 AS capacity FROM customer""",
     "centers": """SELECT s_suppkey AS center_id, 37.45 + (s_suppkey * 53 % 200) / 1000.0 AS lat, 126.8 + (s_suppkey * 71 % 350) / 1000.0 AS lon FROM supplier WHERE s_suppkey < 11""",
@@ -86,7 +86,7 @@ def weather(spark, sf) -> DataFrame:
             (F.col("user_id") % 34).alias("grid"),
             seconds("ts").alias("obs_s"),
             (seconds("ts") + (F.col("event_id") % 4) * 600).alias("base_s"),
-            F.when(F.col("event_id") % 13 != 0, F.bround(F.col("value") / 10, 2)).alias("temp"),
+            F.when(F.col("event_id") % 13 != 0, F.col("value") / 10).alias("temp"),
             (F.col("event_id") % 5).alias("precip"),
         )
     )
@@ -100,7 +100,7 @@ def population(spark, sf) -> DataFrame:
         (F.floor(F.col("user_id") / 25) % 3).alias("dong"),
         F.floor(F.col("s") / 86400).alias("day"),
         (F.floor(F.col("s") / 3600) % 24).alias("hour"),
-        F.bround("value", 2).alias("spop"),
+        F.col("value").alias("spop"),
         (F.col("event_id") % 3 == 0).alias("estimated"),
         F.col("event_id").alias("revision"),
     )

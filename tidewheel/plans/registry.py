@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import rolling, scalar, space
+from . import checks, rolling, scalar, space
 from .base import ORACLES, QUERIES
 
-MODULES = (rolling, scalar, space)
+MODULES = (checks, rolling, scalar, space)
 
 
 def flagship(spark, sf_dir):

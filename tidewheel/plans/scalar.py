@@ -117,8 +117,9 @@ def p16(spark, sf):
     return table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("d")).distinct().select("d", F.add_months("d", -3).alias("since"), F.date_sub("d", 7).alias("until"))
 
 
-@query("p17_purged_split", """WITH d AS (SELECT DISTINCT o_orderdate::DATE AS d FROM orders), r AS (SELECT d, CASE WHEN day(d) BETWEEN 20 AND 22 THEN 'valid' WHEN day(d) BETWEEN 26 AND 28 THEN 'test' ELSE 'train' END AS part FROM d)
-SELECT d, CASE WHEN part = 'train' AND (day(d) IN (19, 23, 25) OR (day(d) BETWEEN 29 AND 29)) THEN 'embargo' ELSE part END AS part FROM r""")
+@query("p17_purged_split", """WITH d AS (SELECT DISTINCT o_orderdate::DATE AS d FROM orders), r AS (SELECT d, CASE WHEN day(d) BETWEEN 20 AND 22 THEN 'valid' WHEN day(d) BETWEEN 26 AND 28 THEN 'test' ELSE 'train' END AS part FROM d),
+n AS (SELECT d, unnest([d - 1, d + 1]) AS x FROM d), e AS (SELECT DISTINCT d FROM n WHERE day(x) BETWEEN 20 AND 22 OR day(x) BETWEEN 26 AND 28)
+SELECT r.d, CASE WHEN part = 'train' AND e.d IS NOT NULL THEN 'embargo' ELSE part END AS part FROM r LEFT JOIN e ON e.d = r.d""")
 def p17(spark, sf):
     d = table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("d")).distinct()
     day = F.dayofmonth("d")
@@ -175,10 +176,10 @@ def p22(spark, sf):
     return s.select("station_id", "cell", F.split_part("cell", F.lit(":"), F.lit(1)).cast("long").alias("r"), F.split_part("cell", F.lit(":"), F.lit(2)).cast("long").alias("c"))
 
 
-@query("p23_wind_components", "SELECT event_id, round_even(-value * sin(radians(event_id % 360)), 4) AS u, round_even(-value * cos(radians(event_id % 360)), 4) AS v FROM events")
+@query("p23_wind_components", "SELECT event_id, round_even(-value * sin(radians(event_id % 360)), 4) + 0.0 AS u, round_even(-value * cos(radians(event_id % 360)), 4) + 0.0 AS v FROM events")
 def p23(spark, sf):
     u, v = geo.wind_components(F.col("value"), F.col("event_id") % 360)
-    return events(spark, sf).select("event_id", F.bround(u, 4).alias("u"), F.bround(v, 4).alias("v"))
+    return events(spark, sf).select("event_id", (F.bround(u, 4) + 0.0).alias("u"), (F.bround(v, 4) + 0.0).alias("v"))
 
 
 @query("p24_severity_and_time_factor", "SELECT event_id, round_even(1 - exp(-bikes / 1.5), 6) AS severity, round_even(pow(2, -(event_id % 240) / 60.0), 6) AS time_factor, round_even(100 * (1 - exp(-bikes / 1.5)) * pow(2, -(event_id % 240) / 60.0), 1) AS score FROM stock")
