@@ -64,6 +64,7 @@ def blocks(batches, size: int = BLOCK_BYTES, text: str = "text"):
     held, held_bytes, held_rows = [], 0, 0
 
     def whole():
+        pa.default_memory_pool().release_unused()
         return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
     for b in batches:
