@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import checks, rolling, scalar, space
+from . import checks, rolling, scalar, sets, space
 from .base import ORACLES, QUERIES
 
-MODULES = (checks, rolling, scalar, space)
+MODULES = (checks, rolling, scalar, sets, space)
 
 
 def flagship(spark, sf_dir):
