@@ -225,38 +225,46 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (query, cand) that link: (a, b)."""
     with_c = pairs.join(sets.select(F.col("sig").alias("cand"), F.col("n").alias("c_n"), F.col("items").alias("c_items")), "cand")
     both = with_c.join(sets.select(F.col("sig").alias("query"), F.col("n").alias("q_n"), F.col("items").alias("q_items")), "query")
-    both = both.where("4 * least(q_n, c_n) >= 3 * greatest(q_n, c_n)")
+    both = both.where("4 * least(q_n, c_n) >= 3 * greatest(q_n, c_n) and 7 * least(size(q_items), size(c_items)) >= 3 * (q_n + c_n)")
     return both.sortWithinPartitions("query").select("query", "q_n", "q_items", "cand", "c_n", "c_items").mapInArrow(_search, "a long, b long")
 
 
 def _pivots(postings: DataFrame, turn: int) -> DataFrame:
-    """Pairs of each short list's pivot with the list's other classes, where components differ."""
-    rank = F.struct(F.xxhash64("sig", F.lit(turn)).alias("r"), F.col("sig").alias("query"), F.col("root").alias("query_root"))
+    """Pairs of each short list's pivot with the list's other classes, where components differ.
+
+    The first pivot is the list's most central class, the one with the fewest shingles of its own: in a group
+    of edited copies that is the text they come from. The next one is any."""
+    order = (F.col("n") - F.col("size")) if turn == 0 else F.lit(0)
+    rank = F.struct(order.alias("o"), F.xxhash64("sig", F.lit(turn)).alias("r"), F.col("sig").alias("query"), F.col("root").alias("query_root"))
     lists = postings.groupBy("item").agg(F.min(rank).alias("p"), F.count("*").alias("held")).where("held > 1").select("item", "p.query", "p.query_root")
     return postings.join(lists, "item").where("root <> query_root").select("query", F.col("sig").alias("cand")).distinct()
 
 
+def _open_pairs(postings: DataFrame) -> DataFrame:
+    """All pairs of different components in a short list that their sizes let link.
+
+    `size` counts a class's shared shingles; more than the smaller size can't overlap."""
+    open_lists = postings.groupBy("item").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("item")
+    held = postings.join(open_lists, "item")
+    other = held.select("item", F.col("sig").alias("cand"), F.col("root").alias("cand_root"), F.col("n").alias("cand_n"), F.col("size").alias("cand_size"))
+    can_link = "root <> cand_root and sig < cand and 4 * least(n, cand_n) >= 3 * greatest(n, cand_n) and 7 * least(size, cand_size) >= 3 * (n + cand_n)"
+    return held.join(other, "item").where(can_link).select(F.col("sig").alias("query"), "cand").distinct()
+
+
 def _with_roots(postings: DataFrame, roots: DataFrame | None) -> DataFrame:
-    base = postings.select("item", "sig", "n")
     if roots is None:
-        return base.withColumn("root", F.col("sig"))
-    return base.join(roots.withColumnRenamed("v", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+        return postings.withColumn("root", F.col("sig"))
+    return postings.join(roots.withColumnRenamed("v", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
 
 
 def join_classes(sets: DataFrame) -> DataFrame | None:
     """sets (sig, n, items) -> components of classes (v, root); None without links."""
     short = F.slice("items", F.lit(1), F.size("items") - F.ceil(F.col("n") * 0.75).cast("int") + 1)
-    postings = stored(sets.select("sig", "n", F.explode(short).alias("item")), "jaccard-lists")
+    postings = stored(sets.select("sig", "n", F.size("items").alias("size"), F.explode(short).alias("item")), "jaccard-lists")
     roots, tested, links = None, None, None
     for turn in (0, 1, 2):
         held = _with_roots(postings, roots)
-        if turn < 2:
-            pairs = _pivots(held, turn)
-        else:  # all that is left between different components
-            other = held.select("item", F.col("sig").alias("cand"), F.col("root").alias("cand_root"), F.col("n").alias("cand_n"))
-            open_lists = held.groupBy("item").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("item")
-            pairs = held.join(open_lists, "item").join(other, "item").where("root <> cand_root and sig < cand and 4 * least(n, cand_n) >= 3 * greatest(n, cand_n)")
-            pairs = pairs.select(F.col("sig").alias("query"), "cand").distinct()
+        pairs = _pivots(held, turn) if turn < 2 else _open_pairs(held)
         if tested is not None:
             known = tested.select("query", "cand").union(tested.select(F.col("cand").alias("query"), F.col("query").alias("cand")))
             pairs = pairs.join(known, ["query", "cand"], "left_anti")
@@ -265,8 +273,8 @@ def join_classes(sets: DataFrame) -> DataFrame | None:
             break
         tested = pairs if tested is None else tested.unionByName(pairs)
         found = stored(linked(pairs, sets), "jaccard-links")
-        links = found if links is None else links.unionByName(found)
-        if turn < 2 or found.limit(1).count():
+        if found.limit(1).count():
+            links = found if links is None else links.unionByName(found)
             roots = components(links)
     return roots
 
