@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import checks, composites, measures, rolling, scalar, sets, space
+from . import checks, composites, measures, rolling, scalar, sets, space, storage, streams
 from .base import ORACLES, QUERIES
 
-MODULES = (checks, composites, measures, rolling, scalar, sets, space)
+MODULES = (checks, composites, measures, rolling, scalar, sets, space, storage, streams)
 
 
 def flagship(spark, sf_dir):
