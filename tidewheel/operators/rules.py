@@ -68,22 +68,29 @@ def repaired(v, rule: dict):
 
 def validate(df: DataFrame, rules: list[dict], max_issues: int | None = None) -> DataFrame:
     """df with repaired columns, `_issues` and `_row_status` (ok, repaired, dropped, failed), in one pass."""
-    out = df
-    for r in rules:
-        out = out.withColumn(f"_v_{r['name']}", verdict(F.col(r["name"]), r))
-    issues = []
-    for r in rules:
-        v = F.col(f"_v_{r['name']}")
-        action = F.when(v["kind"] == "missing", policy(r, "missing")).otherwise(policy(r, "outlier"))
-        issues.append(F.when(v["kind"].isNotNull(), F.struct(F.lit(r["name"]).alias("column"), v["kind"].alias("kind"), F.lit(bool(r.get("required"))).alias("required"), action.alias("action"))))
-    out = out.withColumn("_issues", F.array_compact(F.array(*issues)).cast(f"array<{ISSUE}>"))
-    failed = F.exists("_issues", lambda i: i["action"] == "fail_batch")
-    dropped = F.exists("_issues", lambda i: i["action"] == "drop_row")
-    if max_issues is not None:
-        dropped = dropped | (F.size("_issues") > max_issues)
-    status = F.when(failed, "failed").when(dropped, "dropped").when(F.size("_issues") > 0, "repaired").otherwise("ok")
-    fixed = {r["name"]: repaired(F.col(f"_v_{r['name']}"), r) for r in rules}
-    return out.withColumns(fixed | {"_row_status": status}).drop(*[f"_v_{r['name']}" for r in rules])
+    names = [r["name"] for r in rules]
+
+    def judged(v):
+        issues = []
+        for r in rules:
+            kind = v[r["name"]]["kind"]
+            action = F.when(kind == "missing", policy(r, "missing")).otherwise(policy(r, "outlier"))
+            issues.append(F.when(kind.isNotNull(), F.struct(F.lit(r["name"]).alias("column"), kind.alias("kind"), F.lit(bool(r.get("required"))).alias("required"), action.alias("action"))))
+        fixed = [repaired(v[r["name"]], r).alias(r["name"]) for r in rules]
+        return F.struct(*fixed, F.array_compact(F.array(*issues)).cast(f"array<{ISSUE}>").alias("_issues"))
+
+    def decided(x):
+        failed = F.exists(x["_issues"], lambda i: i["action"] == "fail_batch")
+        dropped = F.exists(x["_issues"], lambda i: i["action"] == "drop_row")
+        if max_issues is not None:
+            dropped = dropped | (F.size(x["_issues"]) > max_issues)
+        status = F.when(failed, "failed").when(dropped, "dropped").when(F.size(x["_issues"]) > 0, "repaired").otherwise("ok")
+        return F.struct(*[x[n].alias(n) for n in names], x["_issues"].alias("_issues"), status.alias("_row_status"))
+
+    # one-element arrays bind each step's value, so that filters pushed through do not multiply the expressions
+    verdicts = F.array(F.struct(*[verdict(F.col(r["name"]), r).alias(r["name"]) for r in rules]))
+    out = df.withColumn("_x", F.transform(F.transform(verdicts, judged), decided)[0])
+    return out.withColumns({n: F.col("_x")[n] for n in [*names, "_issues", "_row_status"]}).drop("_x")
 
 
 def clean(validated: DataFrame) -> DataFrame:
