@@ -98,3 +98,20 @@ def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 105), (105, 101)]
     got = {r.v: r.root for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 105: 100}
+
+
+def test_block_search_finds_every_link(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_CLASSES", 4)
+    rnd = random.Random(2)
+    base = list(range(60))
+    rows = []
+    for i in range(40):
+        s = set(base) - set(rnd.sample(base, rnd.randint(0, 9))) | {1000 + 10 * i + k for k in range(rnd.randint(0, 3))}
+        rows.append((i, len(s), sorted(x for x in s if x < 1000)))
+    sets = spark.createDataFrame(rows, "sig long, n int, items array<long>").where("4 * size(items) >= 3 * n")
+    short = F.slice("items", F.lit(1), F.size("items") - F.ceil(F.col("n") * 0.75).cast("int") + 1)
+    postings = sets.select("sig", "n", F.size("items").alias("size"), F.explode(short).alias("item"), F.col("sig").alias("root"))
+    got = {tuple(sorted((r.a, r.b))) for r in jaccard._open_links(postings, sets).collect()}
+    kept = [r for r in rows if 4 * len(r[2]) >= 3 * r[1]]
+    want = {(a[0], b[0]) for a in kept for b in kept if a[0] < b[0] and 7 * len(set(a[2]) & set(b[2])) >= 3 * (a[1] + b[1])}
+    assert got == want and want

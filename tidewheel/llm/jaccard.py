@@ -14,8 +14,8 @@ of its shingles in b's set.
    in blocks. DivideSkip merges the query's shorter lists, keeps candidates with T - L occurrences and
    probes the L longest lists by binary search.
 4. Links make components. Only pairs of different components that share a short list still matter:
-   one more pivot per list, then all remaining pairs, so no link between components is lost while
-   a group of near copies of any size takes a linear number of comparisons.
+   one more pivot per list, then a search of the classes that are still open, block against block, so no
+   link between components is lost while a group of near copies meets its pivots in linear time.
 
 Defined cases: null texts and texts without words have an empty set and are linked with nothing; texts
 of fewer than five words have one shingle, the whole sequence; equal and repeated rows are one class;
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import partitions, stored
+from .shared import in_order, partitions, stored
 from .tokens import Block, blocks, mix, run_starts, split_block
 
 WORDS = 5
@@ -240,15 +240,46 @@ def _pivots(postings: DataFrame, turn: int) -> DataFrame:
     return postings.join(lists, "item").where("root <> query_root").select("query", F.col("sig").alias("cand")).distinct()
 
 
-def _open_pairs(postings: DataFrame) -> DataFrame:
-    """All pairs of different components in a short list that their sizes let link.
-
-    `size` counts a class's shared shingles; more than the smaller size can't overlap."""
-    open_lists = postings.groupBy("item").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("item")
-    held = postings.join(open_lists, "item")
-    other = held.select("item", F.col("sig").alias("cand"), F.col("root").alias("cand_root"), F.col("n").alias("cand_n"), F.col("size").alias("cand_size"))
-    can_link = "root <> cand_root and sig < cand and 4 * least(n, cand_n) >= 3 * greatest(n, cand_n) and 7 * least(size, cand_size) >= 3 * (n + cand_n)"
-    return held.join(other, "item").where(can_link).select(F.col("sig").alias("query"), "cand").distinct()
+BLOCK_CLASSES = 128
+
+
+def _search_blocks(table: pa.Table) -> pa.Table:
+    """Two blocks of classes (side 0 and 1): links between classes of one cell and different components."""
+    side, sig, n, root, cell = (table.column(x).to_numpy() for x in ("side", "sig", "n", "root", "cell"))
+    lists = table.column("items").combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    items = [np.sort(x.values.to_numpy()) for x in lists]
+    right, found = np.flatnonzero(side == 1), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for q in np.flatnonzero(side == 0):
+        small, large = np.minimum(n[right], n[q]), np.maximum(n[right], n[q])
+        wanted = right[(cell[right] == cell[q]) & (root[right] != root[q]) & (4 * small >= 3 * large)]
+        if len(wanted):
+            hits = wanted[divide_skip(items[q], int(n[q]), [items[c] for c in wanted], n[wanted].astype(np.int64))]
+            found.append((np.full(len(hits), sig[q]), sig[hits]))
+    return pa.table([np.concatenate([x[k] for x in found]) for k in (0, 1)], names=["a", "b"])
+
+
+def _open_links(postings: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between classes of different components that can still meet in a short list.
+
+    Classes joined by such lists form cells. A cell's classes, ordered by component, are cut into blocks,
+    and each pair of its blocks is one search, so a task holds two blocks however large the cell is; blocks
+    within one and the same component are left out."""
+    open_lists = postings.groupBy("item").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min("sig").alias("b")).where("x <> y").select("item", "b")
+    held = stored(postings.join(open_lists, "item").select(F.col("sig").alias("a"), "b", "root").distinct(), "jaccard-open")
+    cells = components(held.select("a", "b"))
+    classes = held.select(F.col("a").alias("v"), "root").distinct().join(cells.select("v", F.col("root").alias("cell")), "v").select(F.col("v").alias("sig"), "root", "cell")
+    placed = in_order(classes, ["cell", "root", "sig"], "jaccard-cells").withColumn("block", F.floor(F.col("position") / BLOCK_CLASSES)).drop("position")
+    placed = stored(placed, "jaccard-blocks")
+    spans = placed.groupBy("cell").agg(F.min("block").alias("low"), F.max("block").alias("high"))
+    pairs = spans.select(F.explode(F.sequence("low", "high")).alias("b1"), "high").select("b1", F.explode(F.sequence("b1", "high")).alias("b2")).distinct()
+    inside = placed.groupBy("block").agg(F.min("root").alias("r0"), F.max("root").alias("r1"))
+    for k in ("b1", "b2"):
+        pairs = pairs.join(inside.select(F.col("block").alias(k), F.col("r0").alias(f"{k}0"), F.col("r1").alias(f"{k}1")), k)
+    pairs = stored(pairs.where("not (b10 = b11 and b20 = b21 and b10 = b20)").select("b1", "b2"), "jaccard-block-pairs")
+    members = stored(placed.join(sets.select("sig", "n", "items"), "sig"), "jaccard-members")
+    sides = [pairs.join(members, F.col(k) == F.col("block")).select("b1", "b2", F.lit(i).alias("side"), "sig", "n", "root", "cell", "items") for i, k in enumerate(("b1", "b2"))]
+    return sides[0].unionByName(sides[1]).groupBy("b1", "b2").applyInArrow(_search_blocks, "a long, b long")
 
 
 def _with_roots(postings: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -261,18 +292,16 @@ def join_classes(sets: DataFrame) -> DataFrame | None:
     """sets (sig, n, items) -> components of classes (v, root); None without links."""
     short = F.slice("items", F.lit(1), F.size("items") - F.ceil(F.col("n") * 0.75).cast("int") + 1)
     postings = stored(sets.select("sig", "n", F.size("items").alias("size"), F.explode(short).alias("item")), "jaccard-lists")
-    roots, tested, links = None, None, None
+    roots, links = None, None
     for turn in (0, 1, 2):
         held = _with_roots(postings, roots)
-        pairs = _pivots(held, turn) if turn < 2 else _open_pairs(held)
-        if tested is not None:
-            known = tested.select("query", "cand").union(tested.select(F.col("cand").alias("query"), F.col("query").alias("cand")))
-            pairs = pairs.join(known, ["query", "cand"], "left_anti")
-        pairs = stored(pairs, "jaccard-pairs")
-        if not pairs.limit(1).count():
-            break
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        found = stored(linked(pairs, sets), "jaccard-links")
+        if turn == 2:
+            found = stored(_open_links(held, sets), "jaccard-links")
+        else:
+            pairs = stored(_pivots(held, turn), "jaccard-pairs")
+            if not pairs.limit(1).count():
+                break
+            found = stored(linked(pairs, sets), "jaccard-links")
         if found.limit(1).count():
             links = found if links is None else links.unionByName(found)
             roots = components(links)
