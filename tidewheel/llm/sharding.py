@@ -1,8 +1,9 @@
 """Sharding by minimax contiguous partition: the smallest capacity under which ordered groups fill the shards.
 
 Groups of equal texts are atomic and ordered by the 63-bit hash of their text. The smallest capacity
-for which a greedy fill needs no more than the given shards is found by binary search, and the order is
-cut where that fill ends each shard. The greedy check runs over cells, ranges of the hash with the
+for which a greedy fill needs no more than the given shards is found by binary search; the order is cut
+within that capacity, between the ends of the greedy fills from the left and from the right, as near to
+even sizes as it allows. The greedy check runs over cells, ranges of the hash with the
 sum of their sizes: a bounded number at first, then only cells in which a cut can still fall are
 counted again at a finer grain, until every such cell is a single group. What the driver holds is thus
 bounded by the number of cells and not by the table, and the result is that of the search over all
@@ -15,7 +16,7 @@ capacity; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from itertools import accumulate
 
 from pyspark.sql import DataFrame
@@ -52,6 +53,26 @@ class Cells:
             low, high = (low, mid) if self.fill(mid, shards) is not None else (mid + 1, high)
         return low
 
+    def cuts(self, capacity: int, shards: int) -> list[int]:
+        """The cells at which the shards end: within the capacity, as near to even sizes as it allows.
+
+        The greedy fill from the left bounds a cut from above, the one from the right from below; a plain
+        greedy cut would leave the last shard what the others could not take."""
+        end, total = len(self.rows), self.sums[-1]
+        least = [end]
+        for _ in range(shards - 1):
+            least.append(bisect_left(self.sums, self.sums[least[-1]] - capacity))
+        at, out = 0, []
+        for k, low in enumerate(reversed(least), start=1):
+            goal = k * total / shards
+            near = bisect_left(self.sums, goal)
+            if near and goal - self.sums[near - 1] < self.sums[min(near, end)] - goal:
+                near -= 1
+            most = bisect_right(self.sums, self.sums[at] + capacity) - 1
+            at = min(max(near, low, at), most, end)
+            out.append(at)
+        return out
+
     def open_cells(self, shards: int) -> list[tuple[int, int]]:
         """Cells of several groups in which a cut of the true search can fall.
 
@@ -93,7 +114,7 @@ def cut_keys(groups: DataFrame, shards: int = SHARDS) -> tuple[list[int], int]:
     if not cells.rows:
         return [], 0
     capacity = cells.smallest(shards)
-    cuts = cells.fill(capacity, shards)
+    cuts = cells.cuts(capacity, shards)
     return [cells.rows[c][0] if c < len(cells.rows) else 1 << KEY_BITS for c in cuts[:-1]], capacity
 
 
