@@ -15,8 +15,10 @@ from tidewheel.llm.shared import stored
 
 def quality_rules(spark, docs, sf_dir):
     """Keeps the documents that the current policy accepts."""
-    kept = quality.apply_policy(quality.ledger(docs.select("doc_id", "text", "lang", "source", "n_chars"))).where("kept")
-    return kept.select(*docs.columns)
+    led = quality.ledger(docs.select("doc_id", "text", "lang", "source", "n_chars")).select(*docs.columns, "failed_bits")
+    # the ledger is stored before it is filtered: the optimiser would push the filter through the
+    # measurements and expand them into each other
+    return stored(led, "pipeline-ledger").where(~quality.fails(quality.POLICIES[quality.CURRENT])).select(*docs.columns)
 
 
 def _rows_of(docs, kept_ids):
