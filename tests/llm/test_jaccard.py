@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -100,6 +101,17 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 105: 100}
 
 
+def test_components_of_a_shuffled_chain(spark):
+    ids = random.Random(3).sample(range(1 << 40), 2000)
+    got = {r.v: r.root for r in components(spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long")).collect()}
+    assert got == dict.fromkeys(ids, min(ids))
+
+
+def test_components_raise_when_unfinished(spark):
+    with pytest.raises(RuntimeError):
+        components(spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long"), rounds=1)
+
+
 def test_block_search_finds_every_link(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK_CLASSES", 4)
     rnd = random.Random(2)
