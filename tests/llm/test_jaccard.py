@@ -76,6 +76,25 @@ def test_planted(spark):
     assert got == brute(rows)
 
 
+def brute_links(rows):
+    """doc_id -> the number of other sets that its set links with."""
+    sets = {d: frozenset(shingle_set(t)) for d, t in rows}
+    kinds = [s for s in set(sets.values()) if s]
+    n = {s: sum(4 * len(s & o) >= 3 * len(s | o) for o in kinds) - 1 for s in kinds}
+    return {d: n.get(s, 0) for d, s in sets.items()}
+
+
+@pytest.mark.parametrize("size", [7, 128])
+def test_every_link_is_counted(spark, monkeypatch, size):
+    monkeypatch.setattr(jaccard, "BLOCK_CLASSES", size)
+    rows = planted()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = jaccard.near_duplicates(docs).collect()
+    want = brute_links(rows)
+    assert {r.doc_id: r.n_links for r in out} == want and max(want.values()) > 20
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == brute(rows)
+
+
 def test_documents(spark, sf):
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.op3_jaccard_join(spark, sf).collect())
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]

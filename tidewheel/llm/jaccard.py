@@ -10,12 +10,12 @@ of its shingles in b's set.
 2. The lists of a class's shingles are ordered from short to long by that number. T - 1 long lists alone
    can't reach T, so every link shows in the remaining, short ones, which are merged; shared
    passages and frequent phrases have long lists and are never merged.
-3. In each short list one class, the pivot, is the query and the others are its candidates; queries run
-   in blocks. DivideSkip merges the query's shorter lists, keeps candidates with T - L occurrences and
-   probes the L longest lists by binary search.
-4. Links make components. Only pairs of different components that share a short list still matter:
-   one more pivot per list, then a search of the classes that are still open, block against block, so no
-   link between components is lost while a group of near copies meets its pivots in linear time.
+3. In each short list one class, the pivot, is the query and the others are its candidates. The components of
+   these links only give an order in which near copies lie side by side.
+4. Classes in that order are cut into blocks, and every two blocks that a short list holds both of are
+   searched: all links between classes are found, each once. DivideSkip merges the query's shorter lists,
+   keeps candidates with T - L occurrences and probes the L longest lists by binary search.
+5. Links are counted per class (`n_links`) and make the components.
 
 Defined cases: null texts and texts without words have an empty set and are linked with nothing; texts
 of fewer than five words have one shingle, the whole sequence; equal and repeated rows are one class;
@@ -229,106 +229,104 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.sortWithinPartitions("query").select("query", "q_n", "q_items", "cand", "c_n", "c_items").mapInArrow(_search, "a long, b long")
 
 
-def _pivots(postings: DataFrame, turn: int) -> DataFrame:
-    """Pairs of each short list's pivot with the list's other classes, where components differ.
+def _pivots(postings: DataFrame) -> DataFrame:
+    """Pairs of each short list's pivot with the list's other classes.
 
-    The first pivot is the list's most central class, the one with the fewest shingles of its own: in a group
-    of edited copies that is the text they come from. The next one is any."""
-    order = (F.col("n") - F.col("size")) if turn == 0 else F.lit(0)
-    rank = F.struct(order.alias("o"), F.xxhash64("sig", F.lit(turn)).alias("r"), F.col("sig").alias("query"), F.col("root").alias("query_root"))
-    lists = postings.groupBy("item").agg(F.min(rank).alias("p"), F.count("*").alias("held")).where("held > 1").select("item", "p.query", "p.query_root")
-    return postings.join(lists, "item").where("root <> query_root").select("query", F.col("sig").alias("cand")).distinct()
+    The pivot is the list's most central class, the one with the fewest shingles of its own: in a group of
+    edited copies that is the text they come from."""
+    rank = F.struct((F.col("n") - F.col("size")).alias("o"), F.xxhash64("sig").alias("r"), F.col("sig").alias("query"))
+    lists = postings.groupBy("item").agg(F.min(rank).alias("p"), F.count("*").alias("held")).where("held > 1").select("item", "p.query")
+    return postings.join(lists, "item").where("sig <> query").select("query", F.col("sig").alias("cand")).distinct()
 
 
 BLOCK_CLASSES = 128
 
 
 def _search_blocks(table: pa.Table) -> pa.Table:
-    """Two blocks of classes (side 0 and 1): links between classes of one cell and different components."""
-    side, sig, n, root, cell = (table.column(x).to_numpy() for x in ("side", "sig", "n", "root", "cell"))
+    """Two blocks of classes (side 0 and 1; of one block only side 0): their links within cells, as (a, b, tree).
+
+    Links with `tree` are enough for the components: they join what earlier links of the two blocks did not."""
+    side, sig, n, cell = (table.column(x).to_numpy() for x in ("side", "sig", "n", "cell"))
+    alone = table.column("b1")[0].as_py() == table.column("b2")[0].as_py()
     lists = table.column("items").combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    items = [np.sort(x.values.to_numpy()) for x in lists]
-    right, found = np.flatnonzero(side == 1), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    for q in np.flatnonzero(side == 0):
+    items = [x.values.to_numpy() for x in lists]
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if alone else 1))
+    group = np.arange(len(sig))
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))]
+    for q in left:
         small, large = np.minimum(n[right], n[q]), np.maximum(n[right], n[q])
-        wanted = right[(cell[right] == cell[q]) & (root[right] != root[q]) & (4 * small >= 3 * large)]
+        wanted = right[(cell[right] == cell[q]) & (4 * small >= 3 * large) & ((right > q) | (not alone))]
         if len(wanted):
             hits = wanted[divide_skip(items[q], int(n[q]), [items[c] for c in wanted], n[wanted].astype(np.int64))]
-            found.append((np.full(len(hits), sig[q]), sig[hits]))
-    return pa.table([np.concatenate([x[k] for x in found]) for k in (0, 1)], names=["a", "b"])
+            tree = np.zeros(len(hits), bool)
+            tree[np.unique(group[hits], return_index=True)[1]] = True
+            tree &= group[hits] != group[q]
+            group[np.isin(group, group[hits])] = group[q]
+            found.append((np.full(len(hits), sig[q]), sig[hits], tree))
+    return pa.table([np.concatenate([x[k] for x in found]) for k in range(3)], names=["a", "b", "tree"])
 
 
 def _open_links(postings: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between classes of different components that can still meet in a short list.
-
-    Classes joined by such lists form cells. A cell's classes, ordered by component, are cut into blocks,
-    and each pair of its blocks is one search, so a task holds two blocks however large the cell is; blocks
-    within one and the same component are left out."""
-    open_lists = postings.groupBy("item").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min("sig").alias("b")).where("x <> y").select("item", "b")
-    held = stored(postings.join(open_lists, "item").select(F.col("sig").alias("a"), "b", "root").distinct(), "jaccard-open")
-    cells = components(held.select("a", "b"))
-    classes = held.select(F.col("a").alias("v"), "root").distinct().join(cells.select("v", F.col("root").alias("cell")), "v").select(F.col("v").alias("sig"), "root", "cell")
+    """All links between classes, each once: (a, b, tree).
+
+    Linked classes meet in a short list. Classes joined by short lists form cells; a cell's classes, ordered
+    by component, are cut into blocks. Each pair of blocks that a short list holds both of is one
+    search, so a task holds two blocks however long a list or large a cell is."""
+    several = postings.groupBy("item").agg(F.min("sig").alias("b"), F.count("*").alias("held")).where("held > 1").select("item", "b")
+    shared = stored(postings.join(several, "item").select("item", "sig", "root", "b"), "jaccard-open")
+    cells = components(shared.select(F.col("sig").alias("a"), "b").distinct())
+    classes = shared.select("sig", "root").distinct().join(cells.select(F.col("v").alias("sig"), F.col("root").alias("cell")), "sig")
     placed = in_order(classes, ["cell", "root", "sig"], "jaccard-cells").withColumn("block", F.floor(F.col("position") / BLOCK_CLASSES)).drop("position")
     placed = stored(placed, "jaccard-blocks")
-    spans = placed.groupBy("cell").agg(F.min("block").alias("low"), F.max("block").alias("high"))
-    pairs = spans.select(F.explode(F.sequence("low", "high")).alias("b1"), "high").select("b1", F.explode(F.sequence("b1", "high")).alias("b2")).distinct()
-    inside = placed.groupBy("block").agg(F.min("root").alias("r0"), F.max("root").alias("r1"))
-    for k in ("b1", "b2"):
-        pairs = pairs.join(inside.select(F.col("block").alias(k), F.col("r0").alias(f"{k}0"), F.col("r1").alias(f"{k}1")), k)
-    pairs = stored(pairs.where("not (b10 = b11 and b20 = b21 and b10 = b20)").select("b1", "b2"), "jaccard-block-pairs")
+    lists = stored(shared.join(placed.select("sig", "block"), "sig").groupBy("item", "block").agg(F.count("*").alias("held")), "jaccard-block-lists")
+    one, two = (lists.select("item", F.col("block").alias(k), F.col("held").alias(f"{k}_held")) for k in ("b1", "b2"))
+    pairs = one.join(two, "item").where("b1 < b2 or (b1 = b2 and b1_held > 1)").select("b1", "b2").distinct()
+    pairs = stored(pairs, "jaccard-block-pairs")
     members = stored(placed.join(sets.select("sig", "n", "items"), "sig"), "jaccard-members")
-    sides = [pairs.join(members, F.col(k) == F.col("block")).select("b1", "b2", F.lit(i).alias("side"), "sig", "n", "root", "cell", "items") for i, k in enumerate(("b1", "b2"))]
-    return sides[0].unionByName(sides[1]).groupBy("b1", "b2").applyInArrow(_search_blocks, "a long, b long")
+    sides = [
+        pairs.where(where).join(members, F.col(k) == F.col("block")).select("b1", "b2", F.lit(i).alias("side"), "sig", "n", "cell", "items")
+        for i, (k, where) in enumerate((("b1", "true"), ("b2", "b1 < b2")))
+    ]
+    return sides[0].unionByName(sides[1]).groupBy("b1", "b2").applyInArrow(_search_blocks, "a long, b long, tree boolean")
 
 
-def _with_roots(postings: DataFrame, roots: DataFrame | None) -> DataFrame:
-    if roots is None:
-        return postings.withColumn("root", F.col("sig"))
+def _with_roots(postings: DataFrame, roots: DataFrame) -> DataFrame:
     return postings.join(roots.withColumnRenamed("v", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
 
 
-def join_classes(sets: DataFrame) -> DataFrame | None:
-    """sets (sig, n, items) -> components of classes (v, root); None without links."""
+def join_classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """sets (sig, n, items) -> components of linked classes (v, root), and all links (a, b, tree), each once."""
     short = F.slice("items", F.lit(1), F.size("items") - F.ceil(F.col("n") * 0.75).cast("int") + 1)
     postings = stored(sets.select("sig", "n", F.size("items").alias("size"), F.explode(short).alias("item")), "jaccard-lists")
-    roots, links = None, None
-    for turn in (0, 1, 2):
-        held = _with_roots(postings, roots)
-        if turn == 2:
-            found = stored(_open_links(held, sets), "jaccard-links")
-        else:
-            pairs = stored(_pivots(held, turn), "jaccard-pairs")
-            if not pairs.limit(1).count():
-                break
-            found = stored(linked(pairs, sets), "jaccard-links")
-        if found.limit(1).count():
-            links = found if links is None else links.unionByName(found)
-            roots = components(links)
-    return roots
+    pairs = stored(_pivots(postings), "jaccard-pairs")
+    near = components(linked(pairs, sets))
+    links = stored(_open_links(_with_roots(postings, near), sets), "jaccard-links")
+    return components(links.where("tree").select("a", "b")), links
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, class_id (smallest doc_id with the same set), component_id."""
+    """One row per document: doc_id, n_shingles, class_id (smallest doc_id with the same set), component_id, n_links.
+
+    n_links is the number of other classes that the document's class links with."""
     spark = docs.sparkSession
     buckets = partitions(spark)
     dealt = docs.select("doc_id", "text").mapInArrow(_deal(buckets), _DEALT)
     seen = stored(dealt.groupBy("bucket").applyInArrow(_shared_shingles, _SHARED), "jaccard-shared")
     members = seen.where("doc_id is not null").select("doc_id", "sig", F.col("n").cast("long").alias("n_shingles"))
     sets = seen.where("doc_id is null").groupBy("sig", "n").agg(F.array_sort(F.flatten(F.collect_list("items"))).alias("items")).where("4 * size(items) >= 3 * n")
-    roots = join_classes(stored(sets, "jaccard-sets"))
+    roots, links = join_classes(stored(sets, "jaccard-sets"))
+    ends = links.select(F.col("a").alias("sig")).unionAll(links.select(F.col("b").alias("sig")))
+    counts = ends.groupBy("sig").agg(F.count("*").alias("n_links"))
     classes = members.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("class_id"))
-    if roots is None:
-        named = classes.withColumn("component_id", F.col("class_id"))
-    else:
-        joined = stored(classes.join(roots.withColumnRenamed("v", "sig"), "sig", "left"), "jaccard-classes")
-        least = joined.where("root is not null").groupBy("root").agg(F.min("class_id").alias("_least"))
-        named = joined.join(least, "root", "left").select("sig", "class_id", F.coalesce("_least", "class_id").alias("component_id"))
-    out = members.where("n_shingles > 0").join(named, "sig").select("doc_id", "n_shingles", "class_id", "component_id")
-    alone = members.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
+    joined = stored(classes.join(roots.withColumnRenamed("v", "sig"), "sig", "left").join(counts, "sig", "left"), "jaccard-classes")
+    least = joined.where("root is not null").groupBy("root").agg(F.min("class_id").alias("_least"))
+    named = joined.join(least, "root", "left").select("sig", "class_id", F.coalesce("_least", "class_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    out = members.where("n_shingles > 0").join(named, "sig").select("doc_id", "n_shingles", "class_id", "component_id", "n_links")
+    alone = members.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     return out.unionByName(alone)
 
 
 def op3_jaccard_join(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "class_id")
+    return near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "class_id", "n_links")
