@@ -114,3 +114,23 @@ def test_empty_and_untrained(spark):
 def test_discounts():
     d = katz.discounts([1000, 400, 200, 120, 80, 60])
     assert ((d[1:] > 0) & (d[1:] < 1)).all() and np.allclose(katz.discounts([0] * 6)[1:], [(c - 0.5) / c for c in range(1, 6)])
+
+
+class Whole(Brute):
+    """Keeps every bigram."""
+
+    def __init__(self, rows):
+        super().__init__(rows)
+        for (h, w), c in self.bi.items():
+            self.kept[h][w] = c
+
+
+def test_operator_keeps_bigrams_seen_once(spark, sf):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    whole, pruned = Whole(rows), Brute(rows)
+    got = {r.doc_id: r.score for r in katz.op1_katz(spark, sf).collect()}
+    want = {d: whole.row(d, t)[-1] for d, t in rows}
+    assert got == pytest.approx(want)
+    assert any(abs(want[d] - pruned.row(d, t)[-1]) > 1 for d, t in rows)
+    for h in list(whole.ctx)[:30]:
+        assert sum(whole.p2(h, w) for w in whole.uni) + whole.p2(h, "\0") == pytest.approx(1)

@@ -3,12 +3,13 @@
 Tokens are lower-cased words and one end per text. Counts are discounted by Good-Turing:
 
     P(w)     = d1(c(w)) c(w) / N                 for known words; what is left is the unknown word's
-    P(w | h) = d2(c(h, w)) c(h, w) / c(h)        if c(h, w) >= MIN_BIGRAM
+    P(w | h) = d2(c(h, w)) c(h, w) / c(h)        if c(h, w) >= least
              = alpha(h) P(w)                     otherwise
     alpha(h) = (1 - sum of P(w | h) over kept w) / (1 - sum of P(w) over kept w)
 
-alpha is computed from the stored rows themselves, so every context's probabilities sum to 1. As usual
-for the highest order, bigrams seen once are counted (Good-Turing needs them, contexts count them) and
+alpha is computed from the stored rows themselves, so every context's probabilities sum to 1. The operator keeps
+every counted bigram (least = 1), those seen once with their discount d2(1). fit() can prune: bigrams seen
+less than `least` times, MIN_BIGRAM if not given, are counted (Good-Turing needs them, contexts count them) and
 left to the backoff. A context that would keep no mass for the rest is discounted by c / (c + 1). Where
 the data has no Good-Turing estimate (a count of counts is 0 or the ratio leaves (0, 1)), the discount is
 (c - 0.5) / c.
@@ -41,6 +42,7 @@ from .tokens import blocks, mix, run_starts, split_block, word_hashes
 
 K = 5
 BLOCK_BYTES = 12 << 20
+#: fit()'s default for `least`; the operator keeps all bigrams.
 MIN_BIGRAM = 2
 HOT_PER_BUCKET = 4
 FOLDS, HELD_OUT = 7, 2
@@ -201,8 +203,8 @@ def _column(table: pa.Table, name: str, dtype) -> list[np.ndarray]:
 _COUNTED = "context long, word long, c long"
 
 
-def _count_bucket(table: pa.Table) -> pa.Table:
-    """Adds up a bucket's bigrams: rows with c >= MIN_BIGRAM, and rows (null, c, number of bigrams) for the counts of counts."""
+def _count_bucket(table: pa.Table, least: int) -> pa.Table:
+    """Adds up a bucket's bigrams: rows with c >= least, and rows (null, c, number of bigrams) for the counts of counts."""
     h = np.concatenate([np.repeat(c, r) for c, r in zip(_column(table, "contexts", np.int64), _column(table, "runs", np.uint32), strict=True)])
     w = np.concatenate(_column(table, "words", np.int64))
     n = np.concatenate(_column(table, "counts", np.uint32)).astype(np.int64)
@@ -212,7 +214,7 @@ def _count_bucket(table: pa.Table) -> pa.Table:
     c = np.add.reduceat(n, starts)
     h, w = h[starts], w[starts]
     of_counts = np.bincount(np.minimum(c, K + 2), minlength=K + 3)[1 : K + 2]
-    kept = c >= MIN_BIGRAM
+    kept = c >= least
     return pa.table(
         [
             pa.concat_arrays([pa.nulls(K + 1, pa.int64()), pa.array(h[kept])]),
@@ -235,8 +237,8 @@ class Model:
         return np.where(c > 0, factor(self.d1, c) * c / max(1, self.tokens), self.unknown)
 
 
-def fit(docs: DataFrame) -> Model:
-    """Fits the model to the texts that are not held out."""
+def fit(docs: DataFrame, least: int = MIN_BIGRAM) -> Model:
+    """Fits the model to the texts that are not held out; it keeps the bigrams seen at least `least` times."""
     spark = docs.sparkSession
     buckets = partitions(spark)
     unigrams = stored(unigram_counts(docs), "katz-unigrams")
@@ -253,7 +255,7 @@ def fit(docs: DataFrame) -> Model:
     hot_keys = np.array(sorted(hot), np.int64)
 
     dealt = docs.select("doc_id", "text").mapInArrow(_deal_counts(hot_keys, buckets), _DEALT)
-    counted = stored(dealt.groupBy("bucket").applyInArrow(_count_bucket, _COUNTED), "katz-counts")
+    counted = stored(dealt.groupBy("bucket").applyInArrow(lambda table: _count_bucket(table, least), _COUNTED), "katz-counts")
     of_counts = {r.word: r.n for r in counted.where("context is null").groupBy("word").agg(F.sum("c").alias("n")).collect()}
     d2 = discounts([of_counts.get(c, 0) for c in range(1, K + 2)])
 
@@ -405,6 +407,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def op1_katz(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return score(docs, fit(docs))
+    return score(docs, fit(docs, least=1))
 
 
