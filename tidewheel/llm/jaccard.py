@@ -242,33 +242,47 @@ def _pivots(postings: DataFrame) -> DataFrame:
 BLOCK_CLASSES = 128
 
 
-def _search_blocks(table: pa.Table) -> pa.Table:
-    """Two blocks of classes (side 0 and 1; of one block only side 0): their links within cells, as (a, b, tree).
+def _search_blocks(table: pa.Table, counted: bool) -> pa.Table:
+    """Two blocks of classes (side 0 and 1; of one block only side 0): their links within cells, as (a, b, n).
 
-    Links with `tree` are enough for the components: they join what earlier links of the two blocks did not."""
+    Counted: the number n of each class's links as (class, null, n), and of the links only those that join
+    what earlier links of the two blocks did not, which are enough for the components; so the result
+    grows with the classes and not with the links. Else all links. n is null in links."""
     side, sig, n, cell = (table.column(x).to_numpy() for x in ("side", "sig", "n", "cell"))
     alone = table.column("b1")[0].as_py() == table.column("b2")[0].as_py()
     lists = table.column("items").combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
     items = [x.values.to_numpy() for x in lists]
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if alone else 1))
-    group = np.arange(len(sig))
-    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))]
+    group, times = np.arange(len(sig)), np.zeros(len(sig), np.int64)
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
     for q in left:
         small, large = np.minimum(n[right], n[q]), np.maximum(n[right], n[q])
         wanted = right[(cell[right] == cell[q]) & (4 * small >= 3 * large) & ((right > q) | (not alone))]
         if len(wanted):
             hits = wanted[divide_skip(items[q], int(n[q]), [items[c] for c in wanted], n[wanted].astype(np.int64))]
-            tree = np.zeros(len(hits), bool)
-            tree[np.unique(group[hits], return_index=True)[1]] = True
-            tree &= group[hits] != group[q]
-            group[np.isin(group, group[hits])] = group[q]
-            found.append((np.full(len(hits), sig[q]), sig[hits], tree))
-    return pa.table([np.concatenate([x[k] for x in found]) for k in range(3)], names=["a", "b", "tree"])
-
-
-def _open_links(postings: DataFrame, sets: DataFrame) -> DataFrame:
-    """All links between classes, each once: (a, b, tree).
+            times[hits] += 1
+            times[q] += len(hits)
+            if counted:
+                joined = hits[np.unique(group[hits], return_index=True)[1]]
+                joined = joined[group[joined] != group[q]]
+                group[np.isin(group, group[joined])] = group[q]
+                hits = joined
+            found.append((np.full(len(hits), sig[q]), sig[hits]))
+    a, b = (np.concatenate([x[k] for x in found]) for k in (0, 1))
+    some = np.flatnonzero(times) if counted else np.zeros(0, np.int64)
+    return pa.table(
+        [
+            pa.array(np.concatenate([a, sig[some]])),
+            pa.concat_arrays([pa.array(b), pa.nulls(len(some), pa.int64())]),
+            pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(times[some])]),
+        ],
+        names=["a", "b", "n"],
+    )
+
+
+def _open_links(postings: DataFrame, sets: DataFrame, counted: bool = False) -> DataFrame:
+    """All links between classes, each searched once: (a, b, n) as _search_blocks gives them.
 
     Linked classes meet in a short list. Classes joined by short lists form cells; a cell's classes, ordered
     by component, are cut into blocks. Each pair of blocks that a short list holds both of is one
@@ -288,7 +302,7 @@ def _open_links(postings: DataFrame, sets: DataFrame) -> DataFrame:
         pairs.where(where).join(members, F.col(k) == F.col("block")).select("b1", "b2", F.lit(i).alias("side"), "sig", "n", "cell", "items")
         for i, (k, where) in enumerate((("b1", "true"), ("b2", "b1 < b2")))
     ]
-    return sides[0].unionByName(sides[1]).groupBy("b1", "b2").applyInArrow(_search_blocks, "a long, b long, tree boolean")
+    return sides[0].unionByName(sides[1]).groupBy("b1", "b2").applyInArrow(lambda table: _search_blocks(table, counted), "a long, b long, n long")
 
 
 def _with_roots(postings: DataFrame, roots: DataFrame) -> DataFrame:
@@ -296,13 +310,14 @@ def _with_roots(postings: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def join_classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """sets (sig, n, items) -> components of linked classes (v, root), and all links (a, b, tree), each once."""
+    """sets (sig, n, items) -> components of linked classes (v, root), and the number of links of each (sig, n_links)."""
     short = F.slice("items", F.lit(1), F.size("items") - F.ceil(F.col("n") * 0.75).cast("int") + 1)
     postings = stored(sets.select("sig", "n", F.size("items").alias("size"), F.explode(short).alias("item")), "jaccard-lists")
     pairs = stored(_pivots(postings), "jaccard-pairs")
     near = components(linked(pairs, sets))
-    links = stored(_open_links(_with_roots(postings, near), sets), "jaccard-links")
-    return components(links.where("tree").select("a", "b")), links
+    links = stored(_open_links(_with_roots(postings, near), sets, counted=True), "jaccard-links")
+    counts = links.where("n is not null").groupBy(F.col("a").alias("sig")).agg(F.sum("n").alias("n_links"))
+    return components(links.where("b is not null").select("a", "b")), counts
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -315,9 +330,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     seen = stored(dealt.groupBy("bucket").applyInArrow(_shared_shingles, _SHARED), "jaccard-shared")
     members = seen.where("doc_id is not null").select("doc_id", "sig", F.col("n").cast("long").alias("n_shingles"))
     sets = seen.where("doc_id is null").groupBy("sig", "n").agg(F.array_sort(F.flatten(F.collect_list("items"))).alias("items")).where("4 * size(items) >= 3 * n")
-    roots, links = join_classes(stored(sets, "jaccard-sets"))
-    ends = links.select(F.col("a").alias("sig")).unionAll(links.select(F.col("b").alias("sig")))
-    counts = ends.groupBy("sig").agg(F.count("*").alias("n_links"))
+    roots, counts = join_classes(stored(sets, "jaccard-sets"))
     classes = members.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("class_id"))
     joined = stored(classes.join(roots.withColumnRenamed("v", "sig"), "sig", "left").join(counts, "sig", "left"), "jaccard-classes")
     least = joined.where("root is not null").groupBy("root").agg(F.min("class_id").alias("_least"))
