@@ -51,3 +51,11 @@ def test_long_chains_and_empty(spark):
     got, _ = linked(spark, calls, [])
     assert all(got[7, f"c{i}"].level == i == got[7, f"c{i}"].position for i in range(500))
     assert linked(spark, [], [])[1] == []
+
+
+def test_null_ids_stay(spark):
+    calls = [(None, None, None, None, None, None), (None, "a", 1, "search", '{"query": "x"}', None), (1, None, 3, "search", '{"query": "y"}', None)]
+    got, rows = linked(spark, calls, [(None, "q", 7, "lost"), (1, "b", 4, "r")])
+    assert len(rows) == 5 and all(got[k].status == "no_result" and got[k].level == 0 for k in [(None, None), (None, "a"), (1, None)])
+    assert got[None, "q"].status == got[1, "b"].status == "orphan_result"
+    assert [got[None, x].position for x in (None, "a", "q")] == [0, 1, 2]

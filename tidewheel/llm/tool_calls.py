@@ -110,7 +110,8 @@ def link(calls: DataFrame, results: DataFrame, rules: DataFrame) -> DataFrame:
     once = stored(calls.groupBy("conv_id", "call_id").agg(F.min(body).alias("c"), F.count("*").alias("n_calls")).select("conv_id", "call_id", "c.*", "n_calls"), "calls")
     first = results.groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "content")).alias("r"), F.count("*").alias("n_results"))
     first = first.select("conv_id", "call_id", F.col("r.turn").alias("result_turn"), F.col("r.content").alias("content"), "n_results")
-    checked = validated(once, rules).join(levels(once), ["conv_id", "call_id"])
+    level = levels(once).withColumnsRenamed({"conv_id": "_conv", "call_id": "_call"})
+    checked = validated(once, rules).join(level, F.col("conv_id").eqNullSafe(F.col("_conv")) & F.col("call_id").eqNullSafe(F.col("_call"))).drop("_conv", "_call")
     both = checked.join(first.hint("shuffle_hash"), ["conv_id", "call_id"], "full")
     status = F.when(F.col("n_calls").isNull(), "orphan_result").when(F.col("n_results").isNull(), "no_result").when(F.col("result_turn") <= F.col("turn"), "early_result").otherwise("linked")
     canonical = F.to_json(F.struct(F.col("args").alias("arguments"), F.col("call_id").alias("id"), "name", F.col("content").alias("result")))
@@ -130,8 +131,9 @@ def link(calls: DataFrame, results: DataFrame, rules: DataFrame) -> DataFrame:
         F.coalesce("level", F.lit((1 << 62))).alias("_level"),
     )
     placed = in_order(rows, ["conv_id", "_level", "turn", "call_id"], "calls-order")
-    start = placed.groupBy("conv_id").agg(F.min("position").alias("_first"))
-    return placed.join(start, "conv_id").withColumn("position", F.col("position") - F.col("_first")).drop("_first", "_level")
+    start = placed.groupBy(F.col("conv_id").alias("_conv")).agg(F.min("position").alias("_first"))
+    placed = placed.join(start, F.col("conv_id").eqNullSafe(F.col("_conv")))
+    return placed.withColumn("position", F.col("position") - F.col("_first")).drop("_conv", "_first", "_level")
 
 
 def calls_and_results(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
