@@ -40,3 +40,10 @@ def test_entry_and_registry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert len(__spark_entry__.queries()) > 150
+
+
+def test_every_station_is_ordered(spark, sf):
+    from tidewheel.plans.base import stations
+
+    got = __spark_entry__.queries()["p32_nearest_neighbour_order"](spark, sf).collect()
+    assert sorted(r.station_id for r in got) == sorted(r.station_id for r in stations(spark, sf).collect())
