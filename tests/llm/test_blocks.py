@@ -2,6 +2,8 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from tidewheel.llm import token_files
 from tidewheel.llm.tokens import blocks, split_block, word_hashes
@@ -34,6 +36,23 @@ def test_sliced_blocks_encode_as_the_library_does():
     lib = Tokenizer.from_file(token_files.vocabulary())
     texts = pa.array(["Éa b", "x ÄÖ z", None, "漢 é", "last One"] * 50)
     for at in (0, 7, 101):
-        ids, counts = token_files.encode_block(texts.slice(at, 90), lib, 1)
+        ids, counts = token_files.encode_block(texts.slice(at, 90), token_files.Words(lib), 1)
         want = [[*lib.encode(t or "", add_special_tokens=False).ids, 1] for t in texts.slice(at, 90).to_pylist()]
         assert ids.tolist() == [i for w in want for i in w] and counts.tolist() == [len(w) for w in want]
+
+
+_WORDS = []
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from("abTHEJ'snl12 \n<|>./,;-éÉĲŉİΣςß漢か\u030c\u0307\x1c\x85\xa0\xad½²_"), max_size=14), min_size=1, max_size=6), st.booleans())
+def test_words_equal_the_library(texts, crowded):
+    if not _WORDS:
+        from tokenizers import Tokenizer
+
+        lib = Tokenizer.from_file(token_files.vocabulary())
+        _WORDS.extend([lib, token_files.Words(lib), token_files.Words(lib, most=12)])
+    texts = [*texts, "<|endoftext|>x </w> a</w>b it's <|ENDOFTEXT|>", None]
+    ids, counts = token_files.encode_block(pa.array(texts), _WORDS[1 + crowded], 1)
+    want = [[*_WORDS[0].encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+    assert ids.tolist() == [i for w in want for i in w] and counts.tolist() == [len(w) for w in want]
