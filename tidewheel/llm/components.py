@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import join_hot, stored
 
 
 def _nearest(v, round_: int):
@@ -41,4 +41,4 @@ def components(links: DataFrame, rounds: int = 100) -> DataFrame:
     else:
         raise RuntimeError(f"components: links are left after {rounds} rounds")
     least = labels.groupBy("root").agg(F.min("v").alias("_least"))
-    return stored(labels.join(least, "root").select("v", F.col("_least").alias("root")), "labels")
+    return stored(join_hot(labels, least, "root").select("v", F.col("_least").alias("root")), "labels")

@@ -12,27 +12,31 @@ of its shingles in b's set.
    passages and frequent phrases have long lists and are never merged.
 3. In each short list one class, the pivot, is the query and the others are its candidates. The components of
    these links only give an order in which near copies lie side by side.
-4. Classes in that order are cut into blocks, and every two blocks that a short list holds both of are
-   searched: all links between classes are found, each once. DivideSkip merges the query's shorter lists,
-   keeps candidates with T - L occurrences and probes the L longest lists by binary search.
-5. Links are counted per class (`n_links`) and make the components.
+4. Classes in that order are cut into blocks, and of every two blocks that a short list has entries in, one is
+   searched for against the inverted lists of the other: all links are found, each once. DivideSkip merges a
+   query's shorter lists, keeps candidates with T - L occurrences and probes the L longest lists by binary
+   search. Lists in a task's memory are merged by counting entries per candidate instead of with a heap.
+5. Links are counted per class (`n_links`), and those between components of step 3 complete the components.
+
+Work follows the entries of short lists that meet. Where texts are made of few common passages alone, short lists
+are long too, and pairs that share one of their rarest passages are candidates: their number then grows faster
+than the texts', as the number of links does.
 
 Defined cases: null texts and texts without words have an empty set and are linked with nothing; texts
 of fewer than five words have one shingle, the whole sequence; equal and repeated rows are one class;
+very long texts weigh more in their block; other columns of the input, whatever their names, are not read;
 an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import in_order, partitions, stored
+from .shared import in_order, join_hot, partitions, stored
 from .tokens import Block, blocks, mix, run_starts, split_block
 
 WORDS = 5
@@ -167,40 +171,93 @@ def needed(a: int, b: int) -> int:
     return -(-3 * (a + b) // 7)
 
 
-def divide_skip(query: np.ndarray, n_query: int, candidates: list[np.ndarray], sizes: np.ndarray, mu: float = 0.01) -> np.ndarray:
-    """T-occurrence search: indices of the candidates whose overlap with the query reaches what their sizes ask for.
-
-    query and candidates are sorted items. The inverted lists of the query's items over the candidates are
-    split: the L longest are only probed by binary search, for candidates that have T - L occurrences in
-    the merged shorter ones; a candidate leaves when the lists left can't lift it to T."""
-    flat = np.concatenate(candidates)
-    owner = np.repeat(np.arange(len(candidates)), [len(c) for c in candidates])
-    at = np.searchsorted(query, flat)
-    at[at == len(query)] = 0
-    hit = query[at] == flat
-    items, docs = at[hit], owner[hit]
-    order = np.argsort(items, kind="stable")
-    items, docs = items[order], docs[order]
-    lengths = np.bincount(items, minlength=len(query))
-    ends = np.cumsum(lengths)
-    goal = -(-3 * (n_query + sizes) // 7)
-    least, longest = int(goal.min()), int(lengths.max(initial=0))
-    n_long = min(least - 1, int(least / (mu * math.log2(longest) + 1))) if longest > 1 else 0
-    by_length = np.argsort(lengths, kind="stable")
-    short, long = by_length[: len(query) - n_long], by_length[len(query) - n_long :]
-    merged = np.ones(len(query), bool)
-    merged[long] = False
-    count = np.bincount(docs[merged[items]], minlength=len(candidates))
-    alive = np.flatnonzero(count >= goal - n_long)
-    for k, item in enumerate(long):
-        if not len(alive):
-            break
-        posting = docs[ends[item] - lengths[item] : ends[item]]
-        if len(posting):
-            spot = np.minimum(np.searchsorted(posting, alive), len(posting) - 1)
-            count[alive] += posting[spot] == alive
-        alive = alive[count[alive] >= goal[alive] - (n_long - k - 1)]
-    return alive[count[alive] >= goal[alive]]
+def _slices(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The slices flat[starts[i]:starts[i]+sizes[i]] one after the other."""
+    ends = np.cumsum(sizes)
+    return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)]
+
+
+#: Occurrences that are merged at once.
+MERGED = 1 << 22
+
+
+def t_occurrence(queries: tuple, candidates: tuple, mu: float = 0.01, after: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """T-occurrence search: the pairs (query, candidate), by index, whose overlap reaches what their sizes ask for.
+
+    Both sides are (items, offsets, sizes of the sets), items sorted per set. The inverted lists of the candidates'
+    items are built once. A query needs T of its lists; DivideSkip leaves its L longest lists out, merges the
+    others by counting their entries per candidate, and probes the long ones by binary search, in order of
+    length, for the candidates with T - L occurrences or more; a candidate leaves when the lists that are
+    left can't lift it to its own T. after: only candidates of a larger index than the query's, where both sides are one."""
+    (q_flat, q_off, q_n), (c_flat, c_off, c_n) = queries, candidates
+    m, nq = len(c_n), len(q_n)
+    none = np.zeros(0, np.int64)
+    owner = np.repeat(np.arange(m), np.diff(c_off))
+    order = np.argsort(c_flat, kind="stable")
+    owner, by_item = owner[order], c_flat[order]
+    starts = run_starts(by_item)
+    lengths = np.diff(np.append(starts, len(by_item)))
+    names = by_item[starts]
+    if not len(names):
+        return none, none
+    entries = np.repeat(np.arange(len(names)), lengths) * m + owner  # sorted: one binary search probes any list
+    at = np.minimum(np.searchsorted(names, q_flat), len(names) - 1)
+    hit = names[at] == q_flat
+    q_of, q_list = np.repeat(np.arange(nq), np.diff(q_off))[hit], at[hit]
+    order = np.lexsort((lengths[q_list], q_of))
+    q_of, q_list = q_of[order], q_list[order]
+    held = np.bincount(q_of, minlength=nq)
+    first = np.cumsum(held) - held
+    least = -(-3 * q_n // 4)
+    longest = np.zeros(nq, np.int64)
+    longest[held > 0] = lengths[q_list[(first + held - 1)[held > 0]]]
+    n_long = np.where(longest > 1, np.minimum(least - 1, least / (mu * np.log2(np.maximum(longest, 2)) + 1)), 0).astype(np.int64)
+    n_long = np.minimum(n_long, held)
+    is_short = np.arange(len(q_of)) - first[q_of] < (held - n_long)[q_of]
+    s_of, s_list = q_of[is_short], q_list[is_short]
+    work = np.cumsum(np.bincount(s_of, lengths[s_list], nq)) + np.arange(1, nq + 1) * m
+    found_q, found_c, q0 = [none], [none], 0
+    while q0 < nq:
+        q1 = max(q0 + 1, int(np.searchsorted(work, (work[q0 - 1] if q0 else 0) + MERGED, "right")))
+        a, z = np.searchsorted(s_of, [q0, q1])
+        size = lengths[s_list[a:z]]
+        keys = np.repeat((s_of[a:z] - q0) * m, size) + _slices(owner, starts[s_list[a:z]], size)
+        count = np.bincount(keys, minlength=(q1 - q0) * m)
+        near = np.flatnonzero(count)
+        q, c, count = near // m + q0, near % m, count[near]
+        a_n, b_n = q_n[q], c_n[c]
+        goal = -(-3 * (a_n + b_n) // 7)
+        stay = (count >= goal - n_long[q]) & (4 * np.minimum(a_n, b_n) >= 3 * np.maximum(a_n, b_n))
+        if after:
+            stay &= c > q
+        q, c, count, goal = q[stay], c[stay], count[stay], goal[stay]
+        done = [(q[:0], c[:0])]
+        for k in range(int(n_long[q0:q1].max(initial=0))):
+            over = n_long[q] <= k
+            if over.any():
+                ok = over & (count >= goal)
+                done.append((q[ok], c[ok]))
+                q, c, count, goal = (x[~over] for x in (q, c, count, goal))
+            if not len(q):
+                break
+            wanted = q_list[(first + held - n_long)[q] + k] * m + c
+            spot = np.minimum(np.searchsorted(entries, wanted), len(entries) - 1)
+            count = count + (entries[spot] == wanted)
+            stay = count >= goal - (n_long[q] - k - 1)
+            q, c, count, goal = (x[stay] for x in (q, c, count, goal))
+        ok = count >= goal
+        done.append((q[ok], c[ok]))
+        found_q += [x for x, _ in done]
+        found_c += [x for _, x in done]
+        q0 = q1
+    return np.concatenate(found_q), np.concatenate(found_c)
+
+
+def divide_skip(query: np.ndarray, n_query: int, candidates: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
+    """t_occurrence() for one query: indices of the candidates that link with it, ascending."""
+    off = np.cumsum([0, *map(len, candidates)])
+    one = (query, np.array([0, len(query)]), np.array([n_query]))
+    return np.sort(t_occurrence(one, (np.concatenate(candidates), off, np.asarray(sizes, np.int64)))[1])
 
 
 def _search(batches):
@@ -239,43 +296,53 @@ def _pivots(postings: DataFrame) -> DataFrame:
     return postings.join(lists, "item").where("sig <> query").select("query", F.col("sig").alias("cand")).distinct()
 
 
-BLOCK_CLASSES = 128
+#: Weight of a block's classes; a class weighs 1 and 1 more for each ITEMS_A_WEIGHT items that it has.
+BLOCK_CLASSES = 512
+ITEMS_A_WEIGHT = 512
+
+
+def _joining(q: np.ndarray, c: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """Indices of links that join classes of different roots which earlier ones did not join."""
+    names = np.unique(root, return_inverse=True)[1]
+    a, b = names[q], names[c]
+    _, one = np.unique(np.minimum(a, b) * len(root) + np.maximum(a, b), return_index=True)
+    group, out = np.arange(len(root)), []
+    for i in one[a[one] != b[one]]:
+        x, y = group[a[i]], group[b[i]]
+        if x != y:
+            group[group == x] = y
+            out.append(i)
+    return np.array(out, np.int64)
 
 
 def _search_blocks(table: pa.Table, counted: bool) -> pa.Table:
-    """Two blocks of classes (side 0 and 1; of one block only side 0): their links within cells, as (a, b, n).
+    """Two blocks of classes (side 0 and 1; of one block only side 0): their links, as (a, b, n).
 
     Counted: the number n of each class's links as (class, null, n), and of the links only those that join
-    what earlier links of the two blocks did not, which are enough for the components; so the result
-    grows with the classes and not with the links. Else all links. n is null in links."""
-    side, sig, n, cell = (table.column(x).to_numpy() for x in ("side", "sig", "n", "cell"))
+    classes of different roots, which are enough for the components; so the result grows with the classes
+    and not with the links. Else all links. n is null in links."""
+    side, sig, n, root = (table.column(x).to_numpy() for x in ("side", "sig", "n", "root"))
     alone = table.column("b1")[0].as_py() == table.column("b2")[0].as_py()
     lists = table.column("items").combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    items = [x.values.to_numpy() for x in lists]
-    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if alone else 1))
-    group, times = np.arange(len(sig)), np.zeros(len(sig), np.int64)
-    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    for q in left:
-        small, large = np.minimum(n[right], n[q]), np.maximum(n[right], n[q])
-        wanted = right[(cell[right] == cell[q]) & (4 * small >= 3 * large) & ((right > q) | (not alone))]
-        if len(wanted):
-            hits = wanted[divide_skip(items[q], int(n[q]), [items[c] for c in wanted], n[wanted].astype(np.int64))]
-            times[hits] += 1
-            times[q] += len(hits)
-            if counted:
-                joined = hits[np.unique(group[hits], return_index=True)[1]]
-                joined = joined[group[joined] != group[q]]
-                group[np.isin(group, group[joined])] = group[q]
-                hits = joined
-            found.append((np.full(len(hits), sig[q]), sig[hits]))
-    a, b = (np.concatenate([x[k] for x in found]) for k in (0, 1))
+    flat, off = lists.values.to_numpy(), lists.offsets.to_numpy().astype(np.int64)
+
+    def of(rows):
+        size = np.diff(off)[rows]
+        return _slices(flat, off[:-1][rows], size), np.concatenate([[0], np.cumsum(size)]), n[rows].astype(np.int64)
+
+    left = np.flatnonzero(side == 0)
+    right = left if alone else np.flatnonzero(side == 1)
+    q, c = t_occurrence(of(left), of(right), after=alone)
+    q, c = left[q], right[c]
+    times = np.bincount(q, minlength=len(sig)) + np.bincount(c, minlength=len(sig))
+    told = _joining(q, c, root) if counted else np.arange(len(q))
     some = np.flatnonzero(times) if counted else np.zeros(0, np.int64)
     return pa.table(
         [
-            pa.array(np.concatenate([a, sig[some]])),
-            pa.concat_arrays([pa.array(b), pa.nulls(len(some), pa.int64())]),
-            pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(times[some])]),
+            pa.array(np.concatenate([sig[q[told]], sig[some]])),
+            pa.concat_arrays([pa.array(sig[c[told]]), pa.nulls(len(some), pa.int64())]),
+            pa.concat_arrays([pa.nulls(len(told), pa.int64()), pa.array(times[some].astype(np.int64))]),
         ],
         names=["a", "b", "n"],
     )
@@ -284,14 +351,16 @@ def _search_blocks(table: pa.Table, counted: bool) -> pa.Table:
 def _open_links(postings: DataFrame, sets: DataFrame, counted: bool = False) -> DataFrame:
     """All links between classes, each searched once: (a, b, n) as _search_blocks gives them.
 
-    Linked classes meet in a short list. Classes joined by short lists form cells; a cell's classes, ordered
-    by component, are cut into blocks. Each pair of blocks that a short list holds both of is one
-    search, so a task holds two blocks however long a list or large a cell is."""
+    Linked classes meet in a short list. Classes joined by short lists form cells; the classes, ordered by cell
+    and root, are cut into blocks. A short list is so cut into its parts in blocks, and each pair of blocks
+    in which a list has parts is one search of a block's classes against the other's inverted lists. A pair of
+    classes is met in one search only, and a task holds two blocks however long a list or large a cell is."""
     several = postings.groupBy("item").agg(F.min("sig").alias("b"), F.count("*").alias("held")).where("held > 1").select("item", "b")
-    shared = stored(postings.join(several, "item").select("item", "sig", "root", "b"), "jaccard-open")
+    shared = stored(postings.join(several, "item").select("item", "sig", "root", "size", "b"), "jaccard-open")
     cells = components(shared.select(F.col("sig").alias("a"), "b").distinct())
-    classes = shared.select("sig", "root").distinct().join(cells.select(F.col("v").alias("sig"), F.col("root").alias("cell")), "sig")
-    placed = in_order(classes, ["cell", "root", "sig"], "jaccard-cells").withColumn("block", F.floor(F.col("position") / BLOCK_CLASSES)).drop("position")
+    weight = (1 + F.floor(F.col("size") / ITEMS_A_WEIGHT)).cast("long")
+    classes = shared.select("sig", "root", weight.alias("weight")).distinct().join(cells.select(F.col("v").alias("sig"), F.col("root").alias("cell")), "sig")
+    placed = in_order(classes, ["cell", "root", "sig"], "jaccard-cells", "weight").withColumn("block", F.floor(F.col("position") / BLOCK_CLASSES)).drop("position", "weight")
     placed = stored(placed, "jaccard-blocks")
     lists = stored(shared.join(placed.select("sig", "block"), "sig").groupBy("item", "block").agg(F.count("*").alias("held")), "jaccard-block-lists")
     one, two = (lists.select("item", F.col("block").alias(k), F.col("held").alias(f"{k}_held")) for k in ("b1", "b2"))
@@ -299,7 +368,7 @@ def _open_links(postings: DataFrame, sets: DataFrame, counted: bool = False) ->
     pairs = stored(pairs, "jaccard-block-pairs")
     members = stored(placed.join(sets.select("sig", "n", "items"), "sig"), "jaccard-members")
     sides = [
-        pairs.where(where).join(members, F.col(k) == F.col("block")).select("b1", "b2", F.lit(i).alias("side"), "sig", "n", "cell", "items")
+        pairs.where(where).join(members, F.col(k) == F.col("block")).select("b1", "b2", F.lit(i).alias("side"), "sig", "n", "root", "items")
         for i, (k, where) in enumerate((("b1", "true"), ("b2", "b1 < b2")))
     ]
     return sides[0].unionByName(sides[1]).groupBy("b1", "b2").applyInArrow(lambda table: _search_blocks(table, counted), "a long, b long, n long")
@@ -317,7 +386,7 @@ def join_classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     near = components(linked(pairs, sets))
     links = stored(_open_links(_with_roots(postings, near), sets, counted=True), "jaccard-links")
     counts = links.where("n is not null").groupBy(F.col("a").alias("sig")).agg(F.sum("n").alias("n_links"))
-    return components(links.where("b is not null").select("a", "b")), counts
+    return components(near.toDF("a", "b").unionByName(links.where("b is not null").select("a", "b"))), counts
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -334,8 +403,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = members.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("class_id"))
     joined = stored(classes.join(roots.withColumnRenamed("v", "sig"), "sig", "left").join(counts, "sig", "left"), "jaccard-classes")
     least = joined.where("root is not null").groupBy("root").agg(F.min("class_id").alias("_least"))
-    named = joined.join(least, "root", "left").select("sig", "class_id", F.coalesce("_least", "class_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = members.where("n_shingles > 0").join(named, "sig").select("doc_id", "n_shingles", "class_id", "component_id", "n_links")
+    named = stored(join_hot(joined, least, "root", "left").select("sig", "class_id", F.coalesce("_least", "class_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "jaccard-named")
+    out = join_hot(members.where("n_shingles > 0"), named, "sig").select("doc_id", "n_shingles", "class_id", "component_id", "n_links")
     alone = members.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     return out.unionByName(alone)
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but space and the control characters tab to carriage return.
@@ -56,8 +57,9 @@ def utf8_length(text):
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
 
-def in_order(df: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Adds `position`, the row's place (from 0) in the order of keys over the whole table.
+def in_order(df: DataFrame, keys: list[str], name: str, weight: str | None = None) -> DataFrame:
+    """Adds `position`, the row's place (from 0) in the order of keys over the whole table; with `weight`, a column
+    of whole numbers, the sum of the weights of all rows before it.
 
     Range partitions are written to the shared folder; a row's place is its place in its partition
     plus the rows of earlier partitions. Only one count per partition is broadcast."""
@@ -70,10 +72,34 @@ def in_order(df: DataFrame, keys: list[str], name: str) -> DataFrame:
         .drop("_at")
     )
     part = stored(part, name)
-    base = part_bases(part.groupBy("_part").agg(F.count("*").alias("_n")), "_n", "_base")
+    if weight:
+        before = W.partitionBy("_part").orderBy("_place").rowsBetween(W.unboundedPreceding, W.currentRow)
+        base = part_bases(part.groupBy("_part").agg(F.sum(weight).cast("long").alias("_n")), "_n", "_base")
+        part = part.withColumn("_place", F.sum(weight).over(before) - F.col(weight))
+    else:
+        base = part_bases(part.groupBy("_part").agg(F.count("*").alias("_n")), "_n", "_base")
     return part.join(F.broadcast(base), "_part").withColumn("position", F.col("_base") + F.col("_place")).drop("_part", "_place", "_base")
 
 
+#: A key of more rows than an even share of this many parts of a partition, and of this many rows at least, is hot.
+HOT_PARTS, HOT_ROWS = 4, 256
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """left joined to right (one row per key) where a key may hold any share of left's rows.
+
+    Rows of hot keys stay where they are and meet a broadcast of the hot keys' rows of right: there are at
+    most HOT_PARTS keys per shuffle partition of them, whatever the tables' sizes. All other rows are shuffled."""
+    per_key = left.groupBy(key).agg(F.count("*").alias("_n"))
+    total = left.count()
+    share = max(HOT_ROWS, total // (HOT_PARTS * partitions(left.sparkSession)))
+    hot = [r[0] for r in per_key.where(F.col("_n") > share).collect() if r[0] is not None]
+    if not hot:
+        return left.join(right, key, how)
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    return left.where(is_hot).join(F.broadcast(right.where(is_hot)), key, how).unionByName(left.where(~is_hot).join(right.where(~is_hot), key, how))
+
+
 def part_bases(sizes: DataFrame, size: str, base: str) -> DataFrame:
     """Exclusive prefix sums over `_part`: one row per partition, summed on the driver."""
     rows, total, out = sorted(sizes.select("_part", size).collect()), 0, []
