@@ -32,7 +32,7 @@ def components(links: DataFrame, rounds: int = 100) -> DataFrame:
             labels = into
         else:
             step = into.select(F.col("v").alias("root"), F.col("root").alias("_next"))
-            labels = stored(labels.join(step, "root", "left").select("v", F.coalesce("_next", "root").alias("root")), "labels")
+            labels = stored(join_hot(labels, step, "root", "left").select("v", F.coalesce("_next", "root").alias("root")), "labels")
         for end in ("a", "b"):
             both = both.join(into.select(F.col("v").alias(end), F.col("root").alias(f"_{end}")), end)
         both = stored(both.select(F.col("_a").alias("a"), F.col("_b").alias("b")).where("a <> b").distinct(), "links")

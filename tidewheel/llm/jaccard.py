@@ -30,6 +30,8 @@ an empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -82,7 +84,7 @@ def signatures(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return mix((sums[ends] - sums[ends - counts]) + counts.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
 
 
-_DEALT = "bucket int, low binary, doc binary, sig binary, n binary, doc_id binary"
+_DEALT = "bucket int, low binary, held binary, sig binary, n binary, doc_id binary"
 
 
 def _deal(buckets: int):
@@ -94,7 +96,7 @@ def _deal(buckets: int):
             h, counts = shingles(block)
             sig = signatures(h, counts)
             ids = rows.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            yield pa.RecordBatch.from_pylist([{"bucket": -1 - (k % buckets), "low": None, "doc": None, "sig": sig.tobytes(), "n": counts.astype(np.int32).tobytes(), "doc_id": ids.tobytes()}], schema=schema)
+            yield pa.RecordBatch.from_pylist([{"bucket": -1 - (k % buckets), "low": None, "held": None, "sig": sig.tobytes(), "n": counts.astype(np.int32).tobytes(), "doc_id": ids.tobytes()}], schema=schema)
             _, one = np.unique(sig, return_index=True)  # a copy of each set
             first = np.zeros(len(sig), bool)
             first[one] = True
@@ -107,10 +109,10 @@ def _deal(buckets: int):
             starts = run_starts(bucket)
             for s, e in zip(starts, [*starts[1:], len(bucket)], strict=True):
                 low = np.ascontiguousarray(h[s:e]).view(np.uint8).reshape(-1, 8)[:, : LOW_BITS // 8]
-                used, local = np.unique(docs[s:e], return_inverse=True)
-                yield pa.RecordBatch.from_pylist([{"bucket": int(bucket[s]), "low": low.tobytes(), "doc": local.astype(np.uint16).tobytes(), "sig": sig[used].tobytes(), "n": counts[used].astype(np.int32).tobytes(), "doc_id": None}], schema=schema)
+                used, held = np.unique(docs[s:e], return_counts=True)  # docs ascend within a bucket
+                yield pa.RecordBatch.from_pylist([{"bucket": int(bucket[s]), "low": low.tobytes(), "held": held.astype(np.uint32).tobytes(), "sig": sig[used].tobytes(), "n": None, "doc_id": None}], schema=schema)
 
-    schema = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("low", "doc", "sig", "n", "doc_id"))])
+    schema = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("low", "held", "sig", "n", "doc_id"))])
     return run
 
 
@@ -129,19 +131,17 @@ def _shared_shingles(table: pa.Table) -> pa.Table:
     short to long, in the same order for all classes."""
     bucket = table.column("bucket")[0].as_py()
     sig = np.concatenate(_buffers(table.column("sig"), np.int64))
-    n = np.concatenate(_buffers(table.column("n"), np.int32))
     if bucket < 0:
+        n = np.concatenate(_buffers(table.column("n"), np.int32))
         ids = np.concatenate(_buffers(table.column("doc_id"), np.int64))
         return pa.table([pa.array(ids), pa.array(sig), pa.array(n), pa.nulls(len(ids), pa.list_(pa.int64()))], schema=_SHARED_ARROW)
     lows = [np.frombuffer(x.as_buffer(), np.uint8).reshape(-1, LOW_BITS // 8) for x in table.column("low")]
-    parts = _buffers(table.column("doc"), np.uint16)
     wide = np.zeros((sum(map(len, lows)), 8), np.uint8)
     np.concatenate(lows, out=wide[:, : LOW_BITS // 8])
     h = wide.view(np.uint64).ravel()
     del lows
-    names, first, at = np.unique(sig, return_index=True, return_inverse=True)
-    base = np.cumsum([0, *(x.as_py().__len__() // 8 for x in table.column("sig"))])
-    cls = np.concatenate([at[base[i] + d] for i, d in enumerate(parts)]).astype(np.int32)
+    names, at = np.unique(sig, return_inverse=True)
+    cls = np.repeat(at.astype(np.int32), np.concatenate(_buffers(table.column("held"), np.uint32)))
     order = np.argsort(h, kind="stable")
     h, cls = h[order], cls[order]
     starts = run_starts(h)
@@ -163,7 +163,7 @@ def _shared_shingles(table: pa.Table) -> pa.Table:
     starts = run_starts(cls)
     of = cls[starts]
     lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(cls)), pa.int32()), pa.array(item))
-    return pa.table([pa.nulls(len(of), pa.int64()), pa.array(names[of]), pa.array(n[first][of]), lists], schema=_SHARED_ARROW)
+    return pa.table([pa.nulls(len(of), pa.int64()), pa.array(names[of]), pa.nulls(len(of), pa.int32()), lists], schema=_SHARED_ARROW)
 
 
 def needed(a: int, b: int) -> int:
@@ -297,7 +297,7 @@ def _pivots(postings: DataFrame) -> DataFrame:
 
 
 #: Weight of a block's classes; a class weighs 1 and 1 more for each ITEMS_A_WEIGHT items that it has.
-BLOCK_CLASSES = 512
+BLOCK_CLASSES = 256
 ITEMS_A_WEIGHT = 512
 
 
@@ -353,8 +353,9 @@ def _open_links(postings: DataFrame, sets: DataFrame, counted: bool = False) ->
 
     Linked classes meet in a short list. Classes joined by short lists form cells; the classes, ordered by cell
     and root, are cut into blocks. A short list is so cut into its parts in blocks, and each pair of blocks
-    in which a list has parts is one search of a block's classes against the other's inverted lists. A pair of
-    classes is met in one search only, and a task holds two blocks however long a list or large a cell is."""
+    in which a list has parts is one search of a block's classes against the other's inverted lists. Only the
+    classes of the lists that meet are moved, or the whole blocks where that is less. A pair of classes
+    is met in one search only, and a task holds two blocks however long a list or large a cell is."""
     several = postings.groupBy("item").agg(F.min("sig").alias("b"), F.count("*").alias("held")).where("held > 1").select("item", "b")
     shared = stored(postings.join(several, "item").select("item", "sig", "root", "size", "b"), "jaccard-open")
     cells = components(shared.select(F.col("sig").alias("a"), "b").distinct())
@@ -362,15 +363,20 @@ def _open_links(postings: DataFrame, sets: DataFrame, counted: bool = False) ->
     classes = shared.select("sig", "root", weight.alias("weight")).distinct().join(cells.select(F.col("v").alias("sig"), F.col("root").alias("cell")), "sig")
     placed = in_order(classes, ["cell", "root", "sig"], "jaccard-cells", "weight").withColumn("block", F.floor(F.col("position") / BLOCK_CLASSES)).drop("position", "weight")
     placed = stored(placed, "jaccard-blocks")
-    lists = stored(shared.join(placed.select("sig", "block"), "sig").groupBy("item", "block").agg(F.count("*").alias("held")), "jaccard-block-lists")
+    entries = stored(shared.select("item", "sig").join(placed.select("sig", "block"), "sig"), "jaccard-entries")
+    lists = entries.groupBy("item", "block").agg(F.count("*").alias("held"))
     one, two = (lists.select("item", F.col("block").alias(k), F.col("held").alias(f"{k}_held")) for k in ("b1", "b2"))
-    pairs = one.join(two, "item").where("b1 < b2 or (b1 = b2 and b1_held > 1)").select("b1", "b2").distinct()
-    pairs = stored(pairs, "jaccard-block-pairs")
+    met = stored(one.join(two, "item").where("b1 < b2 or (b1 = b2 and b1_held > 1)").select("item", "b1", "b2", F.expr("b1_held + if(b1 < b2, b2_held, 0)").alias("held")), "jaccard-met")
+    pairs = stored(met.groupBy("b1", "b2").agg((F.sum("held") >= BLOCK_CLASSES).alias("whole")), "jaccard-block-pairs")
+    lists_of = stored(met.join(pairs.where("not whole"), ["b1", "b2"]).select("item", "b1", "b2"), "jaccard-met-lists")
     members = stored(placed.join(sets.select("sig", "n", "items"), "sig"), "jaccard-members")
-    sides = [
-        pairs.where(where).join(members, F.col(k) == F.col("block")).select("b1", "b2", F.lit(i).alias("side"), "sig", "n", "root", "items")
-        for i, (k, where) in enumerate((("b1", "true"), ("b2", "b1 < b2")))
-    ]
+    sides = []
+    for i, (k, where) in enumerate((("b1", "true"), ("b2", "b1 < b2"))):
+        side = F.lit(i).alias("side")
+        whole = pairs.where("whole").where(where).join(members, F.col(k) == F.col("block")).select("b1", "b2", side, "sig", "n", "root", "items")
+        some = lists_of.where(where).join(entries.withColumnRenamed("block", k), ["item", k]).select("b1", "b2", "sig").distinct()
+        sides += [whole, some.join(members, "sig").select("b1", "b2", side, "sig", "n", "root", "items")]
+    sides[1:] = [reduce(DataFrame.unionByName, sides[1:])]
     return sides[0].unionByName(sides[1]).groupBy("b1", "b2").applyInArrow(lambda table: _search_blocks(table, counted), "a long, b long, n long")
 
 
@@ -397,8 +403,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     buckets = partitions(spark)
     dealt = docs.select("doc_id", "text").mapInArrow(_deal(buckets), _DEALT)
     seen = stored(dealt.groupBy("bucket").applyInArrow(_shared_shingles, _SHARED), "jaccard-shared")
-    members = seen.where("doc_id is not null").select("doc_id", "sig", F.col("n").cast("long").alias("n_shingles"))
-    sets = seen.where("doc_id is null").groupBy("sig", "n").agg(F.array_sort(F.flatten(F.collect_list("items"))).alias("items")).where("4 * size(items) >= 3 * n")
+    members = seen.where("items is null").select("doc_id", "sig", F.col("n").cast("long").alias("n_shingles"))
+    sizes = members.groupBy("sig").agg(F.min("n_shingles").cast("int").alias("n"))
+    shared = seen.where("items is not null").groupBy("sig").agg(F.array_sort(F.flatten(F.collect_list("items"))).alias("items"))
+    sets = shared.join(sizes, "sig").where("4 * size(items) >= 3 * n").select("sig", "n", "items")
     roots, counts = join_classes(stored(sets, "jaccard-sets"))
     classes = members.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("class_id"))
     joined = stored(classes.join(roots.withColumnRenamed("v", "sig"), "sig", "left").join(counts, "sig", "left"), "jaccard-classes")

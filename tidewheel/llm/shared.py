@@ -91,9 +91,9 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "inner") ->
     Rows of hot keys stay where they are and meet a broadcast of the hot keys' rows of right: there are at
     most HOT_PARTS keys per shuffle partition of them, whatever the tables' sizes. All other rows are shuffled."""
     per_key = left.groupBy(key).agg(F.count("*").alias("_n"))
-    total = left.count()
+    total, most = per_key.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.max("_n"), F.lit(0))).first()
     share = max(HOT_ROWS, total // (HOT_PARTS * partitions(left.sparkSession)))
-    hot = [r[0] for r in per_key.where(F.col("_n") > share).collect() if r[0] is not None]
+    hot = [r[0] for r in per_key.where(F.col("_n") > share).collect() if r[0] is not None] if most > share else []
     if not hot:
         return left.join(right, key, how)
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
