@@ -30,8 +30,12 @@ def test_exact_dedup(spark, sf, capacity):
     want = sorted((d, max(g), len(g), d == max(g), hashlib.sha256(t.encode()).hexdigest()) for t, g in groups.items() for d in g)
     got = sorted((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup.classify(docs, capacity).collect())
     assert got == want
-    by_bytes = sorted((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup._by_bytes(docs).collect())
-    assert by_bytes == want
+    # keys that collide: all rows still come through the buckets, chains are told apart by their bytes
+    crowded = exact_dedup.classify(docs, capacity, key=lambda n: F.octet_length(n) % 5 * (1 << 60)).collect()
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in crowded) == want
+    assert {r.bucket for r in crowded} and len({r.bucket for r in crowded}) == (3 if capacity == 2 else 1)
+    index = exact_dedup.build_index(exact_dedup.entries(docs, lambda n: F.octet_length(n) % 5 * (1 << 60)), capacity)
+    assert index.chains.count() == len(groups) and index.chains.groupBy("key").count().count() == 5
 
 
 def test_directory_splits_overfull_buckets(spark):
@@ -39,8 +43,12 @@ def test_directory_splits_overfull_buckets(spark):
     slots, depth, n = exact_dedup.directory(keys, 100)
     rows = slots.collect()
     placed = keys.withColumn("slot", exact_dedup.slot_of(F.col("key"), depth)).join(slots, "slot").groupBy("bucket").count().collect()
-    assert depth > 0 and len(rows) <= n and all(r["count"] <= 100 for r in placed)
+    assert depth > 0 and len(rows) == n and all(r["count"] <= 100 for r in placed)
     assert sum(r["count"] for r in placed) == 5000
+    close = spark.createDataFrame([(i << 50,) for i in range(300)], "key long")  # equal leading bits: the directory doubles on
+    slots, depth, n = exact_dedup.directory(close, 100)
+    placed = close.withColumn("slot", exact_dedup.slot_of(F.col("key"), depth)).join(slots, "slot").groupBy("bucket").count().collect()
+    assert depth == 8 and n == 5 and sorted(r["count"] for r in placed) == [44, 64, 64, 64, 64]
     assert exact_dedup.classify(odd(spark, [])).count() == 0
 
 

@@ -1,18 +1,22 @@
 """Exact deduplication with an extendible-hash index kept in the shared folder.
 
-A text's key is the 64-bit hash of its normalised bytes. The directory maps a key's leading bits to a
-bucket; while a bucket holds more than `capacity` distinct keys it is split by one more bit, which
-doubles the directory where its depth is reached. Buckets are key ranges, so tasks that own contiguous
-ranges write the index. Inside a bucket, entries of one key are chained: copies are compared with the
-class's row byte by byte, and texts that share a key but differ form classes of their own.
-
-Copies are counted before they are shuffled (one entry per task and class), so a group of copies of any
-size does not meet in one task; byte comparison joins each copy to its class's row, a join that Spark
-splits when a class is large. DataFrame functions only.
-
-Defined cases: null counts as the empty text; of equal texts, also of repeated rows, the largest doc_id
-stays; when rows repeat with the same doc_id, each of them is kept if its doc_id is the one that stays
-and the pipeline stage keeps one row; an empty table gives an empty result.
+A text's key is the 64-bit hash of its normalised bytes. The directory has a slot for each value of a key's
+leading bits and names the slot's bucket. While a bucket holds more than `capacity` distinct keys it is split
+by one more bit, and where its depth is that of the directory, the directory doubles; it ends when no bucket
+is overfull. Buckets are key ranges: owner tasks take contiguous ranges of them and write the index, one
+folder of bucket files.
+
+1. One scan of the texts stores each document's entry: doc_id, key, digest and the normalised bytes.
+2. The directory is grown over the distinct keys with their number of documents.
+3. Entries of keys with several documents are inserted by bucket: within a key, entries whose bytes are equal
+   become one chain entry (Spark compares the bytes when it groups by them, first in the map tasks, so
+   a group of copies of any size moves one text a task). A key with one document is its own chain entry.
+4. A document finds its class by slot, bucket and key; where the key's chain has several entries, by its bytes.
+
+DataFrame functions only. Defined cases: null counts as the empty text; of equal texts, also of repeated rows,
+the largest doc_id stays (null doc_ids are less than all others); when rows repeat with the same doc_id, each of
+them is kept if its doc_id is the one that stays; texts of any length are one entry; other columns of the
+input, whatever their names, are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,11 +24,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ascii_lower, partitions, stored
+from .shared import ascii_lower, join_hot, partitions, stored
 
 CAPACITY = 4096
-#: Directory entries and duplicate keys beyond this many rows are joined by a shuffle instead of a broadcast.
+#: A directory beyond this many slots is joined by a shuffle instead of a broadcast.
 BROADCAST_ROWS = 200_000
+KEY_BITS = 64
 
 
 def bounded(df: DataFrame, n: int) -> DataFrame:
@@ -32,73 +37,94 @@ def bounded(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
-def entries(docs: DataFrame) -> DataFrame:
-    """One small row per document: doc_id, key, digest and length of the normalised text."""
-    norm = F.coalesce(ascii_lower(F.col("text")), F.lit(""))
-    return docs.select("doc_id", norm.alias("n")).select("doc_id", F.xxhash64("n").alias("key"), F.sha2("n", 256).alias("text_sha256"), F.octet_length("n").alias("n_bytes"))
+def key_of(text):
+    return F.xxhash64(text)
+
+
+def normalised(text):
+    """The text with A-Z lower-cased; null is empty. Spark's own lower() serves texts that are ASCII throughout."""
+    t = F.coalesce(text, F.lit(""))
+    return F.when(F.octet_length(t) == F.length(t), F.lower(t)).otherwise(ascii_lower(t))
+
+
+def entries(docs: DataFrame, key=key_of) -> DataFrame:
+    """One row per document: doc_id, key, text_sha256 and the normalised text n."""
+    return docs.select("doc_id", normalised(F.col("text")).alias("n")).select("doc_id", key(F.col("n")).cast("long").alias("key"), F.sha2("n", 256).alias("text_sha256"), "n")
 
 
 def slot_of(key, depth: int):
     """A key's leading `depth` bits as a number."""
-    return F.shiftrightunsigned(key, 64 - depth).cast("long") if depth else F.lit(0).cast("long")
+    return F.shiftrightunsigned(key, KEY_BITS - depth).cast("long") if depth else F.lit(0).cast("long")
 
 
 def directory(keys: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, int, int]:
     """The directory of distinct keys (column `key`): (slot, local_depth, bucket), its depth and its number of slots.
 
-    The keys are counted once per slot at a depth three bits finer than an even spread needs; a slot's
-    local depth is the first at which its bucket is not overfull. A bucket that is still overfull at the
-    directory's depth keeps its keys as a longer chain."""
+    Starts at the depth an even spread asks for and doubles while a bucket is overfull. A slot's local depth is the
+    least at which its bucket is not, so slots share a bucket until it had to be split. Slots without keys
+    are left out. At 64 bits a bucket is one key, so the doubling ends."""
     n = keys.count()
-    depth = max(0, (max(1, n) // capacity).bit_length() + 3) if n > capacity else 0
-    fine = keys.groupBy(slot_of(F.col("key"), depth).alias("slot")).agg(F.count("*").alias("n"))
+    depth = max(0, -(-n // capacity) - 1).bit_length()
+    while True:
+        fine = stored(keys.groupBy(slot_of(F.col("key"), depth).alias("slot")).agg(F.count("*").alias("n")), "dedup-slots")
+        full = fine.agg(F.count("*").alias("slots"), F.coalesce(F.max("n"), F.lit(0)).alias("most")).first()
+        if full.most <= capacity or depth == KEY_BITS:
+            break
+        depth += 1
     levels = F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("d")
-    by_level = fine.select("slot", "n", levels).withColumn("prefix", F.expr(f"shiftright(slot, {depth} - d)"))
-    full = by_level.groupBy("d", "prefix").agg(F.sum("n").alias("held"))
-    fits = by_level.join(full, ["d", "prefix"]).groupBy("slot").agg(F.coalesce(F.min(F.when(F.col("held") <= capacity, F.col("d"))), F.lit(depth)).alias("local_depth"))
-    out = fits.withColumn("bucket", F.expr(f"shiftleft(shiftright(slot, {depth} - local_depth), {depth} - local_depth)"))
-    return out, depth, min(n, 1 << depth)
-
-
-def build_index(ent: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """The stored index: one entry per class (bucket, key, digest, keep_id, group_size), written by owners of bucket ranges."""
-    classes = stored(ent.groupBy("key", "text_sha256", "n_bytes").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "dedup-classes")
-    slots, depth, n_slots = directory(classes.select("key").distinct(), capacity)
-    slots = stored(slots, "dedup-directory")
-    placed = classes.withColumn("slot", slot_of(F.col("key"), depth)).join(bounded(slots, n_slots), "slot")
-    owned = placed.repartitionByRange(partitions(ent.sparkSession), "bucket", "key").sortWithinPartitions("bucket", "key", "text_sha256")
-    return stored(owned.select("bucket", "local_depth", "key", "text_sha256", "n_bytes", "keep_id", "group_size"), "dedup-index")
-
-
-def compared(docs: DataFrame, index: DataFrame) -> DataFrame:
-    """Rows of classes with several members: doc_id, key, text_sha256, same (bytes equal to those of the class's row).
-
-    Only texts whose key occurs more than once are moved."""
-    again = index.groupBy("key").agg(F.sum("group_size").alias("n"), F.count("*").alias("chain")).where("n > 1").select("key")
-    n = again.count()
-    norm = F.coalesce(ascii_lower(F.col("text")), F.lit(""))
-    texts = docs.select("doc_id", norm.alias("n")).withColumn("key", F.xxhash64("n")).join(bounded(again, n), "key").withColumn("text_sha256", F.sha2("n", 256))
-    heads = texts.join(index.where("group_size > 1").select("key", "text_sha256", F.col("keep_id").alias("doc_id")), ["key", "text_sha256", "doc_id"]).dropDuplicates(["key", "text_sha256"])
-    heads = stored(heads.select("key", "text_sha256", F.col("n").alias("head")), "dedup-heads")
-    return texts.join(heads, ["key", "text_sha256"]).select("doc_id", "key", "text_sha256", (F.col("n") == F.col("head")).alias("same"))
-
-
-def classify(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    by_level = fine.select("slot", "n", levels).withColumn("prefix", F.expr(f"shiftrightunsigned(slot, {depth} - d)"))
+    fits = by_level.groupBy("d", "prefix").agg(F.sum("n").alias("held")).where(F.col("held") <= capacity).select("d", "prefix")
+    local = by_level.join(fits, ["d", "prefix"]).groupBy("slot").agg(F.min("d").alias("local_depth"))
+    out = local.withColumn("bucket", F.expr(f"shiftleft(shiftrightunsigned(slot, {depth} - local_depth), {depth} - local_depth)"))
+    return out, depth, full.slots
+
+
+class Index:
+    """The stored index: `slots` (the directory), its `depth`, and `chains`, a row per class:
+    bucket, key, chain (place in the key's chain), links (its length), text_sha256, keep_id, group_size; n, the
+    class's bytes, only where the chain has several entries."""
+
+    def __init__(self, slots: DataFrame, depth: int, n_slots: int, chains: DataFrame):
+        self.slots, self.depth, self.n_slots, self.chains = slots, depth, n_slots, chains
+
+    def placed(self, rows: DataFrame) -> DataFrame:
+        """rows (key) with the bucket that the directory names for the key's slot."""
+        return rows.withColumn("slot", slot_of(F.col("key"), self.depth)).join(bounded(self.slots, self.n_slots), "slot").drop("slot", "local_depth")
+
+
+def build_index(ent: DataFrame, capacity: int = CAPACITY) -> Index:
+    keys = stored(ent.groupBy("key").agg(F.count("*").alias("held"), F.max("doc_id").alias("last"), F.min("text_sha256").alias("digest")), "dedup-keys")
+    slots, depth, n_slots = directory(keys, capacity)
+    index = Index(stored(slots, "dedup-directory"), depth, n_slots, None)
+    placed = index.placed(keys)
+    again = placed.where("held > 1").select("bucket", "key")
+    inserted = ent.select("key", "n", "doc_id", "text_sha256").join(bounded(again, again.count()), "key")
+    classes = inserted.groupBy("bucket", "key", "n").agg(F.first("text_sha256").alias("text_sha256"), F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    classes = stored(classes, "dedup-classes")
+    links = classes.groupBy("key").agg(F.count("*").cast("int").alias("links"))
+    chained = classes.join(links, "key").select("bucket", "key", "links", "text_sha256", "keep_id", "group_size", F.when(F.col("links") > 1, F.col("n")).alias("n"))
+    single = placed.where("held = 1").select("bucket", "key", F.lit(1).alias("links"), F.col("digest").alias("text_sha256"), F.col("last").alias("keep_id"), F.col("held").alias("group_size"), F.lit(None).cast("string").alias("n"))
+    owned = chained.unionByName(single).repartitionByRange(partitions(ent.sparkSession), "bucket", "key").sortWithinPartitions("bucket", "key", "text_sha256")
+    index.chains = stored(owned, "dedup-index")
+    return index
+
+
+def classify(docs: DataFrame, capacity: int = CAPACITY, key=key_of) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, bucket."""
-    ent = stored(entries(docs), "dedup-entries")
+    ent = stored(entries(docs, key), "dedup-entries")
     index = build_index(ent, capacity)
-    differ = compared(docs, index).where(~F.col("same")).limit(1).count()
-    if differ:  # two texts share key and digest: their bytes decide
-        return _by_bytes(docs)
-    out = ent.join(index.select("key", "text_sha256", "keep_id", "group_size", "bucket"), ["key", "text_sha256"])
-    return out.select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256", "bucket")
-
-
-def _by_bytes(docs: DataFrame) -> DataFrame:
-    """The same result with whole texts as keys, for the case that two texts share key and digest."""
-    norm = docs.select("doc_id", F.coalesce(ascii_lower(F.col("text")), F.lit("")).alias("n"))
-    classes = norm.groupBy("n").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    return norm.join(classes, "n").select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.sha2("n", 256).alias("text_sha256"), F.lit(0).cast("long").alias("bucket"))
+    found = index.chains.where("links = 1").select("bucket", "key", "keep_id", "group_size")
+    # the directory names the bucket of a document's slot; within the bucket the key names the chain
+    narrow = index.placed(ent.select("doc_id", "key", "text_sha256"))
+    single = join_hot(narrow, found, ["bucket", "key"]).select("doc_id", "keep_id", "group_size", "text_sha256", "bucket")
+    chains = index.chains.where("links > 1").select("bucket", "key", "n", "keep_id", "group_size")
+    if not chains.limit(1).count():
+        out = single
+    else:  # texts of one key that differ: the bytes tell the chain's entries apart
+        several = chains.select("key").distinct()
+        texts = index.placed(ent.join(bounded(several, several.count()), "key"))
+        out = single.unionByName(texts.join(chains, ["bucket", "key", "n"]).select("doc_id", "keep_id", "group_size", "text_sha256", "bucket"))
+    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "bucket")
 
 
 def op5_exact_dedup(spark, sf_dir):

@@ -85,19 +85,21 @@ def in_order(df: DataFrame, keys: list[str], name: str, weight: str | None = Non
 HOT_PARTS, HOT_ROWS = 4, 256
 
 
-def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def join_hot(left: DataFrame, right: DataFrame, keys: str | list[str], how: str = "inner") -> DataFrame:
     """left joined to right (one row per key) where a key may hold any share of left's rows.
 
     Rows of hot keys stay where they are and meet a broadcast of the hot keys' rows of right: there are at
     most HOT_PARTS keys per shuffle partition of them, whatever the tables' sizes. All other rows are shuffled."""
+    keys = [keys] if isinstance(keys, str) else keys
+    key = keys[-1]  # hot by the last column alone
     per_key = left.groupBy(key).agg(F.count("*").alias("_n"))
     total, most = per_key.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.max("_n"), F.lit(0))).first()
     share = max(HOT_ROWS, total // (HOT_PARTS * partitions(left.sparkSession)))
     hot = [r[0] for r in per_key.where(F.col("_n") > share).collect() if r[0] is not None] if most > share else []
     if not hot:
-        return left.join(right, key, how)
+        return left.join(right, keys, how)
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
-    return left.where(is_hot).join(F.broadcast(right.where(is_hot)), key, how).unionByName(left.where(~is_hot).join(right.where(~is_hot), key, how))
+    return left.where(is_hot).join(F.broadcast(right.where(is_hot)), keys, how).unionByName(left.where(~is_hot).join(right.where(~is_hot), keys, how))
 
 
 def part_bases(sizes: DataFrame, size: str, base: str) -> DataFrame:
