@@ -129,6 +129,14 @@ def test_mixing_is_unbiased(spark):
     assert abs(np.mean([r.copies for r in t]) - ratio) < 0.1
 
 
+def test_repeated_rows_are_spread(spark):
+    docs = spark.createDataFrame([(7, "w x y", "s")] * 3000 + [(None, "a b", "s"), (None, None, None)], "doc_id long, text string, source string")
+    rows = mixing.mix(docs).collect()
+    check_mix(rows, 3002)
+    sized = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "source", F.lit(3).cast("long").alias("size"))
+    assert mixing.numbered(sized.where("doc_id = 7")).agg(F.count_distinct("copy")).first()[0] == 3000
+
+
 def brute_capacity(sizes, shards):
     def ok(c):
         n, room = 1, c

@@ -9,9 +9,12 @@ the one unfinished document of each group goes to the next level of a reduction
 ever larger and a source of any size only deepens the tree by a level. Random numbers are hashes of
 the documents met, so reruns agree. DataFrame functions only.
 
+Groups are drawn by the hash of a document and the number of its repetition, so repeated rows part as well.
+
 Defined cases: null texts have size 0; documents of size 0 are never taken (taken = 0); the null source
-is a source and comes last; repeated rows are documents of their own; an empty table gives an empty
-result.
+is a source and comes last; null doc_ids are documents like others; repeated rows are documents of their own;
+texts of any length are taken whole; other columns of the input, whatever their names, are not read; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,10 +22,9 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import count_words, stored
+from .shared import count_words, in_order, join_hot, stored
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, CAP = 1.5, 2.0
@@ -31,31 +33,30 @@ FAN_IN = 32
 BROADCAST_ROWS = 50_000
 
 
+def _named(source):
+    """A source as a key that is never null."""
+    return F.coalesce(F.concat(F.lit("="), source), F.lit(""))
+
+
 def targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """Per source: source, source_size, n_docs, weight, target (words).
 
-    Water-filling: sources are ordered by the level at which they reach their cap; the first one that
-    stays under its cap at the level the remaining words give fixes the level for all later ones."""
+    Water-filling: the words are shared by weight; sources above their cap are set to it, and the excess is shared
+    among the others anew until none is above. A pass is one sum over the sources, which are placed in
+    order by range partitions, so no task holds them all."""
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
-    place = F.row_number().over(W.orderBy(F.col("source").isNull(), "source")) - 1
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(place, F.lit(len(weights))) + 1).cast("int"))
-    per = per.withColumn("weight", w).withColumn("_cap", F.col("source_size") * F.lit(cap))
-    per = per.withColumn("_level", F.col("_cap") / F.col("weight"))
-    order = W.orderBy("_level", F.col("source").isNull(), "source")
-    before = order.rowsBetween(W.unboundedPreceding, -1)
-    whole = W.orderBy(F.lit(0)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    per = per.withColumns(
-        {
-            "_caps": F.coalesce(F.sum("_cap").over(before), F.lit(0.0)),
-            "_weights": F.sum("weight").over(order.rowsBetween(0, W.unboundedFollowing)),
-            "_words": F.sum("source_size").over(whole) * F.lit(share),
-        }
-    )
-    per = per.withColumn("_here", (F.col("_words") - F.col("_caps")) / F.col("_weights"))
-    found = F.min_by(F.when(F.col("_here") <= F.col("_level"), F.col("_here")), F.when(F.col("_here") <= F.col("_level"), F.col("_level"))).over(whole)
-    per = per.withColumn("_common", found)
-    target = F.when(F.col("_common").isNull(), F.col("_cap")).otherwise(F.least("_cap", F.col("_common") * F.col("weight")))
-    return per.select("source", "source_size", "n_docs", "weight", target.alias("target"))
+    per = in_order(per.withColumn("_last", F.col("source").isNull()), ["_last", "source"], "mixing-sources").drop("_last")
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod("position", F.lit(len(weights))) + 1).cast("int"))
+    per = stored(per.withColumns({"weight": w, "_cap": F.col("source_size") * F.lit(cap)}).drop("position"), "mixing-caps")
+    words = per.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0] * share
+    level, capped = 0.0, -1
+    while True:
+        full = F.col("_cap") < F.lit(level) * F.col("weight")
+        caps, rest, n = per.agg(F.sum(F.when(full, F.col("_cap"))), F.sum(F.when(~full, F.col("weight"))), F.count(F.when(full, 1))).first()
+        if n == capped or not rest:  # none more is above; without rest all are at their caps
+            break
+        level, capped = max(level, (words - (caps or 0.0)) / rest), n
+    return per.select("source", "source_size", "n_docs", "weight", F.least("_cap", F.lit(level) * F.col("weight")).alias("target"))
 
 
 def _uniform(*cols):
@@ -67,12 +68,12 @@ def _meet(a, b, level: int):
     """What becomes of two units: struct(done, open). Moves words from one to the other; the sum and the expectations stay."""
     to_a = F.least(a["size"] * (1 - a["f"]), b["size"] * b["f"])
     to_b = F.least(a["size"] * a["f"], b["size"] * (1 - b["f"]))
-    up = _uniform(F.lit(level), a["doc_id"], b["doc_id"], a["size"], b["size"]) * (to_a + to_b) < to_b
+    up = _uniform(F.lit(level), *[x[c] for x in (a, b) for c in _FIELDS[:4]]) * (to_a + to_b) < to_b
     fill_a = a["size"] * (1 - a["f"]) <= b["size"] * b["f"]  # a gains: a is full before b is empty
     fill_b = b["size"] * (1 - b["f"]) <= a["size"] * a["f"]
 
     def unit(x, f):
-        return F.struct(x["doc_id"].alias("doc_id"), x["size"].alias("size"), x["whole"].alias("whole"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), f)).alias("f"))
+        return F.struct(*[x[c].alias(c) for c in _FIELDS], F.least(F.lit(1.0), F.greatest(F.lit(0.0), f)).alias("f"))
 
     one, zero = F.lit(1.0), F.lit(0.0)
     pair = lambda done, left: F.struct(done.alias("done"), left.alias("open"))
@@ -86,7 +87,8 @@ def _meet(a, b, level: int):
     )
 
 
-_UNIT = "struct<doc_id: bigint, size: bigint, whole: double, f: double>"
+_UNIT = "struct<doc_id: bigint, text_key: bigint, copy: bigint, size: bigint, whole: double, f: double>"
+_FIELDS = ("doc_id", "text_key", "copy", "size", "whole")
 
 
 def _fold(units, level: int):
@@ -101,11 +103,11 @@ def _fold(units, level: int):
 
 
 def round_copies(units: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
-    """units (source, n_docs, doc_id, size, whole, f in [0, 1]) with f made 0 or 1: source, doc_id, size, whole, f."""
+    """units (source, n_docs, doc_id, text_key, copy, size, whole, f in [0, 1]) with f made 0 or 1: source and the unit's fields."""
     most = units.agg(F.max("n_docs")).first()[0] or 0
     groups = max(1, -(-most // fan_in))
     n_groups = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / F.lit(fan_in))).cast("long")
-    left = units.select("source", F.pmod(F.xxhash64("doc_id", "size"), n_groups).alias("g"), F.struct("doc_id", "size", "whole", "f").cast(_UNIT).alias("u"))
+    left = units.select("source", F.pmod(F.xxhash64(*_FIELDS[:4]), n_groups).alias("g"), F.struct(*_FIELDS, "f").cast(_UNIT).alias("u"))
     finished, level = [], 0
     while True:
         lists = left.groupBy("source", "g").agg(F.array_sort(F.collect_list("u")).alias("us"))
@@ -113,29 +115,44 @@ def round_copies(units: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
         finished.append(folded.select("source", F.explode("r.done").alias("u")))
         if groups == 1:
             last = F.col("r.open")
-            f = F.when(_uniform(F.lit(-1), last["doc_id"], last["size"]) < last["f"], 1.0).otherwise(0.0)
-            finished.append(folded.select("source", F.struct(last["doc_id"].alias("doc_id"), last["size"].alias("size"), last["whole"].alias("whole"), f.alias("f")).alias("u")))
+            f = F.when(_uniform(F.lit(-1), *[last[c] for c in _FIELDS[:4]]) < last["f"], 1.0).otherwise(0.0)
+            finished.append(folded.select("source", F.struct(*[last[c].alias(c) for c in _FIELDS], f.alias("f")).alias("u")))
             break
         left = folded.select("source", F.floor(F.col("g") / F.lit(fan_in)).alias("g"), F.col("r.open").alias("u"))
         groups, level = -(-groups // fan_in), level + 1
     return reduce(DataFrame.unionByName, finished).select("source", "u.*")
 
 
+#: Repeated rows are numbered in two steps, so no array is longer than this.
+RUN = 1 << 16
+
+
+def numbered(sized: DataFrame) -> DataFrame:
+    """Rows that repeat (source, doc_id, text_key, size) get numbers of their own (copy): counted first, then told apart."""
+    per = sized.groupBy("source", "doc_id", "text_key", "size").agg(F.count("*").alias("_n"))
+    runs = per.withColumn("_run", F.explode(F.expr(f"sequence(0L, (_n - 1) div {RUN})")))
+    copy = F.explode(F.expr(f"sequence(_run * {RUN}, least(_n, (_run + 1) * {RUN}) - 1)")).alias("copy")
+    return runs.select("source", "doc_id", "text_key", "size", copy)
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """Per document: doc_id, source, size, source_size, target, copies, taken (copies * size)."""
-    sized = stored(docs.select("doc_id", "source", count_words(F.col("text")).alias("size")), "mixing-sizes")
-    per = stored(targets(sized, weights, share, cap), "mixing-targets")
-    n_sources = per.count()
-    per_join = F.broadcast(per) if n_sources <= BROADCAST_ROWS else per
-    all_docs = sized.withColumnRenamed("source", "_source").join(per_join, F.col("_source").eqNullSafe(F.col("source"))).drop("_source")
+    """Per document: doc_id, text_key (hash of the text), source, size, source_size, target, copies, taken (copies * size)."""
+    sized = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "source", count_words(F.col("text")).alias("size"))
+    sized = stored(sized, "mixing-sizes")
+    per = stored(targets(sized, weights, share, cap).withColumn("_k", _named(F.col("source"))), "mixing-targets")
+    few = per.count() <= BROADCAST_ROWS
+
+    def with_targets(rows):
+        rows = rows.withColumn("_k", _named(F.col("source"))).drop("source")
+        return (rows.join(F.broadcast(per), "_k") if few else join_hot(rows, per, "_k")).drop("_k")
+
     ratio = F.col("target") / F.col("source_size")
     whole = F.least(F.floor(ratio + F.lit(1e-12)).cast("double"), F.floor(F.lit(cap)))
-    part = all_docs.where("size > 0").withColumn("whole", whole).withColumn("f", F.greatest(F.lit(0.0), F.least(F.lit(1.0), ratio - F.col("whole"))))
-    done = round_copies(part.select("source", "n_docs", "doc_id", "size", "whole", "f"))
-    copies = done.select("source", "doc_id", "size", (F.col("whole") + F.col("f")).cast("long").alias("copies"))
-    none = sized.where("size = 0").select("source", "doc_id", "size", F.lit(0).cast("long").alias("copies"))
-    every = copies.unionByName(none).withColumnRenamed("source", "_source")
-    return every.join(per_join, F.col("_source").eqNullSafe(F.col("source"))).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    part = with_targets(numbered(sized.where("size > 0"))).withColumn("whole", whole).withColumn("f", F.greatest(F.lit(0.0), F.least(F.lit(1.0), ratio - F.col("whole"))))
+    done = round_copies(part.select("source", "n_docs", *_FIELDS, "f"))
+    copies = done.select("source", "doc_id", "text_key", "size", (F.col("whole") + F.col("f")).cast("long").alias("copies"))
+    none = sized.where("size = 0").select("source", "doc_id", "text_key", "size", F.lit(0).cast("long").alias("copies"))
+    return with_targets(copies.unionByName(none)).select("doc_id", "text_key", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def op8_mixing(spark, sf_dir):
