@@ -101,6 +101,16 @@ def test_documents(spark, sf):
     assert got == brute(rows)
 
 
+def test_null_ids_and_representatives(spark):
+    t = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
+    rows = [(5, t), (5, t + "  "), (None, t + " 1"), (5, "one two three four five six"), (3, "one two three four five  six"), (None, "alone now"), (None, None), (4, "")]
+    found = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = sorted(((r.doc_id, r.component_id) for r in found.collect()), key=str)
+    assert got == sorted([(5, 5), (5, 5), (None, 5), (5, 3), (3, 3), (None, None), (None, None), (4, 4)], key=str)
+    stay = [r.doc_id for r in jaccard.representatives(found).collect()]
+    assert sorted(stay, key=str) == [3, 4, 5, None, None]
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.near_duplicates(none).count() == 0

@@ -1,6 +1,8 @@
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from tidewheel.llm import quality
 
 TEXTS = ["", None, "a b c a b c", "x y\n\nx y\n  \nz", "one two three " * 40, "ü#1 | <b> " * 20, "w " * 2, "a a a a a"]
@@ -23,14 +25,15 @@ def test_measures(spark, sf):
 
 
 def test_policies_and_ablation(spark):
-    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(TEXTS)], "doc_id long, text string, n_words int")
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(TEXTS)], "doc_id long, text string, n_words int").withColumns({"_words": F.lit("mine"), "_again": F.lit(1)})
     led = quality.ledger(docs)
+    assert {r["_words"] for r in led.collect()} == {"mine"} and "_words_" not in led.columns
     kept = quality.apply_policy(led).collect()
     for r in kept:
         env = {m: r[m] for m in quality.MEASURES}
         bits = sum(1 << i for i, c in enumerate(quality.RULES.values()) if eval(c, {}, env))
-        assert r.failed_bits == bits and r.kept == (bits == 0)
-    rows = {r.rule: r for r in quality.ablation(led).collect()}
+        assert r.failed_bits == bits and r.kept == (bits & quality.mask(quality.POLICIES[quality.CURRENT]) == 0)
+    rows = {r.rule: r for r in quality.ablation(led, "v2").collect()}
     bits = [r.failed_bits for r in kept]
     for i, rule in enumerate(quality.RULES):
         assert rows[rule].n_failed == sum(b >> i & 1 for b in bits)

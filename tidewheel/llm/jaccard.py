@@ -23,7 +23,8 @@ are long too, and pairs that share one of their rarest passages are candidates:
 than the texts', as the number of links does.
 
 Defined cases: null texts and texts without words have an empty set and are linked with nothing; texts
-of fewer than five words have one shingle, the whole sequence; equal and repeated rows are one class;
+of fewer than five words have one shingle, the whole sequence; equal and repeated rows are one class; null
+doc_ids come after all others and are null in the result;
 very long texts weigh more in their block; other columns of the input, whatever their names, are not read;
 an empty table gives an empty result.
 """
@@ -95,8 +96,10 @@ def _deal(buckets: int):
             block = split_block(rows)
             h, counts = shingles(block)
             sig = signatures(h, counts)
-            ids = rows.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            yield pa.RecordBatch.from_pylist([{"bucket": -1 - (k % buckets), "low": None, "held": None, "sig": sig.tobytes(), "n": counts.astype(np.int32).tobytes(), "doc_id": ids.tobytes()}], schema=schema)
+            ids, keys = (np.ascontiguousarray(rows.column(c).to_numpy(), np.int64) for c in ("doc_id", "text_key"))
+            yield pa.RecordBatch.from_pylist([{"bucket": -1 - (k % buckets), "low": keys.tobytes(), "held": None, "sig": sig.tobytes(), "n": counts.astype(np.int32).tobytes(), "doc_id": ids.tobytes()}], schema=schema)
+            if not len(h):
+                continue
             _, one = np.unique(sig, return_index=True)  # a copy of each set
             first = np.zeros(len(sig), bool)
             first[one] = True
@@ -116,8 +119,8 @@ def _deal(buckets: int):
     return run
 
 
-_SHARED = f"doc_id long, sig long, n int, items array<{_ITEM}>"
-_SHARED_ARROW = pa.schema([("doc_id", pa.int64()), ("sig", pa.int64()), ("n", pa.int32()), ("items", pa.list_(pa.int64()))])
+_SHARED = f"doc_id long, text_key long, sig long, n int, items array<{_ITEM}>"
+_SHARED_ARROW = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("sig", pa.int64()), ("n", pa.int32()), ("items", pa.list_(pa.int64()))])
 
 
 def _buffers(column: pa.ChunkedArray, dtype) -> list[np.ndarray]:
@@ -134,7 +137,8 @@ def _shared_shingles(table: pa.Table) -> pa.Table:
     if bucket < 0:
         n = np.concatenate(_buffers(table.column("n"), np.int32))
         ids = np.concatenate(_buffers(table.column("doc_id"), np.int64))
-        return pa.table([pa.array(ids), pa.array(sig), pa.array(n), pa.nulls(len(ids), pa.list_(pa.int64()))], schema=_SHARED_ARROW)
+        keys = np.concatenate(_buffers(table.column("low"), np.int64))
+        return pa.table([pa.array(ids), pa.array(keys), pa.array(sig), pa.array(n), pa.nulls(len(ids), pa.list_(pa.int64()))], schema=_SHARED_ARROW)
     lows = [np.frombuffer(x.as_buffer(), np.uint8).reshape(-1, LOW_BITS // 8) for x in table.column("low")]
     wide = np.zeros((sum(map(len, lows)), 8), np.uint8)
     np.concatenate(lows, out=wide[:, : LOW_BITS // 8])
@@ -163,7 +167,7 @@ def _shared_shingles(table: pa.Table) -> pa.Table:
     starts = run_starts(cls)
     of = cls[starts]
     lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(cls)), pa.int32()), pa.array(item))
-    return pa.table([pa.nulls(len(of), pa.int64()), pa.array(names[of]), pa.nulls(len(of), pa.int32()), lists], schema=_SHARED_ARROW)
+    return pa.table([pa.nulls(len(of), pa.int64()), pa.nulls(len(of), pa.int64()), pa.array(names[of]), pa.nulls(len(of), pa.int32()), lists], schema=_SHARED_ARROW)
 
 
 def needed(a: int, b: int) -> int:
@@ -395,26 +399,43 @@ def join_classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     return components(near.toDF("a", "b").unionByName(links.where("b is not null").select("a", "b"))), counts
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, class_id (smallest doc_id with the same set), component_id, n_links.
+#: Stands for a null doc_id inside; a document with this id gets null.
+NO_ID = (1 << 63) - 1
+
 
-    n_links is the number of other classes that the document's class links with."""
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, text_key (hash of its text), n_shingles, class_id and class_key (smallest doc_id
+    with the same set, and the set's name), component_id and component_key (those of the component's class with the
+    smallest doc_id), n_links (the number of other classes that the document's class links with)."""
     spark = docs.sparkSession
     buckets = partitions(spark)
-    dealt = docs.select("doc_id", "text").mapInArrow(_deal(buckets), _DEALT)
+    read = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
+    dealt = read.mapInArrow(_deal(buckets), _DEALT)
     seen = stored(dealt.groupBy("bucket").applyInArrow(_shared_shingles, _SHARED), "jaccard-shared")
-    members = seen.where("items is null").select("doc_id", "sig", F.col("n").cast("long").alias("n_shingles"))
+    members = seen.where("items is null").select("doc_id", "text_key", "sig", F.col("n").cast("long").alias("n_shingles"))
     sizes = members.groupBy("sig").agg(F.min("n_shingles").cast("int").alias("n"))
     shared = seen.where("items is not null").groupBy("sig").agg(F.array_sort(F.flatten(F.collect_list("items"))).alias("items"))
     sets = shared.join(sizes, "sig").where("4 * size(items) >= 3 * n").select("sig", "n", "items")
     roots, counts = join_classes(stored(sets, "jaccard-sets"))
-    classes = members.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("class_id"))
+    some = members.where("n_shingles > 0")
+    classes = some.groupBy("sig").agg(F.min("doc_id").alias("class_id"))
     joined = stored(classes.join(roots.withColumnRenamed("v", "sig"), "sig", "left").join(counts, "sig", "left"), "jaccard-classes")
-    least = joined.where("root is not null").groupBy("root").agg(F.min("class_id").alias("_least"))
-    named = stored(join_hot(joined, least, "root", "left").select("sig", "class_id", F.coalesce("_least", "class_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "jaccard-named")
-    out = join_hot(members.where("n_shingles > 0"), named, "sig").select("doc_id", "n_shingles", "class_id", "component_id", "n_links")
-    alone = members.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    return out.unionByName(alone)
+    own = F.struct("class_id", "sig")
+    least = joined.where("root is not null").groupBy("root").agg(F.min(own).alias("_least"))
+    named = join_hot(joined, least, "root", "left").withColumn("_least", F.coalesce("_least", own))
+    named = named.select("sig", "class_id", F.col("_least.class_id").alias("component_id"), F.col("_least.sig").alias("component_key"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    out = join_hot(some, stored(named, "jaccard-named"), "sig").withColumnRenamed("sig", "class_key")
+    alone = members.where("n_shingles = 0").withColumns({"class_id": F.col("doc_id"), "component_id": F.col("doc_id"), "n_links": F.lit(0).cast("long")})
+    every = out.unionByName(alone.drop("sig"), allowMissingColumns=True)
+    known = {c: F.nullif(F.col(c), F.lit(NO_ID)) for c in ("doc_id", "class_id", "component_id")}
+    return every.withColumns(known).select("doc_id", "text_key", "n_shingles", "class_id", "class_key", "component_id", "component_key", "n_links")
+
+
+def representatives(found: DataFrame) -> DataFrame:
+    """(doc_id, text_key) of the rows of near_duplicates() that stay: one text for each component, and texts without words."""
+    first = found.where("n_shingles > 0 and class_key = component_key and doc_id <=> component_id")
+    one = first.groupBy("component_key").agg(F.min(F.struct("text_key", "doc_id")).alias("r")).select("r.doc_id", "r.text_key")
+    return one.unionByName(found.where("n_shingles = 0").select("doc_id", "text_key"))
 
 
 def op3_jaccard_join(spark, sf_dir):

@@ -6,7 +6,7 @@ functions only: no shuffle is needed for the ledger.
 
 Defined cases: a null or empty text has no words and fails `few_words`; repeated rows give repeated
 rows; an empty table gives an empty ledger; other columns of the input are carried along by `ledger`,
-but for those whose name it uses itself, which are replaced.
+but for those named like a measurement or `failed_bits`, which are replaced.
 """
 
 from __future__ import annotations
@@ -29,8 +29,9 @@ RULES = {
     "dup_lines": "100 * n_dup_lines > 30 * n_lines",
 }
 BASE = ("few_words", "repeats")
-POLICIES = {"v1": BASE, "v2": tuple(RULES)}
-CURRENT = "v2"
+#: v3 leaves the length of a text to the reader of the ledger: a clean text of any length stays.
+POLICIES = {"v1": BASE, "v2": tuple(RULES), "v3": tuple(r for r in RULES if r != "many_words")}
+CURRENT = "v3"
 
 
 def mask(rules) -> int:
@@ -59,23 +60,34 @@ def _span(p: Column) -> Column:
     return F.coalesce(F.aggregate(step, F.lit(0), lambda a, b: a + b), F.lit(0)).cast("long")
 
 
+def _free(names, columns) -> list[str]:
+    """names, each with as many underscores more as it takes not to be one of columns."""
+    out = []
+    for n in names:
+        while n in columns:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the measurements of MEASURES (long)."""
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n", -1), lambda x: F.length(F.translate(x, " \t\n\x0b\f\r", "")) > 0)
-    out = docs.withColumns({"_words": words(F.col(text)), "_lines": lines})
-    out = out.withColumn("_windows", _repeat_words(F.col("_words")))
-    out = out.withColumn("_again", _covered(F.col("_windows")))
+    w, ls, windows, again = _free(("_words", "_lines", "_windows", "_again"), docs.columns)
+    out = docs.withColumns({w: words(F.col(text)), ls: lines})
+    out = out.withColumn(windows, _repeat_words(F.col(w)))
+    out = out.withColumn(again, _covered(F.col(windows)))
     return out.withColumns(
         {
-            "n_words": F.size("_words").cast("long"),
+            "n_words": F.size(w).cast("long"),
             "word_chars": F.length(F.translate(t, " \t\n\x0b\f\r", "")).cast("long"),
             "n_symbols": (F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))).cast("long"),
-            "n_lines": F.size("_lines").cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_repeat_words": _span(F.col("_again")),
+            "n_lines": F.size(ls).cast("long"),
+            "n_dup_lines": (F.size(ls) - F.size(F.array_distinct(ls))).cast("long"),
+            "n_repeat_words": _span(F.col(again)),
         }
-    ).drop("_words", "_lines", "_windows", "_again")
+    ).drop(w, ls, windows, again)
 
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -121,7 +133,7 @@ def op7_quality_rules(spark, sf_dir):
     return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "failed_bits", "policy", fails(BASE).alias("base_failed"), "kept")
 
 
-_PASS = " AND ".join(f"NOT ({c})" for c in RULES.values())
+_PASS = " AND ".join(f"NOT ({RULES[r]})" for r in POLICIES[CURRENT])
 _BITS = " + ".join(f"CASE WHEN {c} THEN {1 << i} ELSE 0 END" for i, c in enumerate(RULES.values()))
 
 #: Relation `measured` over `source`: the measurements in DuckDB SQL.
