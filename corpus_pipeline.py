@@ -2,7 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a table that is written as Parquet and read as the next
 stage's docs. Every stage but the last returns the columns of documents (doc_id, text, lang, source, n_chars).
-Of repeated rows with one doc_id and equal texts, one row stays after the exact stage.
+
+Defined cases: documents are told apart by doc_id and text together, so texts that share a doc_id, also a null
+one, are documents of their own; of repeated rows with one doc_id and equal texts, one row stays after the exact
+stage; null and empty texts have no words and leave with the quality rules, of texts that a stage is
+given all the same the exact stage keeps one; texts of any length pass every stage whole; of ties in the near stage
+(equal sets under one doc_id) the text with the least hash stays; columns beside those of documents, whatever their
+names, are dropped by no stage but the last; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,33 +21,45 @@ from tidewheel.llm.shared import stored
 
 def quality_rules(spark, docs, sf_dir):
     """Keeps the documents that the current policy accepts."""
-    led = quality.ledger(docs.select("doc_id", "text", "lang", "source", "n_chars")).select(*docs.columns, "failed_bits")
+    led = quality.ledger(docs.select(F.col("text").alias("_text"), F.struct(*docs.columns).alias("_row")), "_text").select("_row.*", F.col("failed_bits").alias("_failed_bits"))
     # the ledger is stored before it is filtered: the optimiser would push the filter through the
     # measurements and expand them into each other
-    return stored(led, "pipeline-ledger").where(~quality.fails(quality.POLICIES[quality.CURRENT])).select(*docs.columns)
+    return stored(led, "pipeline-ledger").where(~quality.fails(quality.POLICIES[quality.CURRENT], "_failed_bits")).select(*docs.columns)
 
 
-def _rows_of(docs, kept_ids):
-    """docs whose doc_id is in kept_ids (distinct)."""
-    return docs.join(kept_ids, "doc_id", "left_semi").select(*docs.columns)
+def _rows_of(docs, kept):
+    """The rows of docs whose (doc_id, hash of the text) is in kept (doc_id, text_key)."""
+    kept = kept.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text"))
+    marked = docs.withColumn("_key", F.xxhash64("text"))
+    return marked.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_text")), "left_semi").select(*docs.columns)
 
 
 def exact_duplicates(spark, docs, sf_dir):
     """Keeps the row with the largest doc_id of each group of equal texts."""
-    kept = exact_dedup.classify(docs).where("kept").select("doc_id")
-    return _rows_of(docs, kept).dropDuplicates(["doc_id"]).select(*docs.columns)
+    kept = stored(exact_dedup.classify(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest")), "pipeline-kept")
+    marked = docs.withColumn("_sha", F.sha2(exact_dedup.normalised(F.col("text")), 256))
+    rows = marked.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_digest")), "left_semi")
+    again = kept.groupBy("_digest").count().where("count > 1").select(F.col("_digest").alias("_sha"))
+    if again.limit(1).count():  # rows that repeat with the doc_id that stays: one of each group
+        rows = rows.join(again, "_sha", "left_anti").unionByName(rows.join(again, "_sha", "left_semi").dropDuplicates(["_sha"]))
+    return rows.select(*docs.columns)
 
 
 def near_duplicates(spark, docs, sf_dir):
-    """Keeps the row with the smallest doc_id of each component of near duplicates."""
-    found = jaccard.near_duplicates(docs.select("doc_id", "text"))
-    return _rows_of(docs, found.where("doc_id = component_id").select("doc_id"))
+    """Keeps one row of each component of near duplicates, one with its smallest doc_id."""
+    return _rows_of(docs, jaccard.representatives(jaccard.near_duplicates(docs.select("doc_id", "text"))))
 
 
 def mix_sources(spark, docs, sf_dir):
     """Takes each document as many times as the mix does: copies are rows of their own."""
-    copies = mixing.mix(docs).where("copies > 0").select("doc_id", "copies")
-    times = docs.join(copies, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    keys = ["_id", "_text", "_source"]
+    taken = mixing.mix(docs).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text"), F.col("source").alias("_source"), "copies")
+    taken = stored(taken.groupBy(*keys).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")), "pipeline-copies")
+    marked = docs.withColumn("_key", F.xxhash64("text"))
+    if taken.where("_rows > 1").limit(1).count():  # rows that repeat: the first stands for all of them
+        marked = marked.dropDuplicates(["doc_id", "source", "_key"])
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_text")) & F.col("source").eqNullSafe(F.col("_source"))
+    times = marked.join(taken.where("_copies > 0"), same).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
     return times.select(*docs.columns)
 
 
