@@ -432,10 +432,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def representatives(found: DataFrame) -> DataFrame:
-    """(doc_id, text_key) of the rows of near_duplicates() that stay: one text for each component, and texts without words."""
+    """(component_key, doc_id, text_key): the text of each component of near_duplicates() that stays."""
     first = found.where("n_shingles > 0 and class_key = component_key and doc_id <=> component_id")
-    one = first.groupBy("component_key").agg(F.min(F.struct("text_key", "doc_id")).alias("r")).select("r.doc_id", "r.text_key")
-    return one.unionByName(found.where("n_shingles = 0").select("doc_id", "text_key"))
+    return first.groupBy("component_key").agg(F.min(F.struct("text_key", "doc_id")).alias("r")).select("component_key", "r.doc_id", "r.text_key")
+
+
+def left_out(found: DataFrame) -> DataFrame:
+    """The rows of near_duplicates() whose text another one of the component stands for; texts without words stay."""
+    one = representatives(found).select("component_key", F.col("doc_id").alias("_id"), F.col("text_key").alias("_text"))
+    rows = join_hot(found.where("n_shingles > 0"), one, "component_key")
+    return rows.where(~(F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_text")))).drop("_id", "_text")
 
 
 def op3_jaccard_join(spark, sf_dir):
