@@ -21,33 +21,36 @@ from tidewheel.llm.shared import stored
 
 def quality_rules(spark, docs, sf_dir):
     """Keeps the documents that the current policy accepts."""
-    led = quality.ledger(docs.select(F.col("text").alias("_text"), F.struct(*docs.columns).alias("_row")), "_text").select("_row.*", F.col("failed_bits").alias("_failed_bits"))
-    # the ledger is stored before it is filtered: the optimiser would push the filter through the
-    # measurements and expand them into each other
-    return stored(led, "pipeline-ledger").where(~quality.fails(quality.POLICIES[quality.CURRENT], "_failed_bits")).select(*docs.columns)
+    led = quality.ledger(docs.select(F.col("text").alias("_text"), F.struct(*docs.columns).alias("_row")), "_text")
+    # the row's number keeps the optimiser from pushing the filter through the measurements, which would expand them into each other
+    judged = led.select("_row", "failed_bits", F.monotonically_increasing_id().alias("_number"))
+    return judged.where(~quality.fails(quality.POLICIES[quality.CURRENT]) & (F.col("_number") >= 0)).select("_row.*")
 
 
-def _rows_of(docs, kept):
-    """The rows of docs whose (doc_id, hash of the text) is in kept (doc_id, text_key)."""
-    kept = kept.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text"))
-    marked = docs.withColumn("_key", F.xxhash64("text"))
-    return marked.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_text")), "left_semi").select(*docs.columns)
+def _without(docs, key, gone):
+    """docs but for the rows whose doc_id and key (a column) are in gone (doc_id, key; distinct); a long list is shuffled."""
+    gone = stored(gone.toDF("_id", "_gone"), "pipeline-gone")
+    rows = docs.withColumn("_key", key)
+    few = exact_dedup.bounded(gone, gone.count())
+    return rows.join(few, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_gone")), "left_anti")
 
 
 def exact_duplicates(spark, docs, sf_dir):
     """Keeps the row with the largest doc_id of each group of equal texts."""
-    kept = stored(exact_dedup.classify(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest")), "pipeline-kept")
-    marked = docs.withColumn("_sha", F.sha2(exact_dedup.normalised(F.col("text")), 256))
-    rows = marked.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_digest")), "left_semi")
-    again = kept.groupBy("_digest").count().where("count > 1").select(F.col("_digest").alias("_sha"))
+    found = stored(exact_dedup.classify(docs).select("doc_id", "text_sha256", "kept"), "pipeline-classes")
+    digest = F.sha2(exact_dedup.normalised(F.col("text")), 256)
+    rows = _without(docs, digest, found.where("not kept").select("doc_id", "text_sha256").distinct())
+    again = found.where("kept").groupBy(F.col("text_sha256").alias("_key")).count().where("count > 1").select("_key")
     if again.limit(1).count():  # rows that repeat with the doc_id that stays: one of each group
-        rows = rows.join(again, "_sha", "left_anti").unionByName(rows.join(again, "_sha", "left_semi").dropDuplicates(["_sha"]))
+        rows = rows.join(again, "_key", "left_anti").unionByName(rows.join(again, "_key", "left_semi").dropDuplicates(["_key"]))
     return rows.select(*docs.columns)
 
 
 def near_duplicates(spark, docs, sf_dir):
     """Keeps one row of each component of near duplicates, one with its smallest doc_id."""
-    return _rows_of(docs, jaccard.representatives(jaccard.near_duplicates(docs.select("doc_id", "text"))))
+    found = stored(jaccard.near_duplicates(docs.select("doc_id", "text")), "pipeline-near")
+    gone = jaccard.left_out(found).select("doc_id", "text_key").distinct()
+    return _without(docs, F.xxhash64("text"), gone).select(*docs.columns)
 
 
 def mix_sources(spark, docs, sf_dir):
