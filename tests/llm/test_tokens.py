@@ -46,26 +46,20 @@ def test_odd_texts(spark):
 @given(st.text(st.sampled_from("abthe n'sl12 \n<é漢!"), max_size=24))
 def test_every_prefix(text):
     lib, c = library_once(), prefix_counts.counter(prefix_counts.vocabulary())
-    table = c.table(text)
+    table, pieces = c.table(text), c.parts_of(text)
     assert len(table) == len(text.encode()) + 1
-    at = 0
-    for k in range(len(text) + 1):
-        # a prefix of a text is cut inside a piece; its own count is the one of the pieces before it and the cut piece
-        pieces, n = c.parts_of(text), 0
-        at = len(text[:k].encode())
-        for p in pieces:
-            size = len(p.encode())
-            if at <= size:
-                n += len(lib.encode(p.encode()[:at].decode(), add_special_tokens=False).ids) if at and p.isalpha() else 0
-                if at and not p.isalpha():
-                    n = None
-                break
-            at -= size
-            n += len(lib.encode(p, add_special_tokens=False).ids)
-        if n is not None:
-            assert table[len(text[:k].encode())] == n
-
-
+    before = tokens_before = 0
+    for p in pieces:  # of any kind: the merges of a prefix of a piece are those of its bytes alone
+        for k in range(1, len(p) + 1):
+            alone = lib.model.tokenize("".join(BYTES[x] for x in p[:k].encode()))
+            assert table[before + len(p[:k].encode())] == tokens_before + len(alone)
+        before, tokens_before = before + len(p.encode()), tokens_before + len(lib.encode(p, add_special_tokens=False).ids)
+    for limit in range(6):
+        size, n, cut = c.budget(text, limit)
+        assert (size, n) == (len(text.encode()), tokens_before) and cut == c.longest_within(text, limit)
+
+
+BYTES = {b: s for s, b in prefix_counts._byte_chars().items()}
 _LIB = []
 
 
@@ -84,6 +78,24 @@ def test_longest_within():
         text.encode()[:cut].decode()
 
 
+def test_memory_is_bounded():
+    c = prefix_counts.PrefixCounter(prefix_counts.vocabulary(), remember=50)
+    lib = library_once()
+    for i in range(400):
+        text = f"wörd{i} {i * i} zq{i}x"
+        assert c.budget(text, 512)[1] == len(lib.encode(text, add_special_tokens=False).ids)
+        assert len(c.known) <= 50 and len(c.apart) <= 50
+
+
+def test_empty_tables_and_texts_without_blanks(spark):
+    none = spark.createDataFrame([], "doc_id long, text string, source string")
+    for f in (prefix_counts.budget_report, prefix_counts.prefix_tables, byte_bpe.digests, byte_bpe.with_ids):
+        assert f(none).count() == 0
+    text = "漢字かな" * 40_000  # longer than a piece, without a safe place
+    enc = byte_bpe.encoding(byte_bpe.rank_file(), byte_bpe.pattern())
+    assert byte_bpe.encode(text, enc) == enc.encode_ordinary(text)
+
+
 def test_encode_round_trip(spark):
     enc = byte_bpe.encoding(byte_bpe.rank_file(), byte_bpe.pattern())
     for r in byte_bpe.digests(rows(spark)).collect():

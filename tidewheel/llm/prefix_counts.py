@@ -5,11 +5,13 @@ token t that ends at byte i is the one whose left neighbour, the last token of t
 stays apart from t when the two are merged anew. Storing the last token and the count for each prefix
 of a piece therefore gives the exact count at each of its bytes in one pass, without encoding any
 prefix. Pieces (matches of the pre-tokeniser's pattern) are independent, so the count at a prefix of a
-text is the count at the start of its piece plus the count inside the piece. Distinct pieces are
-solved once per task and remembered.
+text is the count at the start of its piece plus the count inside the piece. A piece that is a token is
+one, the counts of others are remembered up to a bound; tables inside pieces are made for the pieces asked for.
 
 Defined cases: null and empty texts have no tokens and one prefix, of 0 bytes; special strings inside
-texts are one token each, as in the library's default; repeated rows give repeated rows.
+texts are one token each, as in the library's default; repeated rows give repeated rows, null doc_ids stay null;
+texts of any length are counted whole; other columns of the input, whatever their names, are not read; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -42,7 +44,7 @@ def _byte_chars() -> dict[str, int]:
 class PrefixCounter:
     """The merges of a vocabulary file, and counts at every prefix of pieces and texts."""
 
-    def __init__(self, path: str, remember: int = 1_000_000):
+    def __init__(self, path: str, remember: int = 500_000):
         spec = json.load(open(path, encoding="utf-8"))
         chars = _byte_chars()
         raw = lambda s: bytes(chars[c] for c in s)
@@ -60,9 +62,12 @@ class PrefixCounter:
         self.pattern = regex.compile(BYTE_LEVEL)
         self.special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(special, key=len, reverse=True)) + ")") if special else None
         self.special_strings = special
-        self.pieces: dict[str, np.ndarray] = {}
+        #: At most `remember` entries each: pieces with their counts, and neighbours that were asked for. Reachable
+        #: tokens are as many as the vocabulary at most.
         self.remember = remember
+        self.known: dict[str, int] = {}
         self.apart: dict[tuple[int, int], bool] = {}
+        self.reachable: dict[int, bool] = {}
 
     def stays_apart(self, left: int, right: int) -> bool:
         """Whether left and right, next to each other, survive as two tokens when their bytes are merged anew.
@@ -88,29 +93,44 @@ class PrefixCounter:
             else:
                 limit, b = pb[2] + 1, pb[0]
                 # a merge across of the same rank starts further left and so comes first
+        if len(self.apart) >= self.remember:
+            self.apart.clear()
         self.apart[key] = out
         return out
 
-    def piece(self, data: bytes) -> np.ndarray:
-        """Token counts at the prefixes of 1..len(data) bytes of one piece."""
+    def _solve(self, data: bytes) -> list[int]:
+        """Token counts at the prefixes of 0..len(data) bytes of one piece."""
         n = len(data)
-        last, count = [-1] * (n + 1), np.zeros(n + 1, np.int32)
-        tokens, longest, apart = self.tokens, self.longest, self.stays_apart
+        last, count = [-1] * (n + 1), [0] * (n + 1)
+        get, longest, apart, known = self.tokens.get, self.longest, self.stays_apart, self.apart.get
         for i in range(1, n + 1):
-            for j in range(max(0, i - longest), i):
-                t = tokens.get(data[j:i])
+            for j in range(i - longest if i > longest else 0, i):
+                t = get(data[j:i])
                 if t is None:
                     continue
-                if self.whole(t, data[:i]) if j == 0 else apart(last[j], t):
+                if j == 0:
+                    ok = self.whole(t, data[:i])
+                elif (ok := known((last[j], t))) is None:
+                    ok = apart(last[j], t)
+                if ok:
                     last[i], count[i] = t, count[j] + 1
                     break
             if last[i] < 0:
                 raise ValueError(f"no encoding of {data[:i]!r}")
-        return count[1:]
+        return count
+
+    def piece(self, data: bytes) -> np.ndarray:
+        """Token counts at the prefixes of 1..len(data) bytes of one piece."""
+        return np.array(self._solve(data)[1:], np.int32)
 
-    @lru_cache(maxsize=None)  # noqa: B019  one counter lives as long as its worker
     def whole(self, token: int, data: bytes) -> bool:
-        """Whether merging data from its bytes on ends in this one token (a vocabulary can have unreachable entries)."""
+        """Whether merging the token's bytes (data) ends in this one token (a vocabulary can have unreachable entries)."""
+        out = self.reachable.get(token)
+        if out is None:
+            out = self.reachable[token] = self._merges_to(token, data)
+        return out
+
+    def _merges_to(self, token: int, data: bytes) -> bool:
         ids = [self.tokens[data[k : k + 1]] for k in range(len(data))]
         while len(ids) > 1:
             found = [(m[0], k, m[1]) for k in range(len(ids) - 1) if (m := self.rank.get((ids[k], ids[k + 1])))]
@@ -120,14 +140,25 @@ class PrefixCounter:
             ids[k : k + 2] = [merged]
         return ids == [token]
 
-    def solved(self, piece: str) -> np.ndarray:
-        got = self.pieces.get(piece)
-        if got is None:
-            if len(self.pieces) >= self.remember:
-                self.pieces.clear()
-            got = self.pieces[piece] = self.piece(piece.encode())
+    def count(self, piece: str) -> int:
+        """Tokens of a whole piece: one if it is a token itself, else what the prefix table ends with."""
+        data = piece.encode()
+        t = self.tokens.get(data)
+        n = 1 if piece in self.special_strings or (t is not None and self.whole(t, data)) else self._solve(data)[-1]
+        if len(self.known) >= self.remember:
+            self.known.clear()
+        self.known[piece] = n
+        return n
+
+    def counts(self, parts: list[str]) -> list[int]:
+        got = list(map(self.known.get, parts))
+        if None in got:
+            got = [self.count(p) if c is None else c for p, c in zip(parts, got, strict=True)]
         return got
 
+    def solved(self, piece: str) -> np.ndarray:
+        return self.piece(piece.encode())
+
     def parts_of(self, text: str) -> list[str]:
         """The text's pieces in order; special strings are pieces of their own."""
         if self.special is None or not any(s in text for s in self.special_strings):
@@ -157,10 +188,24 @@ class PrefixCounter:
     def ends(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Byte offsets and token counts at the ends of the pieces: the sparse form of the prefix table."""
         parts = self.parts_of(text or "")
-        solved = [self.solve_part(p) for p in parts]
-        size = np.fromiter(map(len, solved), np.int64, len(solved))
-        n = np.fromiter((c[-1] for c in solved), np.int64, len(solved))
-        return np.cumsum(size), np.cumsum(n)
+        return np.cumsum([len(p.encode()) for p in parts], dtype=np.int64), np.cumsum(self.counts(parts), dtype=np.int64)
+
+    def budget(self, text: str | None, limit: int) -> tuple[int, int, int]:
+        """Bytes, tokens, and the bytes of the longest prefix of at most limit tokens that ends between characters.
+
+        The piece in which the limit is reached is answered from its own prefix table."""
+        parts = self.parts_of(text or "")
+        counts = self.counts(parts)
+        total, size = sum(counts), len((text or "").encode())
+        if total <= limit:
+            return size, total, size
+        at, k = 0, 0
+        while at + counts[k] <= limit:
+            at, k = at + counts[k], k + 1
+        inner = self.solve_part(parts[k]).tolist()
+        data = parts[k].encode()
+        fits = next((i for i in range(len(data) - 1, 0, -1) if inner[i - 1] <= limit - at and data[i] & 0xC0 != 0x80), 0)
+        return size, total, sum(len(p.encode()) for p in parts[:k]) + fits
 
     def table(self, text: str | None) -> np.ndarray:
         """Token counts at all prefixes, of 0 to all bytes."""
@@ -217,24 +262,16 @@ def prefix_tables(docs: DataFrame, path: str | None = None) -> DataFrame:
 def budget_report(docs: DataFrame, limit: int = 512, path: str | None = None) -> DataFrame:
     """Per document: doc_id, n_bytes, n_tokens, over_limit, cut_bytes.
 
-    cut_bytes is the longest run of whole pieces from the start whose count is at most limit; it is
-    found by a binary search in the prefix table."""
+    cut_bytes is the longest prefix of at most limit tokens that ends between characters, from the prefix table."""
     path = path or vocabulary()
 
     def run(batches):
         c = counter(path)
         for b in batches:
-            size, n, cut = [], [], []
-            for t in b.column("text"):
-                ends, counts = c.ends(t.as_py())
-                size.append(int(ends[-1]) if len(ends) else 0)
-                n.append(int(counts[-1]) if len(counts) else 0)
-                k = int(np.searchsorted(counts, limit, "right"))
-                cut.append(int(ends[k - 1]) if k else 0)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").cast(pa.int64()), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_()), pa.array(cut, pa.int64())],
-                names=["doc_id", "n_bytes", "n_tokens", "over_limit", "cut_bytes"],
-            )
+            found = [c.budget(t.as_py(), limit) for t in b.column("text")]
+            size, n, cut = (pa.array([f[k] for f in found], pa.int64()) for k in range(3))
+            over = pa.array([f[1] > limit for f in found], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), size, n, over, cut], names=["doc_id", "n_bytes", "n_tokens", "over_limit", "cut_bytes"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, cut_bytes long")
 
