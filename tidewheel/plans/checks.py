@@ -45,12 +45,17 @@ def v02(spark, sf):
     return d.select("c_custkey", *[Q.verdict(F.col(r["name"]), r)["kind"].alias("k" + r["name"][0]) for r in RULES])
 
 
-@query("v03_policy_choice", """SELECT * FROM (VALUES ('bal', 'missing', 'drop_row'), ('bal', 'outlier', 'clip_to_range'), ('seg', 'missing', 'fill_default'), ('seg', 'outlier', 'set_null'), ('qty', 'missing', 'fill_zero'), ('qty', 'outlier', 'set_null'), ('code', 'missing', 'drop_row'), ('code', 'outlier', 'drop_row')) x(col, kind, policy)
-WHERE col IN (SELECT CASE n % 4 WHEN 0 THEN 'bal' WHEN 1 THEN 'seg' WHEN 2 THEN 'qty' ELSE 'code' END FROM (SELECT DISTINCT c_custkey % 4 AS n FROM customer))""")
+@query("v03_policy_choice", f"""WITH {_D}, long AS (SELECT c_custkey, 'bal' AS col, kb AS kind FROM v UNION ALL SELECT c_custkey, 'seg', ks FROM v UNION ALL SELECT c_custkey, 'qty', kq FROM v UNION ALL SELECT c_custkey, 'code', kc FROM v)
+SELECT c_custkey, col, kind, CASE WHEN col = 'bal' THEN CASE kind WHEN 'missing' THEN 'drop_row' ELSE 'clip_to_range' END WHEN col = 'code' THEN 'drop_row' WHEN kind = 'missing' THEN CASE col WHEN 'seg' THEN 'fill_default' ELSE 'fill_zero' END ELSE 'set_null' END AS policy
+FROM long WHERE kind IN ('missing', 'outlier')""")
 def v03(spark, sf):
-    rows = spark.createDataFrame([(r["name"], k, Q.policy(r, k)) for r in RULES for k in ("missing", "outlier")], "col string, kind string, policy string")
-    cols = table(spark, sf, "customer").select(F.element_at(F.array(*[F.lit(r["name"]) for r in RULES]), (F.col("c_custkey") % 4 + 1).cast("int")).alias("col")).distinct()
-    return rows.join(cols, "col", "left_semi")
+    """The policy for each issue found: the column's own if it names one, else the default of its kind. The choice is
+    made on the driver, per rule and kind, and goes into the plan as literals."""
+    d = dirty(spark, sf)
+    chosen = lambda r: F.create_map(*[F.lit(x) for k in ("missing", "outlier") for x in (k, Q.policy(r, k))])
+    issues = F.array(*[F.struct(F.lit(r["name"]).alias("col"), Q.verdict(F.col(r["name"]), r)["kind"].alias("kind"), chosen(r).alias("by")) for r in RULES])
+    found = d.select("c_custkey", F.inline(issues)).where("kind in ('missing', 'outlier')")
+    return found.select("c_custkey", "col", "kind", F.element_at("by", F.col("kind")).alias("policy"))
 
 
 @query("v04_fill_policies", f"WITH {_D} SELECT c_custkey, CASE WHEN ks = 'missing' THEN 'NONE' WHEN ks IS NULL THEN seg END AS seg, CASE WHEN kq = 'missing' THEN 0 WHEN kq IS NULL THEN q END AS qty FROM v")

@@ -1,13 +1,11 @@
-"""Composite table operators: nowcast, blending, station dimension, urgency, dispatch and serving."""
+"""Composite table operators: station dimension, demand projection and serving."""
 
 from __future__ import annotations
 
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.geo import haversine
-from .base import centers, forecast, population, query, seconds, stations, stock, table, weather
-from .measures import CLAMP_SQL, paths
+from .base import centers, forecast, query, seconds, stations, stock, table, weather
 from .scalar import hav_sql
 from .space import nearest
 
@@ -23,88 +21,6 @@ def c03(spark, sf):
     return best.where("x.temp is not null").groupBy(F.floor(F.col("x.avail") / 600).alias("slot"), "grid").agg(F.max("x.temp").alias("temp"))
 
 
-#: Weights of the same weekday 1..4 weeks back.
-WEEKS = {1: 0.4, 2: 0.3, 3: 0.2, 4: 0.1}
-
-
-def nowcast(actual, targets, keys, value, day="day"):
-    """Estimate per key and target day from the same weekday before it.
-
-    Weeks 1-4 weighted and renormalised over those present; else the nearest of weeks 5-8; else the mean of all
-    earlier days; else 0. One join on candidate days and one conditional aggregation; no join per week."""
-    long = targets.select(F.col(day).alias("target"), F.explode(F.sequence(F.lit(1), F.lit(8))).alias("week")).withColumn(day, F.col("target") - 7 * F.col("week"))
-    found = actual.join(F.broadcast(long), day).groupBy(*keys, "target").agg(
-        F.sum(F.when(F.col("week") <= 4, F.element_at(F.array(*[F.lit(x) for x in [*WEEKS.values(), 0.0, 0.0, 0.0, 0.0]]), F.col("week")) * F.col(value))).alias("_ws"),
-        F.sum(F.when(F.col("week") <= 4, F.element_at(F.array(*[F.lit(x) for x in [*WEEKS.values(), 0.0, 0.0, 0.0, 0.0]]), F.col("week")))).alias("_w"),
-        F.count_if(F.col("week") <= 4).alias("_n"),
-        F.min(F.when(F.col("week") > 4, F.struct("week", F.col(value).alias("v")))).alias("_ext"),
-    )
-    mean = actual.groupBy(*keys).agg(F.avg(value).alias("_mean"))
-    every = mean.crossJoin(F.broadcast(targets.select(F.col(day).alias("target")))).join(found, [*keys, "target"], "left")
-    method = F.when(F.col("_n") == 4, "weighted_avg").when(F.col("_n") > 0, "reweighted_avg").when(F.col("_ext").isNotNull(), "extended_lookback_fallback").when(F.col("_mean").isNotNull(), "historical_average_fallback").otherwise("zero_fallback")
-    est = F.when(F.col("_n") > 0, F.col("_ws") / F.col("_w")).otherwise(F.coalesce(F.col("_ext.v"), F.col("_mean"), F.lit(0.0)))
-    return every.select(*keys, "target", est.alias("estimate"), method.alias("method"))
-
-
-NOW_SQL = """act AS (SELECT cell, hour, day, max(spop) AS v FROM population GROUP BY ALL), tg AS (SELECT unnest(range({a}, {z})) AS target), wk(week, w) AS (VALUES (1, 0.4::DOUBLE), (2, 0.3), (3, 0.2), (4, 0.1), (5, 0), (6, 0), (7, 0), (8, 0)),
-f AS (SELECT cell, hour, target, sum(w * v) FILTER (WHERE week <= 4) AS ws, sum(w) FILTER (WHERE week <= 4) AS sw, count(*) FILTER (WHERE week <= 4) AS n, arg_min(v, week) FILTER (WHERE week > 4) AS ext FROM tg, wk JOIN act ON day = target - 7 * week GROUP BY ALL),
-m AS (SELECT cell, hour, avg(v) AS mean FROM act GROUP BY ALL),
-est AS (SELECT m.cell, m.hour, tg.target, round_even(CASE WHEN n > 0 THEN ws / sw ELSE coalesce(ext, mean) END, 6) AS estimate, CASE WHEN n = 4 THEN 'weighted_avg' WHEN n > 0 THEN 'reweighted_avg' WHEN ext IS NOT NULL THEN 'extended_lookback_fallback' ELSE 'historical_average_fallback' END AS method
-FROM m CROSS JOIN tg LEFT JOIN f ON f.cell = m.cell AND f.hour = m.hour AND f.target = tg.target)"""
-
-
-def hourly_actual(spark, sf):
-    return population(spark, sf).groupBy("cell", "hour", "day").agg(F.max("spop").alias("v"))
-
-
-def _nowcast(spark, sf, a, z):
-    days = spark.range(a, z).withColumnRenamed("id", "day")
-    return nowcast(hourly_actual(spark, sf), days, ["cell", "hour"], "v").withColumn("estimate", F.bround("estimate", 6))
-
-
-@query("c08_population_nowcast", f"WITH {NOW_SQL.format(a=19748, z=19765)} SELECT * FROM est")
-def c08(spark, sf):
-    return _nowcast(spark, sf, 19748, 19765)
-
-
-@query("c09_nowcast_day_loop", f"WITH {NOW_SQL.format(a=19748, z=19765)}, have AS (SELECT DISTINCT day FROM act WHERE day % 3 <> 0) SELECT * FROM est WHERE target NOT IN (SELECT day FROM have)")
-def c09(spark, sf):
-    have = population(spark, sf).where("day % 3 <> 0").select(F.col("day").alias("target")).distinct()
-    return _nowcast(spark, sf, 19748, 19765).join(have, "target", "left_anti")
-
-
-@query("c10_point_in_time_nowcast", f"WITH {NOW_SQL.format(a=19740, z=19745)} SELECT target, count(*)::BIGINT AS n, count(*) FILTER (WHERE method = 'reweighted_avg')::BIGINT AS reweighted FROM est GROUP BY ALL")
-def c10(spark, sf):
-    """Only days before the target are read: candidate days are target - 7, target - 14, ..."""
-    return _nowcast(spark, sf, 19740, 19745).groupBy("target").agg(F.count("*").alias("n"), F.count_if(F.col("method") == "reweighted_avg").alias("reweighted"))
-
-
-_OVER = "ov AS (SELECT cell, user AS poi, w, d, row_number() OVER (PARTITION BY cell ORDER BY d DESC, user) AS rn FROM (SELECT cell, hour AS user, (count(*) % 5) / 10.0 AS w, max(spop) AS d FROM population GROUP BY ALL))"
-
-
-@query("c11_grid_poi_blend", f"WITH RECURSIVE {_OVER}, b AS (SELECT cell, 0::BIGINT AS rn, 100.0::DOUBLE AS s FROM (SELECT DISTINCT cell FROM ov) UNION ALL SELECT b.cell, ov.rn, (1 - ov.w) * b.s + ov.w * ov.d FROM b JOIN ov ON ov.cell = b.cell AND ov.rn = b.rn + 1) SELECT cell, round_even(arg_max(s, rn), 6) AS s FROM b GROUP BY ALL")
-def c11(spark, sf):
-    """Each overlap replaces a share w of the cell's population by the area's density; large areas first."""
-    o = population(spark, sf).groupBy("cell", "hour").agg(((F.count("*") % 5) / 10.0).alias("w"), F.max("spop").alias("d"))
-    a = o.groupBy("cell").agg(F.array_sort(F.collect_list(F.struct((-F.col("d")).alias("o"), "hour", "w", "d"))).alias("a"))
-    return a.select("cell", F.bround(F.aggregate("a", F.lit(100.0), lambda s, x: (1 - x["w"]) * s + x["w"] * x["d"]), 6).alias("s"))
-
-
-@query("c12_age_sex_redistribution", "WITH t AS (SELECT cell, sum(spop::DECIMAL(18,2))::DOUBLE AS total, count(*) FILTER (WHERE event_id % 3 = 0) AS m, count(*) FILTER (WHERE event_id % 3 = 1 AND cell % 4 <> 0) AS f FROM population GROUP BY ALL) SELECT cell, round_even(total * CASE WHEN m + f = 0 OR cell = 3 THEN 0.5 ELSE m / (m + f) END, 4) AS male, round_even(total * CASE WHEN m + f = 0 OR cell = 3 THEN 0.5 ELSE f / (m + f) END, 4) AS female FROM t")
-def c12(spark, sf):
-    t = population(spark, sf).groupBy("cell").agg(F.sum(F.col("spop").cast("decimal(18,2)")).cast("double").alias("total"), F.count_if(F.col("event_id") % 3 == 0).alias("m"), F.count_if((F.col("event_id") % 3 == 1) & (F.col("cell") % 4 != 0)).alias("f"))
-    even = (F.col("m") + F.col("f") == 0) | (F.col("cell") == 3)
-    share = lambda k: F.when(even, 0.5).otherwise(F.try_divide(F.col(k), F.col("m") + F.col("f")))
-    return t.select("cell", F.bround(F.col("total") * share("m"), 4).alias("male"), F.bround(F.col("total") * share("f"), 4).alias("female"))
-
-
-@query("c13_forecast_hour_blend", "SELECT cell, h AS target, round_even(max(spop) * (1 - h / 20.0) + min(spop) * (h / 20.0), 6) AS s FROM population, (SELECT unnest(range(0, 13)) AS h) GROUP BY cell, h")
-def c13(spark, sf):
-    p = population(spark, sf).groupBy("cell").agg(F.max("spop").alias("hi"), F.min("spop").alias("lo"))
-    p = p.withColumn("target", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(12).cast("long"))))
-    return p.select("cell", "target", F.bround(F.col("hi") * (1 - F.col("target") / 20.0) + F.col("lo") * (F.col("target") / 20.0), 6).alias("s"))
-
-
 @query("c14_station_enrichment", "WITH live AS (SELECT s_suppkey AS station_id, s_suppkey % 25 + 5 AS capacity, CASE WHEN s_suppkey % 6 <> 0 THEN 37.5 + s_suppkey / 10000.0 END AS lat FROM supplier WHERE s_suppkey % 3 = 0) SELECT s.station_id, coalesce(l.capacity, s.capacity)::BIGINT AS capacity, coalesce(l.lat, s.lat) AS lat, floor(coalesce(l.lat, s.lat) / 0.01)::BIGINT AS cell FROM stations s LEFT JOIN live l USING (station_id)")
 def c14(spark, sf):
     k = F.col("s_suppkey")
@@ -131,104 +47,11 @@ def c16(spark, sf):
     return stock(spark, sf).select("station_id").distinct().withColumn("grid", F.col("station_id") % 34).join(grids, "grid", "left_semi").select("station_id")
 
 
-@query("c17_weather_projection", "WITH g AS (SELECT grid, obs_s // 3600 % 24 AS h, arg_max(temp, (base_s, event_id)) AS temp FROM weather WHERE temp IS NOT NULL GROUP BY ALL) SELECT grid, h, temp FROM g WHERE h < 13 AND grid IN (SELECT grid FROM g WHERE h < 13 GROUP BY grid HAVING count(*) = 13)")
-def c17(spark, sf):
-    g = weather(spark, sf).where("temp is not null").groupBy("grid", (F.floor(F.col("obs_s") / 3600) % 24).alias("h")).agg(F.max_by("temp", F.struct("base_s", "event_id")).alias("temp")).where("h < 13")
-    whole = g.groupBy("grid").count().where("count = 13").select("grid")
-    return g.join(whole, "grid", "left_semi").select("grid", "h", "temp")
-
-
-@query("c18_event_projection", "SELECT sha256('[\"' || o_orderkey || '\",\"' || o_custkey || '\"]') AS id, o_orderkey, c_nationkey AS place FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus = 'P' AND o_orderdate >= TIMESTAMP '1998-06-01'")
-def c18(spark, sf):
-    from ..functions.text import content_id
-
-    o = table(spark, sf, "orders").where("o_orderstatus = 'P' and o_orderdate >= timestamp_ntz'1998-06-01'")
-    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("place"))
-    return o.join(c, "o_custkey").select(content_id(F.col("o_orderkey"), F.col("o_custkey")).alias("id"), "o_orderkey", "place")
-
-
-@query("c19_gold_row_shaping", "SELECT event_id AS sta_id, epoch_us(ts) // 1000000 - 32400 AS utc_s, round_even(value, 1) AS score FROM events")
-def c19(spark, sf):
-    utc = F.col("s") - 32400  # the zone has no daylight saving time
-    return ev(spark, sf).select(F.col("event_id").alias("sta_id"), utc.alias("utc_s"), F.bround("value", 1).alias("score"))
-
-
-@query("c20_inference_features", "WITH l AS (SELECT station_id, arg_max(bikes, (tick, event_id)) AS bikes FROM stock GROUP BY ALL), t AS (SELECT user_id % 34 AS grid, hour(ts) AS h, max(value / 10) AS temp FROM events WHERE event_type = 'view' AND event_id % 13 <> 0 GROUP BY ALL), m AS (SELECT grid, max(temp) AS mean FROM t GROUP BY ALL) SELECT f.station_id, f.horizon, coalesce(t.temp, m.mean) AS temp, t.temp IS NULL AS fallback, CASE WHEN l.bikes <= 0 THEN 0.05 ELSE 1.0 END::DOUBLE AS exposure FROM forecast f LEFT JOIN l USING (station_id) LEFT JOIN t ON t.grid = f.station_id % 34 AND t.h = f.horizon LEFT JOIN m ON m.grid = f.station_id % 34")
-def c20(spark, sf):
-    l = stock(spark, sf).groupBy("station_id").agg(F.max_by("bikes", F.struct("tick", "event_id")).alias("bikes"))
-    t = weather(spark, sf).where("temp is not null").groupBy("grid", (F.floor(F.col("obs_s") / 3600) % 24).alias("horizon")).agg(F.max("temp").alias("temp"))
-    m = t.groupBy("grid").agg(F.max("temp").alias("mean"))
-    f = forecast(spark, sf).withColumn("grid", F.col("station_id") % 34)
-    out = f.join(l, "station_id", "left").join(t, ["grid", "horizon"], "left").join(m, "grid", "left")
-    return out.select("station_id", "horizon", F.coalesce("temp", "mean").alias("temp"), F.col("temp").isNull().alias("fallback"), F.when(F.col("bikes") <= 0, 0.05).otherwise(1.0).alias("exposure"))
-
-
 @query("c23_demand_projection", "SELECT station_id, horizon, 1706659200 + horizon * 3600 AS target_s, round_even(rent, 0)::BIGINT AS rent, round_even(ret, 0)::BIGINT AS ret FROM forecast")
 def c23(spark, sf):
     return forecast(spark, sf).select("station_id", "horizon", (1706659200 + F.col("horizon") * 3600).alias("target_s"), F.bround("rent", 0).cast("long").alias("rent"), F.bround("ret", 0).cast("long").alias("ret"))
 
 
-_URG = f"""{CLAMP_SQL}, u AS (SELECT station_id, min(horizon) FILTER (WHERE stock <= 2) AS crit, greatest(0, -min(total)) AS deficit FROM path GROUP BY station_id),
-urg AS (SELECT station_id, crit * 60 AS critical_min, CASE WHEN crit IS NULL THEN 0.0 ELSE round_even(100 * (1 - exp(-(deficit + 1) / 1.5)) * pow(2, -greatest(0, crit * 60 - 30) / 60.0), 1) END AS score, deficit FROM u)"""
-
-
-def urgency(spark, sf):
-    """C24: time to the critical stock, severity by the deepest deficit, one score from both."""
-    u = paths(spark, sf).groupBy("station_id").agg(F.min(F.when(F.col("stock") <= 2, F.col("horizon"))).alias("crit"), F.greatest(F.lit(0.0), -F.min("total")).alias("deficit"))
-    score = 100 * (1 - F.exp(-(F.col("deficit") + 1) / 1.5)) * F.pow(F.lit(2.0), -F.greatest(F.lit(0), F.col("crit") * 60 - 30) / 60.0)
-    return u.select("station_id", (F.col("crit") * 60).alias("critical_min"), F.when(F.col("crit").isNull(), 0.0).otherwise(F.bround(score, 1)).alias("score"), "deficit")
-
-
-@query("c24_urgency_score", f"WITH RECURSIVE {_URG} SELECT * FROM urg")
-def c24(spark, sf):
-    return urgency(spark, sf)
-
-
-_QTY = f"{_URG}, qty AS (SELECT station_id, score, least(20, greatest(0, ceil(deficit + 2)))::BIGINT AS qty FROM urg WHERE score > 0)"
-
-
-def quantity(spark, sf):
-    q = F.least(F.lit(20), F.greatest(F.lit(0), F.ceil(F.col("deficit") + 2))).cast("long")
-    return urgency(spark, sf).where("score > 0").select("station_id", "score", q.alias("qty"))
-
-
-@query("c25_move_quantity", f"WITH RECURSIVE {_QTY} SELECT * FROM qty")
-def c25(spark, sf):
-    return quantity(spark, sf)
-
-
-_DONE = "dn AS (SELECT user_id AS station_id, (count(*) % 9)::BIGINT AS done, max(event_type = 'error' AND epoch_us(ts) // 1000000 > 1706572800) AS cool FROM events GROUP BY ALL)"
-
-
-@query("c26_remaining_need", f"WITH RECURSIVE {_QTY}, {_DONE} SELECT station_id, greatest(0, qty - coalesce(done, 0))::BIGINT AS need FROM qty LEFT JOIN dn USING (station_id) WHERE NOT coalesce(cool, false)")
-def c26(spark, sf):
-    e = ev(spark, sf)
-    done = e.groupBy(F.col("user_id").alias("station_id")).agg((F.count("*") % 9).alias("done"), F.max((F.col("event_type") == "error") & (F.col("s") > 1706572800)).alias("cool"))
-    return quantity(spark, sf).join(done, "station_id", "left").where(~F.coalesce("cool", F.lit(False))).select("station_id", F.greatest(F.lit(0).cast("long"), F.col("qty") - F.coalesce("done", F.lit(0))).alias("need"))
-
-
-_TRUCK = f"{_QTY}, cum AS (SELECT *, station_id % 11 AS center, sum(qty) OVER (PARTITION BY station_id % 11 ORDER BY score DESC, station_id ROWS UNBOUNDED PRECEDING) AS hi FROM qty)"
-
-
-@query("c27_truck_loads", f"WITH RECURSIVE {_TRUCK} SELECT station_id, center, k AS truck, (least(hi, (k + 1) * 20) - greatest(hi - qty, k * 20))::BIGINT AS bikes FROM (SELECT *, unnest(range(((hi - qty) // 20)::BIGINT, ((hi - 1) // 20)::BIGINT + 1)) AS k FROM cum WHERE qty > 0)")
-def c27(spark, sf):
-    """Pickups in score order, cut into trucks of 20: a station's cumulative interval meets the trucks' intervals."""
-    w = W.partitionBy("center").orderBy(F.desc("score"), "station_id").rowsBetween(W.unboundedPreceding, 0)
-    c = quantity(spark, sf).where("qty > 0").withColumn("center", F.col("station_id") % 11).withColumn("hi", F.sum("qty").over(w))
-    c = c.withColumn("truck", F.explode(F.sequence(F.floor((F.col("hi") - F.col("qty")) / 20), F.floor((F.col("hi") - 1) / 20))))
-    bikes = F.least(F.col("hi"), (F.col("truck") + 1) * 20) - F.greatest(F.col("hi") - F.col("qty"), F.col("truck") * 20)
-    return c.select("station_id", "center", "truck", bikes.alias("bikes"))
-
-
-@query("c28_route_duration", f"WITH l AS (SELECT region, station_id, lat, lon, lag(lat) OVER w AS plat, lag(lon) OVER w AS plon FROM stations WINDOW w AS (PARTITION BY region ORDER BY station_id)), d AS (SELECT region, round_even(sum(coalesce(2 * 6371000.0 * asin(sqrt(least(1.0, pow(sin(radians(lat - plat) / 2), 2) + cos(radians(plat)) * cos(radians(lat)) * pow(sin(radians(lon - plon) / 2), 2)))), 0)) * 1.25 / 300 + count(*) * 4, 3) AS minutes FROM l GROUP BY ALL) SELECT region, minutes, minutes <= 2400 AS fits FROM d")
-def c28(spark, sf):
-    w = W.partitionBy("region").orderBy("station_id")
-    s = stations(spark, sf).withColumns({"plat": F.lag("lat").over(w), "plon": F.lag("lon").over(w)})
-    m = F.coalesce(haversine(F.col("plat"), F.col("plon"), F.col("lat"), F.col("lon")), F.lit(0.0))
-    d = s.groupBy("region").agg(F.bround(F.sum(m) * 1.25 / 300 + F.count("*") * 4, 3).alias("minutes"))
-    return d.withColumn("fits", F.col("minutes") <= 2400)
-
-
 @query("c29_station_list", "WITH l AS (SELECT station_id, arg_max(bikes, (tick, event_id)) AS bikes, max(tick) AS tick FROM stock GROUP BY ALL) SELECT s.station_id, l.bikes, CASE WHEN l.tick IS NULL THEN 'missing' WHEN 1706659200 - l.tick <= 7200 THEN 'ready' ELSE 'stale' END AS state FROM stations s LEFT JOIN l USING (station_id)")
 def c29(spark, sf):
     l = stock(spark, sf).groupBy("station_id").agg(F.max(F.struct("tick", "event_id", "bikes")).alias("x"))
@@ -243,14 +66,6 @@ def c30(spark, sf):
     return F.broadcast(d).join(e, "k", "left").select("k", F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.when(F.col("n").isNull(), "missing").when(F.col("z") < 1706659200 - 1800, "stale").otherwise("ready").alias("state"))
 
 
-@query("c31_weather_horizon", "WITH h AS (SELECT DISTINCT grid, obs_s // 3600 % 24 AS h FROM weather WHERE temp IS NOT NULL), g AS (SELECT grid, h, h - row_number() OVER (PARTITION BY grid ORDER BY h) AS k FROM h) SELECT s.station_id, count(g.h)::BIGINT AS hours, count(g.h) >= 12 AS complete FROM stations s LEFT JOIN g ON g.grid = s.station_id % 34 AND g.k = -1 GROUP BY ALL")
-def c31(spark, sf):
-    h = weather(spark, sf).where("temp is not null").select("grid", (F.floor(F.col("obs_s") / 3600) % 24).alias("h")).distinct()
-    g = h.withColumn("k", F.col("h") - F.row_number().over(W.partitionBy("grid").orderBy("h"))).where("k = -1").groupBy("grid").agg(F.count("*").alias("hours"))
-    s = stations(spark, sf).withColumn("grid", F.col("station_id") % 34).join(g, "grid", "left")
-    return s.select("station_id", F.coalesce("hours", F.lit(0).cast("long")).alias("hours")).withColumn("complete", F.col("hours") >= 12)
-
-
 @query("c32_route_aggregate", "WITH s AS (SELECT l_orderkey, count(*)::BIGINT AS stops, sum(l_quantity)::BIGINT AS bikes, min(l_linenumber) FILTER (WHERE l_returnflag = 'R') AS first_drop FROM lineitem GROUP BY ALL) SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey % 11, o_orderdate ORDER BY o_orderkey) AS no, coalesce(stops, 0)::BIGINT AS stops, bikes, first_drop FROM orders LEFT JOIN s ON l_orderkey = o_orderkey")
 def c32(spark, sf):
     s = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("stops"), F.sum("l_quantity").cast("long").alias("bikes"), F.min(F.when(F.col("l_returnflag") == "R", F.col("l_linenumber"))).alias("first_drop"))
@@ -286,26 +101,16 @@ def c35(spark, sf):
     return x.groupBy("day", "hh").agg(F.count("*").alias("c")).groupBy("day").agg(F.sum("c").alias("n"), F.count("*").alias("hours"))
 
 
-@query("c36_demand_model")
-def c36(spark, sf):
-    """Poisson regression with an exposure offset over hourly station features; fitted means, one row per feature row."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GeneralizedLinearRegression
-
-    from .rolling import features
-
-    f = features(spark, sf).fillna(0, ["lag_24h"]).withColumns({"y": F.col("target").cast("double"), "off": F.log("exposure"), "sinh": F.sin(F.floor(F.col("tick") / 3600) % 24 * 0.2618), "cosh": F.cos(F.floor(F.col("tick") / 3600) % 24 * 0.2618)})
-    rows = VectorAssembler(inputCols=["lag_24h", "recent", "sinh", "cosh"], outputCol="x").transform(f)
-    model = GeneralizedLinearRegression(family="poisson", link="log", featuresCol="x", labelCol="y", offsetCol="off", predictionCol="mu", maxIter=15, regParam=0.001).fit(rows)
-    return model.transform(rows).select("station_id", "tick", "y", F.bround("mu", 4).alias("mu"))
-
-
 @query("c37_quality_cache", "SELECT epoch_us(ts) // 86400000000 AS day, count(*)::BIGINT AS n, round_even(sum(pow(event_id * 7 % 11 - value / 10, 2)), 3) AS sq FROM events GROUP BY ALL")
 def c37(spark, sf):
-    """Only days that the cache lacks are evaluated; here the cache holds the even days."""
+    """Two runs over a stored cache: the first evaluates the days before its date, the second only days that the cache
+    lacks, which it adds."""
+    from ..sources import files as S
     from .measures import errors
 
-    e = errors(spark, sf).withColumn("q", F.pow(F.col("y") - F.col("mu"), 2))
-    state = lambda df: df.groupBy("day").agg(F.count("*").alias("n"), F.bround(F.sum("q"), 3).alias("sq"))
-    cached = state(e.where("day % 2 = 0"))
-    return cached.unionByName(state(e.join(cached.select("day"), "day", "left_anti")))
+    e, path = errors(spark, sf).withColumn("q", F.pow(F.col("y") - F.col("mu"), 2)), S.work_folder(spark, "quality")
+    state = lambda df: df.groupBy("day").agg(F.count("*").alias("n"), F.sum("q").alias("sq"))
+    state(e.where("day < 19738")).write.parquet(path)
+    cached = spark.read.parquet(path)
+    state(e.join(cached.select("day"), "day", "left_anti")).write.mode("append").parquet(path)
+    return spark.read.parquet(path).select("day", "n", F.bround("sq", 3).alias("sq"))

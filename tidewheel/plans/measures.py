@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources import files as S
 from .base import forecast, population, query, seconds, stock, table, trips, weather
 
 
@@ -122,14 +123,23 @@ def a12(spark, sf):
     return errors(spark, sf).groupBy("horizon").agg(F.bround(F.sqrt(F.avg(F.pow(F.col("y") - F.col("mu"), 2))), 6).alias("rmse"), F.bround(F.avg(inside), 6).alias("coverage"))
 
 
+#: Buckets of scores per unit.
+BUCKETS = 256
+
+
 @query("a13_split_conformal", f"WITH {_ERR}, s AS (SELECT horizon, greatest(mu - 2 - y, y - mu - 2) AS score, row_number() OVER (PARTITION BY horizon ORDER BY greatest(mu - 2 - y, y - mu - 2)) - 1 AS k, count(*) OVER (PARTITION BY horizon) AS n FROM err), q AS (SELECT *, (n - 1) * least(1.0, ceil((n + 1) * 0.8) / n) AS at_k FROM s) SELECT horizon, round_even(min(score) + (max(score) - min(score)) * (max(at_k) - floor(max(at_k))), 6) AS q FROM q WHERE k = floor(at_k) OR k = ceil(at_k) GROUP BY ALL")
 def a13(spark, sf):
     """Exact quantile at ceil((n + 1) * 0.8) / n of max(lo - y, y - hi), interpolated."""
     e = errors(spark, sf).withColumn("score", F.greatest(F.col("mu") - 2 - F.col("y"), F.col("y") - F.col("mu") - 2))
-    n = e.groupBy("horizon").agg(F.count("*").alias("n"))
-    w = W.partitionBy("horizon").orderBy("score", "event_id")
+    # counts per bucket of scores find the bucket that holds the wanted rank; only its rows are ranked one by one
+    e = e.withColumn("b", F.floor(F.col("score") * BUCKETS))
+    per = e.groupBy("horizon", "b").agg(F.count("*").alias("m"))
+    before = W.partitionBy("horizon").orderBy("b").rowsBetween(W.unboundedPreceding, -1)
+    per = per.withColumns({"before": F.coalesce(F.sum("m").over(before), F.lit(0)), "n": F.sum("m").over(W.partitionBy("horizon"))})
     at = (F.col("n") - 1) * F.least(F.lit(1.0), F.ceil((F.col("n") + 1) * F.lit(0.8)) / F.col("n"))
-    r = e.withColumn("k", F.row_number().over(w) - 1).join(n, "horizon").withColumn("at", at).where("k = floor(at) or k = ceil(at)")
+    per = per.withColumn("at", at).where("before <= ceil(at) and before + m > floor(at)")
+    w = W.partitionBy("horizon", "b").orderBy("score", "event_id")
+    r = e.join(per, ["horizon", "b"]).withColumn("k", F.col("before") + F.row_number().over(w) - 1).where("k = floor(at) or k = ceil(at)")
     lo, hi = F.min("score"), F.max("score")
     return r.groupBy("horizon").agg(F.bround(lo + (hi - lo) * (F.max("at") - F.floor(F.max("at"))), 6).alias("q"))
 
@@ -181,9 +191,9 @@ def a19(spark, sf):
     return n.groupBy("station_id").agg(F.max_by("bike_id", F.struct("n", -F.col("bike_id"))).alias("bike_id"))
 
 
-@query("a20_one_to_one_check", "SELECT 'forward' AS side, l_partkey AS id, count(DISTINCT l_suppkey)::BIGINT AS n FROM lineitem WHERE l_quantity > 49 GROUP BY ALL HAVING count(DISTINCT l_suppkey) > 1 UNION ALL SELECT 'back', l_suppkey, count(DISTINCT l_partkey) FROM lineitem WHERE l_quantity > 49 GROUP BY ALL HAVING count(DISTINCT l_partkey) > 1")
+@query("a20_one_to_one_check", "SELECT 'forward' AS side, l_partkey AS id, count(DISTINCT l_suppkey)::BIGINT AS n FROM lineitem GROUP BY ALL HAVING count(DISTINCT l_suppkey) > 1 UNION ALL SELECT 'back', l_suppkey, count(DISTINCT l_partkey) FROM lineitem GROUP BY ALL HAVING count(DISTINCT l_partkey) > 1")
 def a20(spark, sf):
-    p = table(spark, sf, "lineitem").where("l_quantity > 49").select("l_partkey", "l_suppkey").distinct()
+    p = table(spark, sf, "lineitem").select("l_partkey", "l_suppkey").distinct()
     one = lambda side, k: p.groupBy(F.col(k).alias("id")).agg(F.count("*").alias("n")).where("n > 1").select(F.lit(side).alias("side"), "id", "n")
     return one("forward", "l_partkey").unionByName(one("back", "l_suppkey"))
 
@@ -233,12 +243,28 @@ def a25(spark, sf):
     return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(a.alias("a")).select("l_orderkey", F.array_join(F.transform("a", lambda x: F.concat_ws(":", x["l_linenumber"], x["l_partkey"])), ",").alias("stops"))
 
 
-@query("a26_retrain_decision", f"WITH {_ERR}, m AS (SELECT horizon, sqrt(avg(pow(y - mu, 2))) AS rmse, avg((y BETWEEN mu - 2 AND mu + 2)::INT) AS cov FROM err GROUP BY ALL) SELECT horizon, rmse > 4.1 OR cov < 0.4 AS retrain, concat_ws(',', CASE WHEN rmse > 4.1 THEN 'rmse' END, CASE WHEN cov < 0.4 THEN 'coverage' END) AS reasons FROM m")
+_METRICS = "avg(pow(y - mu, 2)) {0} AS {1}mse, avg((y BETWEEN mu - 2 AND mu + 2)::INT) {0} AS {1}cov"
+
+
+@query(
+    "a26_retrain_decision",
+    f"""WITH {_ERR}, m AS (SELECT horizon, {_METRICS.format("FILTER (WHERE event_id IS NOT NULL)", "")}, {_METRICS.format("FILTER (WHERE day < 19738)", "old_")}, {_METRICS.format("FILTER (WHERE day >= 19738)", "new_")} FROM err GROUP BY ALL)
+SELECT horizon, sqrt(mse) > 4.1 OR cov < 0.4 AS retrain, concat_ws(',', CASE WHEN sqrt(mse) > 4.1 THEN 'rmse' END, CASE WHEN cov < 0.4 THEN 'coverage' END) AS reasons,
+  coalesce(new_mse <= old_mse AND new_cov >= old_cov - 0.02, false) AS promote, concat_ws(',', CASE WHEN new_mse IS NULL OR old_mse IS NULL THEN 'no_data' END, CASE WHEN new_mse > old_mse THEN 'rmse' END, CASE WHEN new_cov < old_cov - 0.02 THEN 'coverage' END) AS against FROM m""",
+)
 def a26(spark, sf):
-    inside = F.col("y").between(F.col("mu") - 2, F.col("mu") + 2).cast("int")
-    m = errors(spark, sf).groupBy("horizon").agg(F.sqrt(F.avg(F.pow(F.col("y") - F.col("mu"), 2))).alias("rmse"), F.avg(inside).alias("cov"))
-    reasons = F.array_compact(F.array(F.when(F.col("rmse") > 4.1, F.lit("rmse")), F.when(F.col("cov") < 0.4, F.lit("coverage"))))
-    return m.select("horizon", (F.size(reasons) > 0).alias("retrain"), F.array_join(reasons, ",").alias("reasons"))
+    """Whether a model is to be trained again, and whether the challenger (late days) may replace the champion (early days)."""
+    e = errors(spark, sf).withColumns({"sq": F.pow(F.col("y") - F.col("mu"), 2), "inside": F.col("y").between(F.col("mu") - 2, F.col("mu") + 2).cast("int")})
+    old, new = F.col("day") < 19738, F.col("day") >= 19738
+    m = e.groupBy("horizon").agg(
+        *[F.avg(c).alias(n) for c, n in (("sq", "mse"), ("inside", "cov"))],
+        *[F.avg(F.when(when, F.col(c))).alias(f"{k}_{n}") for k, when in (("old", old), ("new", new)) for c, n in (("sq", "mse"), ("inside", "cov"))],
+    )
+    said = lambda pairs: F.array_join(F.array_compact(F.array(*[F.when(c, F.lit(n)) for c, n in pairs])), ",")
+    weak = [(F.sqrt("mse") > 4.1, "rmse"), (F.col("cov") < 0.4, "coverage")]
+    worse = [(F.col("new_mse").isNull() | F.col("old_mse").isNull(), "no_data"), (F.col("new_mse") > F.col("old_mse"), "rmse"), (F.col("new_cov") < F.col("old_cov") - 0.02, "coverage")]
+    promote = F.coalesce((F.col("new_mse") <= F.col("old_mse")) & (F.col("new_cov") >= F.col("old_cov") - 0.02), F.lit(False))
+    return m.select("horizon", (weak[0][0] | weak[1][0]).alias("retrain"), said(weak).alias("reasons"), promote.alias("promote"), said(worse).alias("against"))
 
 
 @query("a27_category_list", "SELECT event_type, row_number() OVER (ORDER BY event_type) AS code FROM (SELECT DISTINCT event_type FROM events)")
@@ -265,10 +291,10 @@ def w09(spark, sf):
     return s.join(m, "station_id").where("tick > z - 172800").groupBy("station_id").agg(F.when(F.countDistinct("tick") >= 2, F.coalesce(F.bround(F.regr_slope("bikes", x), 6), F.lit(0.0))).otherwise(0.0).alias("slope"))
 
 
-def paths(spark, sf):
+def paths(spark, sf, start=None):
     """Per station and horizon: running net flow, and the stock clamped at 0 in each step, in closed form."""
     w = W.partitionBy("station_id").orderBy("horizon").rowsBetween(W.unboundedPreceding, 0)
-    f = forecast(spark, sf).withColumn("start", (F.col("station_id") % 15).cast("double"))
+    f = forecast(spark, sf).withColumn("start", (F.col("station_id") % 15 if start is None else start).cast("double"))
     f = f.withColumn("total", F.col("start") + F.sum(F.col("ret") - F.col("rent")).over(w))
     lowest = F.least(F.lit(0.0), F.min("total").over(w))
     return f.withColumns({"stock": F.col("total") - lowest, "spread": F.sqrt(F.sum(F.col("ret") + F.col("rent")).over(w))})
@@ -331,7 +357,11 @@ def w17(spark, sf):
 @query("w18_even_date_shards", "SELECT d, ntile(7) OVER (ORDER BY d) AS shard FROM (SELECT DISTINCT o_orderdate::DATE AS d FROM orders)")
 def w18(spark, sf):
     d = table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("d")).distinct()
-    return d.select("d", F.ntile(7).over(W.orderBy("d")).cast("long").alias("shard"))
+    """The first n % 7 shards have one date more; places come from range partitions, so no task holds all dates."""
+    placed, n = S.placed(d, ["d"]), d.count()
+    small, more = n // 7, n % 7
+    shard = F.when(F.col("place") < more * (small + 1), F.floor(F.col("place") / (small + 1))).otherwise(more + F.floor((F.col("place") - more * (small + 1)) / max(1, small)))
+    return placed.select("d", (shard + 1).cast("long").alias("shard"))
 
 
 _REPLAY = "x AS (SELECT station_id, start_s AS t, -1 AS delta, event_id FROM trips UNION ALL SELECT end_station_id, end_s, 1, event_id FROM trips WHERE end_s IS NOT NULL), r AS (SELECT station_id, t, 40 + sum(delta) OVER (PARTITION BY station_id ORDER BY t, delta, event_id ROWS UNBOUNDED PRECEDING) AS bikes, lead(t) OVER (PARTITION BY station_id ORDER BY t, delta, event_id) - t AS held FROM x)"

@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import clock, geo, text
+from ..sources.files import first_few
 from .base import centers, query, seconds, stations, stock, table
 
 _RAIN = "CASE event_id % 6 WHEN 0 THEN 'none' WHEN 1 THEN 'under 1mm' WHEN 2 THEN '30.0~50.0mm' WHEN 3 THEN (event_id % 40) || '.5mm' WHEN 4 THEN (event_id % 9) || 'cm' ELSE 'heavy' END"
@@ -199,20 +200,19 @@ def p27(spark, sf):
     return events(spark, sf).groupBy(F.pmod(F.crc32(F.encode(F.col("user_id").cast("string"), "UTF-8")), F.lit(16)).alias("shard")).agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
 
 
-@query("p33_occupancy", "SELECT event_id, round_even(bikes / nullif(capacity - 20, 0), 6) AS rate FROM stock")
+@query("p33_occupancy", "SELECT event_id, round_even(bikes / nullif(capacity, 0), 6) AS rate FROM stock")
 def p33(spark, sf):
-    return stock(spark, sf).select("event_id", F.bround(F.try_divide("bikes", F.col("capacity") - 20), 6).alias("rate"))
+    return stock(spark, sf).select("event_id", F.bround(F.try_divide("bikes", "capacity"), 6).alias("rate"))
 
 
 @query("p29_sort_truncate_slots", "SELECT user_id, list_slice(list_sort(list(event_id)), 1, 12) AS slots, len(list_slice(list_sort(list(event_id)), 1, 12)) AS n FROM events GROUP BY user_id")
 def p29(spark, sf):
-    a = F.slice(F.array_sort(F.collect_list("event_id")), 1, 12)
-    return events(spark, sf).groupBy("user_id").agg(a.alias("slots")).withColumn("n", F.size("slots").cast("long"))
+    return first_few(events(spark, sf), "user_id", "event_id", 12, "slots").withColumn("n", F.size("slots").cast("long"))
 
 
-@query("p30_slots_to_rows", "WITH s AS (SELECT event_id, epoch_us(ts) // 1000000 AS s, value FROM events WHERE event_id % 10 = 0) SELECT event_id, s + k * 3600 AS target, round_even(value * k, 3) AS lo, round_even(value * k + 1, 3) AS hi FROM s, (SELECT unnest(range(0, 14)) AS k) WHERE k > 0 AND k <= 12")
+@query("p30_slots_to_rows", "WITH s AS (SELECT event_id, epoch_us(ts) // 1000000 AS s, value FROM events) SELECT event_id, s + k * 3600 AS target, round_even(value * k, 3) AS lo, round_even(value * k + 1, 3) AS hi FROM s, (SELECT unnest(range(0, 14)) AS k) WHERE k > 0 AND k <= 12")
 def p30(spark, sf):
-    e = events(spark, sf).where("event_id % 10 = 0")
+    e = events(spark, sf)
     slots = F.transform(F.sequence(F.lit(0), F.lit(13)), lambda k: F.struct((F.col("s") + k * 3600).alias("target"), F.bround(F.col("value") * k, 3).alias("lo"), F.bround(F.col("value") * k + 1, 3).alias("hi")))
     return e.select("event_id", "s", F.inline(slots)).where("target > s and target <= s + 43200").drop("s")
 

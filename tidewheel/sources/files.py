@@ -2,20 +2,54 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the cluster's shared directory (spark.checkpoint.dir); a temporary one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
+    """A new folder in the cluster's shared directory, spark.checkpoint.dir."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        raise ValueError("spark.checkpoint.dir names the folder that driver and executors share; set it")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Parts into which the rows of one key or date are dealt before they are put together.
+PARTS = 64
+
+
+def first_few(df: DataFrame, key: str, value: str, n: int, out: str) -> DataFrame:
+    """(key, out): the n least values of each key, ascending.
+
+    Ranked in PARTS parts of a key first, of which n rows each go on, so a key of any size meets in no task."""
+    part = F.pmod(F.xxhash64(value), F.lit(PARTS))
+    rank = lambda *keys: F.row_number().over(W.partitionBy(*keys).orderBy(value))
+    some = df.select(key, value, part.alias("_part")).withColumn("_k", rank(key, "_part")).where(F.col("_k") <= n)
+    return some.withColumn("_k", rank(key)).where(F.col("_k") <= n).groupBy(key).agg(F.array_sort(F.collect_list(value)).alias(out))
+
+
+def placed(df: DataFrame, keys: list[str]) -> DataFrame:
+    """df with `place`, the row's place (from 0) in the order of keys over the whole table: range partitions in the
+    shared folder, and the sums of the sizes of earlier ones, one number per partition, as literals."""
+    spark, path = df.sparkSession, work_folder(df.sparkSession, "order")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    at = F.monotonically_increasing_id()
+    df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_at", at).write.parquet(path)
+    part = F.shiftright("_at", 33)
+    rows = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("_at", T.LongType())])).parquet(path)
+    total, bases = 0, []
+    for p, m in sorted((r.p, r.m) for r in rows.groupBy(part.alias("p")).agg(F.count("*").alias("m")).collect()):
+        bases.append((p, total))
+        total += m
+    base = F.broadcast(spark.createDataFrame(bases, "_part long, _base long"))  # a row per partition
+    place = F.col("_base") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.withColumn("_part", part).join(base, "_part").withColumn("place", place).drop("_part", "_base", "_at")
+
+
 def write_by_date(df: DataFrame, path: str, date: str = "date", order: tuple = (), mode: str = "overwrite") -> None:
     """One file per date, sorted inside; with mode overwrite only the written dates are replaced."""
     out = df.repartition(F.col(date)).sortWithinPartitions(date, *order)
