@@ -5,7 +5,7 @@ from __future__ import annotations
 from . import checks, composites, dispatch, measures, models, people, rolling, scalar, sets, space, storage, streams
 from .base import ORACLES, QUERIES
 
-MODULES = (checks, composites, measures, rolling, scalar, sets, space, storage, streams)
+MODULES = (checks, composites, dispatch, measures, models, people, rolling, scalar, sets, space, storage, streams)
 
 
 def flagship(spark, sf_dir):
