@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import rolling as R
-from .base import query, seconds, stock, table, trips, weather
+from .base import forecast, population, query, seconds, stations, stock, table, trips, weather
 
 _SPANS = """c AS (SELECT station_id, greatest(((start_s + 2400) // 1200) * 1200 + 1200, ((end_s + 1199) // 1200) * 1200) AS a, ((start_s + 6000) // 1200) * 1200 AS z FROM trips WHERE end_s IS NOT NULL),
 d AS (SELECT station_id, a AS tick FROM c WHERE a <= z UNION SELECT station_id, z + 1200 FROM c WHERE a <= z)"""
@@ -107,7 +107,7 @@ def v24(spark, sf):
 def clean_trips(spark, sf):
     """C01: one trip per bike and start, known start stations only, unknown return stations null."""
     t = trips(spark, sf)
-    known = F.broadcast(t.select("station_id").distinct())  # at most 20 stations by construction
+    known = t.select("station_id").distinct()
     once = t.groupBy("bike_id", "start_s").agg(F.min(F.struct("event_id", "station_id", "end_station_id", "end_s")).alias("t")).select("bike_id", "start_s", "t.*")
     ret = known.select(F.col("station_id").alias("end_station_id"), F.lit(True).alias("_k"))
     return once.join(known, "station_id").join(ret, "end_station_id", "left").select("event_id", "bike_id", "station_id", "start_s", "end_s", F.when(F.col("_k"), F.col("end_station_id")).alias("end_station_id"))
@@ -134,19 +134,47 @@ def j02(spark, sf):
     return t.join(known, "end_station_id", "left").select("event_id", F.when(F.col("_k"), F.col("end_station_id")).alias("end_station_id"))
 
 
+#: Days [first, last) for which targets are built.
+TARGET_DAYS = (19730, 19740)
+
+
 @query("c05_targets", f"""WITH {CLEAN_SQL}, o AS (SELECT station_id, start_s // 3600 * 3600 AS tick, count(*)::BIGINT AS rentals FROM clean GROUP BY ALL),
 i AS (SELECT end_station_id AS station_id, end_s // 3600 * 3600 AS tick, count(*)::BIGINT AS returns FROM clean WHERE end_station_id IS NOT NULL AND end_s IS NOT NULL GROUP BY ALL)
-SELECT station_id, tick, coalesce(rentals, 0)::BIGINT AS rentals, coalesce(returns, 0)::BIGINT AS returns FROM o FULL JOIN i USING (station_id, tick)""")
+SELECT station_id, tick, coalesce(rentals, 0)::BIGINT AS rentals, coalesce(returns, 0)::BIGINT AS returns FROM o FULL JOIN i USING (station_id, tick) WHERE tick >= {TARGET_DAYS[0]} * 86400 AND tick < {TARGET_DAYS[1]} * 86400""")
 def c05(spark, sf):
-    c = clean_trips(spark, sf)
+    """Trips lie in partitions of the day they arrived on, up to a day from their start or end: the days before and
+    after the range are read too, and the events' own times decide."""
+    from ..sources import files as S
+
+    path, (first, last) = S.work_folder(spark, "trips-by-arrival"), TARGET_DAYS
+    arrived = F.floor(F.coalesce("end_s", "start_s") / 86400).cast("long")
+    S.write_by_date(clean_trips(spark, sf).withColumn("arrival_day", arrived), path, "arrival_day")
+    c = spark.read.parquet(path).where(f"arrival_day >= {first - 1} and arrival_day < {last + 1}")
     both = c.select("station_id", "start_s", F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(c.where("end_station_id is not null and end_s is not null").select(F.col("end_station_id").alias("station_id"), F.col("end_s").alias("start_s"), F.lit(0).alias("o"), F.lit(1).alias("i")))
+    both = both.where(f"start_s >= {first * 86400} and start_s < {last * 86400}")
     return both.groupBy("station_id", R.tick_floor(F.col("start_s"), 3600).alias("tick")).agg(F.sum("o").alias("rentals"), F.sum("i").alias("returns"))
 
 
-FEATURE_SQL = f"""{FUTURE_SQL}, {CENSORED_SQL}, st AS (SELECT user_id % 20 AS station_id, epoch_us(ts) // 3600000000 * 3600 AS tick, arg_min(floor(value)::BIGINT % 40, (epoch_us(ts), event_id)) AS bikes FROM events GROUP BY ALL),
+#: Days since 1970 that are holidays: 2024-01-01 and 2024-01-15 (fixed values).
+HOLIDAYS = (19723, 19737)
+RETURN_SQL = """rt AS (SELECT end_station_id AS station_id, end_s AS start_s FROM trips WHERE end_s IS NOT NULL), rf AS (SELECT station_id, ((start_s - 3600) // 1200) * 1200 + 1200 AS a, (start_s // 1200) * 1200 AS z FROM rt),
+rg AS (SELECT station_id, a AS tick FROM rf UNION SELECT station_id, z + 1200 FROM rf),
+ret AS (SELECT rg.station_id, rg.tick, count(t.start_s)::BIGINT AS count FROM rg LEFT JOIN rt t ON t.station_id = rg.station_id AND t.start_s >= rg.tick AND t.start_s < rg.tick + 3600 GROUP BY ALL)"""
+_CAL = "(({t} // 60) % 1440)::SMALLINT AS minute, (({t} // 86400 + 3) % 7)::SMALLINT AS dow, (CASE WHEN ({t} // 86400 + 3) % 7 >= 5 OR {t} // 86400 IN (19723, 19737) THEN 1 ELSE 0 END)::SMALLINT AS is_holiday, ({t} // 86400 - 10957)::SMALLINT AS day"
+FEATURE_SQL = f"""{FUTURE_SQL}, {CENSORED_SQL}, {RETURN_SQL}, st AS (SELECT user_id % 20 AS station_id, epoch_us(ts) // 3600000000 * 3600 AS tick, arg_min(floor(value)::BIGINT % 40, (epoch_us(ts), event_id)) AS bikes FROM events GROUP BY ALL),
+we AS (SELECT grid, obs_s // 3600 * 3600 AS at, max(temp) AS temp, max(precip) AS precip FROM weather WHERE temp IS NOT NULL GROUP BY ALL),
+pp AS (SELECT cell, day, hour, max(spop) AS pop FROM population GROUP BY ALL),
 h AS (SELECT * FROM fut WHERE tick % 3600 = 0),
-feat AS (SELECT h.station_id, h.tick, h.count AS target, b.count AS lag_24h, coalesce(c.count, 0)::INTEGER AS recent, CASE WHEN st.bikes <= 0 THEN 0.05 ELSE 1.0 END::DOUBLE AS exposure
-  FROM h LEFT JOIN fut b ON b.station_id = h.station_id AND b.tick = h.tick - 86400 LEFT JOIN st ON st.station_id = h.station_id AND st.tick = h.tick ASOF LEFT JOIN cens c ON c.station_id = h.station_id AND h.tick >= c.tick)"""
+h1 AS (SELECT h.*, c.count AS recent FROM h ASOF LEFT JOIN cens c ON c.station_id = h.station_id AND h.tick >= c.tick),
+h2 AS (SELECT h1.*, r.count AS returns FROM h1 ASOF LEFT JOIN ret r ON r.station_id = h1.station_id AND h1.tick >= r.tick),
+h3 AS (SELECT h2.*, h2.tick - 3600 AS lag_tick FROM h2),
+h4 AS (SELECT h3.*, r.count AS return_lag FROM h3 ASOF LEFT JOIN ret r ON r.station_id = h3.station_id AND h3.lag_tick >= r.tick),
+h5 AS (SELECT h4.*, h4.station_id % 34 AS grid FROM h4),
+h6 AS (SELECT h5.*, CASE WHEN h5.tick - w.at <= 10800 THEN w.temp END AS temp, CASE WHEN h5.tick - w.at <= 10800 THEN w.precip END AS precip FROM h5 ASOF LEFT JOIN we w ON w.grid = h5.grid AND h5.tick >= w.at),
+feat AS (SELECT h.station_id, h.tick, s.capacity, s.lat, s.lon, h.temp, h.precip, pp.pop AS pop_total, {_CAL.format(t="h.tick")},
+  h.count AS rental_count, coalesce(h.returns, 0)::BIGINT AS return_count, coalesce(h.recent, 0)::INTEGER AS rental_lag_1h, coalesce(h.return_lag, 0)::INTEGER AS return_lag_1h, b.count AS lag_24h, CASE WHEN st.bikes <= 0 THEN 0.05 ELSE 1.0 END::DOUBLE AS exposure
+  FROM h6 h LEFT JOIN fut b ON b.station_id = h.station_id AND b.tick = h.tick - 86400 LEFT JOIN st ON st.station_id = h.station_id AND st.tick = h.tick LEFT JOIN stations s ON s.station_id = h.station_id
+  LEFT JOIN pp ON pp.cell = h.station_id % 25 AND pp.day = h.tick // 86400 AND pp.hour = (h.tick // 3600) % 24)"""
 
 
 def hourly_stock(spark, sf):
@@ -155,14 +183,37 @@ def hourly_stock(spark, sf):
     return s.groupBy("station_id", "tick").agg(F.min_by("bikes", F.struct("ts", "event_id")).alias("bikes"))
 
 
+def calendar(t):
+    """minute of the day, dow (Monday 0), is_holiday and day (since 2000-01-01) of epoch seconds, as small integers."""
+    day, dow = F.floor(t / 86400), (F.floor(t / 86400) + 3) % 7
+    off = F.when((dow >= 5) | day.isin(*HOLIDAYS), 1).otherwise(0)
+    return [c.cast("smallint").alias(n) for n, c in (("minute", F.floor(t / 60) % 1440), ("dow", dow), ("is_holiday", off), ("day", day - 10957))]
+
+
+def hourly_weather(spark, sf):
+    """Weather on the hour grid: an observation holds for three hours at most."""
+    w = weather(spark, sf).where("temp is not null").groupBy("grid", R.tick_floor(F.col("obs_s"), 3600).alias("at")).agg(F.max("temp").alias("temp"), F.max("precip").alias("precip"))
+    return R.forward_fill(w, 3600, 10800, "grid", "at", ["temp", "precip"])
+
+
 def features(spark, sf):
+    """The feature table: station constants, weather, population, calendar, both targets, point-in-time lags, exposure."""
     t = trips(spark, sf)
     f = R.future_counts(t)
-    h = R.exact_lag(f.where("tick % 3600 = 0"), "count", 86400, "_none").drop("_none")
-    lag = f.select("station_id", (F.col("tick") + 86400).alias("tick"), F.col("count").alias("lag_24h"))
-    recent = R.as_of(R.censored_counts(t), h.select("station_id", "tick")).withColumnRenamed("count", "recent")
-    out = h.join(lag, ["station_id", "tick"], "left").join(recent, ["station_id", "tick"]).join(hourly_stock(spark, sf), ["station_id", "tick"], "left")
-    return out.select("station_id", "tick", F.col("count").alias("target"), "lag_24h", F.col("recent").cast("int").alias("recent"), F.when(F.col("bikes") <= 0, 0.05).otherwise(1.0).alias("exposure"))
+    h = f.where("tick % 3600 = 0").withColumnRenamed("count", "rental_count")
+    at = h.select("station_id", "tick")
+    back = R.future_counts(t.where("end_s is not null").select("event_id", F.col("end_station_id").alias("station_id"), F.col("end_s").alias("start_s")))
+    now = R.as_of(back, at).withColumnRenamed("count", "return_count")
+    hour_ago = R.as_of(back, at.withColumn("tick", F.col("tick") - 3600)).select("station_id", (F.col("tick") + 3600).alias("tick"), F.col("count").cast("int").alias("return_lag_1h"))
+    day_ago = f.select("station_id", (F.col("tick") + 86400).alias("tick"), F.col("count").alias("lag_24h"))
+    recent = R.as_of(R.censored_counts(t), at).select("station_id", "tick", F.col("count").cast("int").alias("rental_lag_1h"))
+    pop = population(spark, sf).groupBy("cell", (F.col("day") * 86400 + F.col("hour") * 3600).alias("tick")).agg(F.max("spop").alias("pop_total"))
+    keys = ["station_id", "tick"]
+    out = h.join(now, keys).join(hour_ago, keys).join(recent, keys).join(day_ago, keys, "left").join(hourly_stock(spark, sf), keys, "left")
+    out = out.withColumns({"grid": F.col("station_id") % 34, "cell": F.col("station_id") % 25}).join(hourly_weather(spark, sf), ["grid", "tick"], "left").join(pop, ["cell", "tick"], "left")
+    out = out.join(stations(spark, sf).select("station_id", "capacity", "lat", "lon"), "station_id", "left")
+    exposure = F.when(F.col("bikes") <= 0, 0.05).otherwise(1.0).alias("exposure")
+    return out.select(*keys, "capacity", "lat", "lon", "temp", "precip", "pop_total", *calendar(F.col("tick")), "rental_count", "return_count", "rental_lag_1h", "return_lag_1h", "lag_24h", exposure)
 
 
 @query("c06_feature_table", f"WITH {FEATURE_SQL} SELECT * FROM feat")
@@ -170,10 +221,69 @@ def c06(spark, sf):
     return features(spark, sf)
 
 
-@query("c07_multi_horizon_table", f"WITH {FEATURE_SQL}, hh AS (SELECT unnest(range(1, 13))::INTEGER AS horizon) SELECT x.station_id, x.tick, x.lag_24h, x.recent, x.exposure, hh.horizon, y.target AS target_target FROM feat x, hh JOIN feat y ON y.station_id = x.station_id AND y.tick = x.tick + (hh.horizon - 1) * 3600")
+_AT_TARGET = ("temp", "precip", "pop_total", "minute", "dow", "is_holiday", "day", "exposure", "rental_count", "return_count")
+
+
+@query("c07_multi_horizon_table", f"WITH {FEATURE_SQL}, hh AS (SELECT unnest(range(1, 13))::INTEGER AS horizon) SELECT x.station_id, x.tick, x.capacity, x.lat, x.lon, x.rental_lag_1h, x.return_lag_1h, hh.horizon, {', '.join(f'y.{c} AS target_{c}' for c in _AT_TARGET)} FROM feat x, hh JOIN feat y ON y.station_id = x.station_id AND y.tick = x.tick + (hh.horizon - 1) * 3600")
 def c07(spark, sf):
     f = features(spark, sf)
-    return R.horizons(f.drop("target"), f.select("station_id", "tick", "target"), values=("target",))
+    anchors = f.select("station_id", "tick", "capacity", "lat", "lon", "rental_lag_1h", "return_lag_1h")
+    return R.horizons(anchors, f, values=_AT_TARGET)
+
+
+#: The inference anchor (2024-01-20 00:00).
+ANCHOR = 1705708800
+
+
+def _c20_sql():
+    from .dispatch import FC_SQL
+
+    return f"""WITH {CENSORED_SQL}, {FUTURE_SQL}, {FC_SQL}, l AS (SELECT station_id, arg_max(bikes, (tick, event_id)) AS bikes FROM stock WHERE tick <= {ANCHOR} GROUP BY ALL),
+seen AS (SELECT grid, arg_max(temp, (obs_s, event_id)) AS temp FROM weather WHERE temp IS NOT NULL AND obs_s <= {ANCHOR} GROUP BY ALL),
+live AS (SELECT cell, day, hour, max(spop) AS pop FROM population WHERE estimated GROUP BY ALL), prof AS (SELECT cell, hour, max(spop) AS pop FROM population WHERE day < {ANCHOR // 86400} GROUP BY ALL),
+lg AS (SELECT station_id, arg_max(count, tick) AS n FROM cens WHERE tick <= {ANCHOR} GROUP BY ALL), lp AS (SELECT station_id, (tick // 3600) % 24 AS hour, max(count) AS n FROM fut WHERE tick % 3600 = 0 AND tick < {ANCHOR} GROUP BY ALL),
+x AS (SELECT station_id, horizon, {ANCHOR} + horizon * 3600 AS t FROM forecast)
+SELECT x.station_id, x.horizon, {_CAL.format(t="x.t")}, round_even(coalesce(p.temp, seen.temp), 6) AS temp, CASE WHEN p.temp IS NOT NULL THEN 'forecast' WHEN seen.temp IS NOT NULL THEN 'observed' ELSE 'missing' END AS temp_from,
+  coalesce(live.pop, prof.pop) AS pop_total, CASE WHEN live.pop IS NOT NULL THEN 'live' WHEN prof.pop IS NOT NULL THEN 'profile' ELSE 'missing' END AS pop_from, coalesce(lg.n, lp.n, 0)::BIGINT AS rental_lag_1h, lg.n IS NULL AS lag_fallback, CASE WHEN l.bikes <= 0 THEN 0.05 ELSE 1.0 END::DOUBLE AS exposure
+FROM x LEFT JOIN l USING (station_id) LEFT JOIN pick p ON p.grid = x.station_id % 34 AND p.h = x.t // 3600 LEFT JOIN seen ON seen.grid = x.station_id % 34
+LEFT JOIN live ON live.cell = x.station_id % 25 AND live.day = x.t // 86400 AND live.hour = (x.t // 3600) % 24 LEFT JOIN prof ON prof.cell = x.station_id % 25 AND prof.hour = (x.t // 3600) % 24
+LEFT JOIN lg ON lg.station_id = x.station_id LEFT JOIN lp ON lp.station_id = x.station_id AND lp.hour = ({ANCHOR} // 3600) % 24"""
+
+
+@query("c20_inference_features", _c20_sql())
+def c20(spark, sf):
+    """Station x horizon at one anchor: weather of the target hour from the forecast, else the last observation; population
+    of the target hour as published, else its profile before the anchor; the censored count at the anchor, else the
+    station's profile of the hour, each with the source it came from; exposure from the last stock."""
+    from .dispatch import forecast_hours
+
+    x = forecast(spark, sf).select("station_id", "horizon", (ANCHOR + F.col("horizon") * 3600).alias("t"))
+    x = x.withColumns({"grid": F.col("station_id") % 34, "cell": F.col("station_id") % 25, "h": F.floor(F.col("t") / 3600), "day_": F.floor(F.col("t") / 86400), "hour": F.floor(F.col("t") / 3600) % 24})
+    picked = forecast_hours(spark, sf).select("grid", "h", F.col("temp").alias("ahead"))
+    seen = weather(spark, sf).where(f"temp is not null and obs_s <= {ANCHOR}").groupBy("grid").agg(F.max_by("temp", F.struct("obs_s", "event_id")).alias("seen"))
+    p = population(spark, sf)
+    live = p.where("estimated").groupBy("cell", F.col("day").alias("day_"), "hour").agg(F.max("spop").alias("live"))
+    prof = p.where(f"day < {ANCHOR // 86400}").groupBy("cell", "hour").agg(F.max("spop").alias("prof"))
+    t = trips(spark, sf)
+    lag = R.censored_counts(t).where(f"tick <= {ANCHOR}").groupBy("station_id").agg(F.max_by("count", "tick").alias("lag"))
+    usual = R.future_counts(t).where(f"tick % 3600 = 0 and tick < {ANCHOR} and floor(tick / 3600) % 24 = {ANCHOR // 3600 % 24}").groupBy("station_id").agg(F.max("count").alias("usual"))
+    bikes = stock(spark, sf).where(f"tick <= {ANCHOR}").groupBy("station_id").agg(F.max_by("bikes", F.struct("tick", "event_id")).alias("bikes"))
+    out = x.join(picked, ["grid", "h"], "left").join(seen, "grid", "left").join(live, ["cell", "day_", "hour"], "left").join(prof, ["cell", "hour"], "left")
+    for by in (lag, usual, bikes):
+        out = out.join(by, "station_id", "left")
+    first = lambda a, b, na, nb: F.when(F.col(a).isNotNull(), na).when(F.col(b).isNotNull(), nb).otherwise("missing")
+    return out.select(
+        "station_id",
+        "horizon",
+        *calendar(F.col("t")),
+        F.bround(F.coalesce("ahead", "seen"), 6).alias("temp"),
+        first("ahead", "seen", "forecast", "observed").alias("temp_from"),
+        F.coalesce("live", "prof").alias("pop_total"),
+        first("live", "prof", "live", "profile").alias("pop_from"),
+        F.coalesce("lag", "usual", F.lit(0).cast("long")).alias("rental_lag_1h"),
+        F.col("lag").isNull().alias("lag_fallback"),
+        F.when(F.col("bikes") <= 0, 0.05).otherwise(1.0).alias("exposure"),
+    )
 
 
 @query("p26_exposure", "SELECT event_id, CASE WHEN bikes <= 0 THEN 0.05 ELSE 1.0 END::DOUBLE AS exposure FROM stock")
