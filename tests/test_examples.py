@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tidewheel.functions import clock, geo, text
 from tidewheel.operators import rolling as R
 from tidewheel.operators import rules as Q
-from tidewheel.plans.composites import nowcast
+from tidewheel.plans.people import nowcast
 from tidewheel.sources import files as S
 
 T0 = 1_700_000_400 // 1200 * 1200
@@ -40,7 +40,7 @@ def test_forward_fill_staleness(spark):
 def test_nowcast_examples(spark):
     def run(values):
         actual = spark.createDataFrame([("c", 700 - 7 * week, v) for week, v in values.items()], "cell string, day long, v double")
-        return nowcast(actual, spark.createDataFrame([(700,)], "day long"), ["cell"], "v").first()
+        return nowcast(actual, 700, 701, ["cell"], "v").first()
 
     r = run({1: 100.0, 2: 200.0, 3: 300.0, 4: 400.0})
     assert (r.estimate, r.method) == (pytest.approx(200.0), "weighted_avg")

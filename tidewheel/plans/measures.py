@@ -228,7 +228,7 @@ def a23(spark, sf):
 def c38(spark, sf):
     c = cells(spark, sf)
     state = F.when(F.col("cand") < F.col("base"), "resolved").when(F.col("cand") > F.col("base"), "new").otherwise("same")
-    return c.withColumns({"delta": F.col("cand") - F.col("base"), "state": state}).drop("base", "cand").join(F.broadcast(a22(spark, sf).select("minutes", "reduction")), "minutes").select("cell", "minutes", "delta", "reduction", "state")
+    return c.withColumns({"delta": F.col("cand") - F.col("base"), "state": state}).drop("base", "cand").join(a22(spark, sf).select("minutes", "reduction"), "minutes").select("cell", "minutes", "delta", "reduction", "state")
 
 
 @query("a24_publication_summary", "SELECT event_type, count(*)::BIGINT AS n, min(epoch_us(ts) // 1000000) AS first_s, max(epoch_us(ts) // 1000000) AS last_s, count(DISTINCT user_id)::BIGINT AS stations, count(DISTINCT user_id) * 12 AS expected, count(*) >= count(DISTINCT user_id) * 12 AS complete FROM events GROUP BY ALL")
@@ -274,7 +274,12 @@ def a27(spark, sf):
 
 @query("w07_next_observation", "SELECT event_id, lead(obs_s) OVER (PARTITION BY grid ORDER BY obs_s, event_id) AS next_s FROM weather")
 def w07(spark, sf):
-    return weather(spark, sf).select("event_id", F.lead("obs_s").over(W.partitionBy("grid").orderBy("obs_s", "event_id")).alias("next_s"))
+    """Rows are ordered within a grid's day; the last one of a day takes the first one of the grid's next day that has any."""
+    o = weather(spark, sf).withColumn("day", F.floor(F.col("obs_s") / 86400))
+    days = o.groupBy("grid", "day").agg(F.min("obs_s").alias("first"))
+    days = days.withColumn("after", F.lead("first").over(W.partitionBy("grid").orderBy("day"))).drop("first")
+    inside = F.lead("obs_s").over(W.partitionBy("grid", "day").orderBy("obs_s", "event_id"))
+    return o.withColumn("inside", inside).join(days, ["grid", "day"]).select("event_id", F.coalesce("inside", "after").alias("next_s"))
 
 
 @query("w08_leading_invalid_run", "SELECT user_id, (coalesce(min(rn) FILTER (WHERE event_type <> 'error'), count(*) + 1) - 1)::BIGINT AS run FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS rn FROM events) GROUP BY ALL")
@@ -370,8 +375,13 @@ _REPLAY = "x AS (SELECT station_id, start_s AS t, -1 AS delta, event_id FROM tri
 def replay(spark, sf):
     t = trips(spark, sf)
     x = t.select("station_id", F.col("start_s").alias("t"), F.lit(-1).alias("delta"), "event_id").unionByName(t.where("end_s is not null").select(F.col("end_station_id").alias("station_id"), F.col("end_s").alias("t"), F.lit(1).alias("delta"), "event_id"))
-    w = W.partitionBy("station_id").orderBy("t", "delta", "event_id")
-    return x.select("station_id", "t", (40 + F.sum("delta").over(w.rowsBetween(W.unboundedPreceding, 0))).alias("bikes"), (F.lead("t").over(w) - F.col("t")).alias("held"))
+    # running sums within a station's day; what earlier days leave and the next day's first time come from sums per day
+    x = x.withColumn("day", F.floor(F.col("t") / 86400))
+    w, days = W.partitionBy("station_id", "day").orderBy("t", "delta", "event_id"), W.partitionBy("station_id").orderBy("day")
+    per = x.groupBy("station_id", "day").agg(F.sum("delta").alias("moved"), F.min("t").alias("first"))
+    per = per.select("station_id", "day", F.coalesce(F.sum("moved").over(days.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.lead("first").over(days).alias("after"))
+    x = x.withColumns({"inside": F.sum("delta").over(w.rowsBetween(W.unboundedPreceding, 0)), "next": F.lead("t").over(w)}).join(per, ["station_id", "day"])
+    return x.select("station_id", "t", (40 + F.col("before") + F.col("inside")).alias("bikes"), (F.coalesce("next", "after") - F.col("t")).alias("held"))
 
 
 @query("w21_stock_replay", f"WITH {_REPLAY} SELECT station_id, coalesce(sum(held) FILTER (WHERE bikes <= 0), 0)::BIGINT AS empty_s, coalesce(sum(held) FILTER (WHERE bikes < 0), 0)::BIGINT AS negative_s, min(bikes)::BIGINT AS lowest FROM r GROUP BY ALL")

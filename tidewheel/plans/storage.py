@@ -183,17 +183,19 @@ def s20(spark, sf):
     return S.signature(table(spark, sf, "events"), ["user_id"], ["event_id", "event_type"])
 
 
-@query("s21_cold_bundle")
+@query("s21_cold_bundle", """WITH d AS (SELECT strftime(ts, '%Y-%m-%d') AS dt, string_agg('{"event_id":' || event_id || ',"user_id":' || user_id || '}' || chr(10), '' ORDER BY event_id) AS body FROM events GROUP BY ALL)
+SELECT dt, strlen(body)::INTEGER AS bytes, sha256(body) AS sha256, CASE WHEN dt > '2024-01-20' THEN 'new' WHEN dt = '2024-01-05' THEN 'changed' ELSE 'same' END AS state FROM d""")
 def s21(spark, sf):
     """One row per raw object: key parts, bytes, hash; objects whose bytes changed against the earlier inventory are flagged."""
     path = S.work_folder(spark, "raw")
     e = ev(spark, sf).withColumn("dt", F.to_date("ts"))
-    e.select(F.to_json(F.struct("event_id", "value")).alias("value"), "dt").repartition("dt").write.partitionBy("dt").text(path)
+    rows = e.repartition("dt").sortWithinPartitions("dt", "event_id").select(F.to_json(F.struct("event_id", "user_id")).alias("value"), "dt")
+    rows.write.partitionBy("dt").text(path)
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(path)
     now = raw.select(F.regexp_extract("path", r"dt=([0-9-]+)", 1).alias("dt"), F.length("content").alias("bytes"), F.sha2("content", 256).alias("sha"))
     before = now.withColumn("sha", F.when(F.col("dt") == "2024-01-05", F.lit("x")).otherwise(F.col("sha"))).where("dt <= '2024-01-20'").select("dt", F.col("sha").alias("old"))
     state = F.when(F.col("old").isNull(), "new").when(F.col("old") == F.col("sha"), "same").otherwise("changed")
-    return now.join(before, "dt", "left").select("dt", "bytes", state.alias("state"))
+    return now.join(before, "dt", "left").select("dt", "bytes", F.col("sha").alias("sha256"), state.alias("state"))
 
 
 @query("s22_retention_candidates", "SELECT o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '2000-01-01' AND o_orderkey IN (SELECT l_orderkey FROM lineitem) AND o_orderstatus <> 'P'")

@@ -59,14 +59,29 @@ def t08(spark, sf):
     return J.newest(J.replay(spark, c), ["user_id"], "g", "t08")
 
 
-@query("t04_late_data_replay", "SELECT ts::DATE AS date, count(*)::BIGINT AS n FROM events GROUP BY ALL")
+#: The first run's time; rows within the embargo before a run are left to the next one.
+FIRST_RUN, EMBARGO = 19730 * 86400, 2400
+
+
+@query(
+    "t04_late_data_replay",
+    f"""WITH a AS (SELECT epoch_us(ts) // 3600000000 AS hour, epoch_us(ts) // 1000000 + CASE event_id % 50 WHEN 7 THEN 5400 WHEN 8 THEN 72000 ELSE 0 END AS arrival FROM events)
+SELECT hour, count(*)::BIGINT AS n FROM a WHERE (hour <= {FIRST_RUN // 3600 - 2} AND arrival <= {FIRST_RUN}) OR (hour = {FIRST_RUN // 3600 - 1} AND arrival <= {FIRST_RUN + 3600}) OR (hour BETWEEN {FIRST_RUN // 3600} AND {FIRST_RUN // 3600 + 22} AND arrival <= {FIRST_RUN + 86400}) GROUP BY ALL""",
+)
 def t04(spark, sf):
-    """Rows that come after their day was written: the days they touch are written again as a whole."""
-    path, e = S.work_folder(spark, "late"), table(spark, sf, "events").withColumn("date", F.to_date("ts"))
-    S.write_by_date(e.where("event_id % 50 <> 7"), path)
-    late = e.where("event_id % 50 = 7")
-    S.write_by_date(e.join(F.broadcast(late.select("date").distinct()), "date", "left_semi"), path)
-    return spark.read.parquet(path).groupBy("date").agg(F.count("*").alias("n"))
+    """Hourly partitions kept up by three runs: the first load, a replay of the two hours before the second run, and one
+    of the 24 hours before the third. A run sees what has arrived by then, leaves the last 40 minutes to the next
+    one, and overwrites only the hours of its window, so late rows enter with the replay that covers their hour."""
+    path = S.work_folder(spark, "late")
+    s = seconds("ts")
+    late = F.when(F.col("event_id") % 50 == 7, 5400).when(F.col("event_id") % 50 == 8, 72000).otherwise(0)
+    e = table(spark, sf, "events").select("event_id", F.floor(s / 3600).alias("hour"), (s + late).alias("arrival"))
+    for run, back in ((FIRST_RUN, None), (FIRST_RUN + 3600, 7200), (FIRST_RUN + 86400, 86400)):
+        window = e.where((F.col("arrival") <= run) & ((F.col("hour") + 1) * 3600 <= run - EMBARGO))
+        if back is not None:
+            window = window.where(F.col("hour") * 3600 >= run - back)
+        S.write_by_date(window, path, "hour")
+    return spark.read.parquet(path).groupBy(F.col("hour").cast("long").alias("hour")).agg(F.count("*").alias("n"))
 
 
 @query("t05_incremental_equals_full", f"WITH {FUTURE_SQL} SELECT * FROM fut WHERE tick < 1706400000")
@@ -86,6 +101,7 @@ def t05(spark, sf):
 @query("t11_retry_queue", "SELECT u.user_id, d.day FROM (SELECT DISTINCT user_id FROM events) u, (SELECT DISTINCT epoch_us(ts) // 86400000000 AS day FROM events) d WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.user_id = u.user_id AND epoch_us(e.ts) // 86400000000 = d.day)")
 def t11(spark, sf):
     got = table(spark, sf, "events").select("user_id", F.floor(seconds("ts") / 86400).alias("day")).distinct()
-    span = got.agg(F.min("day").alias("a"), F.max("day").alias("z")).select(F.explode(F.sequence("a", "z")).alias("day"))
-    planned = got.select("user_id").distinct().crossJoin(F.broadcast(span))
+    first, last = got.agg(F.min("day"), F.max("day")).first()
+    days = F.sequence(F.lit(first), F.lit(last)) if first is not None else F.array().cast("array<bigint>")
+    planned = got.select("user_id").distinct().withColumn("day", F.explode(days))
     return planned.join(got, ["user_id", "day"], "left_anti")

@@ -11,15 +11,21 @@ from pyspark.sql import functions as F
 from ..sources.files import work_folder
 
 
+#: Rows of a replayed file.
+ROWS_PER_FILE = 1_000_000
+
+
 def replay(spark: SparkSession, df: DataFrame, files: int = 4, order: str = "ts") -> DataFrame:
-    """df as a stream in order of time: written as successive files of the shared folder, read one per micro-batch."""
+    """df as a stream in order of time: slices of about equal size are written one after the other to the shared folder,
+    each in as many files as its rows ask for, and a micro-batch takes that many files."""
     path, at = work_folder(spark, "stream-input"), F.unix_timestamp(F.col(order))
+    per_slice = max(1, -(-df.count() // (files * ROWS_PER_FILE)))
     cuts = df.select(at.cast("double").alias("t")).approxQuantile("t", [k / files for k in range(1, files)], 0.01) if files > 1 else []
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
         part = df if low is None else df.where(at > low)
         part = part if high is None else part.where(at <= high)
-        part.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        part.repartition(per_slice).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", per_slice).parquet(path)
 
 
 def finished(stream: DataFrame, name: str) -> DataFrame:
