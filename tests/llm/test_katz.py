@@ -102,6 +102,14 @@ def test_odd_rows(spark):
     compare(spark, docs.repartition(3))
 
 
+def test_null_ids_are_training_texts(spark):
+    docs = spark.createDataFrame([(None, "a b c"), (1, "a b"), (2, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in katz.score(docs, katz.fit(docs, 1)).collect()}
+    assert set(got) == {None, 1, 2} and not got[None].held_out
+    n = 4 + sum(len(tokens(t)) for d, t in ((1, "a b"), (2, None)) if not held(d))
+    assert {r.train_tokens for r in got.values()} == {n} and got[None].n_known == got[None].n_tokens == 4
+
+
 def test_empty_and_untrained(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert katz.score(none, katz.fit(none)).count() == 0

@@ -16,8 +16,10 @@ the data has no Good-Turing estimate (a count of counts is 0 or the ratio leaves
 
 How it runs: tasks turn blocks of texts into their distinct bigrams and deal them by context into
 buckets, counts for training, occurrences for scoring; so what is shuffled are a block's distinct
-bigrams and not its tokens. The tables `unigrams` (word, c) and `bigrams` (bucket, context, word, c, word's c),
-the latter partitioned by bucket, are in the shared folder. A scoring bucket holds whole contexts and
+bigrams and not its tokens. The tables `unigrams` (word, c), `bigrams` (a packed record of contexts, words and
+counts per bucket, partitioned by bucket) and `words` (bucket, word, c: the counts of the words in which a bucket's
+bigrams end) are in the shared folder; so bigrams are moved once, by context, and never joined row by row
+with the lower order. A scoring bucket holds whole contexts and
 resolves P(w | h) for its bigrams, and P(w) and log10 alpha for its words as contexts of the next token:
 log10 P(text) = sum of [log10 alpha(h) + log10 P(w)] + sum over kept bigrams of
 [log10 P(w | h) - log10 alpha(h) - log10 P(w)]. Contexts with a large share of all tokens are spread over
@@ -25,7 +27,9 @@ buckets by their next word; there are at most HOT_PER_BUCKET times as many of th
 only for those the driver knows alpha. Words are known by their 64-bit hash.
 
 Defined cases: null and empty texts are one end token; without training texts all words are unknown with
-probability 1; repeated rows are texts of their own; an empty table gives an empty result.
+probability 1; repeated rows are texts of their own; null doc_ids are training texts and stay null; texts of any
+length are scored whole; other columns of the input, whatever their names, are not read; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,6 +38,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,8 +55,12 @@ FOLDS, HELD_OUT = 7, 2
 START, END = (int(x) for x in word_hashes(["<s> ", "</s> "]).view(np.int64))
 
 
+#: Stands for a null doc_id inside; a document with this id gets null. A null doc_id is not held out.
+NO_ID = (1 << 63) - 1
+
+
 def held_out(doc_id: int) -> bool:
-    return zlib.crc32(str(doc_id).encode()) % FOLDS == HELD_OUT
+    return doc_id != NO_ID and zlib.crc32(str(doc_id).encode()) % FOLDS == HELD_OUT
 
 
 def discounts(count_of_counts: list[int]) -> np.ndarray:
@@ -101,14 +110,10 @@ class Bigrams:
 
 
 def bucket_of(context: np.ndarray, word: np.ndarray, hot: np.ndarray, buckets: int) -> np.ndarray:
-    """Buckets by context, for hot contexts by context and word; the column form is bucket_column()."""
+    """Buckets by context, for hot contexts by context and word."""
     return np.where(np.isin(context, hot), context ^ word, context) % buckets
 
 
-def bucket_column(context, word, is_hot, buckets: int):
-    return F.pmod(F.when(is_hot, context.bitwiseXOR(word)).otherwise(context), F.lit(buckets)).cast("int")
-
-
 def unigram_counts(docs: DataFrame) -> DataFrame:
     """Training counts: word (hash), c. The start counts as no token."""
 
@@ -119,7 +124,7 @@ def unigram_counts(docs: DataFrame) -> DataFrame:
             seen = c > 0
             yield pa.RecordBatch.from_arrays([pa.array(b.hashes[seen]), pa.array(c[seen])], names=["word", "n"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("c"))
+    return _read(docs).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
 _DEALT = "bucket int, block long, texts int, contexts binary, runs binary, words binary, counts binary, places binary, doc_id binary"
@@ -172,6 +177,10 @@ def _dealt_rows(b: Bigrams, pick: np.ndarray | None, hot: np.ndarray, buckets: i
         )
 
 
+def _read(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("doc_id"), "text")
+
+
 def _deal_counts(hot, buckets):
     def run(batches):
         for rows in blocks(batches, BLOCK_BYTES):
@@ -200,14 +209,26 @@ def _column(table: pa.Table, name: str, dtype) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), dtype) for x in table.column(name)]
 
 
-_COUNTED = "context long, word long, c long"
+#: kind 0: a context (key) and its count; 1: a bucket's bigrams, packed; 2: a word (key) of a bucket's bigrams, with
+#: its count in training where that is known; 3: how many bigrams (c) of a count (key); 4: a hot context's bigram.
+_COUNTED = "kind int, bucket int, key long, other long, c long, contexts binary, runs binary, words binary, counts binary"
+_PACKED = ("contexts", "runs", "words", "counts")
+_COUNTED_ARROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("key", pa.int64()), ("other", pa.int64()), ("c", pa.int64()), *((x, pa.binary()) for x in _PACKED)])
 
 
-def _count_bucket(table: pa.Table, least: int) -> pa.Table:
-    """Adds up a bucket's bigrams: rows with c >= least, and rows (null, c, number of bigrams) for the counts of counts."""
+def _rows(kind: int, bucket: int, key: np.ndarray, c: np.ndarray | None = None, other: np.ndarray | None = None) -> pa.Table:
+    n = len(key)
+    longs = [pa.nulls(n, pa.int64()) if x is None else pa.array(np.asarray(x, np.int64)) for x in (key, other, c)]
+    return pa.table([pa.array(np.full(n, kind, np.int32)), pa.array(np.full(n, bucket, np.int32)), *longs, *[pa.nulls(n, pa.binary())] * 4], schema=_COUNTED_ARROW)
+
+
+def _count_bucket(table: pa.Table, least: int, hot: np.ndarray) -> pa.Table:
+    """Adds up a bucket's bigrams. Those with c >= least are one packed record (contexts and their runs, words, counts),
+    with a row for each distinct word, which asks for the word's own count, and one for each bigram of a hot context."""
     h = np.concatenate([np.repeat(c, r) for c, r in zip(_column(table, "contexts", np.int64), _column(table, "runs", np.uint32), strict=True)])
     w = np.concatenate(_column(table, "words", np.int64))
     n = np.concatenate(_column(table, "counts", np.uint32)).astype(np.int64)
+    bucket = table.column("bucket")[0].as_py()
     order = np.lexsort((w, h))
     h, w, n = h[order], w[order], n[order]
     starts = run_starts(h, w)
@@ -215,21 +236,23 @@ def _count_bucket(table: pa.Table, least: int) -> pa.Table:
     h, w = h[starts], w[starts]
     of_counts = np.bincount(np.minimum(c, K + 2), minlength=K + 3)[1 : K + 2]
     kept = c >= least
-    return pa.table(
-        [
-            pa.concat_arrays([pa.nulls(K + 1, pa.int64()), pa.array(h[kept])]),
-            pa.array(np.concatenate([np.arange(1, K + 2), w[kept]])),
-            pa.array(np.concatenate([of_counts, c[kept]])),
-        ],
-        names=["context", "word", "c"],
-    )
+    h, w, c = h[kept], w[kept], c[kept]
+    first = run_starts(h)
+    runs = np.diff(np.append(first, len(h))).astype(np.uint32)
+    packed = {"kind": 1, "bucket": bucket, "key": None, "other": None, "c": None, "contexts": h[first].tobytes(), "runs": runs.tobytes(), "words": w.tobytes(), "counts": c.astype(np.uint64).tobytes()}
+    spread = np.isin(h, hot)
+    parts = [pa.Table.from_pylist([packed], schema=_COUNTED_ARROW), _rows(2, bucket, np.unique(w)), _rows(3, bucket, np.arange(1, K + 2), of_counts), _rows(4, bucket, h[spread], c[spread], w[spread])]
+    return pa.concat_tables(parts)
 
 
 class Model:
-    """Tables and constants of a fitted model."""
+    """Tables and constants of a fitted model.
+
+    unigrams (word, c); bigrams: a packed record per bucket, partitioned by bucket; words (bucket, word, c): the counts of
+    the words that each bucket's bigrams end in."""
 
-    def __init__(self, unigrams, bigrams, tokens, kinds, d1, d2, unknown, hot, buckets):
-        self.unigrams, self.bigrams = unigrams, bigrams
+    def __init__(self, unigrams, bigrams, words, tokens, kinds, d1, d2, unknown, hot, buckets):
+        self.unigrams, self.bigrams, self.words = unigrams, bigrams, words
         self.tokens, self.kinds, self.d1, self.d2, self.unknown = tokens, kinds, d1, d2, unknown
         self.hot, self.buckets = hot, buckets
 
@@ -254,21 +277,22 @@ def fit(docs: DataFrame, least: int = MIN_BIGRAM) -> Model:
         hot[START] = texts
     hot_keys = np.array(sorted(hot), np.int64)
 
-    dealt = docs.select("doc_id", "text").mapInArrow(_deal_counts(hot_keys, buckets), _DEALT)
-    counted = stored(dealt.groupBy("bucket").applyInArrow(lambda table: _count_bucket(table, least), _COUNTED), "katz-counts")
-    of_counts = {r.word: r.n for r in counted.where("context is null").groupBy("word").agg(F.sum("c").alias("n")).collect()}
+    dealt = _read(docs).mapInArrow(_deal_counts(hot_keys, buckets), _DEALT)
+    counted = dealt.groupBy("bucket").applyInArrow(lambda table: _count_bucket(table, least, hot_keys), _COUNTED)
+    path = new_folder(spark, "katz-bigrams")
+    counted.write.partitionBy("kind", "bucket").parquet(path)
+    counted = spark.read.schema(_COUNTED).parquet(path)
+    of_counts = {r.key: r.n for r in counted.where("kind = 3").groupBy("key").agg(F.sum("c").alias("n")).collect()}
     d2 = discounts([of_counts.get(c, 0) for c in range(1, K + 2)])
 
-    is_hot = F.col("context").isin([int(x) for x in hot_keys]) if len(hot_keys) else F.lit(False)
-    rows = counted.where("context is not null").join(unigrams.select("word", F.col("c").alias("word_c")), "word")
-    rows = rows.withColumn("bucket", bucket_column(F.col("context"), F.col("word"), is_hot, buckets))
-    path = new_folder(spark, "katz-bigrams")
-    rows.select("bucket", "context", "word", "c", "word_c").repartition(buckets, "bucket").write.partitionBy("bucket").parquet(path)
-    bigrams = spark.read.schema("context long, word long, c long, word_c long, bucket int").parquet(path)
-    model = Model(unigrams, bigrams, total.tokens, total.kinds, d1, d2, unknown, {}, buckets)
+    own = unigrams.select(F.col("word").alias("key"), F.col("c").alias("own"))
+    words = stored(counted.where("kind = 2").select("bucket", "key").join(own, "key").select("bucket", F.col("key").alias("word"), F.col("own").alias("c")), "katz-words")
+    bigrams = counted.where("kind = 1").select("bucket", *_PACKED)
+    model = Model(unigrams, bigrams, words, total.tokens, total.kinds, d1, d2, unknown, {}, buckets)
 
-    p = discounted(F.col("word_c"), d1) / F.lit(float(max(1, total.tokens)))
-    sums = bigrams.where(is_hot).groupBy("context").agg(F.sum(discounted(F.col("c"), d2)).alias("kept"), F.sum(p).alias("lower")).collect() if hot else []
+    p = discounted(F.col("own"), d1) / F.lit(float(max(1, total.tokens)))
+    spread = counted.where("kind = 4").select(F.col("key").alias("context"), F.col("other").alias("key"), "c").join(own, "key")
+    sums = spread.groupBy("context").agg(F.sum(discounted(F.col("c"), d2)).alias("kept"), F.sum(p).alias("lower")).collect() if hot else []
     alpha = {r.context: (r.kept, r.lower) for r in sums}
     model.hot = {h: (c, *alpha.get(h, (0.0, 0.0))) for h, c in hot.items()}
     return model
@@ -306,10 +330,8 @@ def _score_bucket(model: dict):
             return _SCORED_ARROW.empty_table()
         if dealt.column("bucket")[0].as_py() < 0:
             return pa.table([dealt.column("block"), *[pa.nulls(dealt.num_rows, pa.binary())] * 3, dealt.column("doc_id"), dealt.column("counts")], schema=_SCORED_ARROW)
-        context, word = (rows.column(x).to_numpy() for x in ("context", "word"))
-        c, word_c = (rows.column(x).to_numpy() for x in ("c", "word_c"))
-        is_bigram = word_c >= 0
-        names, counts = context[~is_bigram], c[~is_bigram]
+        kind, key, count = (pc.fill_null(rows.column(x), 0).to_numpy() for x in ("kind", "key", "c"))
+        names, counts = key[kind == 0], count[kind == 0]
         if len(hot):
             keys = np.array(sorted(hot), np.int64)
             names = np.concatenate([names, keys])
@@ -318,7 +340,13 @@ def _score_bucket(model: dict):
         names, counts = names[order], counts[order]
         once = run_starts(names)
         names, counts = names[once], counts[once]
-        h, w, n, wc = context[is_bigram], word[is_bigram], c[is_bigram], word_c[is_bigram]
+        packed = rows.filter(pa.array(kind == 1))
+        h = np.concatenate([np.zeros(0, np.int64), *(np.repeat(x, r) for x, r in zip(_column(packed, "contexts", np.int64), _column(packed, "runs", np.uint32), strict=True))])
+        w = np.concatenate([np.zeros(0, np.int64), *_column(packed, "words", np.int64)])
+        n = np.concatenate([np.zeros(0, np.uint64), *_column(packed, "counts", np.uint64)]).astype(np.int64)
+        order = np.argsort(key[kind == 2])
+        last, last_c = key[kind == 2][order], count[kind == 2][order]
+        wc = last_c[np.searchsorted(last, w)]
         at = np.searchsorted(names, h)
         kept = np.bincount(at, factor(d2, n) * n, len(names))
         lower = np.bincount(at, p_of(wc), len(names))
@@ -395,14 +423,17 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     end_at = (float(np.log10(model.p_word(c))[0]), float(np.log10((ends + 1) / (model.tokens + model.kinds + 1))), float(ends > 0))
     hot_keys = np.array(sorted(model.hot), np.int64)
     facts = {"d1": model.d1, "d2": model.d2, "tokens": model.tokens, "kinds": model.kinds, "unknown": model.unknown, "hot": model.hot, "end": end_at}
-    dealt = docs.select("doc_id", "text").mapInArrow(_deal_scores(hot_keys, model.buckets), _DEALT)
+    dealt = _read(docs).mapInArrow(_deal_scores(hot_keys, model.buckets), _DEALT)
     start = docs.sparkSession.createDataFrame([(START, int(ends))], "word long, c long")
-    contexts = model.unigrams.union(start).select(
-        F.pmod("word", F.lit(model.buckets)).cast("int").alias("bucket"), F.col("word").alias("context"), F.lit(0).cast("long").alias("word"), "c", F.lit(-1).cast("long").alias("word_c")
-    )
-    rows = model.bigrams.select("bucket", "context", "word", "c", "word_c").unionByName(contexts)
+    none = [F.lit(None).cast("binary").alias(x) for x in _PACKED]
+    kind = lambda k: F.lit(k).alias("kind")
+    contexts = model.unigrams.union(start).select(kind(0), F.pmod("word", F.lit(model.buckets)).cast("int").alias("bucket"), F.col("word").alias("key"), "c", *none)
+    words = model.words.select(kind(2), "bucket", F.col("word").alias("key"), "c", *none)
+    bigrams = model.bigrams.select(kind(1), "bucket", F.lit(None).cast("long").alias("key"), F.lit(None).cast("long").alias("c"), *_PACKED)
+    rows = contexts.unionByName(words).unionByName(bigrams)
     parts = dealt.groupBy("bucket").cogroup(rows.groupBy("bucket")).applyInArrow(_score_bucket(facts), _SCORED)
-    return parts.groupBy("block").applyInArrow(_sum_block(model.tokens), _RESULT)
+    out = parts.groupBy("block").applyInArrow(_sum_block(model.tokens), _RESULT)
+    return out.withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(NO_ID)))
 
 
 def op1_katz(spark, sf_dir):
