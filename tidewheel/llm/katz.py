@@ -127,8 +127,23 @@ def unigram_counts(docs: DataFrame) -> DataFrame:
     return _read(docs).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
-_DEALT = "bucket int, block long, texts int, contexts binary, runs binary, words binary, counts binary, places binary, doc_id binary"
-_DEALT_ARROW = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("texts", pa.int32()), *((c, pa.binary()) for c in ("contexts", "runs", "words", "counts", "places", "doc_id"))])
+_DEALT = "bucket int, block long, texts int, contexts binary, runs binary, names binary, words binary, counts binary, places binary, doc_id binary"
+_DEALT_ARROW = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("texts", pa.int32()), *((c, pa.binary()) for c in ("contexts", "runs", "names", "words", "counts", "places", "doc_id"))])
+
+
+def _indexed(words: np.ndarray) -> tuple[bytes, bytes]:
+    """The distinct words in order, and each word's index among them in as few bytes as their number asks for."""
+    names, index = np.unique(words, return_inverse=True)
+    return names.tobytes(), index.astype(_index_type(len(names))).tobytes()
+
+
+def _index_type(n: int):
+    return np.uint16 if n <= 1 << 16 else np.uint32
+
+
+def _words_of(names: np.ndarray, index) -> np.ndarray:
+    """The words of an _indexed() pair; index is the column's binary value."""
+    return names[np.frombuffer(index.as_buffer(), _index_type(len(names)))]
 
 
 def _dealt_rows(b: Bigrams, pick: np.ndarray | None, hot: np.ndarray, buckets: int, block: int, with_places: bool):
@@ -159,6 +174,7 @@ def _dealt_rows(b: Bigrams, pick: np.ndarray | None, hot: np.ndarray, buckets: i
     edges = run_starts(bucket)
     for s, e in zip(edges, [*edges[1:], len(bucket)], strict=True):
         first = run_starts(h[s:e])
+        names, index = _indexed(w[s:e])
         yield pa.RecordBatch.from_pylist(
             [
                 {
@@ -167,7 +183,8 @@ def _dealt_rows(b: Bigrams, pick: np.ndarray | None, hot: np.ndarray, buckets: i
                     "texts": len(b.doc_id),
                     "contexts": h[s:e][first].tobytes(),
                     "runs": np.diff(np.append(first, e - s)).astype(np.uint32).tobytes(),
-                    "words": w[s:e].tobytes(),
+                    "names": names,
+                    "words": index,
                     "counts": counts_by[s:e].astype(np.uint32).tobytes(),
                     "places": places[bounds[s] : bounds[e]].tobytes() if with_places else None,
                     "doc_id": None,
@@ -209,7 +226,7 @@ def _column(table: pa.Table, name: str, dtype) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), dtype) for x in table.column(name)]
 
 
-#: kind 0: a context (key) and its count; 1: a bucket's bigrams, packed; 2: a word (key) of a bucket's bigrams, with
+#: kind 0: a context (key) and its count; 1: a bucket's bigrams, packed, words as indices into those of kind 2; 2: a word (key) of a bucket's bigrams, with
 #: its count in training where that is known; 3: how many bigrams (c) of a count (key); 4: a hot context's bigram.
 _COUNTED = "kind int, bucket int, key long, other long, c long, contexts binary, runs binary, words binary, counts binary"
 _PACKED = ("contexts", "runs", "words", "counts")
@@ -226,7 +243,7 @@ def _count_bucket(table: pa.Table, least: int, hot: np.ndarray) -> pa.Table:
     """Adds up a bucket's bigrams. Those with c >= least are one packed record (contexts and their runs, words, counts),
     with a row for each distinct word, which asks for the word's own count, and one for each bigram of a hot context."""
     h = np.concatenate([np.repeat(c, r) for c, r in zip(_column(table, "contexts", np.int64), _column(table, "runs", np.uint32), strict=True)])
-    w = np.concatenate(_column(table, "words", np.int64))
+    w = np.concatenate([_words_of(x, i) for x, i in zip(_column(table, "names", np.int64), table.column("words"), strict=True)])
     n = np.concatenate(_column(table, "counts", np.uint32)).astype(np.int64)
     bucket = table.column("bucket")[0].as_py()
     order = np.lexsort((w, h))
@@ -239,7 +256,7 @@ def _count_bucket(table: pa.Table, least: int, hot: np.ndarray) -> pa.Table:
     h, w, c = h[kept], w[kept], c[kept]
     first = run_starts(h)
     runs = np.diff(np.append(first, len(h))).astype(np.uint32)
-    packed = {"kind": 1, "bucket": bucket, "key": None, "other": None, "c": None, "contexts": h[first].tobytes(), "runs": runs.tobytes(), "words": w.tobytes(), "counts": c.astype(np.uint64).tobytes()}
+    packed = {"kind": 1, "bucket": bucket, "key": None, "other": None, "c": None, "contexts": h[first].tobytes(), "runs": runs.tobytes(), "words": _indexed(w)[1], "counts": c.astype(np.uint64).tobytes()}
     spread = np.isin(h, hot)
     parts = [pa.Table.from_pylist([packed], schema=_COUNTED_ARROW), _rows(2, bucket, np.unique(w)), _rows(3, bucket, np.arange(1, K + 2), of_counts), _rows(4, bucket, h[spread], c[spread], w[spread])]
     return pa.concat_tables(parts)
@@ -342,11 +359,12 @@ def _score_bucket(model: dict):
         names, counts = names[once], counts[once]
         packed = rows.filter(pa.array(kind == 1))
         h = np.concatenate([np.zeros(0, np.int64), *(np.repeat(x, r) for x, r in zip(_column(packed, "contexts", np.int64), _column(packed, "runs", np.uint32), strict=True))])
-        w = np.concatenate([np.zeros(0, np.int64), *_column(packed, "words", np.int64)])
         n = np.concatenate([np.zeros(0, np.uint64), *_column(packed, "counts", np.uint64)]).astype(np.int64)
         order = np.argsort(key[kind == 2])
         last, last_c = key[kind == 2][order], count[kind == 2][order]
-        wc = last_c[np.searchsorted(last, w)]
+        # a bucket has one packed record; its indices are into its distinct words in order, which `last` holds
+        where = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x.as_buffer(), _index_type(len(last))) for x in packed.column("words"))]).astype(np.int64)
+        w, wc = last[where], last_c[where]
         at = np.searchsorted(names, h)
         kept = np.bincount(at, factor(d2, n) * n, len(names))
         lower = np.bincount(at, p_of(wc), len(names))
@@ -367,7 +385,7 @@ def _score_bucket(model: dict):
             get = lambda name, dtype: np.frombuffer(dealt.column(name)[i].as_buffer(), dtype)  # noqa: B023, E731
             texts = dealt.column("texts")[i].as_py()
             ctx, runs = get("contexts", np.int64), get("runs", np.uint32)
-            words, times, places = get("words", np.int64), get("counts", np.uint32), get("places", np.uint16)
+            words, times, places = _words_of(get("names", np.int64), dealt.column("words")[i]), get("counts", np.uint32), get("places", np.uint16)
             spot = np.minimum(np.searchsorted(names, ctx), max(0, len(names) - 1))
             known = names[spot] == ctx if len(names) else np.zeros(len(ctx), bool)
             real = ctx != START
