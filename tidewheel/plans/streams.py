@@ -102,6 +102,6 @@ def t05(spark, sf):
 def t11(spark, sf):
     got = table(spark, sf, "events").select("user_id", F.floor(seconds("ts") / 86400).alias("day")).distinct()
     first, last = got.agg(F.min("day"), F.max("day")).first()
-    days = F.sequence(F.lit(first), F.lit(last)) if first is not None else F.array().cast("array<bigint>")
+    days = F.sequence(F.lit(first).cast("long"), F.lit(last).cast("long")) if first is not None else F.array().cast("array<bigint>")
     planned = got.select("user_id").distinct().withColumn("day", F.explode(days))
     return planned.join(got, ["user_id", "day"], "left_anti")
