@@ -131,10 +131,28 @@ _DEALT = "bucket int, block long, texts int, contexts binary, runs binary, names
 _DEALT_ARROW = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("texts", pa.int32()), *((c, pa.binary()) for c in ("contexts", "runs", "names", "words", "counts", "places", "doc_id"))])
 
 
+def _pack(x: np.ndarray, ascending: bool = False) -> bytes:
+    """x in few bytes, whole: its length, then its byte planes under zstd; of ascending runs, the planes of the differences."""
+    d = np.diff(x, prepend=x.dtype.type(0)) if ascending else x
+    planes = np.ascontiguousarray(d.view(np.uint8).reshape(-1, x.itemsize).T)
+    return len(x).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def _unpack(value, dtype, ascending: bool = False) -> np.ndarray:
+    """The array of a _pack() column's binary value."""
+    buffer, size = value.as_buffer(), np.dtype(dtype).itemsize
+    n = int.from_bytes(buffer.slice(0, 8).to_pybytes(), "little")
+    if not n:
+        return np.zeros(0, dtype)
+    planes = np.frombuffer(pa.decompress(buffer.slice(8), n * size, "zstd"), np.uint8).reshape(size, n)
+    d = np.ascontiguousarray(planes.T).view(dtype).ravel()
+    return np.cumsum(d, dtype=dtype) if ascending else d
+
+
 def _indexed(words: np.ndarray) -> tuple[bytes, bytes]:
     """The distinct words in order, and each word's index among them in as few bytes as their number asks for."""
     names, index = np.unique(words, return_inverse=True)
-    return names.tobytes(), index.astype(_index_type(len(names))).tobytes()
+    return _pack(names, True), _pack(index.astype(_index_type(len(names))), True)
 
 
 def _index_type(n: int):
@@ -143,7 +161,7 @@ def _index_type(n: int):
 
 def _words_of(names: np.ndarray, index) -> np.ndarray:
     """The words of an _indexed() pair; index is the column's binary value."""
-    return names[np.frombuffer(index.as_buffer(), _index_type(len(names)))]
+    return names[_unpack(index, _index_type(len(names)), True)]
 
 
 def _dealt_rows(b: Bigrams, pick: np.ndarray | None, hot: np.ndarray, buckets: int, block: int, with_places: bool):
@@ -181,12 +199,12 @@ def _dealt_rows(b: Bigrams, pick: np.ndarray | None, hot: np.ndarray, buckets: i
                     "bucket": int(bucket[s]),
                     "block": block,
                     "texts": len(b.doc_id),
-                    "contexts": h[s:e][first].tobytes(),
-                    "runs": np.diff(np.append(first, e - s)).astype(np.uint32).tobytes(),
+                    "contexts": _pack(h[s:e][first], True),
+                    "runs": _pack(np.diff(np.append(first, e - s)).astype(np.uint32)),
                     "names": names,
                     "words": index,
-                    "counts": counts_by[s:e].astype(np.uint32).tobytes(),
-                    "places": places[bounds[s] : bounds[e]].tobytes() if with_places else None,
+                    "counts": _pack(counts_by[s:e].astype(np.uint32)),
+                    "places": _pack(places[bounds[s] : bounds[e]]) if with_places else None,
                     "doc_id": None,
                 }
             ],
@@ -222,8 +240,8 @@ def _deal_scores(hot, buckets):
     return run
 
 
-def _column(table: pa.Table, name: str, dtype) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_buffer(), dtype) for x in table.column(name)]
+def _column(table: pa.Table, name: str, dtype, ascending: bool = False) -> list[np.ndarray]:
+    return [_unpack(x, dtype, ascending) for x in table.column(name)]
 
 
 #: kind 0: a context (key) and its count; 1: a bucket's bigrams, packed, words as indices into those of kind 2; 2: a word (key) of a bucket's bigrams, with
@@ -242,8 +260,8 @@ def _rows(kind: int, bucket: int, key: np.ndarray, c: np.ndarray | None = None,
 def _count_bucket(table: pa.Table, least: int, hot: np.ndarray) -> pa.Table:
     """Adds up a bucket's bigrams. Those with c >= least are one packed record (contexts and their runs, words, counts),
     with a row for each distinct word, which asks for the word's own count, and one for each bigram of a hot context."""
-    h = np.concatenate([np.repeat(c, r) for c, r in zip(_column(table, "contexts", np.int64), _column(table, "runs", np.uint32), strict=True)])
-    w = np.concatenate([_words_of(x, i) for x, i in zip(_column(table, "names", np.int64), table.column("words"), strict=True)])
+    h = np.concatenate([np.repeat(c, r) for c, r in zip(_column(table, "contexts", np.int64, True), _column(table, "runs", np.uint32), strict=True)])
+    w = np.concatenate([_words_of(x, i) for x, i in zip(_column(table, "names", np.int64, True), table.column("words"), strict=True)])
     n = np.concatenate(_column(table, "counts", np.uint32)).astype(np.int64)
     bucket = table.column("bucket")[0].as_py()
     order = np.lexsort((w, h))
@@ -256,7 +274,7 @@ def _count_bucket(table: pa.Table, least: int, hot: np.ndarray) -> pa.Table:
     h, w, c = h[kept], w[kept], c[kept]
     first = run_starts(h)
     runs = np.diff(np.append(first, len(h))).astype(np.uint32)
-    packed = {"kind": 1, "bucket": bucket, "key": None, "other": None, "c": None, "contexts": h[first].tobytes(), "runs": runs.tobytes(), "words": _indexed(w)[1], "counts": c.astype(np.uint64).tobytes()}
+    packed = {"kind": 1, "bucket": bucket, "key": None, "other": None, "c": None, "contexts": _pack(h[first], True), "runs": _pack(runs), "words": _indexed(w)[1], "counts": _pack(c.astype(np.uint64))}
     spread = np.isin(h, hot)
     parts = [pa.Table.from_pylist([packed], schema=_COUNTED_ARROW), _rows(2, bucket, np.unique(w)), _rows(3, bucket, np.arange(1, K + 2), of_counts), _rows(4, bucket, h[spread], c[spread], w[spread])]
     return pa.concat_tables(parts)
@@ -358,12 +376,12 @@ def _score_bucket(model: dict):
         once = run_starts(names)
         names, counts = names[once], counts[once]
         packed = rows.filter(pa.array(kind == 1))
-        h = np.concatenate([np.zeros(0, np.int64), *(np.repeat(x, r) for x, r in zip(_column(packed, "contexts", np.int64), _column(packed, "runs", np.uint32), strict=True))])
+        h = np.concatenate([np.zeros(0, np.int64), *(np.repeat(x, r) for x, r in zip(_column(packed, "contexts", np.int64, True), _column(packed, "runs", np.uint32), strict=True))])
         n = np.concatenate([np.zeros(0, np.uint64), *_column(packed, "counts", np.uint64)]).astype(np.int64)
         order = np.argsort(key[kind == 2])
         last, last_c = key[kind == 2][order], count[kind == 2][order]
         # a bucket has one packed record; its indices are into its distinct words in order, which `last` holds
-        where = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x.as_buffer(), _index_type(len(last))) for x in packed.column("words"))]).astype(np.int64)
+        where = np.concatenate([np.zeros(0, np.int64), *_column(packed, "words", _index_type(len(last)), True)]).astype(np.int64)
         w, wc = last[where], last_c[where]
         at = np.searchsorted(names, h)
         kept = np.bincount(at, factor(d2, n) * n, len(names))
@@ -382,10 +400,10 @@ def _score_bucket(model: dict):
         end_at = model["end"]
         out = []
         for i in range(dealt.num_rows):
-            get = lambda name, dtype: np.frombuffer(dealt.column(name)[i].as_buffer(), dtype)  # noqa: B023, E731
+            get = lambda name, dtype, ascending=False: _unpack(dealt.column(name)[i], dtype, ascending)  # noqa: B023, E731
             texts = dealt.column("texts")[i].as_py()
-            ctx, runs = get("contexts", np.int64), get("runs", np.uint32)
-            words, times, places = _words_of(get("names", np.int64), dealt.column("words")[i]), get("counts", np.uint32), get("places", np.uint16)
+            ctx, runs = get("contexts", np.int64, True), get("runs", np.uint32)
+            words, times, places = _words_of(get("names", np.int64, True), dealt.column("words")[i]), get("counts", np.uint32), get("places", np.uint16)
             spot = np.minimum(np.searchsorted(names, ctx), max(0, len(names) - 1))
             known = names[spot] == ctx if len(names) else np.zeros(len(ctx), bool)
             real = ctx != START
