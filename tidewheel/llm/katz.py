@@ -16,10 +16,10 @@ the data has no Good-Turing estimate (a count of counts is 0 or the ratio leaves
 
 How it runs: tasks turn blocks of texts into their distinct bigrams and deal them by context into
 buckets, counts for training, occurrences for scoring; so what is shuffled are a block's distinct
-bigrams and not its tokens. The tables `unigrams` (word, c), `bigrams` (a packed record of contexts, words and
-counts per bucket, partitioned by bucket) and `words` (bucket, word, c: the counts of the words in which a bucket's
-bigrams end) are in the shared folder; so bigrams are moved once, by context, and never joined row by row
-with the lower order. A scoring bucket holds whole contexts and
+bigrams and not its tokens. The tables `unigrams` (word, c) and `bigrams` (a packed record of contexts, words and
+counts per bucket, partitioned by bucket, beside the words that it asks for) are in the shared folder; `words`
+(bucket, word, c: the counts of the words in which a bucket's bigrams end) joins the two when scoring; so bigrams
+are moved once, by context, and never joined row by row with the lower order. Arrays are packed without loss. A scoring bucket holds whole contexts and
 resolves P(w | h) for its bigrams, and P(w) and log10 alpha for its words as contexts of the next token:
 log10 P(text) = sum of [log10 alpha(h) + log10 P(w)] + sum over kept bigrams of
 [log10 P(w | h) - log10 alpha(h) - log10 P(w)]. Contexts with a large share of all tokens are spread over
@@ -284,7 +284,7 @@ class Model:
     """Tables and constants of a fitted model.
 
     unigrams (word, c); bigrams: a packed record per bucket, partitioned by bucket; words (bucket, word, c): the counts of
-    the words that each bucket's bigrams end in."""
+    the words that each bucket's bigrams end in, joined from stored tables when it is read."""
 
     def __init__(self, unigrams, bigrams, words, tokens, kinds, d1, d2, unknown, hot, buckets):
         self.unigrams, self.bigrams, self.words = unigrams, bigrams, words
@@ -321,7 +321,7 @@ def fit(docs: DataFrame, least: int = MIN_BIGRAM) -> Model:
     d2 = discounts([of_counts.get(c, 0) for c in range(1, K + 2)])
 
     own = unigrams.select(F.col("word").alias("key"), F.col("c").alias("own"))
-    words = stored(counted.where("kind = 2").select("bucket", "key").join(own, "key").select("bucket", F.col("key").alias("word"), F.col("own").alias("c")), "katz-words")
+    words = counted.where("kind = 2").select("bucket", "key").join(own, "key").select("bucket", F.col("key").alias("word"), F.col("own").alias("c"))
     bigrams = counted.where("kind = 1").select("bucket", *_PACKED)
     model = Model(unigrams, bigrams, words, total.tokens, total.kinds, d1, d2, unknown, {}, buckets)
 
