@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidewheel.llm import katz
@@ -142,3 +143,13 @@ def test_operator_keeps_bigrams_seen_once(spark, sf):
     assert any(abs(want[d] - pruned.row(d, t)[-1]) > 1 for d, t in rows)
     for h in list(whole.ctx)[:30]:
         assert sum(whole.p2(h, w) for w in whole.uni) + whole.p2(h, "\0") == pytest.approx(1)
+
+
+def test_packed_arrays_come_back_whole():
+    rng = np.random.default_rng(3)
+    top = np.iinfo(np.int64).max
+    cases = [np.sort(rng.integers(-top, top, 999)), np.array([-top - 1, top]), rng.integers(0, 1 << 16, 500).astype(np.uint16), np.array([4294967295, 0, 7], np.uint32), np.zeros(0, np.int64)]
+    for x in cases:
+        for ascending in (False, True):
+            back = katz._unpack(pa.scalar(katz._pack(x, ascending), pa.binary()), x.dtype, ascending)
+            assert back.dtype == x.dtype and np.array_equal(back, x)
