@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import byte_bpe, exact_dedup, jaccard, katz, mixing, pair_merge, prefix_counts, quality, sharding, token_files, tool_calls
+from . import byte_bpe, exact_dedup, jaccard, katz, mixing, pair_merge, prefix_counts, quality, sharding, spelling, token_files, tool_calls
 
 
 def queries():
@@ -19,6 +19,7 @@ def queries():
         "op8_mixing": mixing.op8_mixing,
         "op9_token_counts": prefix_counts.op9_token_counts,
         "op10_sharding": sharding.op10_sharding,
+        "op11_spelling": spelling.op11_spelling,
         "op12_pair_merge": pair_merge.op12_pair_merge,
         "pipeline": corpus_pipeline.run,
     }
