@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import byte_bpe, exact_dedup, jaccard, katz, mixing, pair_merge, prefix_counts, quality, sharding, spelling, token_files, tool_calls
+from . import byte_bpe, collocations, exact_dedup, jaccard, katz, mixing, pair_merge, prefix_counts, quality, sharding, spelling, token_files, tool_calls
 
 
 def queries():
@@ -21,9 +21,15 @@ def queries():
         "op10_sharding": sharding.op10_sharding,
         "op11_spelling": spelling.op11_spelling,
         "op12_pair_merge": pair_merge.op12_pair_merge,
+        "op13_collocations": collocations.op13_collocations,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql():
-    return {"op2_tool_calls": tool_calls.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE, "op7_quality_rules": quality.ORACLE}
+    return {
+        "op2_tool_calls": tool_calls.ORACLE,
+        "op5_exact_dedup": exact_dedup.ORACLE,
+        "op7_quality_rules": quality.ORACLE,
+        "op13_collocations": collocations.ORACLE,
+    }
