@@ -3,7 +3,7 @@
 A data set is a folder in the shared file system: for each partition `part-N.bin` (ids as little-endian
 unsigned integers, 16 bits wide if the vocabulary allows, else 32) and `part-N.idx` (one record per
 document: doc_id and the local end offset, both 64-bit), and `bases.json` with each partition's first
-token and document, the prefix sums of the partitions' counts. Partitions are ranges of doc_id, so ids
+token and document, the prefix sums of the partitions' counts, and its number of null doc_ids. Partitions are ranges of doc_id, so ids
 stand in ascending doc_id order over the whole set. A file is written under a name of its task attempt
 and renamed when it is whole: a repeated task replaces equal bytes.
 
@@ -12,7 +12,8 @@ vocabulary's normaliser and splitter never join characters across white space, s
 those of its words in order.
 
 Defined cases: null counts as the empty text (only the end id is written); equal doc_ids, also repeated rows,
-are ordered by the hash of their texts; a text of any length is one block at least; other columns of the
+are ordered by the hash of their texts; null doc_ids come first and are read back as null (the index holds 0 for
+them, `bases.json` their number); a text of any length is one block at least; other columns of the
 input, whatever their names, are not read; an empty table gives a set without documents.
 """
 
@@ -188,32 +189,33 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = 1
         width = np.dtype("<u2") if max(len(words.is_end), end_id + 1) <= 1 << 16 else np.dtype("<u4")
         task = TaskContext.get()
         stem, mark = f"{at}/part-{task.partitionId():07d}", f".{task.taskAttemptId()}"
-        n_docs, n_tokens = 0, 0
+        n_docs, n_tokens, n_null = 0, 0, 0
         os.makedirs(at, exist_ok=True)
         with open(f"{stem}.bin{mark}", "wb") as ids_file, open(f"{stem}.idx{mark}", "wb") as index_file:
             for b in blocks(batches, BLOCK_BYTES):
                 ids, counts = encode_block(b.column("text"), words, end_id)
                 ids_file.write(ids.astype(width).tobytes())
                 index = np.empty(len(counts), _ENTRY)
-                index["doc_id"] = b.column("doc_id").to_numpy(zero_copy_only=False)
+                n_null += b.column("doc_id").null_count  # they come first
+                index["doc_id"] = pc.fill_null(b.column("doc_id").cast(pa.int64()), 0).to_numpy(zero_copy_only=False)
                 index["end"] = n_tokens + np.cumsum(counts)
                 index_file.write(index.tobytes())
                 n_docs, n_tokens = n_docs + len(counts), n_tokens + len(ids)
         for kind in ("bin", "idx"):
             os.replace(f"{stem}.{kind}{mark}", f"{stem}.{kind}")
-        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (task.partitionId(), n_docs, n_tokens, width.itemsize)], names=["part", "n_docs", "n_tokens", "width"])
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (task.partitionId(), n_docs, n_tokens, width.itemsize, n_null)], names=["part", "n_docs", "n_tokens", "width", "n_null"])
 
     done = (
         docs.select("doc_id", "text", F.xxhash64("text").alias("_tie"))
         .repartitionByRange(n, "doc_id", "_tie")
         .sortWithinPartitions("doc_id", "_tie")
         .select("doc_id", "text")
-        .mapInArrow(run, "part long, n_docs long, n_tokens long, width long")
+        .mapInArrow(run, "part long, n_docs long, n_tokens long, width long, n_null long")
         .collect()
     )
     bases, docs_before, tokens_before = [], 0, 0
     for r in sorted(done):
-        bases.append({"part": r.part, "first_doc": docs_before, "first_token": tokens_before, "n_docs": r.n_docs, "n_tokens": r.n_tokens, "width": r.width})
+        bases.append({"part": r.part, "first_doc": docs_before, "first_token": tokens_before, "n_docs": r.n_docs, "n_tokens": r.n_tokens, "width": r.width, "n_null": r.n_null})
         docs_before, tokens_before = docs_before + r.n_docs, tokens_before + r.n_tokens
     with open(f"{at}/bases.json", "w") as f:
         json.dump(bases, f)
@@ -249,8 +251,9 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
                 for i in range(0, len(ends), 10_000):
                     s, e = starts[i : i + 10_000], ends[i : i + 10_000]
                     crc = [zlib.crc32(ids[a:z].astype("<u4").tobytes()) for a, z in zip(s, e, strict=True)]
+                    unknown = np.arange(i, i + len(e)) < bases[k]["n_null"]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(index["doc_id"][i : i + 10_000]), pa.array(s + bases[k]["first_token"]), pa.array(e - s), pa.array(crc, pa.int64())],
+                        [pa.array(index["doc_id"][i : i + 10_000], mask=unknown), pa.array(s + bases[k]["first_token"]), pa.array(e - s), pa.array(crc, pa.int64())],
                         names=["doc_id", "start", "n_tokens", "ids_crc32"],
                     )
 
