@@ -2,11 +2,13 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tidewheel.llm import token_files
-from tidewheel.llm.tokens import blocks, split_block, word_hashes
+from tidewheel.llm.shared import new_folder
+from tidewheel.llm.tokens import blocks, record_group, split_block, word_hashes
 
 
 def lower(t):
@@ -56,3 +58,28 @@ def test_words_equal_the_library(texts, crowded):
     ids, counts = token_files.encode_block(pa.array(texts), _WORDS[1 + crowded], 1)
     want = [[*_WORDS[0].encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
     assert ids.tolist() == [i for w in want for i in w] and counts.tolist() == [len(w) for w in want]
+
+
+def test_records_of_first_blocks_spread():
+    for groups in (64, 211, 16):
+        used = {record_group(part, 0, groups) for part in range(32)}
+        assert len(used) > 8 and used <= set(range(groups))
+
+
+@pytest.mark.parametrize("shuffled", [16, 64])
+def test_dealt_document_records_fill_many_groups(spark, shuffled):
+    from tidewheel.llm import jaccard, katz
+
+    docs = spark.range(320).selectExpr("id as doc_id", "concat('some words of text number ', id) as text", "id as text_key").repartition(32)
+    for rows in (docs.mapInArrow(jaccard._deal(shuffled), jaccard._DEALT), docs.mapInArrow(katz._deal_scores(np.zeros(0, np.uint64), shuffled), katz._DEALT)):
+        groups = rows.where("bucket < 0").groupBy("bucket").count().collect()
+        assert len(groups) > 8 and sum(r["count"] for r in groups) == 32
+
+
+def test_null_ids_leave_other_ids_alone(spark):
+    rows = [(2**53 + 1, "a"), (None, "b c"), (-(2**63), "d"), (None, None), (7, "a")] + [(2**60 + i, "x") for i in range(40)]
+    folder = new_folder(spark, "null-ids")
+    token_files.write(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), folder, parts=4)
+    got = token_files.read_documents(spark, folder).collect()
+    assert sorted(map(str, (r.doc_id for r in got))) == sorted(str(i) for i, _ in rows)
+    assert [r.doc_id for r in sorted(got, key=lambda r: r.start)][:2] == [None, None]

@@ -35,12 +35,13 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
 from .shared import in_order, join_hot, partitions, stored
-from .tokens import Block, blocks, mix, run_starts, split_block
+from .tokens import Block, blocks, mix, record_group, run_starts, split_block
 
 WORDS = 5
 #: Bits of a shingle kept beside its bucket's number.
@@ -92,12 +93,13 @@ def _deal(buckets: int):
     """Blocks of texts -> per bucket the low bits of its shingles with their texts; per block its texts' names and sizes."""
 
     def run(batches):
+        part = TaskContext.get().partitionId()
         for k, rows in enumerate(blocks(batches)):
             block = split_block(rows)
             h, counts = shingles(block)
             sig = signatures(h, counts)
             ids, keys = (np.ascontiguousarray(rows.column(c).to_numpy(), np.int64) for c in ("doc_id", "text_key"))
-            yield pa.RecordBatch.from_pylist([{"bucket": -1 - (k % buckets), "low": keys.tobytes(), "held": None, "sig": sig.tobytes(), "n": counts.astype(np.int32).tobytes(), "doc_id": ids.tobytes()}], schema=schema)
+            yield pa.RecordBatch.from_pylist([{"bucket": -1 - record_group(part, k, buckets), "low": keys.tobytes(), "held": None, "sig": sig.tobytes(), "n": counts.astype(np.int32).tobytes(), "doc_id": ids.tobytes()}], schema=schema)
             if not len(h):
                 continue
             _, one = np.unique(sig, return_index=True)  # a copy of each set

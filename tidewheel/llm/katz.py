@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import new_folder, partitions, stored
-from .tokens import blocks, mix, run_starts, split_block, word_hashes
+from .tokens import blocks, mix, record_group, run_starts, split_block, word_hashes
 
 K = 5
 BLOCK_BYTES = 12 << 20
@@ -234,7 +234,7 @@ def _deal_scores(hot, buckets):
         for k, rows in enumerate(blocks(batches, BLOCK_BYTES)):
             b, block = Bigrams(rows), (part << 32) + k
             empty = dict.fromkeys(_DEALT_ARROW.names)
-            yield pa.RecordBatch.from_pylist([empty | {"bucket": -1 - (block % buckets), "block": block, "texts": len(rows), "doc_id": b.doc_id.astype(np.int64).tobytes(), "counts": b.n_tokens.astype(np.int64).tobytes()}], schema=_DEALT_ARROW)
+            yield pa.RecordBatch.from_pylist([empty | {"bucket": -1 - record_group(part, k, buckets), "block": block, "texts": len(rows), "doc_id": b.doc_id.astype(np.int64).tobytes(), "counts": b.n_tokens.astype(np.int64).tobytes()}], schema=_DEALT_ARROW)
             yield from _dealt_rows(b, None, hot, buckets, block, True)
 
     return run

@@ -93,6 +93,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def record_group(part: int, block: int, groups: int) -> int:
+    """The group of a block's record: a hash of the task's partition and the block's number in it, so that all tasks' first blocks spread."""
+    return int(mix(mix(np.array([part], np.uint64) + np.uint64(1)) + np.uint64(block))[0] % np.uint64(groups))
+
+
 def run_starts(*sorted_keys: np.ndarray) -> np.ndarray:
     """First index of each run of equal keys."""
     n = len(sorted_keys[0])
