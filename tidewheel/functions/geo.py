@@ -37,6 +37,15 @@ def lambert_cell(lat, lon):
     return F.floor(ra * F.sin(theta) + k["xo"] + 0.5), F.floor(F.lit(k["ro"]) - ra * F.cos(theta) + k["yo"] + 0.5)
 
 
+def lambert_point(nx, ny):
+    """(lat, lon) of a grid place, also between cells: the inverse of lambert_cell's projection."""
+    k = lambert_constants()
+    x, y = nx - F.lit(float(k["xo"])), F.lit(k["ro"] + k["yo"]) - ny
+    ra = F.sqrt(x * x + y * y)
+    lat = F.lit(2.0) * F.atan(F.pow(F.lit(k["re"] * k["sf"]) / ra, F.lit(1 / k["sn"]))) - F.lit(math.pi / 2)
+    return F.degrees(lat), F.degrees(F.atan2(x, y) / k["sn"] + k["olon"])
+
+
 def cell_of(lat, lon, size: float = 0.01):
     """Row and column of a square grid, for bucket joins."""
     return F.floor(lat / size), F.floor(lon / size)
@@ -54,6 +63,27 @@ def in_ring(x, y, ring):
     return F.aggregate(crossed, F.lit(0), lambda s, v: s + v) % 2 == 1
 
 
+def ring_foot(x, y, ring):
+    """The place on a ring's edges that is nearest to (x, y) in the plane: struct (d2, x, y), d2 the squared distance."""
+    n = F.size(ring)
+
+    def foot(a, i):
+        b = F.get(ring, (i + 1) % n)
+        dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+        along = ((x - a["x"]) * dx + (y - a["y"]) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0))
+        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(along, F.lit(0.0))))
+        fx, fy = a["x"] + t * dx, a["y"] + t * dy
+        return F.struct(((x - fx) * (x - fx) + (y - fy) * (y - fy)).alias("d2"), fx.alias("x"), fy.alias("y"))
+
+    return F.array_min(F.transform(ring, foot))
+
+
+def ring_metres(lat, lon, ring):
+    """Metres from a point to an area: 0 inside its ring, else to the nearest place of its boundary."""
+    f = ring_foot(lon, lat, ring)
+    return F.when(in_ring(lon, lat, ring), F.lit(0.0)).otherwise(haversine(lat, lon, f["y"], f["x"]))
+
+
 def wind_components(speed, direction):
     """(u, v) of a wind that blows from `direction` degrees."""
     return -speed * F.sin(F.radians(direction)), -speed * F.cos(F.radians(direction))

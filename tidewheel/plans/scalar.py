@@ -163,11 +163,25 @@ def p20(spark, sf):
 _K = geo.lambert_constants()
 
 
-@query("p21_lambert_grid", f"""WITH x AS (SELECT station_id, {_K['re'] * _K['sf']!r} / pow(tan(pi() / 4 + radians(lat) / 2), {_K['sn']!r}) AS ra, (radians(lon) - {_K['olon']!r}) * {_K['sn']!r} AS th FROM stations)
-SELECT station_id, floor(ra * sin(th) + 43.5)::BIGINT AS nx, floor({_K['ro']!r} - ra * cos(th) + 136.5)::BIGINT AS ny FROM x""")
+_LAMBERT_SQL = f"""
+WITH x AS (
+  SELECT station_id, {_K['re'] * _K['sf']!r} / pow(tan(pi() / 4 + radians(lat) / 2), {_K['sn']!r}) AS ra, (radians(lon) - {_K['olon']!r}) * {_K['sn']!r} AS th
+  FROM stations),
+cells AS (SELECT station_id, floor(ra * sin(th) + 43.5)::BIGINT AS nx, floor({_K['ro']!r} - ra * cos(th) + 136.5)::BIGINT AS ny FROM x),
+back AS (SELECT *, nx - 43.0 AS dx, {_K['ro']!r} + 136 - ny AS dy FROM cells)
+SELECT station_id, nx, ny,
+  round_even(degrees(2 * atan(pow({_K['re'] * _K['sf']!r} / sqrt(dx * dx + dy * dy), 1 / {_K['sn']!r})) - pi() / 2), 8) AS cell_lat,
+  round_even(degrees(atan2(dx, dy) / {_K['sn']!r} + {_K['olon']!r}), 8) AS cell_lon
+FROM back"""
+
+
+@query("p21_lambert_grid", _LAMBERT_SQL)
 def p21(spark, sf):
+    """The 5 km cell of each station, and the place of that cell's centre: both directions of the projection."""
     nx, ny = geo.lambert_cell(F.col("lat"), F.col("lon"))
-    return stations(spark, sf).select("station_id", nx.alias("nx"), ny.alias("ny"))
+    cells = stations(spark, sf).select("station_id", nx.alias("nx"), ny.alias("ny"))
+    lat, lon = geo.lambert_point(F.col("nx"), F.col("ny"))
+    return cells.select("*", F.bround(lat, 8).alias("cell_lat"), F.bround(lon, 8).alias("cell_lon"))
 
 
 @query("p22_cell_corner", "SELECT station_id, floor(lat / 0.01)::BIGINT || ':' || floor(lon / 0.01)::BIGINT AS cell, floor(lat / 0.01)::BIGINT AS r, floor(lon / 0.01)::BIGINT AS c FROM stations")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources import files as S
+from ..sources import incremental as I
 from .base import query, seconds, table
 
 
@@ -178,24 +179,67 @@ def s19(spark, sf):
     return o.select("win", F.coalesce("p.key", F.when(F.col("n") == 1, F.col("l"))).alias("key"), F.when(F.col("p").isNotNull(), "published").when(F.col("n") == 1, "legacy").otherwise("none").alias("class"))
 
 
-@query("s20_change_signature", """SELECT user_id, sha256('[' || string_agg('{"event_id":' || event_id || ',"event_type":"' || event_type || '"}', ',' ORDER BY event_id) || ']') AS signature FROM events GROUP BY ALL""")
+_CHANGED_SQL = """
+WITH first AS (SELECT user_id, event_id, event_type, 0 AS version FROM events WHERE user_id % 11 <> 3),
+second AS (
+  SELECT user_id, event_id, event_type, CASE WHEN user_id % 7 = 2 AND event_id % 3 = 0 THEN 1 ELSE 0 END AS version FROM events WHERE user_id % 11 <> 4
+  UNION ALL SELECT user_id, event_id, event_type, 0 FROM events WHERE user_id % 13 = 5 AND event_id % 2 = 0 AND user_id % 11 <> 4),
+a AS (SELECT user_id, list_sort(list((event_id, event_type, version))) AS body FROM first GROUP BY ALL),
+b AS (SELECT user_id, list_sort(list((event_id, event_type, version))) AS body FROM second GROUP BY ALL)
+SELECT user_id, len(coalesce(b.body, a.body)) AS n, CASE WHEN b.body IS NULL THEN 'absent' WHEN a.body = b.body THEN 'skipped' ELSE 'written' END AS state
+FROM a FULL JOIN b USING (user_id)"""
+
+
+@query("s20_change_signature", _CHANGED_SQL)
 def s20(spark, sf):
-    return S.signature(table(spark, sf, "events"), ["user_id"], ["event_id", "event_type"])
+    """Two runs of a table by user: the second one has users without a change, with changed or repeated rows, new and
+    absent ones, and writes only what changed."""
+    path, e = S.work_folder(spark, "signed"), table(spark, sf, "events").select("user_id", "event_id", "event_type")
+    same = F.lit(0).alias("version")
+    first = e.where("user_id % 11 <> 3").select("*", same)
+    changed = F.when((F.col("user_id") % 7 == 2) & (F.col("event_id") % 3 == 0), 1).otherwise(0).alias("version")
+    second = e.where("user_id % 11 <> 4")
+    again = second.where("user_id % 13 = 5 and event_id % 2 = 0").select("*", same)
+    I.write_changed(first, path, "user_id")
+    return I.write_changed(second.select("*", changed).unionByName(again), path, "user_id")
+
+
+_INVENTORY_SQL = """
+WITH d AS (SELECT ts::DATE AS day, event_id, user_id FROM events),
+span AS (SELECT min(day) AS lo, max(day) AS hi FROM d),
+body AS (
+  SELECT strftime(day, '%Y-%m-%d') AS dt, day, string_agg('{"event_id":' || event_id || ',"user_id":' || user_id || '}' || chr(10), '' ORDER BY event_id) AS one,
+    string_agg('{"event_id":' || event_id || ',"user_id":' || -user_id || '}' || chr(10), '' ORDER BY event_id) AS two
+  FROM d GROUP BY ALL)
+SELECT dt, strlen(one)::INTEGER AS bytes, sha256(one) AS sha256,
+  CASE WHEN day - lo > (hi - lo) // 2 THEN 'new' WHEN day = lo THEN 'kept' WHEN one <> two AND (day - lo) % 3 = 1 THEN 'rejected' ELSE 'same' END AS state
+FROM body, span"""
+
+
+def raw_objects(spark, path):
+    """One row per raw object under a folder: key part, bytes and hash of its content."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(path)
+    return raw.select(F.regexp_extract("path", r"dt=([0-9-]+)", 1).alias("dt"), F.length("content").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
-@query("s21_cold_bundle", """WITH d AS (SELECT strftime(ts, '%Y-%m-%d') AS dt, string_agg('{"event_id":' || event_id || ',"user_id":' || user_id || '}' || chr(10), '' ORDER BY event_id) AS body FROM events GROUP BY ALL)
-SELECT dt, strlen(body)::INTEGER AS bytes, sha256(body) AS sha256, CASE WHEN dt > '2024-01-20' THEN 'new' WHEN dt = '2024-01-05' THEN 'changed' ELSE 'same' END AS state FROM d""")
+@query("s21_cold_bundle", _INVENTORY_SQL)
 def s21(spark, sf):
-    """One row per raw object: key parts, bytes, hash; objects whose bytes changed against the earlier inventory are flagged."""
-    path = S.work_folder(spark, "raw")
+    """Objects of a day each, listed twice. The first listing has the earlier half of the days; the second one has all
+    but the first day, and every third earlier day with other bytes. The inventory takes new days and refuses changed ones."""
     e = ev(spark, sf).withColumn("dt", F.to_date("ts"))
-    rows = e.repartition("dt").sortWithinPartitions("dt", "event_id").select(F.to_json(F.struct("event_id", "user_id")).alias("value"), "dt")
-    rows.write.partitionBy("dt").text(path)
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(path)
-    now = raw.select(F.regexp_extract("path", r"dt=([0-9-]+)", 1).alias("dt"), F.length("content").alias("bytes"), F.sha2("content", 256).alias("sha"))
-    before = now.withColumn("sha", F.when(F.col("dt") == "2024-01-05", F.lit("x")).otherwise(F.col("sha"))).where("dt <= '2024-01-20'").select("dt", F.col("sha").alias("old"))
-    state = F.when(F.col("old").isNull(), "new").when(F.col("old") == F.col("sha"), "same").otherwise("changed")
-    return now.join(before, "dt", "left").select("dt", "bytes", F.col("sha").alias("sha256"), state.alias("state"))
+    lo, hi = e.agg(F.min("dt"), F.max("dt")).first()
+    inventory = S.work_folder(spark, "inventory")
+
+    def listed(rows):
+        path = S.work_folder(spark, "raw")
+        lines = rows.repartition("dt").sortWithinPartitions("dt", "event_id").select(F.to_json(F.struct("event_id", "user_id")).alias("value"), "dt")
+        lines.write.partitionBy("dt").text(path)
+        return raw_objects(spark, path)
+
+    age, half = F.date_diff("dt", F.lit(lo)), (hi - lo).days // 2
+    other = F.when((age % 3 == 1) & (age <= half), -F.col("user_id")).otherwise(F.col("user_id"))
+    I.merge_inventory(listed(e.where(age <= half)), inventory, ["dt"], "sha256")
+    return I.merge_inventory(listed(e.where(age > 0).withColumn("user_id", other)), inventory, ["dt"], "sha256")
 
 
 @query("s22_retention_candidates", "SELECT o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '2000-01-01' AND o_orderkey IN (SELECT l_orderkey FROM lineitem) AND o_orderstatus <> 'P'")

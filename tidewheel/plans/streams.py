@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import rolling as R
 from ..sources import files as S
+from ..sources import incremental as I
 from ..streaming import jobs as J
 from .base import query, seconds, table, trips
 from .rolling import FUTURE_SQL
@@ -40,6 +41,20 @@ def t03(spark, sf):
     return _counts(spark, sf, "t03", "25 minutes", "5 minutes")
 
 
+_TREND_SQL = """
+WITH e AS (SELECT user_id % 20 AS station, epoch_us(ts) // 1000000 AS s, floor(value) AS v FROM events),
+w AS (SELECT station, (s // 300 - k) * 300 AS start_s, s, v FROM e, (SELECT unnest(range(0, 5)) AS k))
+SELECT station, start_s, count(*)::BIGINT AS n, CASE WHEN count(DISTINCT s) > 1 THEN round_even(regr_slope(v, (s - start_s) / 60.0), 6) END AS slope
+FROM w GROUP BY ALL HAVING max(s) >= start_s + 1200"""
+
+
+@query("t03b_window_trend", _TREND_SQL)
+def t03b(spark, sf):
+    """Slope per minute of the last 25 minutes at each 5-minute anchor; stations without a row at the anchor are left out."""
+    out = J.finished(J.window_trends(J.replay(spark, closed(spark, sf))), "t03b")
+    return out.where("station >= 0").select("station", "start_s", "n", F.bround("slope", 6).alias("slope"))
+
+
 @query("t06_replayed_ticks", "SELECT event_id, user_id FROM events")
 def t06(spark, sf):
     """Every third event comes twice; the second one is dropped within the watermark."""
@@ -84,17 +99,36 @@ def t04(spark, sf):
     return spark.read.parquet(path).groupBy(F.col("hour").cast("long").alias("hour")).agg(F.count("*").alias("n"))
 
 
-@query("t05_incremental_equals_full", f"WITH {FUTURE_SQL} SELECT * FROM fut WHERE tick < 1706400000")
+#: Seconds before the newest tick that a run looks back, and the age at which a table is due again (fixed values).
+LOOKBACK, MAX_AGE = 86400, 86400
+
+
+def incremental_counts(spark, sf, path):
+    """Three runs over trips as they arrive (a trip is known once it has ended): a full one half way, one at the end, which
+    replaces the days that late trips touch, and one an hour later, which finds the table fresh. Returns their outcomes."""
+    t = trips(spark, sf).withColumn("known_s", F.coalesce("end_s", "start_s"))
+    first, last = t.agg(F.min("start_s"), F.max("known_s")).first()
+    if first is None:
+        return []
+    half = (first + last) // 2
+
+    def build(known_by):
+        def rows(since):
+            seen = t.where(F.col("known_s") <= known_by)
+            return R.future_counts(seen if since is None else seen.where(F.col("start_s") >= since))
+
+        return rows
+
+    ends = [(half, half), (last, max(last, half + MAX_AGE + 1)), (last, max(last, half + MAX_AGE + 1) + 3600)]
+    return [I.run(spark, path, build(known_by), now, LOOKBACK, MAX_AGE, order=("station_id", "tick")) for known_by, now in ends]
+
+
+@query("t05_incremental_equals_full", f"WITH {FUTURE_SQL} SELECT * FROM fut")
 def t05(spark, sf):
-    """A table built to one day and then rebuilt from the midnight before its newest tick, with a day of context."""
-    t, path = trips(spark, sf), S.work_folder(spark, "incremental")
-    day = lambda df: df.withColumn("date", F.floor(F.col("tick") / 86400))
-    first = day(R.future_counts(t.where("start_s < 1705276800 + 3600"))).where("tick < 1705276800")
-    S.write_by_date(first, path)
-    newest = spark.read.parquet(path).agg(F.max("tick")).first()[0]
-    since = newest // 86400 * 86400
-    again = day(R.future_counts(t.where(F.col("start_s") >= since - 86400))).where((F.col("tick") >= since) & (F.col("tick") < 1706400000))
-    S.write_by_date(again, path)
+    """A table kept by runs from its watermark holds what a full build over all trips holds."""
+    path = S.work_folder(spark, "incremental")
+    if not incremental_counts(spark, sf, path):
+        return R.future_counts(trips(spark, sf))
     return spark.read.parquet(path).select("station_id", "tick", "count")
 
 

@@ -42,6 +42,21 @@ def tick_counts(stream: DataFrame, width: str = "5 minutes", slide: str | None =
     return stream.withWatermark("ts", late).groupBy(w.alias("w"), "station").agg(F.count("*").alias("n"), F.sum("v").alias("v"))
 
 
+def window_trends(stream: DataFrame, width: int = 1500, slide: int = 300, late: str = "40 minutes") -> DataFrame:
+    """Least-squares slope of v per minute in sliding windows: station, start_s, n, slope.
+
+    The state of a window is five whole numbers (n and the sums of x, y, xy and xx, x in seconds from the window's
+    start), so partial sums merge without rounding. Only windows with a row in their last slide, the anchor's, are
+    given; the slope of a single time is null."""
+    rows = stream.withWatermark("ts", late).withColumn("w", F.window("ts", f"{width} seconds", f"{slide} seconds"))
+    x = F.unix_timestamp("ts") - F.unix_timestamp("w.start")
+    sums = {"n": F.count("*"), "sx": F.sum(x), "sy": F.sum("v"), "sxy": F.sum(x * F.col("v")), "sxx": F.sum(x * x), "newest": F.max(x)}
+    state = rows.groupBy("w", "station").agg(*[v.alias(k) for k, v in sums.items()])
+    n, sx, sy, sxy, sxx = (F.col(c).cast("double") for c in ("n", "sx", "sy", "sxy", "sxx"))
+    slope = F.lit(60.0) * (n * sxy - sx * sy) / F.nullif(n * sxx - sx * sx, F.lit(0.0))
+    return state.where(F.col("newest") >= width - slide).select("station", F.unix_timestamp("w.start").alias("start_s"), "n", slope.alias("slope"))
+
+
 def deduplicated(stream: DataFrame, keys: list[str], late: str = "1 hour") -> DataFrame:
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
