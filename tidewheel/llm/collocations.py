@@ -23,10 +23,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import join_hot, partitions, stored
+from .shared import in_order, join_hot, stored
 from .token_files import spread
 from .tokens import blocks, mix, plain, run_starts, word_hashes
 
@@ -56,12 +55,6 @@ def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), before[starts - starts[0]]
 
 
-def _next(marks: np.ndarray) -> np.ndarray:
-    """Per place the first marked place at or after it; the last place must be marked."""
-    at = np.flatnonzero(marks)
-    return at[np.searchsorted(at, np.arange(len(marks)))]
-
-
 def parse(docs: DataFrame, longest: int = 5, every: int = EVERY) -> DataFrame:
     """The dictionary: lang, chunk (tokens joined by blanks), own (its first tokens, which no other chunk owns), times."""
 
@@ -79,7 +72,8 @@ def parse(docs: DataFrame, longest: int = 5, every: int = EVERY) -> DataFrame:
             pair[:-1] &= ~opens[1:-1]  # the second word is in the same text
             cuts = np.flatnonzero(np.append(pair, True) | opens)
             first, end = cuts[:-1], cuts[1:]
-            reach = np.minimum(end + longest - 1, _next(is_mark | opens)[end])
+            stops = np.flatnonzero(is_mark | opens)
+            reach = np.minimum(end + longest - 1, stops[np.searchsorted(stops, end)])
             reach = np.where(opens[end] | is_mark[end - 1], end, reach)
             text_of = np.searchsorted(starts, first, "right") - 1
             sizes = reach - first
@@ -129,13 +123,10 @@ class Chunks:
         self.is_word = ~stops[:-1]
         stops[ends] = True
         ahead = np.flatnonzero(stops)  # marks and ends of chunks; a token's room goes to the first one after it
-        self.room = np.where(self.is_word, ahead[np.searchsorted(ahead, np.arange(n), "right")] - np.arange(n), 0)
+        self.room = np.where(self.is_word, np.repeat(ahead, np.diff(ahead, prepend=0))[:n] - np.arange(n), 0)
         inside = np.arange(n) - np.repeat(ends - sizes, sizes)
         self.weight = np.where(inside < np.repeat(own, sizes), np.repeat(times, sizes), 0)
 
-    def hashes(self) -> np.ndarray:
-        return gram_hashes(self.lang, self.words.to_pylist())[self.which]
-
     def starts(self, k: int) -> np.ndarray:
         """Owned places where a phrase of k words begins."""
         return np.flatnonzero((self.room >= k) & (self.weight > 0))
@@ -195,13 +186,20 @@ def count_words(blocks_: DataFrame) -> DataFrame:
     return blocks_.mapInArrow(run, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("a"))
 
 
-def _survivors(c: Chunks, hashes: np.ndarray, k: int, filters: list[np.ndarray]) -> np.ndarray:
-    """Places of owned phrases of k words whose shorter phrases pass the filters."""
-    at = c.starts(k)
-    for j, bits in enumerate(filters[: k - 1], 1):
-        for step in range(k - j + 1) if j == 1 else (0, k - j):
-            at = at[passes(bits, longer(hashes, at + step, j))]
-    return at
+def _chain(c: Chunks, longest: int, filters: list[np.ndarray]):
+    """(k, places, hashes) of owned phrases of k = 2, 3, .. `longest` words whose beginning and end, one word shorter, passed."""
+    words = gram_hashes(c.lang, c.words.to_pylist())
+    hashes, known = words[c.which], passes(filters[0], words)[c.which]
+    at = c.starts(2)
+    at = at[known[at] & known[at + 1]]
+    for k in range(2, longest + 1):
+        if k > 2:  # the beginning passed in the round before
+            at = at[c.room[at] >= k]
+            at = at[passes(filters[k - 2], longer(hashes, at + 1, k - 1))]
+        found = longer(hashes, at, k)
+        yield k, at, found
+        if k < longest:
+            at = at[passes(filters[k - 1], found)]
 
 
 def count_hashes(blocks_: DataFrame, k: int, filters: list) -> DataFrame:
@@ -219,9 +217,8 @@ def count_hashes(blocks_: DataFrame, k: int, filters: list) -> DataFrame:
         for b in batches:
             for r in range(b.num_rows):
                 c = Chunks(b, r)
-                hashes = c.hashes()
-                at = _survivors(c, hashes, k, bits)
-                held.append(_sums(longer(hashes, at, k), c.weight[at]))
+                *_, (_, at, found) = _chain(c, k, bits)
+                held.append(_sums(found, c.weight[at]))
                 if sum(len(h) for h, _ in held) > HELD:
                     h, n = merged()
                     held = [(h, n)]
@@ -242,10 +239,9 @@ def count_phrases(blocks_: DataFrame, longest: int, filters: list) -> DataFrame:
         for b in batches:
             for r in range(b.num_rows):
                 c = Chunks(b, r)
-                hashes, width = c.hashes(), len(c.words)
-                for k in range(2, longest + 1):
-                    at = _survivors(c, hashes, k, bits)
-                    at = at[passes(bits[k - 1], longer(hashes, at, k))]
+                width = len(c.words)
+                for k, at, found in _chain(c, longest, bits):
+                    at = at[passes(bits[k - 1], found)]
                     if not len(at):
                         break
                     code = c.which[at]
@@ -295,7 +291,7 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, share: int
     """Phrases of 2 to `longest` words by how much more often they occur than their parts: lang, rank, phrase, a, l, r, n, score.
 
     Phrases inside a longer one with at least `share` percent of their occurrences go. Each language's first
-    `top` stay, all for None."""
+    `top` stay, all for None; ranks count from 1 in a language."""
     phrases, sizes = frequent_phrases(docs, least, longest, every)
     ws, k = F.split("phrase", " "), F.size(F.split("phrase", " "))
     candidates = phrases.where(k > 1)
@@ -311,13 +307,11 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, share: int
     inner = inner.withColumn("start", F.explode(F.sequence(F.lit(1), k - F.col("size") + 1)))
     inner = inner.groupBy("lang", _joined(ws, F.col("start"), F.col("size")).alias("phrase")).agg(F.max("a").alias("_longer"))
     kept = scored.join(inner, ["lang", "phrase"], "left").where(F.col("_longer").isNull() | (100 * F.col("_longer") < share * F.col("a"))).drop("_longer")
-    order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
-    if top is not None:  # first within shares of a language, so that no task ranks a language whole
-        shares = kept.withColumn("_share", F.pmod(F.xxhash64("phrase"), F.lit(partitions(docs.sparkSession))))
-        kept = shares.withColumn("rank", F.row_number().over(W.partitionBy("lang", "_share").orderBy(*order))).where(F.col("rank") <= top).drop("_share", "rank")
-        ranked = kept.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
-    else:
-        ranked = kept.withColumn("rank", F.lit(None).cast("long"))
+    # places in one order over all languages, from range partitions: no task ranks a language whole
+    placed = in_order(kept, ["lang", F.col("score").desc(), F.col("a").desc(), "phrase"], "phrases-order")
+    first = placed.groupBy("lang").agg(F.min("position").alias("_first"))
+    ranked = join_hot(placed, first, "lang").withColumn("rank", F.col("position") - F.col("_first") + 1)
+    ranked = ranked if top is None else ranked.where(F.col("rank") <= top)
     return ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
