@@ -1,5 +1,6 @@
 """Operators that SQL does not express, against brute force, and the edges of those that it does."""
 
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -38,12 +39,14 @@ def clipped_area(ring, x0, y0, side):
 
 
 def test_cell_overlap_area(spark, sf):
-    rings = {r.area: [(p.x, p.y) for p in r.ring] for r in space.areas(spark).collect()}
-    got = __spark_entry__.queries()["j13_cell_overlap_area"](spark, sf).collect()
-    assert len(got) == len({(r.r, r.c) for r in got}) * len(rings)
-    assert any(r.overlap > 0 for r in got)
-    for r in got:
-        assert r.overlap == pytest.approx(clipped_area(rings[r.area], r.c * 0.01, r.r * 0.01, 0.01), abs=1e-9)
+    """Every cell with a station against every area: exactly the pairs that overlap come back."""
+    rings = dict(space.AREAS)
+    got = {(r.r, r.c, r.area): r.overlap for r in __spark_entry__.queries()["j13_cell_overlap_area"](spark, sf).collect()}
+    cells = {(math.floor(s.lat / 0.01), math.floor(s.lon / 0.01)) for s in stations(spark, sf).collect()}
+    want = {(r, c, i): clipped_area(ring, c * 0.01, r * 0.01, 0.01) for r, c in cells for i, ring in rings.items()}
+    assert {k for k, a in want.items() if a > 1e-9} == set(got)
+    for k, a in got.items():
+        assert a == pytest.approx(want[k], abs=1e-9)
 
 
 def test_demand_model_covers_held_out_rows(spark):

@@ -10,9 +10,9 @@ EARTH_M = 6371000.0
 
 
 def haversine(lat1, lon1, lat2, lon2):
-    """Metres between two points."""
+    """Metres between two points; null if a coordinate is."""
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return F.lit(2 * EARTH_M) * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
+    return F.lit(2 * EARTH_M) * F.nanvl(F.asin(F.sqrt(a)), F.lit(math.pi / 2))  # rounding may lift a above 1
 
 
 #: Fixed values of the national 5 km forecast grid: radius km, spacing km, two standard parallels, origin lon/lat, origin cell.

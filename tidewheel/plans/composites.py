@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import geo
+from ..operators import station_table as ST
 from .base import centers, forecast, query, seconds, stations, stock, table, weather
 from .scalar import hav_sql
 from .space import nearest
@@ -21,30 +23,141 @@ def c03(spark, sf):
     return best.where("x.temp is not null").groupBy(F.floor(F.col("x.avail") / 600).alias("slot"), "grid").agg(F.max("x.temp").alias("temp"))
 
 
-@query("c14_station_enrichment", "WITH live AS (SELECT s_suppkey AS station_id, s_suppkey % 25 + 5 AS capacity, CASE WHEN s_suppkey % 6 <> 0 THEN 37.5 + s_suppkey / 10000.0 END AS lat FROM supplier WHERE s_suppkey % 3 = 0) SELECT s.station_id, coalesce(l.capacity, s.capacity)::BIGINT AS capacity, coalesce(l.lat, s.lat) AS lat, floor(coalesce(l.lat, s.lat) / 0.01)::BIGINT AS cell FROM stations s LEFT JOIN live l USING (station_id)")
+_K = geo.lambert_constants()
+
+
+def _cell_sql(lat, lon):
+    ra = f"({_K['re'] * _K['sf']!r} / pow(tan(pi() / 4 + radians({lat}) / 2), {_K['sn']!r}))"
+    th = f"((radians({lon}) - {_K['olon']!r}) * {_K['sn']!r})"
+    return f"floor({ra} * sin({th}) + 43.5)::BIGINT || '_' || floor({_K['ro']!r} - {ra} * cos({th}) + 136.5)::BIGINT"
+
+
+def _between(a, b):
+    return hav_sql("a", "b").replace("a.", a).replace("b.", b)
+
+
+_C14 = f"""
+WITH live AS (
+  SELECT s_suppkey AS station_id, s_suppkey % 25 + 5 AS capacity, CASE WHEN s_suppkey % 6 <> 0 THEN 37.5 + s_suppkey / 10000.0 END AS lat,
+    CASE WHEN s_suppkey % 9 <> 0 THEN 126.9 + s_suppkey / 10000.0 END AS lon
+  FROM supplier WHERE s_suppkey % 3 = 0),
+m AS (SELECT station_id, capacity, CASE WHEN station_id % 50 <> 6 THEN lat END AS lat, lon FROM stations),
+e AS (
+  SELECT m.station_id, coalesce(l.capacity, m.capacity)::BIGINT AS capacity, l.lat IS NOT NULL AND l.lon IS NOT NULL AS live, m.lat IS NOT NULL AS placed,
+    CASE WHEN l.lat IS NOT NULL AND l.lon IS NOT NULL THEN l.lat ELSE m.lat END AS lat,
+    CASE WHEN l.lat IS NOT NULL AND l.lon IS NOT NULL THEN l.lon WHEN m.lat IS NOT NULL THEN m.lon END AS lon
+  FROM m LEFT JOIN live l USING (station_id)),
+known AS (SELECT DISTINCT {_cell_sql('lat', 'lon')} AS weather_cell FROM stations WHERE station_id % 97 <> 1)
+SELECT station_id, capacity, lat, lon, CASE WHEN live THEN 'live' WHEN placed THEN 'master' END AS place_source, weather_cell
+FROM e LEFT JOIN known ON weather_cell = {_cell_sql('e.lat', 'e.lon')}"""
+
+
+@query("c14_station_enrichment", _C14)
 def c14(spark, sf):
+    """Live values over the master table, whole places only, and the weather cell; fails below 95 % of mapped stations."""
     k = F.col("s_suppkey")
-    live = table(spark, sf, "supplier").where("s_suppkey % 3 = 0").select(k.alias("station_id"), (k % 25 + 5).alias("cap1"), F.when(k % 6 != 0, 37.5 + k / 10000.0).alias("lat1"))
-    out = stations(spark, sf).join(live, "station_id", "left").withColumns({"capacity": F.coalesce("cap1", "capacity"), "lat": F.coalesce("lat1", "lat")})
-    return out.select("station_id", "capacity", "lat", F.floor(F.col("lat") / 0.01).alias("cell"))
+    live = table(spark, sf, "supplier").where("s_suppkey % 3 = 0")
+    live = live.select(k.alias("station_id"), (k % 25 + 5).alias("capacity"), F.when(k % 6 != 0, 37.5 + k / 10000.0).alias("lat"), F.when(k % 9 != 0, 126.9 + k / 10000.0).alias("lon"))
+    s = stations(spark, sf)
+    master = s.select("station_id", "capacity", F.when(F.col("station_id") % 50 != 6, F.col("lat")).alias("lat"), "lon")
+    cells = s.where("station_id % 97 <> 1").select(ST.weather_cell(F.col("lat"), F.col("lon")).alias("weather_cell")).distinct()
+    return ST.enrich(master, live, cells)
+
+
+_C15 = f"""
+WITH m AS (
+  SELECT station_id, CASE WHEN station_id % 19 <> 3 THEN 'road ' || station_id END AS address, CASE WHEN station_id % 23 <> 5 THEN lat + CASE WHEN station_id % 8 = 2 THEN 0.01 ELSE 0 END END AS lat, lon
+  FROM stations WHERE station_id % 17 <> 4),
+w AS (
+  SELECT station_id, no, CASE WHEN (station_id + no) % 6 <> 0 THEN 'name ' || station_id END AS name, capacity + no % 2 AS capacity,
+    CASE WHEN station_id % 29 <> 7 THEN lat + CASE WHEN station_id % 31 = 9 THEN 0.02 ELSE 0 END END AS lat, lon, 1706659200 - (no - 1) * 300 AS seen_s
+  FROM stations, (SELECT unnest(range(1, 4)) AS no) WHERE (station_id // 7 + no) % 5 <> 0 AND station_id % 37 <> 11),
+p AS (
+  SELECT station_id, 'old ' || station_id AS name, 'road ' || station_id AS address, capacity, lat, lon, 'master' AS source, 1706000000 AS base_s, 1706659200 - 900 AS seen_s, station_id % 3 <> 0 AS active
+  FROM stations WHERE station_id % 11 <> 0),
+f AS (SELECT station_id, max(CASE WHEN no = 1 THEN 1 END) IS NOT NULL AS listed, coalesce(min(no) FILTER (WHERE name IS NOT NULL), 4) - 1 AS streak FROM w GROUP BY ALL),
+j AS (
+  SELECT s.station_id, p.station_id IS NOT NULL AS had, p.name AS p_name, p.address AS p_address, p.capacity AS p_capacity, p.lat AS p_lat, p.lon AS p_lon, p.base_s AS p_base, p.seen_s AS p_seen, coalesce(p.active, false) AS was,
+    m.address, m.lat AS m_lat, m.lon AS m_lon, w.name, w.capacity, w.lat AS w_lat, w.lon AS w_lon, w.seen_s, w.name IS NOT NULL AS valid, coalesce(f.streak, 3) AS streak, s.station_id % 16 = 2 AS approved, s.station_id % 4 = 0 AS ready
+  FROM stations s LEFT JOIN p USING (station_id) LEFT JOIN m USING (station_id) LEFT JOIN w ON w.station_id = s.station_id AND w.no = 1 LEFT JOIN f ON f.station_id = s.station_id
+  WHERE p.station_id IS NOT NULL OR w.name IS NOT NULL),
+d AS (
+  SELECT *, coalesce(p_lat IS NOT NULL AND {_between('m_', 'p_')} > 100, false) AS far_p,
+    coalesce(w_lat IS NOT NULL AND {_between('m_', 'w_')} > 100, false) AS far_w
+  FROM j),
+c AS (
+  SELECT *, CASE WHEN address IS NULL THEN 'previous' WHEN m_lat IS NULL AND had THEN 'previous' WHEN m_lat IS NULL THEN 'realtime' WHEN (far_p OR far_w) AND NOT approved THEN 'previous' ELSE 'master' END AS choice
+  FROM d),
+o AS (
+  SELECT *, CASE choice WHEN 'master' THEN m_lat WHEN 'realtime' THEN w_lat ELSE p_lat END AS lat, CASE choice WHEN 'master' THEN m_lon WHEN 'realtime' THEN w_lon ELSE p_lon END AS lon,
+    CASE WHEN valid THEN was OR ready ELSE was AND streak < 3 END AS active,
+    CASE WHEN valid THEN name ELSE p_name END AS o_name, CASE WHEN valid THEN capacity ELSE p_capacity END AS o_capacity, CASE WHEN choice <> 'previous' THEN address ELSE p_address END AS o_address
+  FROM c),
+k AS (SELECT * FROM o WHERE lat IS NOT NULL AND (had OR choice <> 'previous')),
+near AS (SELECT k.station_id, c.center_id, row_number() OVER (PARTITION BY k.station_id ORDER BY {hav_sql('k', 'c')}, c.center_id) AS rn FROM k, centers c)
+SELECT station_id, o_name AS name, o_address AS address, o_capacity::BIGINT AS capacity, lat, lon, CASE WHEN choice = 'previous' THEN 'master' ELSE choice END AS source,
+  CASE WHEN choice <> 'previous' THEN 1706600000 ELSE p_base END::BIGINT AS base_s, coalesce(seen_s, p_seen)::BIGINT AS seen_s, active, choice = 'previous' AS kept,
+  CASE WHEN NOT had THEN 'insert' WHEN active AND NOT was THEN 'activate' WHEN NOT active AND was THEN 'deactivate' WHEN lat <> p_lat OR lon <> p_lon THEN 'move'
+    WHEN o_name IS DISTINCT FROM p_name OR o_capacity IS DISTINCT FROM p_capacity OR o_address IS DISTINCT FROM p_address THEN 'update' ELSE 'same' END AS change,
+  center_id, {_cell_sql('lat', 'lon')} AS weather_cell
+FROM k JOIN near USING (station_id) WHERE rn = 1"""
+
+
+def station_inputs(spark, sf):
+    """A master snapshot, three windows, the previous table, ready stations and approvals, all made from the stations."""
+    s, i = stations(spark, sf), F.col("station_id")
+    far = F.when(i % 8 == 2, 0.01).otherwise(0.0)
+    master = s.where("station_id % 17 <> 4").select("station_id", F.when(i % 19 != 3, F.concat(F.lit("road "), i)).alias("address"), F.when(i % 23 != 5, F.col("lat") + far).alias("lat"), "lon")
+    no = F.explode(F.sequence(F.lit(1), F.lit(3)))
+    w = s.withColumn("no", no).where("(floor(station_id / 7) + no) % 5 <> 0 and station_id % 37 <> 11")
+    moved = F.when(i % 31 == 9, 0.02).otherwise(0.0)
+    windows = w.select(
+        "station_id",
+        "no",
+        F.when((i + F.col("no")) % 6 != 0, F.concat(F.lit("name "), i)).alias("name"),
+        (F.col("capacity") + F.col("no") % 2).alias("capacity"),
+        F.when(i % 29 != 7, F.col("lat") + moved).alias("lat"),
+        "lon",
+        (1706659200 - (F.col("no") - 1) * 300).cast("long").alias("seen_s"),
+    )
+    old = {"name": F.concat(F.lit("old "), i), "address": F.concat(F.lit("road "), i), "source": F.lit("master"), "base_s": F.lit(1706000000).cast("long"), "seen_s": F.lit(1706659200 - 900).cast("long"), "active": i % 3 != 0}
+    previous = s.where("station_id % 11 <> 0").select("station_id", "capacity", "lat", "lon", *[v.alias(k) for k, v in old.items()])
+    approvals = master.where("station_id % 16 = 2").select("station_id", F.explode(F.array(F.lit("previous"), F.lit("realtime"))).alias("comparison"), "lat", "lon")
+    return master, windows, previous, s.where("station_id % 4 = 0").select("station_id"), approvals
+
+
+@query("c15_station_dimension", _C15)
+def c15(spark, sf):
+    """The next station table from a master snapshot, the last three windows and the table before, with centre and weather cell."""
+    master, windows, previous, ready, approvals = station_inputs(spark, sf)
+    out = ST.project(master, windows, previous, ready, approvals, 1706600000).drop("used")
+    return nearest(out, centers(spark, sf)).drop("m").withColumn("weather_cell", ST.weather_cell(F.col("lat"), F.col("lon")))
 
 
-@query("c15_station_dimension", f"""WITH p AS (SELECT station_id, lat FROM stations WHERE station_id % 11 <> 0), n AS (SELECT station_id, CASE WHEN station_id % 40 = 2 THEN lat + 0.01 ELSE lat END AS lat, lon FROM stations WHERE station_id % 13 <> 0),
-near AS (SELECT s.station_id, c.center_id, row_number() OVER (PARTITION BY s.station_id ORDER BY {hav_sql('s', 'c')}, c.center_id) AS rn FROM stations s, centers c)
-SELECT station_id, coalesce(CASE WHEN abs(n.lat - p.lat) * 111195 > 100 THEN p.lat END, n.lat, p.lat) AS lat, n.lat IS NOT NULL AS active, coalesce(abs(n.lat - p.lat) * 111195 > 100, false) AS needs_approval, center_id FROM p FULL JOIN n USING (station_id) JOIN near USING (station_id) WHERE rn = 1""")
-def c15(spark, sf):
-    s = stations(spark, sf)
-    p = s.where("station_id % 11 <> 0").select("station_id", F.col("lat").alias("lat0"))
-    n = s.where("station_id % 13 <> 0").select("station_id", F.when(F.col("station_id") % 40 == 2, F.col("lat") + 0.01).otherwise(F.col("lat")).alias("lat1"))
-    moved = F.coalesce(F.abs(F.col("lat1") - F.col("lat0")) * 111195 > 100, F.lit(False))
-    both = p.join(n, "station_id", "full").join(nearest(s, centers(spark, sf)).select("station_id", "center_id"), "station_id")
-    return both.select("station_id", F.coalesce(F.when(moved, F.col("lat0")), "lat1", "lat0").alias("lat"), F.col("lat1").isNotNull().alias("active"), moved.alias("needs_approval"), "center_id")
+#: Hours of forecast that a station's cell needs, from the hour after the anchor on (fixed value).
+FORECAST_HOURS = 13
+
+_C16 = f"""
+WITH f AS (SELECT grid, obs_s // 3600 + unnest(range(1, 7 + event_id % 12)) AS h FROM weather WHERE temp IS NOT NULL),
+span AS (SELECT max(obs_s // 3600) - 40 AS h0 FROM weather),
+full_cells AS (SELECT grid FROM f, span WHERE h > h0 AND h <= h0 + {FORECAST_HOURS} GROUP BY grid HAVING count(DISTINCT h) = {FORECAST_HOURS}),
+anchored AS (SELECT DISTINCT station_id FROM stock, span WHERE tick // 3600 = h0)
+SELECT station_id FROM anchored WHERE station_id % 34 IN (SELECT grid FROM full_cells)"""
 
 
-@query("c16_activation_readiness", "SELECT DISTINCT station_id FROM stock WHERE station_id % 34 IN (SELECT grid FROM weather WHERE temp IS NOT NULL GROUP BY grid HAVING count(DISTINCT obs_s // 3600) >= 60)")
+@query("c16_activation_readiness", _C16)
 def c16(spark, sf):
-    grids = weather(spark, sf).where("temp is not null").select("grid", F.floor(F.col("obs_s") / 3600).alias("h")).distinct().groupBy("grid").count().where("count >= 60").select("grid")
-    return stock(spark, sf).select("station_id").distinct().withColumn("grid", F.col("station_id") % 34).join(grids, "grid", "left_semi").select("station_id")
+    """Stations with stock in the anchor's hour whose weather cell has all 13 forecast hours after it.
+
+    A weather row is a forecast for the 6 to 17 hours after its own; the hours of a cell's rows add up."""
+    h = F.floor(F.col("obs_s") / 3600)
+    w = weather(spark, sf)
+    anchor = F.broadcast(w.agg((F.max(h) - 40).alias("h0")))  # one row
+    ahead = w.where("temp is not null").select("grid", F.explode(F.sequence(h + 1, h + 6 + F.col("event_id") % 12)).alias("h"))
+    hours = ahead.join(anchor).where("h > h0").where(F.col("h") <= F.col("h0") + FORECAST_HOURS).select("grid", "h").distinct()
+    full = hours.groupBy("grid").count().where(F.col("count") == FORECAST_HOURS).select("grid")
+    here = stock(spark, sf).join(anchor).where(F.floor(F.col("tick") / 3600) == F.col("h0")).select("station_id").distinct()
+    return here.withColumn("grid", F.col("station_id") % 34).join(full, "grid", "left_semi").select("station_id")
 
 
 @query("c23_demand_projection", "SELECT station_id, horizon, 1706659200 + horizon * 3600 AS target_s, round_even(rent, 0)::BIGINT AS rent, round_even(ret, 0)::BIGINT AS ret FROM forecast")

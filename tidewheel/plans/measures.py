@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators import replay as RP
 from ..sources import files as S
 from .base import forecast, population, query, seconds, stock, table, trips, weather
 
@@ -390,6 +391,41 @@ def w21(spark, sf):
     return replay(spark, sf).groupBy("station_id").agg(F.coalesce(F.sum(F.when(F.col("bikes") <= 0, F.col("held"))), zero).alias("empty_s"), F.coalesce(F.sum(F.when(F.col("bikes") < 0, F.col("held"))), zero).alias("negative_s"), F.min("bikes").alias("lowest"))
 
 
+_TIMINGS_SQL = """
+WITH moves AS (SELECT station_id, start_s AS t, -1 AS delta FROM trips UNION ALL SELECT end_station_id, end_s, 1 FROM trips WHERE end_s IS NOT NULL),
+checks AS (SELECT station_id, tick AS t, arg_max(bikes, event_id) AS bikes FROM stock WHERE station_id IN (SELECT station_id FROM moves) GROUP BY ALL),
+gaps AS (SELECT station_id, t AS t0, bikes AS b0, lead(t) OVER w AS t1, lead(bikes) OVER w AS b1 FROM checks WINDOW w AS (PARTITION BY station_id ORDER BY t)),
+moved AS (
+  SELECT g.station_id, t0, t1, b1 - b0 - coalesce(sum(m.delta), 0) AS quantity
+  FROM gaps g LEFT JOIN moves m ON m.station_id = g.station_id AND m.t > g.t0 AND m.t <= g.t1 WHERE t1 IS NOT NULL GROUP BY g.station_id, t0, t1, b0, b1),
+span AS (SELECT station_id, min(t) AS w0, max(t) AS w1, arg_min(bikes, t) AS b0, arg_max(bikes, t) AS b1 FROM checks GROUP BY ALL),
+timings(timing, halves) AS (VALUES ('interval_start', 0), ('interval_midpoint', 1), ('interval_end', 2)),
+changes AS (
+  SELECT station_id, timing, t0 + (t1 - t0) * halves // 2 AS t, 0 AS prio, quantity AS delta FROM moved, timings WHERE abs(quantity) >= 5
+  UNION ALL SELECT station_id, timing, t, CASE WHEN delta > 0 THEN 1 ELSE 2 END, delta FROM moves JOIN span USING (station_id), timings WHERE t > w0 AND t <= w1
+  UNION ALL SELECT station_id, timing, w0, -1, b0 FROM span, timings),
+played AS (
+  SELECT station_id, timing, t, sum(delta) OVER (w ROWS UNBOUNDED PRECEDING) AS bikes, lead(t) OVER w AS after FROM changes
+  WINDOW w AS (PARTITION BY station_id, timing ORDER BY t, prio)),
+spent AS (
+  SELECT station_id, timing, coalesce(sum(coalesce(after, w1) - t) FILTER (WHERE bikes <= 0), 0)::BIGINT AS empty_s,
+    coalesce(sum(coalesce(after, w1) - t) FILTER (WHERE bikes < 0), 0)::BIGINT AS negative_s, min(bikes)::BIGINT AS lowest
+  FROM played JOIN span USING (station_id) GROUP BY ALL),
+ends AS (SELECT station_id, timing, abs(sum(delta) - any_value(b1))::BIGINT AS end_error FROM changes JOIN span USING (station_id) GROUP BY ALL)
+SELECT * FROM spent JOIN ends USING (station_id, timing)"""
+
+
+@query("w21b_replay_timings", _TIMINGS_SQL)
+def w21b(spark, sf):
+    """Empty and negative time, lowest stock and end error per station under three timings of unexplained movement."""
+    t = trips(spark, sf)
+    moves = t.select("station_id", F.col("start_s").alias("t"), F.lit(-1).cast("long").alias("delta"))
+    moves = moves.unionByName(t.where("end_s is not null").select(F.col("end_station_id").alias("station_id"), F.col("end_s").alias("t"), F.lit(1).cast("long").alias("delta")))
+    known = moves.select("station_id").distinct()
+    checks = stock(spark, sf).groupBy("station_id", F.col("tick").alias("t")).agg(F.max_by("bikes", "event_id").alias("bikes"))
+    return RP.replay_timings(checks.join(known, "station_id", "left_semi"), moves, least=5)
+
+
 @query("w22_first_shortage", f"WITH {_REPLAY} SELECT station_id, min(t) FILTER (WHERE bikes < 0) AS first_s, min(bikes)::BIGINT AS lowest FROM r GROUP BY ALL")
 def w22(spark, sf):
     return replay(spark, sf).groupBy("station_id").agg(F.min(F.when(F.col("bikes") < 0, F.col("t"))).alias("first_s"), F.min("bikes").alias("lowest"))
