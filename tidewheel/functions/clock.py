@@ -19,13 +19,21 @@ def weekday(s):
     return F.pmod(F.floor(s / 86400) + 3, F.lit(7))
 
 
+#: kind -> (seconds between slots, first slot of the day, seconds until a slot's data is out). Fixed values.
+SLOTS = {
+    "hourly": (3600, 0, 2400),
+    "half_hourly": (3600, 1800, 0),
+    "three_hourly": (10800, 7200, 600),
+    "ten_minutely": (600, 0, 0),
+    "thirty_minutely": (1800, 0, 0),
+}
+
+
 def publication_slot(s, kind: str):
-    """The newest issue at or before s: hourly at minute 40, half_hourly at 0/30 available 45 minutes later, three_hourly (02, 05, ...) available 10 minutes later."""
-    if kind == "hourly":
-        return F.floor((s - 2400) / 3600) * 3600
-    if kind == "half_hourly":
-        return F.floor((s - 2700) / 1800) * 1800
-    return F.floor((s - 600 - 7200) / 10800) * 10800 + 7200
+    """The newest issue whose data is out at s: hourly on the hour, out at minute 40; half_hourly once an hour at minute 30;
+    three_hourly at 02, 05, .. 23, out ten minutes later; ten_minutely and thirty_minutely are plain grids."""
+    every, first, wait = SLOTS[kind]
+    return F.floor((s - wait - first) / every) * every + first
 
 
 def freshness(age_s, ready: int, expired: int, future: int = 300):

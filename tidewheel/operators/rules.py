@@ -105,9 +105,50 @@ def issue_counts(validated: DataFrame) -> DataFrame:
     return validated.select(F.explode("_issues").alias("i")).groupBy("i.column", "i.kind", "i.action").agg(F.count("*").alias("n"))
 
 
-def gates(validated: DataFrame, max_drop: float = 0.5, allow_empty: bool = False) -> DataFrame:
-    """One row: counts, drop ratio and whether the batch may be written."""
-    n = F.count("*")
-    out = validated.agg(n.alias("fetched"), F.count_if(F.col("_row_status").isin("ok", "repaired")).alias("kept"), F.count_if(F.col("_row_status") == "repaired").alias("repaired"), F.count_if(F.col("_row_status") == "dropped").alias("dropped"), F.count_if(F.col("_row_status") == "failed").alias("failed"))
+def missing_ratio(planned, fetched, parts_missing, parts_got):
+    """The share that is missing: by rows where the source told how many there are, else by parts."""
+    by_parts = F.coalesce(F.try_divide(parts_missing, parts_missing + parts_got), F.lit(0.0))
+    by_rows = F.greatest(F.lit(0.0), 1 - F.coalesce(F.try_divide(fetched, planned), F.lit(1.0)))
+    return F.when(planned.isNotNull(), by_rows).otherwise(by_parts)
+
+
+def overfetch_ratio(planned, fetched):
+    """How far the rows go beyond what the source told; 0 where it told nothing."""
+    return F.when(planned > 0, F.greatest(F.lit(0.0), fetched / planned - 1)).otherwise(F.lit(0.0))
+
+
+def gates(validated: DataFrame, max_drop: float = 0.5, allow_empty: bool = False, plan: DataFrame | None = None, max_missing: float = 0.1, max_over: float = 0.05) -> DataFrame:
+    """One row: counts, drop ratio and whether the batch may be written.
+
+    plan (planned, parts_missing, parts_got; one row): adds `missing_ratio` and `over_ratio`, and their gates to `pass`."""
+    is_ = F.col("_row_status")
+    counts = {"kept": is_.isin("ok", "repaired"), "repaired": is_ == "repaired", "dropped": is_ == "dropped", "failed": is_ == "failed"}
+    out = validated.agg(F.count("*").alias("fetched"), *[F.count_if(when).alias(name) for name, when in counts.items()])
     ratio = F.try_divide("dropped", "fetched")
-    return out.withColumns({"drop_ratio": F.bround(ratio, 6), "pass": (F.col("failed") == 0) & (F.coalesce(ratio, F.lit(0.0)) <= max_drop) & ((F.col("fetched") > 0) | F.lit(allow_empty))})
+    ok = (F.col("failed") == 0) & (F.coalesce(ratio, F.lit(0.0)) <= max_drop) & ((F.col("fetched") > 0) | F.lit(allow_empty))
+    if plan is None:
+        return out.withColumns({"drop_ratio": F.bround(ratio, 6), "pass": ok})
+    out = out.join(F.broadcast(plan.limit(1)))  # one row
+    missing = missing_ratio(F.col("planned"), F.col("fetched"), F.col("parts_missing"), F.col("parts_got"))
+    over = overfetch_ratio(F.col("planned"), F.col("fetched"))
+    out = out.withColumns({"_missing": missing, "_over": over})
+    ok = ok & (F.col("_missing") <= max_missing) & (F.col("_over") <= max_over)
+    out = out.withColumns({"drop_ratio": F.bround(ratio, 6), "missing_ratio": F.bround("_missing", 6), "over_ratio": F.bround("_over", 6), "pass": ok})
+    return out.drop("_missing", "_over", "planned", "parts_missing", "parts_got")
+
+
+def panel_gaps(panel: DataFrame, stations: DataFrame, hours: int = 12, key: str = "station_id", base: str = "base_s") -> DataFrame:
+    """Per station of the list or the panel (key, horizon, base): missing, extra and repeated horizons, and other_base, the rows
+    whose base is not the panel's most frequent one (ties: the newest). All zero for a whole panel."""
+    usual = panel.groupBy(base).agg(F.count("*").alias("_n")).agg(F.max(F.struct("_n", base)).alias("x")).select(F.col(f"x.{base}").alias("_base"))
+    full = stations.select(key).distinct().withColumn("horizon", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(hours).cast("long"))))
+    other = F.count_if(~F.col(base).eqNullSafe(F.col("_base")))
+    got = panel.join(F.broadcast(usual)).groupBy(key, "horizon").agg(F.count("*").alias("_n"), other.alias("_other"))  # one row is broadcast
+    both = full.withColumn("_f", F.lit(True)).join(got, [key, "horizon"], "full")
+    none = F.lit(0).cast("long")
+    return both.groupBy(key).agg(
+        F.count_if(F.col("_n").isNull()).alias("missing"),
+        F.count_if(F.col("_f").isNull()).alias("extra"),
+        F.coalesce(F.sum(F.greatest(F.col("_n") - 1, none)), none).alias("repeated"),
+        F.coalesce(F.sum("_other"), none).alias("other_base"),
+    )

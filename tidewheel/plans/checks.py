@@ -101,6 +101,34 @@ def v11(spark, sf):
     return Q.gates(checked(spark, sf))
 
 
+_GATES_SQL = f"""
+WITH {_D},
+c AS (SELECT c_nationkey % 5 AS batch, v.st FROM v JOIN customer USING (c_custkey)),
+p AS (SELECT c_nationkey % 5 AS batch, count(*) AS n FROM customer GROUP BY ALL),
+g AS (SELECT batch, count(*) AS fetched, count(*) FILTER (WHERE st = 'dropped') / count(*) AS drop_ratio, count(*) FILTER (WHERE st = 'failed') AS failed FROM c GROUP BY ALL),
+r AS (
+  SELECT g.*, CASE WHEN batch = 1 THEN 1 / 8 WHEN batch = 4 THEN 0 WHEN batch = 2 THEN greatest(0, 1 - fetched / (n + 40)) WHEN batch = 3 THEN greatest(0, 1 - fetched / (n - 40)) ELSE 0 END AS missing,
+    CASE WHEN batch = 3 THEN greatest(0, fetched / (n - 40) - 1) ELSE 0 END AS over
+  FROM g JOIN p USING (batch))
+SELECT batch::BIGINT AS batch, fetched, round_even(drop_ratio, 6) AS drop_ratio, round_even(missing, 6) AS missing_ratio, round_even(over, 6) AS over_ratio,
+  failed = 0 AND drop_ratio <= 0.5 AND missing <= 0.1 AND over <= 0.05 AS pass FROM r"""
+
+
+@query("v11b_missing_and_overfetch", _GATES_SQL)
+def v11b(spark, sf):
+    """Five batches by nation against what their source announced: exactly, by parts with one of eight missing, 40 rows
+    more, 40 rows fewer, and nothing missing of three parts."""
+    v = checked(spark, sf).join(table(spark, sf, "customer").select("c_custkey", (F.col("c_nationkey") % 5).cast("long").alias("batch")), "c_custkey")
+    n = {r.batch: r.n for r in v.groupBy("batch").agg(F.count("*").alias("n")).collect()}  # five rows
+    plans = {0: (0, 0, 1), 1: (None, 1, 7), 2: (40, 0, 1), 3: (-40, 0, 1), 4: (None, 0, 3)}
+    out = None
+    for batch, (more, missing, got) in plans.items():
+        plan = spark.createDataFrame([(None if more is None else n.get(batch, 0) + more, missing, got)], "planned long, parts_missing long, parts_got long")
+        row = Q.gates(v.where(F.col("batch") == batch), plan=plan).select(F.lit(batch).cast("long").alias("batch"), "fetched", "drop_ratio", "missing_ratio", "over_ratio", "pass")
+        out = row if out is None else out.unionByName(row)
+    return out.where("fetched > 0")
+
+
 @query("v12_natural_key", "SELECT count(*)::BIGINT AS n, count(DISTINCT (user_id, epoch_us(ts) // 3600000000))::BIGINT AS keys, count(*) FILTER (WHERE event_type IS NULL OR trim(event_type) = '')::BIGINT AS blank, count(*) = count(DISTINCT (user_id, epoch_us(ts) // 3600000000)) AS is_unique FROM events")
 def v12(spark, sf):
     e = table(spark, sf, "events").withColumn("h", F.floor(seconds("ts") / 3600))
@@ -142,13 +170,31 @@ def v17(spark, sf):
     return a.join(t, "id", "left").agg(F.count("*").alias("active"), F.count("ok").alias("eligible")).withColumn("pass", 1 - F.col("eligible") / F.col("active") <= 0.2)
 
 
-@query("v18_panel_completeness", "WITH g AS (SELECT * FROM forecast WHERE (station_id + horizon) % 50 <> 0), s AS (SELECT DISTINCT station_id FROM forecast), f AS (SELECT station_id, h AS horizon FROM s, (SELECT unnest(range(1, 13)) AS h)) SELECT f.station_id, count(*) FILTER (WHERE g.station_id IS NULL)::BIGINT AS missing, 0::BIGINT AS extra FROM f LEFT JOIN g USING (station_id, horizon) GROUP BY ALL")
+_PANEL_SQL = """
+WITH g AS (
+  SELECT station_id, horizon, CASE WHEN station_id % 17 = 3 AND horizon > 9 THEN 1 ELSE 2 END AS base_s FROM forecast WHERE (station_id + horizon) % 50 <> 0
+  UNION ALL SELECT station_id, horizon, 2 FROM forecast WHERE station_id % 23 = 1 AND horizon < 3
+  UNION ALL SELECT station_id, 13, 2 FROM forecast WHERE station_id % 29 = 2 AND horizon = 1
+  UNION ALL SELECT station_id + 1000000, horizon, 2 FROM forecast WHERE station_id % 31 = 4 AND horizon < 5),
+s AS (SELECT DISTINCT station_id FROM forecast),
+f AS (SELECT station_id, h AS horizon, true AS there FROM s, (SELECT unnest(range(1, 13)) AS h)),
+c AS (SELECT station_id, horizon, count(*) AS n, count(*) FILTER (WHERE base_s <> 2) AS other FROM g GROUP BY ALL)
+SELECT station_id, count(*) FILTER (WHERE n IS NULL)::BIGINT AS missing, count(*) FILTER (WHERE there IS NULL)::BIGINT AS extra, coalesce(sum(greatest(n - 1, 0)), 0)::BIGINT AS repeated,
+  coalesce(sum(other), 0)::BIGINT AS other_base
+FROM (SELECT station_id, horizon FROM f UNION SELECT station_id, horizon FROM c) k LEFT JOIN f USING (station_id, horizon) LEFT JOIN c USING (station_id, horizon) GROUP BY ALL"""
+
+
+@query("v18_panel_completeness", _PANEL_SQL)
 def v18(spark, sf):
-    g = forecast(spark, sf).where("(station_id + horizon) % 50 <> 0")
-    ids = forecast(spark, sf).select("station_id").distinct()
-    full = ids.withColumn("horizon", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(12).cast("long"))))
-    both = full.withColumn("_f", F.lit(1)).join(g.select("station_id", "horizon", F.lit(1).alias("_g")), ["station_id", "horizon"], "full")
-    return both.groupBy("station_id").agg(F.count_if(F.col("_g").isNull()).alias("missing"), F.count_if(F.col("_f").isNull()).alias("extra"))
+    """A panel with holes, repeated rows, a thirteenth hour, rows of an older anchor and unknown stations, against 12 hours a station."""
+    f = forecast(spark, sf)
+    base = F.when((F.col("station_id") % 17 == 3) & (F.col("horizon") > 9), 1).otherwise(2).alias("base_s")
+    two = F.lit(2).alias("base_s")
+    g = f.where("(station_id + horizon) % 50 <> 0").select("station_id", "horizon", base)
+    g = g.unionByName(f.where("station_id % 23 = 1 and horizon < 3").select("station_id", "horizon", two))
+    g = g.unionByName(f.where("station_id % 29 = 2 and horizon = 1").select("station_id", F.lit(13).cast("long").alias("horizon"), two))
+    g = g.unionByName(f.where("station_id % 31 = 4 and horizon < 5").select((F.col("station_id") + 1000000).alias("station_id"), "horizon", two))
+    return Q.panel_gaps(g, f.select("station_id"))
 
 
 @query("v19_coordinate_box", "SELECT station_id, lat BETWEEN 37.5 AND 37.6 AND lon BETWEEN 126.9 AND 127.1 AS ok FROM stations")

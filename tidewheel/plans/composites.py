@@ -6,7 +6,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..operators import serving as SV
 from ..operators import station_table as ST
+from ..sources import incremental as I
+from ..sources.files import work_folder
 from .base import centers, forecast, query, seconds, stations, stock, table, weather
 from .scalar import hav_sql
 from .space import nearest
@@ -172,18 +175,149 @@ def c29(spark, sf):
     return stations(spark, sf).join(l, "station_id", "left").select("station_id", "x.bikes", F.when(age.isNull(), "missing").when(age <= 7200, "ready").otherwise("stale").alias("state"))
 
 
-@query("c30_serving_health", "SELECT t.k, coalesce(count(event_id), 0)::BIGINT AS n, CASE WHEN count(event_id) = 0 THEN 'missing' WHEN max(epoch_us(ts) // 1000000) < 1706659200 - 1800 THEN 'stale' ELSE 'ready' END AS state FROM (VALUES ('click'), ('error'), ('purchase'), ('view'), ('urgency')) t(k) LEFT JOIN events ON event_type = t.k GROUP BY ALL")
-def c30(spark, sf):
-    d = spark.createDataFrame([(x,) for x in ("click", "error", "purchase", "view", "urgency")], "k string")
-    e = ev(spark, sf).groupBy(F.col("event_type").alias("k")).agg(F.count("*").alias("n"), F.max("s").alias("z"))
-    return F.broadcast(d).join(e, "k", "left").select("k", F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.when(F.col("n").isNull(), "missing").when(F.col("z") < 1706659200 - 1800, "stale").otherwise("ready").alias("state"))
+_STATE = "CASE WHEN {x} IS NULL THEN 'missing' WHEN {x} BETWEEN now - {f} AND now + 300 THEN 'ready' {e}ELSE 'stale' END"
+
+
+def _state_sql(x, fresh, expired):
+    return _STATE.format(x=x, f=fresh, e=f"WHEN now - {x} > {expired} THEN 'expired' " if expired else "")
 
 
-@query("c32_route_aggregate", "WITH s AS (SELECT l_orderkey, count(*)::BIGINT AS stops, sum(l_quantity)::BIGINT AS bikes, min(l_linenumber) FILTER (WHERE l_returnflag = 'R') AS first_drop FROM lineitem GROUP BY ALL) SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey % 11, o_orderdate ORDER BY o_orderkey) AS no, coalesce(stops, 0)::BIGINT AS stops, bikes, first_drop FROM orders LEFT JOIN s ON l_orderkey = o_orderkey")
+_TOLD = "CASE {s} WHEN 'missing' THEN 'not_published' WHEN 'ready' THEN 'fresh' WHEN 'expired' THEN 'publication_expired' ELSE 'publication_stale' END"
+_ORDER = "list_position(['missing', 'expired', 'misaligned', 'stale', 'ready'], {s})"
+
+_C30 = f"""
+WITH e AS (SELECT user_id % 10 AS k, epoch_us(ts) // 1000000 AS s, epoch_us(ts) // 86400000000 AS day FROM events),
+anchors AS (SELECT DISTINCT day, (day + 1) * 86400 AS now FROM e),
+daily AS (SELECT day, k, max(s) // 600 * 600 AS logical, count(*) AS n FROM e WHERE k < 9 GROUP BY ALL),
+st AS (SELECT a.now, d.k, max(d.logical) AS logical, arg_max(d.n, d.day) AS n FROM anchors a JOIN daily d ON d.day <= a.day AND d.day > a.day - 4 GROUP BY ALL),
+wt AS (
+  SELECT (obs_s // 86400 + 1) * 86400 AS now, count(DISTINCT (grid, obs_s // 3600)) AS n, bool_and(base_s >= (obs_s // 86400 + 1) * 86400 - 7200) AS fresh, min(base_s) AS oldest
+  FROM weather WHERE temp IS NOT NULL AND obs_s % 86400 >= 79200 GROUP BY ALL),
+we AS (SELECT (obs_s // 86400 + 1) * 86400 AS now, 2 * count(DISTINCT grid) AS expected FROM weather GROUP BY ALL),
+p AS (
+  SELECT a.now, {', '.join(f"max(logical) FILTER (WHERE k = {i}) AS l{i}" for i in range(9))}, max(st.n) FILTER (WHERE k = 0) AS n0
+  FROM anchors a LEFT JOIN st ON st.now = a.now GROUP BY a.now),
+q AS (
+  SELECT p.*, wt.n AS wn, we.expected, wt.fresh, wt.oldest, {_state_sql('l2', 600, 3600)} AS stock0, {_state_sql('l3', 600, 3600)} AS demand0, {_state_sql('l4', 600, 3600)} AS urgency0,
+    {_state_sql('l5', 600, 3600)} AS routes0, {_state_sql('l6', 600, 3600)} AS weather0, {_state_sql('l7', 129600, None)} AS one, {_state_sql('l8', 129600, None)} AS two
+  FROM p LEFT JOIN wt USING (now) LEFT JOIN we USING (now)),
+r AS (SELECT *, CASE WHEN l1 IS NULL THEN 'missing' WHEN stock0 NOT IN ('missing', 'expired') AND l1 <> l2 THEN 'misaligned' ELSE stock0 END AS stock1 FROM q),
+t AS (
+  SELECT *, stock1 = 'ready' AND demand0 = 'ready' AND urgency0 = 'ready' AND routes0 = 'ready' AS all_ready, coalesce(l2 = l3 AND l3 = l4 AND l4 = l5, false) AS same,
+    weather0 = 'ready' AND coalesce(wn <> expected, true) AS short, weather0 = 'ready' AND NOT coalesce(fresh, false) AS old
+  FROM r),
+u AS (
+  SELECT now, all_ready AND same AS can_dispatch, c.* FROM t, LATERAL (VALUES
+    ('stock', CASE WHEN all_ready AND NOT same THEN 'misaligned' ELSE stock1 END, CASE WHEN all_ready AND NOT same THEN 'operational_anchor_mismatch' WHEN stock1 = 'misaligned' THEN 'station_stock_anchor_mismatch' ELSE {_TOLD.format(s='stock1')} END, CASE WHEN stock1 <> 'missing' THEN l2 END),
+    ('demand', CASE WHEN all_ready AND NOT same THEN 'misaligned' ELSE demand0 END, CASE WHEN all_ready AND NOT same THEN 'operational_anchor_mismatch' ELSE {_TOLD.format(s='demand0')} END, l3),
+    ('urgency', CASE WHEN all_ready AND NOT same THEN 'misaligned' ELSE urgency0 END, CASE WHEN all_ready AND NOT same THEN 'operational_anchor_mismatch' ELSE {_TOLD.format(s='urgency0')} END, l4),
+    ('routes', CASE WHEN all_ready AND NOT same THEN 'misaligned' ELSE routes0 END, CASE WHEN all_ready AND NOT same THEN 'operational_anchor_mismatch' ELSE {_TOLD.format(s='routes0')} END, l5),
+    ('weather', CASE WHEN short THEN 'misaligned' WHEN old THEN 'stale' ELSE weather0 END, CASE WHEN short THEN 'weather_horizon_incomplete' WHEN old THEN 'weather_issue_stale' ELSE {_TOLD.format(s='weather0')} END, CASE WHEN weather0 <> 'missing' THEN oldest END),
+    ('events', CASE WHEN {_ORDER.format(s='two')} < {_ORDER.format(s='one')} THEN two ELSE one END, CASE WHEN l7 IS NULL AND l8 IS NULL THEN 'not_published' WHEN one = 'ready' AND two = 'ready' THEN 'fresh' ELSE 'event_source_incomplete' END, least(l7, l8)),
+    ('regions', CASE WHEN coalesce(n0, 0) > 0 THEN 'ready' ELSE 'missing' END, CASE WHEN coalesce(n0, 0) > 0 THEN 'fresh' ELSE 'not_published' END, l0)) AS c(component, state, reason, data_s)),
+o AS (
+  SELECT now, CASE WHEN bool_or(component IN ('stock', 'demand') AND state IN ('missing', 'expired')) THEN 'unavailable' WHEN bool_and(state = 'ready') THEN 'healthy' ELSE 'degraded' END AS overall
+  FROM u GROUP BY now)
+SELECT now, component, state, reason, data_s, CASE WHEN data_s IS NOT NULL THEN round_even(greatest(0, now - data_s) / 60.0, 1) END AS age_min, can_dispatch, overall FROM u JOIN o USING (now)"""
+
+
+@query("c30_serving_health", _C30)
+def c30(spark, sf):
+    """Health at the end of each day: a publication's newest data of the last four days, and the day's last two hours of weather."""
+    e = ev(spark, sf).select((F.col("user_id") % 10).alias("k"), "s", F.floor(F.col("s") / 86400).alias("day"))
+    end = lambda day: ((day + 1) * 86400).alias("now")
+    daily = e.where("k < 9").groupBy("day", "k").agg((F.floor(F.max("s") / 600) * 600).alias("logical_s"), F.count("*").alias("n"))
+    later = daily.withColumn("_later", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("at", F.col("day") + F.col("_later"))
+    newest = later.groupBy("at", "k").agg(F.max("logical_s").alias("logical_s"), F.max_by("n", "day").alias("n"))
+    anchors = e.select(end(F.col("day"))).distinct()
+    names = F.array(*map(F.lit, SV.KEYS))
+    states = newest.select(end(F.col("at")), F.get(names, F.col("k").cast("int")).alias("key"), "logical_s", "n")
+    w = weather(spark, sf).withColumn("now", (F.floor(F.col("obs_s") / 86400) + 1) * 86400)
+    cells = w.select("now", "grid").distinct().groupBy("now").agg((2 * F.count("*")).alias("expected"))
+    late = w.where("temp is not null and obs_s % 86400 >= 79200")
+    rows = late.groupBy("now").agg(F.count_distinct("grid", F.floor(F.col("obs_s") / 3600)).alias("n"), F.bool_and(F.col("base_s") >= F.col("now") - 7200).alias("fresh"), F.min("base_s").alias("oldest_s"))
+    return SV.health(anchors, states, cells.join(rows, "now", "left"))
+
+
+_C29B = """
+WITH span AS (SELECT max(tick) // 300 * 300 - 3600 AS now FROM stock),
+l AS (SELECT station_id, max(tick) // 300 * 300 AS base_s, arg_max(bikes, (tick, event_id)) AS bikes FROM stock, span WHERE tick < now + 300 GROUP BY ALL),
+s AS (SELECT s.station_id, CASE WHEN s.station_id % 9 <> 4 THEN now ELSE now - 300 END AS seen_s, now FROM stations s, span WHERE s.station_id % 7 <> 3),
+k AS (SELECT l.station_id, CASE WHEN l.station_id % 5 <> 1 THEN now ELSE base_s END AS base_s, bikes FROM l, span),
+f AS (SELECT station_id, now AS base_s, now + horizon * 3600 AS target_s, now FROM forecast, span WHERE station_id % 6 <> 2 AND NOT (station_id % 8 = 5 AND horizon = 4)),
+g AS (SELECT station_id, count(*) AS n, count(DISTINCT target_s) AS times, min(target_s) AS a, max(target_s) AS z FROM f GROUP BY ALL)
+SELECT station_id, CASE WHEN s.station_id IS NULL THEN 'station_not_found' WHEN g.n IS NULL THEN 'forecast_not_available' WHEN g.n <> 12 OR g.times <> 12 THEN 'forecast_not_ready'
+    WHEN coalesce(k.base_s = s.now AND s.seen_s = k.base_s, false) THEN 'ready' ELSE 'stock_not_aligned' END AS state,
+  CASE WHEN s.station_id IS NOT NULL AND g.n = 12 AND coalesce(k.base_s = s.now AND s.seen_s = k.base_s, false) THEN 12 END::INTEGER AS points
+FROM s FULL JOIN g USING (station_id) LEFT JOIN k USING (station_id)"""
+
+
+def serving_inputs(spark, sf):
+    """Stations with the time they were last seen, their newest stock, and the forecast panel of one anchor."""
+    st = stock(spark, sf)
+    newest = st.agg(F.max("tick")).first()[0]
+    now = (newest or 0) // 300 * 300 - 3600
+    i = F.col("station_id")
+    last = st.where(F.col("tick") < now + 300).groupBy("station_id").agg(F.max(F.struct("tick", "event_id", "bikes")).alias("x"))
+    here = last.select("station_id", F.when(i % 5 != 1, F.lit(now)).otherwise(F.floor(F.col("x.tick") / 300) * 300).cast("long").alias("base_s"), "x.bikes")
+    seen = stations(spark, sf).select("station_id", "region", "capacity", F.when(i % 9 != 4, now).otherwise(now - 300).cast("long").alias("seen_s"), (i % 7 != 3).alias("active"))
+    panel = forecast(spark, sf).where("station_id % 6 <> 2 and not (station_id % 8 = 5 and horizon = 4)")
+    panel = panel.select("station_id", F.lit(now).cast("long").alias("base_s"), (now + F.col("horizon") * 3600).cast("long").alias("target_s"), "rent", "ret")
+    return seen, here, panel, now
+
+
+@query("c29b_forecast_alignment", _C29B)
+def c29b(spark, sf):
+    """The state of each station's forecast, and its number of points where it is ready."""
+    seen, here, panel, now = serving_inputs(spark, sf)
+    return SV.forecast_states(seen, panel, here, now).select("station_id", "state", F.when(F.col("points").isNotNull(), F.size("points")).alias("points"))
+
+
+_C29C = """
+WITH span AS (SELECT max(tick) // 300 * 300 - 3600 AS now FROM stock),
+l AS (SELECT station_id, max(tick) // 300 * 300 AS base_s, arg_max(bikes, (tick, event_id)) AS bikes FROM stock, span WHERE tick < now + 300 GROUP BY ALL)
+SELECT s.station_id, region, capacity, CASE WHEN s.station_id % 9 <> 4 THEN now ELSE now - 300 END AS seen_s, bikes
+FROM stations s JOIN l USING (station_id), span
+WHERE s.station_id % 7 <> 3 AND CASE WHEN s.station_id % 9 <> 4 THEN now ELSE now - 300 END = CASE WHEN s.station_id % 5 <> 1 THEN now ELSE base_s END"""
+
+
+@query("c29c_station_detail", _C29C)
+def c29c(spark, sf):
+    """Active stations with the stock of the very time they were last seen."""
+    seen, here, _, now = serving_inputs(spark, sf)
+    return SV.station_rows(seen, here, now).select("station_id", "region", "capacity", "seen_s", "bikes")
+
+
+_C32 = """
+WITH r AS (
+  SELECT o_orderkey AS route_id, o_custkey % 11 AS center_id, CASE o_orderstatus WHEN 'O' THEN 'proposed' WHEN 'P' THEN 'dispatched' ELSE 'completed' END AS status,
+    epoch_us(o_orderdate) // 1000000 AS proposed_s, CASE WHEN o_orderstatus <> 'O' THEN epoch_us(o_orderdate) // 1000000 + o_orderkey % 7 * 600 END AS dispatched_s FROM orders),
+st AS (SELECT l_orderkey AS route_id, l_linenumber AS visit, l_suppkey AS station_id, CASE WHEN l_returnflag = 'R' THEN 'dropoff' ELSE 'pickup' END AS action, l_quantity::BIGINT AS bikes, l_partkey FROM lineitem),
+n AS (
+  SELECT route_id, '[' || string_agg('{"visit":' || visit || ',"station_id":' || station_id || ',"action":"' || action || '","bikes":' || bikes || '}', ',' ORDER BY visit, station_id, action, bikes) || ']' AS stops,
+    arg_min(station_id, (visit, station_id)) FILTER (WHERE action = 'dropoff') AS anchor
+  FROM st GROUP BY ALL),
+w AS (SELECT route_id, row_number() OVER (PARTITION BY center_id, dispatched_s // 86400 ORDER BY dispatched_s, route_id) AS work_no FROM r WHERE dispatched_s IS NOT NULL),
+k AS (
+  SELECT route_id, dense_rank() OVER (PARTITION BY center_id, proposed_s ORDER BY s_acctbal DESC, anchor) AS priority
+  FROM r JOIN n USING (route_id) JOIN supplier ON s_suppkey = anchor WHERE status = 'proposed' AND s_suppkey % 10 <> 0)
+SELECT route_id, center_id, status, work_no, priority, anchor, coalesce(stops, '[]') AS stops FROM r LEFT JOIN n USING (route_id) LEFT JOIN w USING (route_id) LEFT JOIN k USING (route_id)"""
+
+
+@query("c32_route_aggregate", _C32)
 def c32(spark, sf):
-    s = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("stops"), F.sum("l_quantity").cast("long").alias("bikes"), F.min(F.when(F.col("l_returnflag") == "R", F.col("l_linenumber"))).alias("first_drop"))
-    w = W.partitionBy(F.col("o_custkey") % 11, "o_orderdate").orderBy("o_orderkey")
-    return table(spark, sf, "orders").withColumn("no", F.row_number().over(w).cast("long")).join(s, "o_orderkey", "left").select("o_orderkey", "no", F.coalesce("stops", F.lit(0).cast("long")).alias("stops"), "bikes", "first_drop")
+    """Orders as routes: numbers of dispatched ones, ranks of proposed ones by their first drop-off, and nested stops."""
+    o, day = table(spark, sf, "orders"), seconds("o_orderdate")
+    status = F.when(F.col("o_orderstatus") == "O", "proposed").when(F.col("o_orderstatus") == "P", "dispatched").otherwise("completed")
+    sent = F.when(F.col("o_orderstatus") != "O", day + F.col("o_orderkey") % 7 * 600)
+    routes = o.select(F.col("o_orderkey").alias("route_id"), (F.col("o_custkey") % 11).alias("center_id"), status.alias("status"), day.alias("proposed_s"), sent.alias("dispatched_s"))
+    action = F.when(F.col("l_returnflag") == "R", "dropoff").otherwise("pickup")
+    l = table(spark, sf, "lineitem")
+    stops = l.select(F.col("l_orderkey").alias("route_id"), F.col("l_linenumber").cast("long").alias("visit"), F.col("l_suppkey").alias("station_id"), action.alias("action"), F.col("l_quantity").cast("long").alias("bikes"))
+    score = table(spark, sf, "supplier").where("s_suppkey % 10 <> 0").select(F.col("s_suppkey").alias("station_id"), F.col("s_acctbal").alias("score"))
+    asked = routes.where("status = 'proposed'").select("route_id", F.col("proposed_s").alias("base_s"))
+    times = stops.join(asked, "route_id").select("station_id", "base_s").distinct()
+    return SV.route_rows(routes, stops, times.join(score, "station_id")).withColumn("stops", F.to_json("stops"))
 
 
 _RANK = "CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'purchase' THEN 3 END"
@@ -207,11 +341,25 @@ def c34(spark, sf):
     return out.select("event_id", F.when(F.col("cv").isNull() | (F.col("v") > F.col("cv")), "publish").when(F.col("v") < F.col("cv"), "stale").when(F.col("event_type") == F.col("h"), "replay").otherwise("conflict").alias("class"))
 
 
-@query("c35_archive_load", "WITH x AS (SELECT DISTINCT epoch_us(ts) // 86400000000 AS day, hour(ts)::BIGINT AS h, user_id, event_type FROM events WHERE value > 0) SELECT day, count(*)::BIGINT AS n, count(DISTINCT h)::BIGINT AS hours FROM x WHERE day BETWEEN 19724 AND 19750 GROUP BY ALL")
+_C35 = """
+WITH e AS (SELECT event_id, user_id, event_type, value, epoch_us(ts) // 1000000 AS s FROM events),
+r AS (
+  SELECT *, s // 86400 + CASE WHEN event_id % 41 = 5 THEN 1 ELSE 0 END AS day FROM e
+  UNION ALL SELECT *, s // 86400 FROM e WHERE event_id % 19 = 2),
+k AS (SELECT *, CASE WHEN NOT (event_type <> 'error' AND value BETWEEN 1 AND 99) THEN 'invalid' WHEN s // 86400 <> day THEN 'out_of_day' ELSE 'ok' END AS kind FROM r),
+w AS (SELECT day, count(*) AS written, count(DISTINCT s // 3600) AS hours FROM (SELECT DISTINCT event_id, user_id, s, day FROM k WHERE kind = 'ok') GROUP BY ALL),
+n AS (SELECT day, count(*) AS fetched, count(*) FILTER (WHERE kind = 'invalid') AS invalid, count(*) FILTER (WHERE kind = 'out_of_day') AS out_of_day FROM k GROUP BY ALL)
+SELECT day, fetched, invalid, out_of_day, fetched - invalid - out_of_day - coalesce(written, 0) AS repeated, coalesce(written, 0) AS written, coalesce(hours, 0) AS hours FROM n LEFT JOIN w USING (day)"""
+
+
+@query("c35_archive_load", _C35)
 def c35(spark, sf):
-    s = F.col("s")
-    x = ev(spark, sf).where("value > 0").select(F.floor(s / 86400).alias("day"), F.floor(s / 3600).alias("hh"), "user_id", "event_type").distinct().where("day between 19724 and 19750")
-    return x.groupBy("day", "hh").agg(F.count("*").alias("c")).groupBy("day").agg(F.sum("c").alias("n"), F.count("*").alias("hours"))
+    """Day files of events, some rows filed a day late and some twice, loaded as hourly partitions with statistics per file."""
+    e = ev(spark, sf).select("event_id", "user_id", "event_type", "value", "s")
+    late = F.when(F.col("event_id") % 41 == 5, 1).otherwise(0)
+    rows = e.withColumn("file_day", F.floor(F.col("s") / 86400) + late).unionByName(e.where("event_id % 19 = 2").withColumn("file_day", F.floor(F.col("s") / 86400)))
+    valid = (F.col("event_type") != "error") & F.col("value").between(1, 99)
+    return I.load_archive(rows, work_folder(spark, "archive"), ["event_id", "user_id", "s"], valid)
 
 
 @query("c37_quality_cache", "SELECT epoch_us(ts) // 86400000000 AS day, count(*)::BIGINT AS n, round_even(sum(pow(event_id * 7 % 11 - value / 10, 2)), 3) AS sq FROM events GROUP BY ALL")

@@ -54,9 +54,26 @@ def c04(spark, sf):
     return revised(spark, sf).groupBy("cell", "day", "hour").agg(money(F.col("spop")).alias("spop"), F.bool_or("estimated").alias("any_estimated"))
 
 
-@query("a04_cell_hour_totals", "SELECT cell, hour, sum(spop::DECIMAL(18,2))::DOUBLE AS total, sum(CASE WHEN event_id % 2 = 0 THEN spop END::DECIMAL(18,2))::DOUBLE AS male, min(dong)::BIGINT AS dong FROM population GROUP BY ALL")
+#: Age groups of a population row, for men and women (fixed values).
+AGES = [f"{sex}_{age}" for sex in ("m", "f") for age in ("0_9", "10_14", "15_19", "20_24", "25_29", "30_34", "35_39", "40_44", "45_49", "50_54", "55_59", "60_64", "65_69", "70_up")]
+
+
+def _age_sql(k: int, name: str) -> str:
+    return f"sum(CASE WHEN event_id % 9 <> {k % 9} THEN (spop * {k + 1} / 100)::DECIMAL(18, 4) END)::DOUBLE AS {name}"
+
+
+def population_totals(rows, keys, columns, places: int = 4):
+    """Sums of all columns and the smallest district per key, exact to `places` decimals; a column without any value in a key stays null."""
+    exact = lambda c: F.sum(F.col(c).cast(f"decimal(18,{places})")).cast("double").alias(c)
+    return rows.groupBy(*keys).agg(*map(exact, columns), F.min("dong").alias("dong"))
+
+
+@query("a04_cell_hour_totals", f"SELECT cell, day, hour, sum(spop::DECIMAL(18, 4))::DOUBLE AS spop, {', '.join(_age_sql(k, n) for k, n in enumerate(AGES))}, min(dong)::BIGINT AS dong FROM population GROUP BY ALL")
 def a04(spark, sf):
-    return population(spark, sf).groupBy("cell", "hour").agg(money(F.col("spop")).alias("total"), money(F.when(F.col("event_id") % 2 == 0, F.col("spop"))).alias("male"), F.min("dong").alias("dong"))
+    """Total and 28 age columns per cell and hour over its districts: one aggregation of all columns."""
+    p = population(spark, sf)
+    p = p.withColumns({n: F.when(F.col("event_id") % 9 != k % 9, F.col("spop") * (k + 1) / 100) for k, n in enumerate(AGES)})
+    return population_totals(p, ["cell", "day", "hour"], ["spop", *AGES])
 
 
 @query("a05_station_profile", "SELECT user_id % 20 AS station, hour(ts) AS h, isodow(ts) - 1 AS wd, round_even(sum(value::DECIMAL(18,2))::DOUBLE / count(*), 8) AS mean, round_even(coalesce(stddev_samp(value), 0), 3) AS sd, count(*)::BIGINT AS n FROM events GROUP BY ALL")
@@ -326,11 +343,43 @@ def w12(spark, sf):
     return paths(spark, sf).groupBy("station_id").agg(F.bround(F.min(F.col("total") - 1.645 * F.col("spread")), 6).alias("lowest"))
 
 
-@query("w13_adverse_path", f"WITH RECURSIVE {CLAMP_SQL}, a AS (SELECT station_id, horizon, station_id % 15 + sum(0.5 * ret - 1.5 * rent) OVER (PARTITION BY station_id ORDER BY horizon) AS q FROM forecast) SELECT station_id, horizon, round_even(least(q, total - 1.645 * sqrt(flow)), 6) AS adverse FROM a JOIN path USING (station_id, horizon)")
+def adverse_path(panel, start):
+    """Per station and horizon the lower of two stocks: of the quantile path, which takes the tenth percentile of returns and the
+    ninetieth of rentals at each step, and of the Poisson path, the mean less 1.645 deviations. panel: rent, ret, rent_p90, ret_p10."""
+    w = W.partitionBy("station_id").orderBy("horizon").rowsBetween(W.unboundedPreceding, 0)  # 12 rows a station
+    quantile = start + F.sum(F.col("ret_p10") - F.col("rent_p90")).over(w)
+    poisson = start + F.sum(F.col("ret") - F.col("rent")).over(w) - 1.645 * F.sqrt(F.sum(F.col("ret") + F.col("rent")).over(w))
+    return panel.select("station_id", "horizon", F.least(quantile, poisson).alias("adverse"))
+
+
+def quantile_panel(spark, sf):
+    """The forecast with quantiles of each station's and hour's own history: residuals of past counts round the mean."""
+    h = F.col("horizon")
+    t = trips(spark, sf)
+    per = lambda key, at: t.where(f"{at} is not null").groupBy(F.col(key).alias("_s"), (F.floor(F.col(at) / 7200) % 12 + 1).alias("horizon"), F.floor(F.col(at) / 86400).alias("_d")).agg(F.count("*").alias("n"))
+    low = lambda df, q, out: df.groupBy("_s", "horizon").agg(F.percentile("n", q).alias(out))
+    rent, ret = low(per("station_id", "start_s"), 0.9, "_rent"), low(per("end_station_id", "end_s"), 0.1, "_ret")
+    f = forecast(spark, sf).withColumn("_s", F.col("station_id") % 20)
+    f = f.join(rent, ["_s", "horizon"], "left").join(ret, ["_s", "horizon"], "left")
+    return f.select("station_id", h, "rent", "ret", F.greatest("rent", F.coalesce("_rent", "rent")).alias("rent_p90"), F.least("ret", F.coalesce("_ret", "ret")).alias("ret_p10"))
+
+
+_W13 = f"""
+WITH RECURSIVE {CLAMP_SQL},
+o AS (SELECT station_id AS s, start_s // 7200 % 12 + 1 AS horizon, start_s // 86400 AS d, count(*) AS n FROM trips GROUP BY ALL),
+i AS (SELECT end_station_id AS s, end_s // 7200 % 12 + 1 AS horizon, end_s // 86400 AS d, count(*) AS n FROM trips WHERE end_s IS NOT NULL GROUP BY ALL),
+oq AS (SELECT s, horizon, quantile_cont(n, 0.9) AS q FROM o GROUP BY ALL),
+iq AS (SELECT s, horizon, quantile_cont(n, 0.1) AS q FROM i GROUP BY ALL),
+p AS (
+  SELECT f.station_id, f.horizon, greatest(f.rent, coalesce(oq.q, f.rent)) AS rent_p90, least(f.ret, coalesce(iq.q, f.ret)) AS ret_p10
+  FROM forecast f LEFT JOIN oq ON oq.s = f.station_id % 20 AND oq.horizon = f.horizon LEFT JOIN iq ON iq.s = f.station_id % 20 AND iq.horizon = f.horizon),
+a AS (SELECT station_id, horizon, station_id % 15 + sum(ret_p10 - rent_p90) OVER (PARTITION BY station_id ORDER BY horizon) AS q FROM p)
+SELECT station_id, horizon, round_even(least(q, total - 1.645 * sqrt(flow)), 6) AS adverse FROM a JOIN path USING (station_id, horizon)"""
+
+
+@query("w13_adverse_path", _W13)
 def w13(spark, sf):
-    w = W.partitionBy("station_id").orderBy("horizon").rowsBetween(W.unboundedPreceding, 0)
-    q = F.col("start") + F.sum(0.5 * F.col("ret") - 1.5 * F.col("rent")).over(w)
-    return paths(spark, sf).withColumn("q", q).select("station_id", "horizon", F.bround(F.least("q", F.col("total") - 1.645 * F.col("spread")), 6).alias("adverse"))
+    return adverse_path(quantile_panel(spark, sf), F.col("station_id") % 15).select("station_id", "horizon", F.bround("adverse", 6).alias("adverse"))
 
 
 @query("w14_first_non_normal", f"WITH RECURSIVE {CLAMP_SQL} SELECT station_id, min(horizon) FILTER (WHERE stock <= 2 OR stock >= 20 + station_id % 10) AS horizon, CASE WHEN arg_min(stock, horizon) FILTER (WHERE stock <= 2 OR stock >= 20 + station_id % 10) <= 2 THEN 'supply' WHEN arg_min(stock, horizon) FILTER (WHERE stock <= 2 OR stock >= 20 + station_id % 10) IS NOT NULL THEN 'collect' ELSE 'none' END AS action FROM path GROUP BY station_id")

@@ -101,16 +101,18 @@ def p14(spark, sf):
     h = [F.to_date(F.lit(x)) for x in _HOLIDAYS]
     d = table(spark, sf, "events").select(F.to_date("ts").alias("d")).distinct()
     d = d.withColumns({"wd": F.weekday("d"), "special": (F.weekday("d") == 6) | F.col("d").isin(*h)})
-    c = d.select(F.col("d").alias("candidate"), F.col("wd").alias("cwd"), "special")
-    pairs = d.join(c, "special").where("candidate < d and (special or wd = cwd)")
+    d = d.select("d", F.when(F.col("special"), -1).otherwise(F.col("wd")).alias("pattern"))
+    pairs = d.join(d.select(F.col("d").alias("candidate"), "pattern"), "pattern").where("candidate < d")
     w = W.partitionBy("d").orderBy(F.desc("candidate"))
     return pairs.withColumn("week", F.row_number().over(w).cast("long")).where("week <= 4").select(F.col("d").alias("target"), "candidate", "week")
 
 
-@query("p15_publication_slot", "WITH x AS (SELECT event_id, epoch_us(ts) // 1000000 AS s FROM events) SELECT event_id, (s - 2400) // 3600 * 3600 AS hourly, (s - 2700) // 1800 * 1800 AS half_hourly, (s - 7800) // 10800 * 10800 + 7200 AS three_hourly FROM x")
+@query("p15_publication_slot", """WITH x AS (SELECT event_id, epoch_us(ts) // 1000000 AS s, ts FROM events)
+SELECT event_id, epoch_us(date_trunc('hour', CASE WHEN minute(ts) >= 40 THEN ts ELSE ts - INTERVAL 1 HOUR END)) // 1000000 AS hourly,
+  epoch_us(date_trunc('hour', CASE WHEN minute(ts) >= 30 THEN ts ELSE ts - INTERVAL 1 HOUR END)) // 1000000 + 1800 AS half_hourly,
+  (s - 7800) // 10800 * 10800 + 7200 AS three_hourly, s // 600 * 600 AS ten_minutely, s // 1800 * 1800 AS thirty_minutely FROM x""")
 def p15(spark, sf):
-    s = F.col("s")
-    return events(spark, sf).select("event_id", *[clock.publication_slot(s, k).alias(k) for k in ("hourly", "half_hourly", "three_hourly")])
+    return events(spark, sf).select("event_id", *[clock.publication_slot(F.col("s"), k).alias(k) for k in clock.SLOTS])
 
 
 @query("p16_training_window", "SELECT DISTINCT o_orderdate::DATE AS d, (o_orderdate::DATE - INTERVAL 3 MONTH)::DATE AS since, (o_orderdate::DATE - INTERVAL 7 DAY)::DATE AS until FROM orders")
@@ -231,10 +233,13 @@ def p30(spark, sf):
     return e.select("event_id", "s", F.inline(slots)).where("target > s and target <= s + 43200").drop("s")
 
 
-@query("p31_json_of_stops", """SELECT user_id, '[' || string_agg('{"visit":' || rn || ',"id":' || event_id || '}', ',' ORDER BY rn) || ']' AS stops FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events) GROUP BY user_id""")
+@query("p31_json_of_stops", """
+SELECT user_id, day, '[' || string_agg('{"visit":' || rn || ',"id":' || event_id || '}', ',' ORDER BY rn) || ']' AS stops
+FROM (SELECT user_id, epoch_us(ts) // 86400000000 AS day, event_id, row_number() OVER (PARTITION BY user_id, epoch_us(ts) // 86400000000 ORDER BY event_id) AS rn FROM events) GROUP BY ALL""")
 def p31(spark, sf):
-    ids = F.array_sort(F.collect_list("event_id"))
-    return events(spark, sf).groupBy("user_id").agg(ids.alias("a")).select("user_id", F.to_json(F.transform("a", lambda x, i: F.struct((i + 1).alias("visit"), x.alias("id")))).alias("stops"))
+    """The stops of a user's route of a day, nested in order."""
+    a = events(spark, sf).groupBy("user_id", F.floor(F.col("s") / 86400).alias("day")).agg(F.array_sort(F.collect_list("event_id")).alias("a"))
+    return a.select("user_id", "day", F.to_json(F.transform("a", lambda x, i: F.struct((i + 1).alias("visit"), x.alias("id")))).alias("stops"))
 
 
 @query("p32_nearest_neighbour_order")

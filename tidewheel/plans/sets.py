@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import geo
 from ..sources import files as S
-from .base import population, query, seconds, stations, stock, table, trips, weather
+from .base import centers, population, query, seconds, stations, stock, table, trips, weather
+from .scalar import hav_sql
 
 
 def ev(spark, sf):
@@ -93,15 +95,20 @@ def j21(spark, sf):
     w = weather(spark, sf)
     o = w.groupBy("grid", "obs_s").agg(F.max("event_id").alias("event_id")).select("grid", F.col("obs_s").alias("t"), F.lit(0).alias("k"), "event_id", F.lit(None).cast("long").alias("at"))
     q = w.select("grid", (F.floor(F.col("obs_s") / 3600) * 3600 + 3600).alias("at")).distinct().select("grid", (F.col("at") - 2400).alias("t"), F.lit(1).alias("k"), F.lit(None).cast("long").alias("event_id"), "at")
-    win = W.partitionBy("grid").orderBy("t", "k").rowsBetween(W.unboundedPreceding, 0)
-    return o.unionByName(q).withColumn("event_id", F.last("event_id", ignorenulls=True).over(win)).where("k = 1").select("grid", "at", "event_id")
+    # within a day by a window, across days by each day's last row: no task passes over all rows of a grid
+    both = o.unionByName(q).withColumn("_day", F.floor(F.col("t") / 86400))
+    inside, days = W.partitionBy("grid", "_day").orderBy("t", "k").rowsBetween(W.unboundedPreceding, 0), W.partitionBy("grid").orderBy("_day")
+    per = both.groupBy("grid", "_day").agg(F.max_by("event_id", F.when(F.col("k") == 0, F.col("t"))).alias("_own"))
+    per = per.select("grid", "_day", F.last("_own", ignorenulls=True).over(days.rowsBetween(W.unboundedPreceding, -1)).alias("_before"))
+    seen = both.withColumn("_in", F.last("event_id", ignorenulls=True).over(inside)).where("k = 1").join(per, ["grid", "_day"])
+    return seen.select("grid", "at", F.coalesce("_in", "_before").alias("event_id"))
 
 
-@query("j22_three_way_intersection", "SELECT DISTINCT user_id FROM events WHERE event_type = 'click' INTERSECT SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 50 INTERSECT SELECT user_id FROM events WHERE event_type = 'error' AND value > 50")
+@query("j22_three_way_intersection", "SELECT DISTINCT user_id FROM events WHERE event_type = 'click' INTERSECT SELECT user_id FROM events WHERE event_type = 'purchase' INTERSECT SELECT user_id FROM events WHERE event_type = 'error'")
 def j22(spark, sf):
     e = table(spark, sf, "events")
     a = e.where("event_type = 'click'").select("user_id").distinct()
-    return a.join(e.where("event_type = 'purchase' and value > 50").select("user_id"), "user_id", "left_semi").join(e.where("event_type = 'error' and value > 50").select("user_id"), "user_id", "left_semi")
+    return a.join(e.where("event_type = 'purchase'").select("user_id"), "user_id", "left_semi").join(e.where("event_type = 'error'").select("user_id"), "user_id", "left_semi")
 
 
 @query("u01_union_by_name", "SELECT 'out' AS kind, station_id, start_s AS t FROM trips UNION ALL SELECT 'in', end_station_id, end_s FROM trips WHERE end_s IS NOT NULL")
@@ -229,24 +236,71 @@ def d09(spark, sf):
     return S.placed(s, ["score", "s_suppkey"]).select("s_suppkey", (F.col("place") + 1).alias("place"))
 
 
-@query("d10_efficiency_order", "SELECT station_id, region, row_number() OVER (PARTITION BY region ORDER BY round_even((station_id % 100 + 1) / (abs(lat - 37.5) * 1000 + 1), 6) DESC, station_id) AS place FROM stations")
+_ANCHORS = "anchor AS (SELECT region, arg_max(station_id, (station_id % 97, -station_id)) AS anchor FROM stations GROUP BY ALL)"
+
+_D10 = f"""
+WITH {_ANCHORS},
+x AS (SELECT s.*, s.station_id % 97 AS score, round_even({hav_sql('n', 's')} / 1000, 9) AS km FROM stations s JOIN anchor a USING (region) JOIN stations n ON n.station_id = a.anchor)
+SELECT station_id, region, row_number() OVER (PARTITION BY region ORDER BY round_even((score + 1) / (km + 1), 9) DESC, score DESC, km, station_id) AS place FROM x"""
+
+
+def anchored(spark, sf):
+    """Stations with the place of their region's most urgent station."""
+    s = stations(spark, sf).withColumn("score", F.col("station_id") % 97)
+    a = s.groupBy("region").agg(F.max(F.struct("score", (-F.col("station_id")).alias("i"), "lat", "lon")).alias("a"))
+    return s.join(a.select("region", F.col("a.lat").alias("alat"), F.col("a.lon").alias("alon")), "region")
+
+
+@query("d10_efficiency_order", _D10)
 def d10(spark, sf):
-    gain = F.bround((F.col("station_id") % 100 + 1) / (F.abs(F.col("lat") - 37.5) * 1000 + 1), 6)
-    return stations(spark, sf).withColumn("g", gain).select("station_id", "region", F.row_number().over(W.partitionBy("region").orderBy(F.desc("g"), "station_id")).cast("long").alias("place"))
+    """A region's stations by (urgency + 1) / (km + 1) round its most urgent one; then urgency, distance, id."""
+    km = F.bround(geo.haversine(F.col("alat"), F.col("alon"), F.col("lat"), F.col("lon")) / 1000, 9)
+    x = anchored(spark, sf).withColumn("km", km)
+    gain = F.bround((F.col("score") + 1) / (F.col("km") + 1), 9)
+    w = W.partitionBy("region").orderBy(gain.desc(), F.desc("score"), "km", "station_id")
+    return x.select("station_id", "region", F.row_number().over(w).cast("long").alias("place"))
 
 
-@query("d11_donor_order", "WITH a AS (SELECT region, min(station_id) AS anchor FROM stations GROUP BY ALL) SELECT s.station_id, s.region, row_number() OVER (PARTITION BY s.region ORDER BY round_even(abs(s.lat - 37.5) + abs(s.lat - n.lat), 9), s.station_id) AS place FROM stations s JOIN a USING (region) JOIN stations n ON n.station_id = a.anchor")
-def d11(spark, sf):
-    s = stations(spark, sf)
-    a = s.groupBy("region").agg(F.min_by("lat", "station_id").alias("alat"))
-    cost = F.bround(F.abs(F.col("lat") - 37.5) + F.abs(F.col("lat") - F.col("alat")), 9)
-    return s.join(a, "region").withColumn("c", cost).select("station_id", "region", F.row_number().over(W.partitionBy("region").orderBy("c", "station_id")).cast("long").alias("place"))
+_D11 = f"""
+WITH {_ANCHORS},
+x AS (
+  SELECT s.*, s.station_id % 97 AS score, round_even({hav_sql('c', 's')} / 1000, 9) AS from_center, round_even({hav_sql('s', 'n')} / 1000, 9) AS to_anchor
+  FROM stations s JOIN anchor a USING (region) JOIN stations n ON n.station_id = a.anchor JOIN centers c ON c.center_id = s.region % 11)
+SELECT station_id, region, row_number() OVER (PARTITION BY region ORDER BY round_even(from_center + to_anchor, 9), from_center, score DESC, to_anchor, station_id) AS place FROM x"""
 
 
-@query("d12_paged_list", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus IN ('O', 'P') AND o_orderdate >= TIMESTAMP '1998-01-01' ORDER BY o_totalprice DESC, o_orderkey LIMIT 25 OFFSET 50")
+@query("d11_donor_order", _D11)
+def d11(spark, sf):
+    """Donors by the way from the centre over the donor to the anchor; then the way to the donor, urgency, the rest of the way, id."""
+    c = centers(spark, sf).select("center_id", F.col("lat").alias("clat"), F.col("lon").alias("clon"))
+    x = anchored(spark, sf).withColumn("center_id", F.col("region").cast("long") % 11).join(F.broadcast(c), "center_id")  # 11 centres
+    here = (F.col("lat"), F.col("lon"))
+    first, rest = (F.bround(d / 1000, 9) for d in (geo.haversine(F.col("clat"), F.col("clon"), *here), geo.haversine(*here, F.col("alat"), F.col("alon"))))
+    x = x.withColumns({"a": first, "b": rest})
+    w = W.partitionBy("region").orderBy(F.bround(F.col("a") + F.col("b"), 9), "a", F.desc("score"), "b", "station_id")
+    return x.select("station_id", "region", F.row_number().over(w).cast("long").alias("place"))
+
+
+def paged(routes, status=(), region=None, closed_since=None, limit: int = 25, offset: int = 0):
+    """A page of routes (route_id, region, status, proposed, closed), newest proposals first: by status and region, where given; closed
+    ones only if they closed at closed_since or later. The order is total, so pages don't overlap."""
+    if status:
+        routes = routes.where(F.col("status").isin(*status))
+    if region is not None:
+        routes = routes.where(F.col("region") == region)
+    if closed_since is not None:
+        routes = routes.where(F.col("closed").isNull() | (F.col("closed") >= closed_since))
+    return routes.orderBy(F.desc("proposed"), "route_id").offset(offset).limit(limit)
+
+
+@query("d12_paged_list", """SELECT o_orderkey AS route_id, o_orderstatus AS status FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey
+WHERE o_orderstatus IN ('O', 'F') AND n_regionkey = 2 AND (o_orderstatus = 'O' OR o_orderdate::DATE + (o_orderkey % 5)::INTEGER >= DATE '1998-01-01') ORDER BY o_orderdate DESC, o_orderkey LIMIT 25 OFFSET 50""")
 def d12(spark, sf):
-    o = table(spark, sf, "orders").where("o_orderstatus in ('O', 'P') and o_orderdate >= timestamp_ntz'1998-01-01'")
-    return o.orderBy(F.desc("o_totalprice"), "o_orderkey").offset(50).limit(25).select("o_orderkey", "o_orderstatus")
+    where = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("n_nationkey") == F.col("c_nationkey")).select(F.col("c_custkey").alias("o_custkey"), F.col("n_regionkey").alias("region"))
+    closed = F.when(F.col("o_orderstatus") != "O", F.date_add(F.to_date("o_orderdate"), (F.col("o_orderkey") % 5).cast("int")))
+    o = table(spark, sf, "orders").join(where, "o_custkey")
+    routes = o.select(F.col("o_orderkey").alias("route_id"), "region", F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("proposed"), closed.alias("closed"))
+    return paged(routes, ("O", "F"), 2, F.to_date(F.lit("1998-01-01")), 25, 50).select("route_id", "status")
 
 
 @query("d13_alerts", "WITH c AS (SELECT epoch_us(ts) // 86400000000 AS day FROM events GROUP BY ALL HAVING count(DISTINCT event_type) = 5), l AS (SELECT max(day) AS day FROM c) SELECT event_id, round_even(value, 0)::BIGINT AS score, CASE WHEN 19752 - day <= 0 THEN 'fresh' ELSE 'stale' END AS label FROM events JOIN l ON l.day = epoch_us(ts) // 86400000000 WHERE event_type = 'error'")

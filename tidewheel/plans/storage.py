@@ -125,8 +125,8 @@ def s12(spark, sf):
 
 @query("s13_json_flatten", "SELECT user_id, event_id, (props->>'$.k')::BIGINT AS k FROM events")
 def s13(spark, sf):
-    """Payloads with a nested row list: parsed by a declared schema and exploded at the path."""
-    raw = table(spark, sf, "events").groupBy("user_id", (F.col("event_id") % 8).alias("part")).agg(F.to_json(F.struct(F.struct(F.collect_list(F.struct("event_id", "props")).alias("row")).alias("data"))).alias("body"))
+    """Payloads with a nested row list, one a user and hour: parsed by a declared schema and exploded at the path."""
+    raw = table(spark, sf, "events").groupBy("user_id", F.floor(seconds("ts") / 3600).alias("part")).agg(F.to_json(F.struct(F.struct(F.collect_list(F.struct("event_id", "props")).alias("row")).alias("data"))).alias("body"))
     rows = raw.select("user_id", F.explode(F.from_json("body", "data struct<row: array<struct<event_id: bigint, props: string>>>")["data"]["row"]).alias("r"))
     return rows.select("user_id", "r.event_id", F.from_json("r.props", "k bigint")["k"].alias("k"))
 
@@ -242,10 +242,21 @@ def s21(spark, sf):
     return I.merge_inventory(listed(e.where(age > 0).withColumn("user_id", other)), inventory, ["dt"], "sha256")
 
 
-@query("s22_retention_candidates", "SELECT o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '2000-01-01' AND o_orderkey IN (SELECT l_orderkey FROM lineitem) AND o_orderstatus <> 'P'")
+_RETENTION_SQL = """
+WITH o AS (SELECT o_orderkey AS key, o_custkey AS win, epoch_us(o_orderdate) // 1000000 AS modified_s FROM orders),
+used AS (SELECT arg_max(key, (modified_s, key)) AS key FROM o GROUP BY win),
+cold AS (SELECT DISTINCT l_orderkey AS key FROM lineitem WHERE l_linenumber = 1)
+SELECT key, CASE WHEN key NOT IN (SELECT key FROM cold) THEN 'unknown' WHEN key IN (SELECT key FROM used) THEN 'authority'
+  WHEN modified_s > 946684800 - 30 * 86400 THEN 'recent' ELSE 'candidate' END AS verdict FROM o"""
+
+
+@query("s22_retention_candidates", _RETENTION_SQL)
 def s22(spark, sf):
-    l = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
-    return table(spark, sf, "orders").where("o_orderdate < timestamp_ntz'2000-01-01' and o_orderstatus <> 'P'").join(l, "o_orderkey", "left_semi").select("o_orderkey")
+    """Orders as raw objects: a customer's newest one is in use, those whose first line is there are in the inventory."""
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("win"), seconds("o_orderdate").alias("modified_s"))
+    used = o.groupBy("win").agg(F.max_by("key", F.struct("modified_s", "key")).alias("key")).select("key")
+    cold = table(spark, sf, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("key"))
+    return I.retention(o, cold, used, 946684800)
 
 
 _SIDES = "cur AS (SELECT user_id, max(epoch_us(ts) // 1000000) AS s, max(event_id) AS v FROM events WHERE event_id % 2 = 0 AND user_id % 7 <> 0 GROUP BY ALL), inc AS (SELECT user_id, max(epoch_us(ts) // 1000000) AS s, max(event_id) AS v FROM events WHERE event_id % 2 = 1 AND user_id % 5 <> 0 GROUP BY ALL)"

@@ -125,12 +125,7 @@ def reconcile(current: DataFrame, incoming: DataFrame, keys: list[str], created:
 
 
 def newest_generation(df: DataFrame, target: list[str], generation: str, tie: str) -> DataFrame:
-    """Per target the row of the newest generation: an older run never overwrites a newer one."""
-    w = W.partitionBy(*target).orderBy(F.desc(generation), F.desc(tie))
-    return df.withColumn("_g", F.row_number().over(w)).where("_g = 1").drop("_g")
-
-
-def signature(df: DataFrame, keys: list[str], parts: list[str]) -> DataFrame:
-    """A hash per key of the sorted parts; equal inputs have equal signatures whatever their order."""
-    body = F.to_json(F.array_sort(F.collect_list(F.struct(*parts))))
-    return df.groupBy(*keys).agg(F.sha2(body, 256).alias("signature"))
+    """Per target the row of the newest generation: an older run never overwrites a newer one. Combines before the shuffle."""
+    rest = F.struct(*[c for c in df.columns if c not in target])
+    best = df.groupBy(*target).agg(F.max_by(rest, F.struct(generation, tie)).alias("_x"))
+    return best.select(*target, "_x.*")

@@ -86,6 +86,37 @@ def run(spark: SparkSession, path: str, build: Callable[[int | None], DataFrame]
     return ("full" if since is None else "incremental"), n
 
 
+#: Days after which a day's archive is complete, and days before a run that late rows may still change (fixed values).
+ARCHIVE_DELAY, RECOMPUTE_REACH = 6, 35
+
+
+def dirty_days(rows: DataFrame, since: int, until: int, reach: int = RECOMPUTE_REACH, spill: int = 0, day: str = "day", arrival: str = "arrival") -> DataFrame:
+    """Days (from epoch) that rows which arrived after `since` and up to `until` (seconds) change: day, state.
+
+    state is `recompute` for days at most `reach` days before the run's day and `out_of_reach` for earlier ones, which are
+    reported and left as they are. With `spill` a row also changes that many days after its own (windows, lags)."""
+    new = rows.where((F.col(arrival) > since) & (F.col(arrival) <= until)).select(day).distinct()
+    days = new.select(F.explode(F.sequence(F.col(day), F.col(day) + spill)).alias(day)).distinct()
+    return days.select(day, F.when(F.col(day) >= until // DAY - reach, "recompute").otherwise("out_of_reach").alias("state"))
+
+
+def recompute_days(spark: SparkSession, path: str, rows: DataFrame, build: Callable[[DataFrame], DataFrame], now: int, reach: int = RECOMPUTE_REACH, spill: int = 0, day: str = "day", arrival: str = "arrival") -> DataFrame:
+    """One run of a table by day over a source whose rows carry their arrival: returns dirty_days() of the run.
+
+    Only marked days are read (with `spill` days before them) and replaced; a control row keeps the run's time, so the next
+    run starts where this one ended, and a run that fails is repeated."""
+    last = control(spark, path)
+    marked = write_state(dirty_days(rows, -1 if last is None else last["updated_at"], now, reach if last is not None else now // DAY, spill, day, arrival), f"{path}-marked")
+    again = marked.where("state = 'recompute'").select(day)
+    if again.limit(1).count():
+        wanted = again.select(F.explode(F.sequence(F.col(day) - spill, F.col(day))).alias(day)).distinct() if spill else again
+        seen = rows.where(F.col(arrival) <= now).join(wanted, day, "left_semi")
+        built = build(seen).join(again, day, "left_semi")
+        built.repartitionByRange(day).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
+    write_state(spark.createDataFrame([(now,)], "updated_at long"), f"{path}-control")
+    return marked
+
+
 def content_signature(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """keys, n, signature: equal for equal multisets of rows, whatever their order.
 
@@ -151,3 +182,33 @@ def merge_inventory(listing: DataFrame, path: str, key: list[str], digest: str)
     write_state(merged.where("state = 'rejected'").select(*key, "_new.*"), f"{path}-rejected")
     write_state(merged.where(stays).select(*key, *map(take, cols)), path)
     return merged.select(*key, *map(take, cols), "state")
+
+
+def retention(listing: DataFrame, inventory: DataFrame, authority: DataFrame, now: int, days: int = 30) -> DataFrame:
+    """What may go of a raw store: key, verdict. Nothing is deleted here.
+
+    listing: key, modified_s. inventory and authority: key. unknown: not in the cold inventory, to be reported, and never a
+    candidate; authority: the row that readers use; recent: younger than `days`; candidate: the rest."""
+    flag = lambda df, name: df.select("key", F.lit(True).alias(name)).distinct()
+    both = listing.join(flag(inventory, "_cold"), "key", "left").join(flag(authority, "_used"), "key", "left")
+    verdict = F.when(F.col("_cold").isNull(), "unknown").when(F.col("_used"), "authority").when(F.col("modified_s") > now - days * DAY, "recent").otherwise("candidate")
+    return both.select("key", verdict.alias("verdict"))
+
+
+def load_archive(rows: DataFrame, path: str, columns: list[str], valid, day: str = "file_day", at: str = "s") -> DataFrame:
+    """Loads whole day files (columns, `day` they are filed under, `at` in seconds) as hourly partitions day=/hh=: a row per file with
+    fetched, invalid, out_of_day, repeated, written and hours.
+
+    valid is a condition on a row. Rows of another day than their file's go, then rows that repeat in all columns. Only
+    the hours of loaded files are replaced, so a file that is loaded again gives the same table."""
+    spark = rows.sparkSession
+    inside = F.floor(F.col(at) / DAY) == F.col(day)
+    kind = F.when(~F.coalesce(valid, F.lit(False)), "invalid").when(~inside, "out_of_day").otherwise("ok")
+    marked = rows.withColumn("_kind", kind)
+    hh = F.floor(F.col(at) / 3600) % 24
+    kept = marked.where("_kind = 'ok'").select(*columns, F.col(day).alias("day"), hh.alias("hh")).distinct()
+    kept.repartitionByRange("day", "hh", *columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "hh").parquet(path)
+    n = marked.groupBy(F.col(day).alias("day")).agg(F.count("*").alias("fetched"), F.count_if(F.col("_kind") == "invalid").alias("invalid"), F.count_if(F.col("_kind") == "out_of_day").alias("out_of_day"))
+    hours = spark.read.parquet(path).groupBy("day", "hh").agg(F.count("*").alias("_n")).groupBy(F.col("day").cast("long").alias("day")).agg(F.sum("_n").alias("written"), F.count("*").alias("hours"))
+    out = n.join(hours, "day", "left").na.fill(0, ["written", "hours"])
+    return out.select("day", "fetched", "invalid", "out_of_day", (F.col("fetched") - F.col("invalid") - F.col("out_of_day") - F.col("written")).alias("repeated"), "written", "hours")
