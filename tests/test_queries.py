@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SAMPLE = ["w01_censored_rolling_counts", "j05_as_of_lookup", "j06_bounded_forward_fill", "c06_feature_table", "v09_batch_result", "a13_split_conformal", "w10_clamped_stock", "c07_multi_horizon_table", "c08_population_nowcast", "c12_age_sex_redistribution", "c20_inference_features", "c25_move_quantity", "c27_truck_loads", "s21_cold_bundle", "t04_late_data_replay", "w21_stock_replay", "s17_dynamic_overwrite", "s23_guarded_upsert", "t01_tick_windows", "t05_incremental_equals_full", "j12_point_in_polygon", "d08_snapshot_selection", "u07_station_changes", "p17_purged_split"]
+SAMPLE = ["w01_censored_rolling_counts", "j05_as_of_lookup", "j06_bounded_forward_fill", "c06_feature_table", "v09_batch_result", "a13_split_conformal", "w10_clamped_stock", "c07_multi_horizon_table", "c08_population_nowcast", "c12_age_sex_redistribution", "c20_inference_features", "c25_move_quantity", "c27_truck_loads", "s21_cold_bundle", "t04_late_data_replay", "w21_stock_replay", "s17_dynamic_overwrite", "s23_guarded_upsert", "t01_tick_windows", "t05_incremental_equals_full", "j12_point_in_polygon", "d08_snapshot_selection", "u07_station_changes", "p17_purged_split", "p21_lambert_grid", "p28b_nearest_boundary", "j14b_nearest_of_many", "t03b_window_trend", "t04b_recompute_marked_days", "s20_change_signature", "s22_retention_candidates", "c14_station_enrichment", "c15_station_dimension", "c16_activation_readiness", "c29b_forecast_alignment", "c30_serving_health", "c32_route_aggregate", "c35_archive_load", "w21b_replay_timings", "w13_adverse_path", "v11b_missing_and_overfetch", "v18_panel_completeness", "a04_cell_hour_totals", "d11_donor_order"]
 
 
 def cell(v):

@@ -41,6 +41,23 @@ def future_counts(events: DataFrame, width: int = 3600, tick: int = 1200, key: s
     return _steps(spans, key, tick)
 
 
+def count_steps(trips: DataFrame, width: int = 3600, embargo: int = 2400, tick: int = 1200) -> DataFrame:
+    """The step functions rental and returned (future_counts of starts and of ends) and recent (censored_counts), from one pass over
+    trips (station_id, start_s, end_station_id, end_s): station_id, fn, tick, count."""
+    start, end = F.col("start_s"), F.col("end_s")
+    future = lambda at: (tick_floor(at - width, tick) + tick, tick_floor(at, tick))
+    seen = (F.greatest(tick_floor(start + embargo, tick) + tick, tick_ceil(end, tick)), tick_floor(start + embargo + width, tick))
+    spans = {"rental": ("station_id", *future(start), F.lit(True)), "returned": ("end_station_id", *future(end), end.isNotNull()), "recent": ("station_id", *seen, end.isNotNull())}
+    changes = []
+    for fn, (key, first, last, there) in spans.items():
+        for at, delta in ((first, 1), (last + tick, -1)):
+            row = F.struct(F.col(key).cast("long").alias("station_id"), F.lit(fn).alias("fn"), at.cast("long").alias("tick"), F.lit(delta).cast("long").alias("delta"))
+            changes.append(F.when(there & (first <= last), row))
+    per = trips.select(F.inline(F.array_compact(F.array(*changes)))).groupBy("station_id", "fn", "tick").agg(F.sum("delta").alias("delta"))
+    w = W.partitionBy("station_id", "fn").orderBy("tick").rowsBetween(W.unboundedPreceding, 0)  # a row per tick
+    return per.select("station_id", "fn", "tick", F.sum("delta").over(w).alias("count"))
+
+
 def as_of(steps: DataFrame, wanted: DataFrame, key: str = "station_id", value: str = "count") -> DataFrame:
     """wanted (key, tick) with the last value at or before tick; keys or times without one get 0.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import haversine
 from ..functions.text import content_id
+from ..sources.files import stored
 from .base import centers, forecast, query, seconds, stations, stock, table, weather
 from .measures import CLAMP_SQL, paths
 
@@ -211,7 +212,7 @@ def loads(spark, sf):
     has nothing to give."""
     n = remaining(spark, sf).withColumn("center", F.col("station_id") % 11)
     w = W.partitionBy("center", "move").orderBy(F.desc("score"), "station_id").rowsBetween(W.unboundedPreceding, 0)
-    n = n.withColumn("hi", F.sum("need").over(w))
+    n = stored(n.withColumn("hi", F.sum("need").over(w)), "needs")  # read for cuts, room and drop-offs
     up = n.where("move = 'pickup'")
     cut = up.withColumn("truck", F.explode(F.sequence(F.floor((F.col("hi") - F.col("need")) / TRUCK), F.floor((F.col("hi") - 1) / TRUCK))))
     cut = cut.withColumn("bikes", F.least(F.col("hi"), (F.col("truck") + 1) * TRUCK) - F.greatest(F.col("hi") - F.col("need"), F.col("truck") * TRUCK))

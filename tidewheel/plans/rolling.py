@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import rolling as R
+from ..sources.files import stored
 from .base import forecast, population, query, seconds, stations, stock, table, trips, weather
 
 _SPANS = """c AS (SELECT station_id, greatest(((start_s + 2400) // 1200) * 1200 + 1200, ((end_s + 1199) // 1200) * 1200) AS a, ((start_s + 6000) // 1200) * 1200 AS z FROM trips WHERE end_s IS NOT NULL),
@@ -197,23 +199,28 @@ def hourly_weather(spark, sf):
 
 
 def features(spark, sf):
-    """The feature table: station constants, weather, population, calendar, both targets, point-in-time lags, exposure."""
-    t = trips(spark, sf)
-    f = R.future_counts(t)
-    h = f.where("tick % 3600 = 0").withColumnRenamed("count", "rental_count")
-    at = h.select("station_id", "tick")
-    back = R.future_counts(t.where("end_s is not null").select("event_id", F.col("end_station_id").alias("station_id"), F.col("end_s").alias("start_s")))
-    now = R.as_of(back, at).withColumnRenamed("count", "return_count")
-    hour_ago = R.as_of(back, at.withColumn("tick", F.col("tick") - 3600)).select("station_id", (F.col("tick") + 3600).alias("tick"), F.col("count").cast("int").alias("return_lag_1h"))
-    day_ago = f.select("station_id", (F.col("tick") + 86400).alias("tick"), F.col("count").alias("lag_24h"))
-    recent = R.as_of(R.censored_counts(t), at).select("station_id", "tick", F.col("count").cast("int").alias("rental_lag_1h"))
+    """The feature table: station constants, weather, population, calendar, both targets, point-in-time lags, exposure.
+
+    All counts come from one pass over the trips. Their step functions, moved to the tick at which they are asked for (an
+    hour and a day later for lags), and the stock meet in one row per station and tick; one window gives what held
+    at each tick."""
+    steps = R.count_steps(trips(spark, sf))
+    #: column -> (step function, seconds by which it is moved)
+    asked = {"rental_count": ("rental", 0), "lag_24h": ("rental", 86400), "returned": ("returned", 0), "returned_before": ("returned", 3600), "recent": ("recent", 0)}
+    none = F.lit(None).cast("long")
+    moved = [F.when(F.col("fn") == fn, F.struct((F.col("tick") + by).alias("tick"), *[(F.col("count") if c == name else none).alias(c) for c in asked])) for name, (fn, by) in asked.items()]
+    rows = steps.select("station_id", F.inline(F.array_compact(F.array(*moved)))).unionByName(hourly_stock(spark, sf), allowMissingColumns=True)
+    per = rows.groupBy("station_id", "tick").agg(*[F.max(c).alias(c) for c in (*asked, "bikes")])
+    w = W.partitionBy("station_id").orderBy("tick").rowsBetween(W.unboundedPreceding, 0)
+    held = {c: F.coalesce(F.last(c, ignorenulls=True).over(w), F.lit(0).cast("long")) for c in ("returned", "returned_before", "recent")}
+    out = per.withColumns(held).where("rental_count is not null and tick % 3600 = 0")
     pop = population(spark, sf).groupBy("cell", (F.col("day") * 86400 + F.col("hour") * 3600).alias("tick")).agg(F.max("spop").alias("pop_total"))
-    keys = ["station_id", "tick"]
-    out = h.join(now, keys).join(hour_ago, keys).join(recent, keys).join(day_ago, keys, "left").join(hourly_stock(spark, sf), keys, "left")
     out = out.withColumns({"grid": F.col("station_id") % 34, "cell": F.col("station_id") % 25}).join(hourly_weather(spark, sf), ["grid", "tick"], "left").join(pop, ["cell", "tick"], "left")
     out = out.join(stations(spark, sf).select("station_id", "capacity", "lat", "lon"), "station_id", "left")
+    lags = [F.col("recent").cast("int").alias("rental_lag_1h"), F.col("returned_before").cast("int").alias("return_lag_1h"), F.col("lag_24h")]
     exposure = F.when(F.col("bikes") <= 0, 0.05).otherwise(1.0).alias("exposure")
-    return out.select(*keys, "capacity", "lat", "lon", "temp", "precip", "pop_total", *calendar(F.col("tick")), "rental_count", "return_count", "rental_lag_1h", "return_lag_1h", "lag_24h", exposure)
+    fixed = ("station_id", "tick", "capacity", "lat", "lon", "temp", "precip", "pop_total")
+    return out.select(*fixed, *calendar(F.col("tick")), "rental_count", F.col("returned").alias("return_count"), *lags, exposure)
 
 
 @query("c06_feature_table", f"WITH {FEATURE_SQL} SELECT * FROM feat")
@@ -226,7 +233,7 @@ _AT_TARGET = ("temp", "precip", "pop_total", "minute", "dow", "is_holiday", "day
 
 @query("c07_multi_horizon_table", f"WITH {FEATURE_SQL}, hh AS (SELECT unnest(range(1, 13))::INTEGER AS horizon) SELECT x.station_id, x.tick, x.capacity, x.lat, x.lon, x.rental_lag_1h, x.return_lag_1h, hh.horizon, {', '.join(f'y.{c} AS target_{c}' for c in _AT_TARGET)} FROM feat x, hh JOIN feat y ON y.station_id = x.station_id AND y.tick = x.tick + (hh.horizon - 1) * 3600")
 def c07(spark, sf):
-    f = features(spark, sf)
+    f = stored(features(spark, sf), "features")  # both sides of the join read the same table
     anchors = f.select("station_id", "tick", "capacity", "lat", "lon", "rental_lag_1h", "return_lag_1h")
     return R.horizons(anchors, f, values=_AT_TARGET)
 
