@@ -16,8 +16,10 @@ def odd(spark, rows=ODD):
     return spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("key", F.lit("clash")).withColumn("size", F.lit("clash"))
 
 
-@pytest.mark.parametrize("capacity", [2, 4096])
-def test_exact_dedup(spark, sf, capacity):
+@pytest.mark.parametrize(("capacity", "rows"), [(2, 200_000), (4096, 200_000), (2, 0)])
+def test_exact_dedup(spark, sf, monkeypatch, capacity, rows):
+    """With rows = 0 nothing is broadcast by its size: the way that large tables go."""
+    monkeypatch.setattr(exact_dedup, "BROADCAST_ROWS", rows)
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source")
     docs = docs.union(docs.where("doc_id % 3 = 0").withColumn("doc_id", F.col("doc_id") + 100000)).unionByName(odd(spark).select("doc_id", "text", "source"))
     rows = docs.collect()
@@ -38,6 +40,18 @@ def test_exact_dedup(spark, sf, capacity):
     assert index.chains.count() == len(groups) and index.chains.groupBy("key").count().count() == 5
 
 
+def test_beyond_the_bound_texts_are_grouped_before_they_move(spark, monkeypatch, capfd):
+    monkeypatch.setattr(exact_dedup, "BROADCAST_ROWS", 0)
+    seen = []
+    keep = exact_dedup.stored
+    monkeypatch.setattr(exact_dedup, "stored", lambda df, name: (seen.append((name, df._jdf.queryExecution().sparkPlan().toString())), keep(df, name))[1])
+    ent = exact_dedup.entries(spark.createDataFrame([(i, "copy") for i in range(500)] + [(i, str(i)) for i in range(500, 600)], "doc_id long, text string"))
+    exact_dedup.build_index(ent)
+    (plan,) = [p for name, p in seen if name == "dedup-classes"]
+    join = plan.index("Join")
+    assert "Aggregate" in plan[join:] and "Aggregate" not in plan[:join]  # the texts' side is grouped below the join
+
+
 def test_directory_splits_overfull_buckets(spark):
     keys = spark.range(5000).select(F.xxhash64("id").alias("key"))
     slots, depth, n = exact_dedup.directory(keys, 100)

@@ -89,7 +89,10 @@ class Index:
 
     def placed(self, rows: DataFrame) -> DataFrame:
         """rows (key) with the bucket that the directory names for the key's slot."""
-        return rows.withColumn("slot", slot_of(F.col("key"), self.depth)).join(bounded(self.slots, self.n_slots), "slot").drop("slot", "local_depth")
+        at = rows.withColumn("slot", slot_of(F.col("key"), self.depth))
+        # beyond the bound slots are shuffled, but for those that hold a hot key
+        found = at.join(F.broadcast(self.slots), "slot") if self.n_slots <= BROADCAST_ROWS else join_hot(at, self.slots, "slot")
+        return found.drop("slot", "local_depth")
 
 
 def build_index(ent: DataFrame, capacity: int = CAPACITY) -> Index:
@@ -98,9 +101,13 @@ def build_index(ent: DataFrame, capacity: int = CAPACITY) -> Index:
     index = Index(stored(slots, "dedup-directory"), depth, n_slots, None)
     placed = index.placed(keys)
     again = placed.where("held > 1").select("bucket", "key")
-    inserted = ent.select("key", "n", "doc_id", "text_sha256").join(bounded(again, again.count()), "key")
-    classes = inserted.groupBy("bucket", "key", "n").agg(F.first("text_sha256").alias("text_sha256"), F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    classes = stored(classes, "dedup-classes")
+    inserted, n_again = ent.select("key", "n", "doc_id", "text_sha256"), again.count()
+    figures = F.first("text_sha256").alias("text_sha256"), F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")
+    if n_again <= BROADCAST_ROWS:
+        classes = inserted.join(F.broadcast(again), "key").groupBy("bucket", "key", "n").agg(*figures)
+    else:  # equal texts become one row in the map tasks before anything is dealt by key
+        classes = inserted.groupBy("key", "n").agg(*figures).join(again, "key")
+    classes = stored(classes.select("bucket", "key", "n", "text_sha256", "keep_id", "group_size"), "dedup-classes")
     links = classes.groupBy("key").agg(F.count("*").cast("int").alias("links"))
     chained = classes.join(links, "key").select("bucket", "key", "links", "text_sha256", "keep_id", "group_size", F.when(F.col("links") > 1, F.col("n")).alias("n"))
     single = placed.where("held = 1").select("bucket", "key", F.lit(1).alias("links"), F.col("digest").alias("text_sha256"), F.col("last").alias("keep_id"), F.col("held").alias("group_size"), F.lit(None).cast("string").alias("n"))
