@@ -59,3 +59,27 @@ def test_null_ids_stay(spark):
     assert len(rows) == 5 and all(got[k].status == "no_result" and got[k].level == 0 for k in [(None, None), (None, "a"), (1, None)])
     assert got[None, "q"].status == got[1, "b"].status == "orphan_result"
     assert [got[None, x].position for x in (None, "a", "q")] == [0, 1, 2]
+
+
+def test_integers_however_they_are_written(spark):
+    bodies = {"5": True, "5.0": True, "5e0": True, "12345678901234567890": True, "123456789012345678901234567890": True, "5.5": False, "1e400": False, '"5"': False, "true": False, "12345678901234567890.5": False}
+    calls = [(1, b, i, "calculate", f'{{"a": 1, "b": {b}}}', None) for i, b in enumerate(bodies)]
+    got, _ = linked(spark, calls, [])
+    for b, fine in bodies.items():
+        assert (got[1, b].errors == []) == fine, (b, got[1, b].errors)
+
+
+def test_nulls_and_repeated_keys_in_arguments(spark):
+    got, _ = linked(spark, [(1, "a", 0, "search", '{"query": "x", "limit": null}', None), (1, "b", 1, "search", '{"query": "x", "query": "y"}', None)], [])
+    assert got[1, "a"].errors == [] and got[1, "a"].canonical == '{"arguments":{"limit":null,"query":"x"},"id":"a","name":"search"}'
+    assert got[1, "b"].errors == ["json"]
+
+
+def test_many_calls_name_one(spark, monkeypatch):
+    from tidewheel.llm import shared
+
+    monkeypatch.setattr(shared, "HOT_ROWS", 10)
+    calls = [(5, "root", 0, "search", '{"query": "q"}', None)] + [(5, f"k{i:03d}", i + 1, "search", '{"query": "q"}', "root") for i in range(200)] + [(6, "x", 1, "search", '{"query": "q"}', "root")]
+    got, rows = linked(spark, calls, [(5, "k007", 300, "r")])
+    assert len(rows) == 202 and {got[5, f"k{i:03d}"].level for i in range(200)} == {1}
+    assert [got[5, f"k{i:03d}"].position for i in range(200)] == list(range(1, 201)) and got[6, "x"].parent == "no_parent"

@@ -7,14 +7,17 @@
   behind a cycle. Calls are placed by (level, turn, call id) over the whole table by range partitions, so a
   conversation of any length is ordered without a window over it.
 * Arguments are parsed as variants and held against field rules (type, required, range, allowed values).
-* Canonical JSON has sorted keys and no blanks at every level and leaves null fields out.
+* Canonical JSON has sorted keys and no blanks at every level. The record's own fields that are null (a call without
+  result, arguments that are no JSON) are left out; nulls inside the arguments stay as they are.
 
 DataFrame functions only. Defined cases: repeated calls of one id count in n_calls and the first by (turn,
 name, arguments) stands for them; of several results the first by (turn, content) is used; results without
 a call and calls without a result are rows of their own (`orphan_result`, `no_result`); a result that is not
 after its call is `early_result`; an unknown `after` makes the call a root (`no_parent`); calls on or behind
-a cycle have no level and come last; null or malformed arguments are the error `json`; unknown tools the
-error `tool`; empty tables give an empty result.
+a cycle have no level and come last; null or malformed arguments, also with one key twice in an
+object, are the error `json`; unknown tools the error `tool`; a number without a fraction is an integer however it
+is written (5, 5.0, 5e0) and however large; arguments of any length are parsed whole; other columns of the inputs, whatever
+their names, are not read; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import count_words, in_order, stored
+from .shared import count_words, in_order, join_hot, stored
 
 #: Field rules: tool, field, type, required, least, most, allowed values.
 RULES = [
@@ -44,7 +47,7 @@ def rules_table(spark, rules=RULES) -> DataFrame:
 def levels(calls: DataFrame) -> DataFrame:
     """calls (conv_id, call_id, after), one row per call -> conv_id, call_id, level, parent (root, parent, no_parent, cycle)."""
     known = calls.select("conv_id", F.col("call_id").alias("after"), F.lit(True).alias("_known"))
-    start = calls.join(known.hint("shuffle_hash"), ["conv_id", "after"], "left")
+    start = join_hot(calls, known, ["conv_id", "after"], "left")  # any number of calls may name one
     state = stored(
         start.select(
             "conv_id",
@@ -61,7 +64,7 @@ def levels(calls: DataFrame) -> DataFrame:
             break
         target = state.select("conv_id", F.col("call_id").alias("up"), F.col("up").alias("_next"), F.col("level").alias("_more"))
         state = stored(
-            state.join(target.hint("shuffle_hash"), ["conv_id", "up"], "left").select("conv_id", "call_id", F.col("_next").alias("up"), (F.col("level") + F.coalesce("_more", F.lit(0))).alias("level"), "parent"),
+            join_hot(state, target, ["conv_id", "up"], "left").select("conv_id", "call_id", F.col("_next").alias("up"), (F.col("level") + F.coalesce("_more", F.lit(0))).alias("level"), "parent"),
             "calls-level",
         )
     loop = F.col("up").isNotNull()
@@ -83,7 +86,9 @@ def validated(calls: DataFrame, rules: DataFrame) -> DataFrame:
     checks = F.expr("""
       transform(_pairs, p -> CASE
         WHEN p.v IS NULL OR is_variant_null(p.v) THEN CASE WHEN p.r.required THEN concat('missing:', p.r.field) END
-        WHEN p.r.type = 'integer' AND schema_of_variant(p.v) <> 'BIGINT' THEN concat('type:', p.r.field)
+        WHEN p.r.type = 'integer' AND NOT (schema_of_variant(p.v) = 'BIGINT'
+          OR schema_of_variant(p.v) LIKE 'DECIMAL%' AND coalesce(try_variant_get(p.v, '$', 'decimal(38,9)') % 1 = 0, try_variant_get(p.v, '$', 'decimal(38,0)') IS NOT NULL)
+          OR schema_of_variant(p.v) = 'DOUBLE' AND try_variant_get(p.v, '$', 'double') % 1 = 0) THEN concat('type:', p.r.field)
         WHEN p.r.type = 'number' AND NOT (schema_of_variant(p.v) IN ('BIGINT', 'DOUBLE') OR schema_of_variant(p.v) LIKE 'DECIMAL%') THEN concat('type:', p.r.field)
         WHEN p.r.type = 'string' AND schema_of_variant(p.v) <> 'STRING' THEN concat('type:', p.r.field)
         WHEN p.r.type = 'boolean' AND schema_of_variant(p.v) <> 'BOOLEAN' THEN concat('type:', p.r.field)
@@ -131,9 +136,9 @@ def link(calls: DataFrame, results: DataFrame, rules: DataFrame) -> DataFrame:
         F.coalesce("level", F.lit((1 << 62))).alias("_level"),
     )
     placed = in_order(rows, ["conv_id", "_level", "turn", "call_id"], "calls-order")
-    start = placed.groupBy(F.col("conv_id").alias("_conv")).agg(F.min("position").alias("_first"))
-    placed = placed.join(start, F.col("conv_id").eqNullSafe(F.col("_conv")))
-    return placed.withColumn("position", F.col("position") - F.col("_first")).drop("_conv", "_first", "_level")
+    placed = placed.withColumn("_conv", F.to_json(F.struct("conv_id")))  # a key for null, too
+    start = placed.groupBy("_conv").agg(F.min("position").alias("_first"))
+    return join_hot(placed, start, "_conv").withColumn("position", F.col("position") - F.col("_first")).drop("_conv", "_first", "_level")
 
 
 def calls_and_results(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
