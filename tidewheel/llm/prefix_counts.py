@@ -6,7 +6,8 @@ stays apart from t when the two are merged anew. Storing the last token and the
 of a piece therefore gives the exact count at each of its bytes in one pass, without encoding any
 prefix. Pieces (matches of the pre-tokeniser's pattern) are independent, so the count at a prefix of a
 text is the count at the start of its piece plus the count inside the piece. A piece that is a token is
-one, the counts of others are remembered up to a bound; tables inside pieces are made for the pieces asked for.
+one, the counts of others are remembered up to a bound; tables inside pieces are made for the pieces asked for. A piece that is no token costs its bytes times the vocabulary's longest token in look-ups, also a single
+piece of a megabyte.
 
 Defined cases: null and empty texts have no tokens and one prefix, of 0 bytes; special strings inside
 texts are one token each, as in the library's default; repeated rows give repeated rows, null doc_ids stay null;
@@ -44,6 +45,9 @@ def _byte_chars() -> dict[str, int]:
 class PrefixCounter:
     """The merges of a vocabulary file, and counts at every prefix of pieces and texts."""
 
+    #: Longer pieces are not remembered, so what is remembered has a bound in bytes as well.
+    KEPT_BYTES = 64
+
     def __init__(self, path: str, remember: int = 500_000):
         spec = json.load(open(path, encoding="utf-8"))
         chars = _byte_chars()
@@ -145,9 +149,10 @@ class PrefixCounter:
         data = piece.encode()
         t = self.tokens.get(data)
         n = 1 if piece in self.special_strings or (t is not None and self.whole(t, data)) else self._solve(data)[-1]
-        if len(self.known) >= self.remember:
-            self.known.clear()
-        self.known[piece] = n
+        if len(data) <= self.KEPT_BYTES:
+            if len(self.known) >= self.remember:
+                self.known.clear()
+            self.known[piece] = n
         return n
 
     def counts(self, parts: list[str]) -> list[int]:
