@@ -1,6 +1,7 @@
 import re
 from collections import Counter
 
+import duckdb
 from pyspark.sql import functions as F
 
 from tidewheel.llm import quality
@@ -39,3 +40,11 @@ def test_policies_and_ablation(spark):
         assert rows[rule].n_failed == sum(b >> i & 1 for b in bits)
         assert rows[rule].n_only == sum(b == 1 << i for b in bits)
     assert quality.ablation(led.limit(0)).count() == 0
+
+
+def test_ablation_of_the_stored_ledger_equals_sql(spark, sf):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS FROM '{sf}/documents.parquet'")
+    want = sorted(con.execute(quality.ABLATION_ORACLE).fetchall())
+    assert sorted(map(tuple, quality.quality_ablation(spark, sf).collect())) == want
+    assert "text" not in quality.stored_ledger(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")).columns

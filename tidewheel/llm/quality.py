@@ -2,19 +2,21 @@
 
 Measurements and failure bits of a document are columns; a policy is a named, versioned set of rules, so
 changing a policy or asking what a rule costs (`ablation`) never reads the texts again. DataFrame
-functions only: no shuffle is needed for the ledger.
+functions only: no shuffle is needed for the ledger. `stored_ledger` writes it, without the texts, to the shared folder.
 
 Defined cases: a null or empty text has no words and fails `few_words`; repeated rows give repeated
-rows; an empty table gives an empty ledger; other columns of the input are carried along by `ledger`,
+rows; the words of a text of any length are held as arrays of its row while it is measured; an empty table gives an empty ledger; other columns of the input are carried along by `ledger`,
 but for those named like a measurement or `failed_bits`, which are replaced.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import words
+from .shared import stored, words
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
@@ -127,12 +129,23 @@ def ablation(led: DataFrame, version: str = CURRENT) -> DataFrame:
     )
 
 
+def stored_ledger(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The ledger without the texts, written to the shared folder: policies and ablations read this table."""
+    return stored(ledger(docs, text).drop(text), "quality-ledger")
+
+
 def op7_quality_rules(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    led = apply_policy(ledger(docs))
+    led = apply_policy(stored_ledger(docs))
     return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "failed_bits", "policy", fails(BASE).alias("base_failed"), "kept")
 
 
+def quality_ablation(spark, sf_dir):
+    """What each rule of each policy costs, from the stored bits: policy, rule, n_failed, n_only, n_dropped."""
+    led = stored_ledger(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return reduce(DataFrame.unionByName, [ablation(led, v).select(F.lit(v).alias("policy"), "rule", "n_failed", "n_only", "n_dropped") for v in POLICIES])
+
+
 _PASS = " AND ".join(f"NOT ({RULES[r]})" for r in POLICIES[CURRENT])
 _BITS = " + ".join(f"CASE WHEN {c} THEN {1 << i} ELSE 0 END" for i, c in enumerate(RULES.values()))
 
@@ -152,3 +165,16 @@ measured AS (SELECT w.* EXCLUDE (ws, ls), len(ws)::BIGINT AS n_words,
 ORACLE = f"""WITH {MEASURED_SQL.format(source="documents")}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ({_BITS})::BIGINT AS failed_bits, '{CURRENT}' AS policy,
   (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed, ({_PASS}) AS kept FROM measured"""
+
+
+def _ablation_sql() -> str:
+    parts = []
+    for v, rules in POLICIES.items():
+        m, names = mask(rules), list(RULES)
+        for r in rules:
+            bit = 1 << names.index(r)
+            parts.append(f"SELECT '{v}' AS policy, '{r}' AS rule, count(*) FILTER (WHERE bits & {bit} <> 0) AS n_failed, count(*) FILTER (WHERE bits & {m} = {bit}) AS n_only, count(*) FILTER (WHERE bits & {m} <> 0) AS n_dropped FROM led")
+    return f"WITH {MEASURED_SQL.format(source='documents')}, led AS (SELECT ({_BITS})::BIGINT AS bits FROM measured) " + " UNION ALL ".join(parts)
+
+
+ABLATION_ORACLE = _ablation_sql()

@@ -22,6 +22,7 @@ def queries():
         "op11_spelling": spelling.op11_spelling,
         "op12_pair_merge": pair_merge.op12_pair_merge,
         "op13_collocations": collocations.op13_collocations,
+        "quality_ablation": quality.quality_ablation,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -32,4 +33,5 @@ def oracle_sql():
         "op5_exact_dedup": exact_dedup.ORACLE,
         "op7_quality_rules": quality.ORACLE,
         "op13_collocations": collocations.ORACLE,
+        "quality_ablation": quality.ABLATION_ORACLE,
     }
