@@ -1,7 +1,10 @@
 """Registered queries against their SQL on a small scale: a few of each kind, to keep the run short."""
 
 import math
+import subprocess
+import sys
 from decimal import Decimal
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -42,8 +45,27 @@ def test_entry_and_registry(spark):
     assert len(__spark_entry__.queries()) > 150
 
 
-def test_every_station_is_ordered(spark, sf):
+def test_stops_come_in_nearest_neighbour_order(spark, sf):
+    """Each stop is the nearest of those that are left, ties to the smaller id; a route starts at its smallest station."""
     from tidewheel.plans.base import stations
 
-    got = __spark_entry__.queries()["p32_nearest_neighbour_order"](spark, sf).collect()
-    assert sorted(r.station_id for r in got) == sorted(r.station_id for r in stations(spark, sf).collect())
+    place = {r.station_id: (r.lat, r.lon) for r in stations(spark, sf).collect()}
+    routes = {}
+    for r in __spark_entry__.queries()["p32_nearest_neighbour_order"](spark, sf).collect():
+        routes.setdefault(r.route, []).append((r.visit, r.station_id))
+    assert sorted(i for stops in routes.values() for _, i in stops) == sorted(place)
+    for stops in routes.values():
+        got = [i for _, i in sorted(stops)]
+        left, want = sorted(got), []
+        while left:
+            here = place[want[-1]] if want else None
+            want.append(min(left, key=lambda i: ((place[i][0] - here[0]) ** 2 + (place[i][1] - here[1]) ** 2, i)) if here else left[0])
+            left.remove(want[-1])
+        assert got == want
+
+
+@pytest.mark.parametrize("absent", ["regex", "tidewheel.llm", "corpus_pipeline"])
+def test_core_queries_stand_alone(absent):
+    """Without the subpackage, the pipeline or a library that only they use, the core's queries are all there."""
+    code = f"import sys; sys.modules[{absent!r}] = None; import __spark_entry__ as e; from tidewheel.plans import registry as r; assert set(e.queries()) == set(r.queries()) and len(e.queries()) > 230"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).parent.parent)

@@ -150,7 +150,7 @@ def c05(spark, sf):
 
     path, (first, last) = S.work_folder(spark, "trips-by-arrival"), TARGET_DAYS
     arrived = F.floor(F.coalesce("end_s", "start_s") / 86400).cast("long")
-    S.write_by_date(clean_trips(spark, sf).withColumn("arrival_day", arrived), path, "arrival_day")
+    S.write_dated(clean_trips(spark, sf).withColumn("arrival_day", arrived), path, "arrival_day", "station_id", "start_s")
     c = spark.read.parquet(path).where(f"arrival_day >= {first - 1} and arrival_day < {last + 1}")
     both = c.select("station_id", "start_s", F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(c.where("end_station_id is not null and end_s is not null").select(F.col("end_station_id").alias("station_id"), F.col("end_s").alias("start_s"), F.lit(0).alias("o"), F.lit(1).alias("i")))
     both = both.where(f"start_s >= {first * 86400} and start_s < {last * 86400}")

@@ -95,7 +95,7 @@ def t04(spark, sf):
         window = e.where((F.col("arrival") <= run) & ((F.col("hour") + 1) * 3600 <= run - EMBARGO))
         if back is not None:
             window = window.where(F.col("hour") * 3600 >= run - back)
-        S.write_by_date(window, path, "hour")
+        S.write_dated(window, path, "hour", "event_id")
     return spark.read.parquet(path).groupBy(F.col("hour").cast("long").alias("hour")).agg(F.count("*").alias("n"))
 
 

@@ -63,6 +63,12 @@ def write_by_date(df: DataFrame, path: str, date: str = "date", order: tuple = (
     out.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(date).parquet(path)
 
 
+def write_dated(df: DataFrame, path: str, date: str, *order: str) -> None:
+    """As write_by_date, but a date of any size is written by several tasks: ranges of (date, order), for tables that are read again by date."""
+    out = df.repartitionByRange(date, *order).sortWithinPartitions(date, *order)
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(date).parquet(path)
+
+
 def read_days(spark: SparkSession, path: str, since: str, until: str, columns=None, date: str = "date") -> DataFrame:
     """Days in [since, until): the filter prunes partitions; fails only if no day is there."""
     df = spark.read.parquet(path)
