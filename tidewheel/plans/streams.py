@@ -42,10 +42,12 @@ def t03(spark, sf):
 
 
 _TREND_SQL = """
-WITH e AS (SELECT user_id % 20 AS station, epoch_us(ts) // 1000000 AS s, floor(value) AS v FROM events),
-w AS (SELECT station, (s // 300 - k) * 300 AS start_s, s, v FROM e, (SELECT unnest(range(0, 5)) AS k))
-SELECT station, start_s, count(*)::BIGINT AS n, CASE WHEN count(DISTINCT s) > 1 THEN round_even(regr_slope(v, (s - start_s) / 60.0), 6) END AS slope
-FROM w GROUP BY ALL HAVING max(s) >= start_s + 1200"""
+WITH e AS (SELECT user_id % 20 AS station, epoch_us(ts) // 1000000 AS s, floor(value)::BIGINT AS v FROM events),
+w AS (SELECT station, (s // 300 - k) * 300 AS start_s, s, v FROM e, (SELECT unnest(range(0, 5)) AS k)),
+m AS (
+  SELECT station, start_s, count(*) AS n, sum(s - start_s)::DOUBLE AS sx, sum(v)::DOUBLE AS sy, sum((s - start_s) * v)::DOUBLE AS sxy, sum((s - start_s) * (s - start_s))::DOUBLE AS sxx
+  FROM w GROUP BY ALL HAVING max(s) >= start_s + 1200)
+SELECT station, start_s, n, CASE WHEN n * sxx <> sx * sx THEN round_even(60.0::DOUBLE * (n * sxy - sx * sy) / (n * sxx - sx * sx), 6) END AS slope FROM m"""
 
 
 @query("t03b_window_trend", _TREND_SQL)
