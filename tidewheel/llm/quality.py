@@ -47,14 +47,14 @@ def _repeat_words(w: Column) -> Column:
     Windows are compared by their 64-bit hash within one document."""
     windows = F.when(
         F.size(w) >= 3,
-        F.array_sort(F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("p")))),
+        F.sort_array(F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("p")))),
     )
     return windows
 
 
 def _covered(s: Column) -> Column:
     again = F.filter(s, lambda x, i: (x["h"] == F.get(s, i - 1)["h"]) | (x["h"] == F.get(s, i + 1)["h"]))
-    return F.array_sort(F.transform(again, lambda x: x["p"]))
+    return F.sort_array(F.transform(again, lambda x: x["p"]))
 
 
 def _span(p: Column) -> Column:
