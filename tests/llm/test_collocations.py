@@ -44,7 +44,7 @@ def texts(seed, n=300):
     return docs + [(None, "en"), ("", None), (" .,; \n", "en"), ("same " * 3000, "fr"), ("ab cd " * 2000, "fr"), (" ".join(f"w{i % 977}" for i in range(9000)), "fr")]
 
 
-@pytest.mark.parametrize("every", [1, 3, 16, 100000])
+@pytest.mark.parametrize("every", [2, 16])
 def test_equals_all_n_grams(spark, every):
     docs = texts(every)
     table = spark.createDataFrame([(t, g, "p", 7) for t, g in docs], "text string, lang string, phrase string, n int").repartition(4)

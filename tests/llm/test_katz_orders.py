@@ -61,7 +61,7 @@ def corpus(seed, n=60):
     return docs + [(None, "the cat sat"), (None, None), (n, ""), (n + 1, "the cat sat on the mat " * 30), (n + 1, "the cat sat on the mat " * 30), (n + 2, "unheard words only"), (n + 3, " \t\n")]
 
 
-@pytest.mark.parametrize("order", [1, 2, 3, 4])
+@pytest.mark.parametrize("order", [1, 3])
 def test_scores_equal_dictionaries(spark, order):
     docs = corpus(order)
     brute = Brute([t for i, t in docs if i is None or not katz.held_out(i)], order)

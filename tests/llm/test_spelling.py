@@ -54,7 +54,7 @@ def rows(df):
     return sorted((r.word, r.form, r.root, r.n, r.n_near, r.form_n) for r in df.collect())
 
 
-@pytest.mark.parametrize("span", [1, 2, 3])
+@pytest.mark.parametrize("span", [1, 2])
 def test_groups_of_random_words(spark, span):
     r = random.Random(span)
     words = {"".join(r.choice("abé") for _ in range(r.randint(7, 10))): r.choice([2, 3, 25, 400, 4000, 40000]) for _ in range(500)}

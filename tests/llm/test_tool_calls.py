@@ -83,3 +83,33 @@ def test_many_calls_name_one(spark, monkeypatch):
     got, rows = linked(spark, calls, [(5, "k007", 300, "r")])
     assert len(rows) == 202 and {got[5, f"k{i:03d}"].level for i in range(200)} == {1}
     assert [got[5, f"k{i:03d}"].position for i in range(200)] == list(range(1, 201)) and got[6, "x"].parent == "no_parent"
+
+
+def longest_ways(calls):
+    """call -> (level, parent) of calls {call: parents}, by repeated relaxation."""
+    known = {c: {p for p in ps or () if p in calls} for c, ps in calls.items()}
+    level = {}
+    for _ in calls:
+        for c, ps in known.items():
+            if c not in level and all(p in level for p in ps):
+                level[c] = 1 + max((level[p] for p in ps), default=-1)
+    return {c: (level.get(c), "cycle" if c not in level else "parent" if known[c] else "no_parent" if calls[c] else "root") for c in calls}
+
+
+def test_several_parents(spark):
+    import random
+
+    diamond = {"a": None, "b": ["a"], "c": ["b"], "d": ["a"], "e": ["c", "d", "d"], "f": ["e", "zz"], "g": ["zz"], "h": ["h"], "i": ["h", "a"], "j": ["k"], "k": ["j"], "l": ["j"], "m": [], "n": ["f", "g"]}
+    r = random.Random(1)
+    mixed = {f"c{i}": [f"c{j}" for j in r.sample(range(i), min(i, r.choice([0, 1, 1, 1, 2, 3])))] for i in range(60)}
+    looped = mixed | {"c10": ["c50"], "x": ["c3"]}
+    chain = {f"k{i}": [f"k{i - 1}"] if i else None for i in range(300)} | {"end": ["k299", "k5"]}
+    graphs = {1: diamond, 2: mixed, 3: looped, 4: chain, 5: {}}
+    rows = [(v, c, ps) for v, g in graphs.items() for c, ps in g.items()]
+    got = tc.graph_levels(spark.createDataFrame(rows, "conv_id long, call_id string, after array<string>").repartition(3)).collect()
+    assert {(r.conv_id, r.call_id): (r.level, r.parent) for r in got} == {(v, c): x for v, g in graphs.items() for c, x in longest_ways(g).items()}
+    calls = spark.createDataFrame([(1, c, i, "search", '{"query": "q"}', ps) for i, (c, ps) in enumerate(diamond.items())], "conv_id long, call_id string, turn long, name string, arguments string, after array<string>")
+    linked_rows = tc.link(calls, spark.createDataFrame([], "conv_id long, call_id string, turn long, content string"), tc.rules_table(spark)).collect()
+    place = {r.call_id: r.position for r in linked_rows}
+    assert all(place[p] < place[c] for c, ps in diamond.items() if c in "bcdefn" for p in ps if p in diamond)
+    assert tc.graph_levels(calls.limit(0)).count() == 0

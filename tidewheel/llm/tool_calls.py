@@ -1,7 +1,8 @@
 """Tool-call linking: calls and results are joined by identifier, ordered topologically, validated and serialised.
 
 * Calls and results meet in a hash join on (conversation, call id).
-* A call may name the call whose result it uses (`after`). Its level, the number of calls before it in that
+* A call may name the call whose result it uses (`after`, a string; an array of strings names several, see
+  `graph_levels`). Its level, the number of calls before it in that
   chain, is found by pointer doubling: each round replaces a call's pointer by its target's pointer, so
   chains of n calls take log2(n) joins; what still points somewhere after that many rounds is on or
   behind a cycle. Calls are placed by (level, turn, call id) over the whole table by range partitions, so a
@@ -71,6 +72,49 @@ def levels(calls: DataFrame) -> DataFrame:
     return state.select("conv_id", "call_id", F.when(~loop, F.col("level")).alias("level"), F.when(loop, "cycle").otherwise(F.col("parent")).alias("parent"))
 
 
+def graph_levels(calls: DataFrame) -> DataFrame:
+    """As levels(), where `after` is an array of the calls that a call waits for: the level is the longest way from a root.
+
+    Calls with one known parent are passed over by pointer doubling, as in levels(), up to the next call that has none or several; what is
+    left is a graph of those alone, which is resolved in as many rounds as several-parent calls follow each other. Calls on or
+    behind a cycle have no level. Unknown parents do not count, but for a call that has no other (`no_parent`); a call
+    named twice counts once. conv_id and call_id must not be null."""
+    key = ["conv_id", "call_id"]
+    asked = calls.select(*key, F.explode(F.array_distinct("after")).alias("up"))
+    known = calls.select("conv_id", F.col("call_id").alias("up"))
+    edges = stored(join_hot(asked, known, ["conv_id", "up"]), "calls-edges")
+    parents = edges.groupBy(*key).agg(F.count("*").alias("n_parents"), F.min("up").alias("up"))
+    nodes = calls.select(*key, (F.size(F.coalesce("after", F.array().cast("array<string>"))) > 0).alias("_asks")).join(parents, key, "left")
+    kind = F.when(F.col("n_parents") >= 1, "parent").when(F.col("_asks"), "no_parent").otherwise("root")
+    one = F.coalesce(F.col("n_parents") == 1, F.lit(False))
+    state = stored(nodes.select(*key, kind.alias("parent"), one.alias("one"), F.when(one, F.col("up")).alias("up"), F.when(one, 1).otherwise(0).cast("long").alias("far"), (~one).alias("done")), "calls-graph")
+    most = state.groupBy("conv_id").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    for _ in range(most.bit_length()):  # `up` ends at the nearest call that has no parent or several, `far` calls away
+        if not state.where("not done").limit(1).count():
+            break
+        to = state.select("conv_id", F.col("call_id").alias("up"), F.col("one").alias("_one"), F.col("up").alias("_up"), F.col("far").alias("_far"), F.col("done").alias("_done"))
+        met = join_hot(state.where("not done"), to, ["conv_id", "up"], "left")
+        here = met.select(*key, "parent", "one", F.when(F.col("_one"), F.col("_up")).otherwise(F.col("up")).alias("up"), (F.col("far") + F.when(F.col("_one"), F.col("_far")).otherwise(0)).alias("far"), F.when(F.col("_one"), F.col("_done")).otherwise(True).alias("done"))
+        state = stored(state.where("done").unionByName(here), "calls-graph")
+    anchors = state.where("not one")
+    level = stored(anchors.where("parent <> 'parent'").select("conv_id", F.col("call_id").alias("up"), F.lit(0).cast("long").alias("level")), "calls-levels")
+    end = state.where("done").select("conv_id", F.col("call_id").alias("up"), F.when(F.col("one"), F.col("up")).otherwise(F.col("call_id")).alias("at"), (F.col("far") + 1).alias("far"))
+    several = anchors.where("parent = 'parent'").select(*key)
+    ways = edges.join(several, key, "left_semi")
+    ways = stored(join_hot(ways, end, ["conv_id", "up"], "left").select(*key, F.col("at").alias("up"), "far"), "calls-ways")
+    while True:
+        waiting = several.join(level.select("conv_id", F.col("up").alias("call_id")), key, "left_anti")
+        reached = join_hot(ways.join(waiting, key, "left_semi"), level, ["conv_id", "up"], "left")
+        now = reached.groupBy(*key).agg(F.bool_and(F.col("level").isNotNull()).alias("whole"), F.max(F.col("level") + F.col("far")).alias("level"))
+        now = stored(now.where("whole").select("conv_id", F.col("call_id").alias("up"), "level"), "calls-levels")
+        if not now.limit(1).count():
+            break
+        level = stored(level.unionByName(now), "calls-levels")
+    own = state.withColumn("up", F.when(F.col("one"), F.col("up")).otherwise(F.col("call_id")))
+    found = join_hot(own, level, ["conv_id", "up"], "left").withColumn("level", F.when(F.col("done"), F.col("level") + F.col("far")))
+    return found.select(*key, "level", F.when(F.col("level").isNull(), "cycle").otherwise(F.col("parent")).alias("parent"))
+
+
 def validated(calls: DataFrame, rules: DataFrame) -> DataFrame:
     """calls with `args` (variant, null if malformed) and `errors` (sorted array<string>)."""
     r = F.struct("field", "type", "required", "least", "most", "allowed")
@@ -115,7 +159,8 @@ def link(calls: DataFrame, results: DataFrame, rules: DataFrame) -> DataFrame:
     once = stored(calls.groupBy("conv_id", "call_id").agg(F.min(body).alias("c"), F.count("*").alias("n_calls")).select("conv_id", "call_id", "c.*", "n_calls"), "calls")
     first = results.groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "content")).alias("r"), F.count("*").alias("n_results"))
     first = first.select("conv_id", "call_id", F.col("r.turn").alias("result_turn"), F.col("r.content").alias("content"), "n_results")
-    level = levels(once).withColumnsRenamed({"conv_id": "_conv", "call_id": "_call"})
+    several = dict(once.dtypes)["after"].startswith("array")
+    level = (graph_levels if several else levels)(once).withColumnsRenamed({"conv_id": "_conv", "call_id": "_call"})
     checked = validated(once, rules).join(level, F.col("conv_id").eqNullSafe(F.col("_conv")) & F.col("call_id").eqNullSafe(F.col("_call"))).drop("_conv", "_call")
     both = checked.join(first.hint("shuffle_hash"), ["conv_id", "call_id"], "full")
     status = F.when(F.col("n_calls").isNull(), "orphan_result").when(F.col("n_results").isNull(), "no_result").when(F.col("result_turn") <= F.col("turn"), "early_result").otherwise("linked")
