@@ -133,7 +133,7 @@ def content_signature(df: DataFrame, keys: list[str], columns: list[str]) -> Dat
 def write_changed(df: DataFrame, path: str, key: str, columns: list[str] | None = None) -> DataFrame:
     """Writes the partitions of df whose content changed since the last run: key, n, state (written, skipped or absent).
 
-    The signatures of the last run are stored beside the table. Equal keys are neither shuffled nor written; keys that df
+    The signatures of the last run are stored beside the table. Partitions of equal keys are left as they are; keys that df
     no longer has are reported as absent and keep their partitions and signatures. Keys must not be null."""
     spark, columns = df.sparkSession, columns or [c for c in df.columns if c != key]
     now = content_signature(df, [key], columns)
