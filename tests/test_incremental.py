@@ -99,3 +99,22 @@ def test_inventory_refuses_changed_bytes(spark):
     assert merge([("a", "9", 9), ("c", "3", 3), ("c", "3", 3), ("d", "4", 4), ("d", "5", 4), (None, "n", 0)]) == {"a": ("1", "rejected"), "b": ("2", "kept"), "c": ("3", "new"), "d": ("4", "rejected"), None: ("n", "same")}
     assert sorted((r.k, r.sha) for r in incremental.read_state(spark, f"{path}-rejected").collect()) == [("a", "9"), ("d", "4")]
     assert merge([("a", "1", 1)]) == {"a": ("1", "same"), "b": ("2", "kept"), "c": ("3", "kept"), None: ("n", "kept")}
+
+
+def test_many_keys_lie_in_few_folders(spark):
+    """Folders do not grow with the keys; absent keys keep their rows where their folder is written anew, and equal folders stay."""
+    path = files.work_folder(spark, "many")
+    rows = spark.range(3000).select((F.col("id") % 1000).alias("k"), F.col("id").alias("v"))
+    incremental.write_changed(rows, path, "k")
+    read = lambda: spark.read.parquet(path)
+    assert 1 < len({f.rsplit("/", 2)[1] for (f,) in read().select("_metadata.file_path").distinct().collect()}) <= 256
+    before = named(read(), "k")
+    second = rows.where("k % 7 <> 0").withColumn("v", F.when(F.col("k") == 5, -1).otherwise(F.col("v")))
+    for _ in range(2):
+        got = {r.k: (r.n, r.state) for r in incremental.write_changed(second, path, "k").collect()}
+        assert sum(s == "absent" for _, s in got.values()) == 143 and all(n == 3 for n, _ in got.values())
+        want = sorted((i % 1000, -1 if i % 1000 == 5 else i) for i in range(3000))
+        assert sorted(map(tuple, read().select("k", "v").collect())) == want
+    assert got[5] == (3, "skipped")
+    after = named(read(), "k")
+    assert before[5] != after[5] and sum(before[k] != after[k] for k in before) < 30

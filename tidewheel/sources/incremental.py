@@ -130,11 +130,17 @@ def content_signature(df: DataFrame, keys: list[str], columns: list[str]) -> Dat
     return parts.select(*keys, "n", F.sha2(body, 256).alias("signature"))
 
 
+#: Folders of a table that write_changed() keeps: keys are dealt to them by hash.
+BUCKETS = 256
+
+
 def write_changed(df: DataFrame, path: str, key: str, columns: list[str] | None = None) -> DataFrame:
-    """Writes the partitions of df whose content changed since the last run: key, n, state (written, skipped or absent).
+    """Writes the buckets of keys whose content changed since the last run: key, n, state of the key (written, skipped or absent).
 
-    The signatures of the last run are stored beside the table. Partitions of equal keys are left as they are; keys that df
-    no longer has are reported as absent and keep their partitions and signatures. Keys must not be null."""
+    Keys lie in BUCKETS folders `bucket=`, whatever their number, as a folder a key costs files and renames without end. The
+    signatures of the last run are stored beside the table. Buckets in which no key changed are left as they are; in the others
+    all keys of df are written anew. Keys that df no longer has are reported as absent and keep their rows and signatures.
+    Keys must not be null. The table's columns must not be named `bucket`."""
     spark, columns = df.sparkSession, columns or [c for c in df.columns if c != key]
     now = content_signature(df, [key], columns)
     before = read_state(spark, f"{path}-signatures")
@@ -145,10 +151,16 @@ def write_changed(df: DataFrame, path: str, key: str, columns: list[str] | None
     state = F.when(F.col("signature").isNull(), "absent").when(F.col("signature").eqNullSafe(F.col("_old")), "skipped").otherwise("written")
     both = both.select(key, F.coalesce("n", "_n").alias("n"), F.coalesce("signature", "_old").alias("signature"), state.alias("state"))
     both = write_state(both, f"{path}-comparison")
-    changed = both.where("state = 'written'").select(key)
-    if changed.limit(1).count():
-        rows = df.join(changed, key, "left_semi")
-        rows.repartitionByRange(key, *columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+    bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+    changed = [r.bucket for r in both.where("state = 'written'").select(bucket.alias("bucket")).distinct().collect()]  # BUCKETS at most
+    if changed:
+        rows = df.withColumn("bucket", bucket).where(F.col("bucket").isin(changed))
+        gone = both.where("state = 'absent'").select(key, bucket.alias("bucket")).where(F.col("bucket").isin(changed)).select(key)
+        if gone.limit(1).count():
+            # what is read is stored before its folders are replaced
+            kept = spark.read.schema(rows.schema).parquet(path).where(F.col("bucket").isin(changed)).join(gone, key, "left_semi")
+            rows = rows.unionByName(write_state(kept.select(*rows.columns), f"{path}-kept"))
+        rows.repartitionByRange("bucket", key, *columns).sortWithinPartitions("bucket", key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
     write_state(both.select(key, "n", "signature"), f"{path}-signatures")
     return both.select(key, "n", "state")
 
